@@ -65,8 +65,9 @@ def letters(col: str = "text") -> Column:
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
     doc = table(spark, d, "documents")
-    return doc.select(F.col("doc_id").alias("id"), F.col("source").alias("gene"), "lang", letters().alias("seq"),
-                      F.translate(letters(), LETTERS, BASES).alias("dna"))
+    # inline() keeps the letter clean-up from being re-evaluated inside every later expression
+    clean = F.inline(F.array(F.struct(letters().alias("seq"), F.translate(letters(), LETTERS, BASES).alias("dna"))))
+    return doc.select(F.col("doc_id").alias("id"), F.col("source").alias("gene"), "lang", clean)
 
 
 def genomes(spark: SparkSession, d: str) -> DataFrame:

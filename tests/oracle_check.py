@@ -46,10 +46,15 @@ def rows_of(cols, rows):
     return [cols[i] for i in order], sorted(tuple(norm(r[i]) for i in order) for r in rows)
 
 
+LAST = {"spark": 0.0}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     """None when equal, otherwise a short description."""
+    t0 = time.time()
     df = fn(spark, sf_dir)
     cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    LAST["spark"] = time.time() - t0
     if sql is None:
         return None if got else "no rows"
     cur = con.execute(sql)
@@ -98,7 +103,7 @@ def main():
             bad += 1
             print(f"FAIL {n} ({dt:.1f}s): {msg}", flush=True)
         elif a.times or dt > 8:
-            print(f"ok   {n} ({dt:.1f}s)", flush=True)
+            print(f"ok   {n} ({dt:.1f}s, spark {LAST['spark']:.1f}s)", flush=True)
     print(f"{len(names) - bad}/{len(names)} ok; {sum(n in sqls for n in names)} with SQL", flush=True)
 
 
