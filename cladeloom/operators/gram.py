@@ -17,11 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 FLUSH_KEYS = 2000
 
 
-def gram(df: DataFrame, z: Column, width: int, by: Sequence[str] = ()) -> DataFrame:
+def gram(df: DataFrame, z: Column, by: Sequence[str] = ()) -> DataFrame:
     """by..., n, g: upper triangle (row-major) of the sum of z z^T, z prefixed by a constant 1."""
     types = dict(df.dtypes)
-    w = width + 1
-    iu = np.triu_indices(w)
     by_list = list(by)
 
     def fold(batches):
@@ -30,22 +28,22 @@ def gram(df: DataFrame, z: Column, width: int, by: Sequence[str] = ()) -> DataFr
         def flush():
             if not acc:
                 return None
-            rows = [(*k, n, m[iu]) for k, (n, m) in acc.items()]
+            rows = [(*k, n, m[np.triu_indices(len(m))]) for k, (n, m) in acc.items()]
             acc.clear()
             return pd.DataFrame(rows, columns=[*by_list, "n", "g"])
 
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.vstack(pdf["_z"].to_numpy()).astype(float)
-            x = np.hstack([np.ones((len(x), 1)), x])
+            z = pdf["_z"].to_numpy()
             if by_list:
                 groups = pdf.groupby(by_list, dropna=False, sort=False).indices.items()
             else:
                 groups = [((), np.arange(len(pdf)))]
             for key, idx in groups:
                 k = key if isinstance(key, tuple) else (key,)
-                part = x[idx]
+                part = np.vstack(z[idx]).astype(float)
+                part = np.hstack([np.ones((len(part), 1)), part])
                 n, m = acc.get(k, (0, 0.0))
                 acc[k] = (n + len(idx), m + part.T @ part)
             if len(acc) > FLUSH_KEYS:
@@ -62,12 +60,11 @@ def gram(df: DataFrame, z: Column, width: int, by: Sequence[str] = ()) -> DataFr
     )
 
 
-def unpack(g: np.ndarray, width: int) -> np.ndarray:
-    """Full symmetric (width+1) matrix from the packed triangle."""
-    w = width + 1
+def unpack(g) -> np.ndarray:
+    """Full symmetric matrix from its packed upper triangle."""
+    w = int((np.sqrt(8 * len(g) + 1) - 1) / 2)
     m = np.zeros((w, w))
-    iu = np.triu_indices(w)
-    m[iu] = g
+    m[np.triu_indices(w)] = g
     return m + np.triu(m, 1).T
 
 

@@ -61,6 +61,18 @@ def running_sums(df: DataFrame, values: dict[str, Column], order: Sequence[str],
     return out.drop("_blk", *[f"_v_{k}" for k in values], *[f"_off_{k}" for k in values])
 
 
+def suffix_min(df: DataFrame, value: Column, order: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Smallest `value` at or after each row along (by, order)."""
+    b = range_blocks(df.withColumn("_v", value), order, by)
+    keys = ["_blk", *by]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    local = b.withColumn("_local", F.min("_v").over(w))
+    tot = b.groupBy(*keys).agg(F.min("_v").alias("_m"))
+    later = Window.partitionBy(*by).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    off = tot.select(*keys, F.min("_m").over(later).alias("_later"))
+    return (join_same(local, off, keys).withColumn(out, F.least("_local", "_later")).drop("_blk", "_v", "_local", "_later"))
+
+
 def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "row_no") -> DataFrame:
     """1-based position along (by, order) with no single-task window."""
     res = running_sums(df, {out: F.lit(1)}, order, by)

@@ -190,10 +190,10 @@ def _(s, d):
 
 
 @query("haplotype_counts", f"""
-with {v.SITES}, h as (select id, string_agg(gene || ':' || pos || allele, ',' order by gene, pos) as haplotype from v_sites where pos <= 4 group by 1)
+with {v.SITES}, h as (select id, string_agg(gene || ':' || pos || allele, ',' order by gene, pos) as haplotype from v_sites group by 1)
 select haplotype, count(*) as n from h group by 1""")
 def _(s, d):
-    return ag.haplotype_counts(v.sites(s, d), F.col("pos") <= 4)
+    return ag.haplotype_counts(v.sites(s, d), F.lit(True))
 
 
 @query("rollup_totals", """

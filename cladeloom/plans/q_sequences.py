@@ -367,22 +367,22 @@ def _(s, d):
 
 
 @query("multi_hot", "select user_id, " + ", ".join(f"max((event_type = '{t}')::int) as has_{t}" for t in _TYPES)
-       + ", count(distinct event_type) as n_present from events where event_id % 3 > 0 group by 1")
+       + ", count(distinct event_type) as n_present from events where value > 300 group by 1")
 def _(s, d):
-    e = table(s, d, "events").where(F.col("event_id") % 3 > 0).groupBy("user_id").agg(F.collect_set("event_type").alias("genes"))
+    e = table(s, d, "events").where("value > 300").groupBy("user_id").agg(F.collect_set("event_type").alias("genes"))
     return so.multi_hot(e, "user_id", "genes", _TYPES)
 
 
 @query("wide_to_long", """
-with p as (select l_suppkey, max(case when l_linestatus = 'F' then l_quantity end) as F, max(case when l_linestatus = 'O' then l_quantity end) as O,
+with p as (select l_orderkey, max(case when l_linestatus = 'F' then l_quantity end) as F, max(case when l_linestatus = 'O' then l_quantity end) as O,
   greatest(max(case when l_linestatus = 'F' then l_quantity end), max(case when l_linestatus = 'O' then l_quantity end)) -
-  least(max(case when l_linestatus = 'F' then l_quantity end), max(case when l_linestatus = 'O' then l_quantity end)) as rng from lineitem where l_quantity < 3 group by 1)
-select l_suppkey, 'F' as status, F as qty, rng from p union all select l_suppkey, 'O', O, rng from p""")
+  least(max(case when l_linestatus = 'F' then l_quantity end), max(case when l_linestatus = 'O' then l_quantity end)) as rng from lineitem group by 1)
+select l_orderkey, 'F' as status, F as qty, rng from p union all select l_orderkey, 'O', O, rng from p""")
 def _(s, d):
-    w = table(s, d, "lineitem").where("l_quantity < 3").groupBy("l_suppkey").pivot("l_linestatus", ["F", "O"]).agg(F.max("l_quantity"))
+    w = table(s, d, "lineitem").groupBy("l_orderkey").pivot("l_linestatus", ["F", "O"]).agg(F.max("l_quantity"))
     both = F.col("F").isNotNull() | F.col("O").isNotNull()
     w = w.withColumn("rng", F.when(both, F.greatest("F", "O") - F.least("F", "O")))
-    return w.unpivot(["l_suppkey", "rng"], ["F", "O"], "status", "qty")
+    return w.unpivot(["l_orderkey", "rng"], ["F", "O"], "status", "qty")
 
 
 @query("long_to_wide", """
@@ -439,12 +439,12 @@ def _(s, d):
 
 
 @query("complete_grid", """
-with c as (select l_suppkey, l_returnflag, count(*) as n from lineitem where l_quantity = 1 group by 1, 2),
-g as (select a.l_suppkey, b.l_returnflag from (select distinct l_suppkey from c) a, (select distinct l_returnflag from c) b),
-f as (select l_suppkey, l_returnflag, coalesce(n, 0) as n from g left join c using (l_suppkey, l_returnflag))
-select *, round(n / max(n) over (partition by l_suppkey), 6) as scaled from f""")
-def _(s, d):
-    c = table(s, d, "lineitem").where("l_quantity = 1").groupBy("l_suppkey", "l_returnflag").agg(v.count_as())
-    g = so.complete_grid(c, "l_suppkey", "l_returnflag", "n", 0)
-    top = g.groupBy("l_suppkey").agg(F.max("n").alias("top"))
-    return join_same(g, top, ["l_suppkey"]).select("l_suppkey", "l_returnflag", "n", v.rnd(F.col("n") / F.col("top")).alias("scaled"))
+with c as (select l_orderkey, l_returnflag, count(*) as n from lineitem group by 1, 2),
+g as (select a.l_orderkey, b.l_returnflag from (select distinct l_orderkey from c) a, (select distinct l_returnflag from c) b),
+f as (select l_orderkey, l_returnflag, coalesce(n, 0) as n from g left join c using (l_orderkey, l_returnflag))
+select *, round(n / max(n) over (partition by l_orderkey), 6) as scaled from f""")
+def _(s, d):
+    c = table(s, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(v.count_as())
+    g = so.complete_grid(c, "l_orderkey", "l_returnflag", "n", 0)
+    top = g.groupBy("l_orderkey").agg(F.max("n").alias("top"))
+    return join_same(g, top, ["l_orderkey"]).select("l_orderkey", "l_returnflag", "n", v.rnd(F.col("n") / F.col("top")).alias("scaled"))
