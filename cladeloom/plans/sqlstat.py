@@ -16,7 +16,8 @@ def f_tail(f: str, d1: str, d2: str) -> str:
     lo = f"asin(sqrt(({d1}) * ({f}) / (({d1}) * ({f}) + ({d2}))))"
     const = f"lgamma((({d1}) + ({d2})) / 2.0e0) - lgamma(({d1}) / 2.0e0) - lgamma(({d2}) / 2.0e0)"
     body = f"exp({const} + (({d1}) - 1) * ln(greatest(sin({{x}}), 1e-300)) + (({d2}) - 1) * ln(greatest(cos({{x}}), 1e-300)))"
-    return f"(2 * {_simpson(lo, 'pi() / 2', body)})"
+    hi = f"least(pi() / 2, {lo} + sqrt(({d1}) / (1.0e0 * ({d2}))) + 14.0e0 / sqrt(({d2})))"
+    return f"(2 * {_simpson(lo, hi, body)})"
 
 
 def t_tail(t: str, df: str) -> str:

@@ -81,7 +81,7 @@ def main():
     import __spark_entry__ as entry
     spark = get_spark("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
                                               "spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     sf_dir = f"/root/testdata/sf{a.sf}"
     con = duck(sf_dir)
     qs, sqls = entry.queries(), entry.oracle_sql()
