@@ -106,13 +106,13 @@ def _(s, d):
 
 
 # id = supplier gives each sample most sites
-PANEL = """v_panel as (select l_suppkey as id, l_linestatus as gene, l_linenumber as pos, arg_max(l_returnflag, l_orderkey * 100 + l_partkey % 100) as allele from lineitem group by 1, 2, 3)"""
+PANEL = """v_panel as (select l_suppkey as id, l_linestatus as gene, l_linenumber as pos, arg_max(l_returnflag, (l_orderkey * 100000 + l_partkey) * 256 + ascii(l_returnflag)) as allele from lineitem group by 1, 2, 3)"""
 
 
 def panel(s, d):
     li = table(s, d, "lineitem")
     return li.groupBy(F.col("l_suppkey").alias("id"), F.col("l_linestatus").alias("gene"), F.col("l_linenumber").alias("pos")).agg(
-        F.max_by("l_returnflag", F.col("l_orderkey") * 100 + F.col("l_partkey") % 100).alias("allele"))
+        F.max_by("l_returnflag", (F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 256 + F.ascii("l_returnflag")).alias("allele"))
 
 
 _XP = f"with {v.SITES}, xp as (select x.gene as gene_a, x.pos as pos_a, x.allele as a, y.gene as gene_b, y.pos as pos_b, y.allele as b from v_sites x join v_sites y on x.id = y.id and (x.gene < y.gene or (x.gene = y.gene and x.pos < y.pos)) where x.allele <> '-' and y.allele <> '-')"

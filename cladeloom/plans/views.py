@@ -40,10 +40,14 @@ EDGES = """v_edges as (
   select (c_custkey + 1) // 2 as parent, c_custkey + 1 as child, 0.1 + abs(c_acctbal) / 1000 as length
   from customer where c_custkey >= 1)"""
 
-STATES = """v_states as (
-  select o_custkey + 1 as node, l_linenumber as pos,
-         min(case when l_discount = 0 then '-' else l_returnflag end) as aa
-  from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)"""
+STATES = """v_raw as (
+  select o_custkey + 1 as node, l_linenumber as pos, case when l_discount = 0 then '-' else l_returnflag end as aa,
+         l_orderkey * 100000 + l_partkey as ord0
+  from orders join lineitem on l_orderkey = o_orderkey),
+v_states as (
+  select node, pos, arg_max(aa, ord0 * 256 + ascii(aa)) as aa, count(*) as n from v_raw group by 1, 2),
+v_probs as (
+  select node, pos, aa, count(*) / sum(count(*)) over (partition by node, pos) as prob from v_raw group by 1, 2, 3)"""
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:
@@ -91,12 +95,22 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
                     (F.lit(0.1) + F.abs("c_acctbal") / 1000).alias("length"))
 
 
-def states(spark: SparkSession, d: str) -> DataFrame:
+def _raw_states(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag")
-    return (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy((F.col("o_custkey") + 1).alias("node"), F.col("l_linenumber").alias("pos"))
-            .agg(F.min(F.when(F.col("l_discount") == 0, "-").otherwise(F.col("l_returnflag"))).alias("aa")))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_returnflag", "l_partkey")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("o_custkey") + 1).alias("node"), F.col("l_linenumber").alias("pos"),
+        F.when(F.col("l_discount") == 0, "-").otherwise(F.col("l_returnflag")).alias("aa"), (F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("ord"))
+
+
+def states(spark: SparkSession, d: str) -> DataFrame:
+    return _raw_states(spark, d).groupBy("node", "pos").agg(F.max_by("aa", F.col("ord") * 256 + F.ascii("aa")).alias("aa"))
+
+
+def state_probs(spark: SparkSession, d: str) -> DataFrame:
+    n = _raw_states(spark, d).groupBy("node", "pos", "aa").agg(F.count("*").alias("n"))
+    t = n.groupBy("node", "pos").agg(F.sum("n").alias("t"))
+    return n.join(t, ["node", "pos"]).select("node", "pos", "aa", (F.col("n") / F.col("t")).alias("prob"))
 
 
 def rnd(col: Column | str, digits: int = 6) -> Column:
