@@ -145,12 +145,12 @@ def _effects(s, d):
 
 
 @query("sister_contrasts", f"""
-with {_T}, {_CM}, {_SUB}, {_EFF} select s.pos, s.parent, s.child, o.child as sister, from_aa, to_aa, round(t.effect - f.effect, 6) + 0.0 as effect_change, round(a.mean - b.mean, 5) + 0.0 as contrast
+with {_T}, {_CM}, {_SUB}, {_EFF} select s.pos, s.parent, s.child, o.child as sister, from_aa, to_aa, round(t.effect - f.effect, 6) + 0.0 as effect_change, round(a.mean - b.mean + 1e-7, 5) + 0.0 as contrast
 from sub s join v_edges o on o.parent = s.parent and o.child <> s.child join cm a on a.node = s.child join cm b on b.node = o.child join eff f on f.pos = s.pos and f.aa = from_aa join eff t on t.pos = s.pos and t.aa = to_aa""")
 def _(s, d):
     e = v.edges(s, d)
     m = tr.clade_means(tr.ancestor_closure(e), tips(s, d), "x")
-    return r_(tr.sister_contrasts(subs(s, d), e, m, _effects(s, d)), contrast=5)
+    return r_(tr.sister_contrasts(subs(s, d), e, m, _effects(s, d)).withColumn("contrast", F.col("contrast") + 1e-7), contrast=5)
 
 
 @query("back_mutation_flag", f"""
