@@ -41,8 +41,13 @@ def translate_codons(dna: Column) -> Column:
     return F.array_join(F.transform(pieces(dna, 3, 3), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("?"))), "")
 
 
-def canonical(kmer: Column) -> Column:
-    return F.least(kmer, reverse_complement(kmer))
+def canonical_pieces(seq: Column, k: int) -> Column:
+    """Overlapping k-mers, each as the smaller of itself and its reverse complement.
+
+    The reverse complement is formed once per sequence: its k-mers, read backwards,
+    are the complements of the forward ones.
+    """
+    return F.zip_with(pieces(seq, k), F.reverse(pieces(reverse_complement(seq), k)), lambda a, b: F.least(a, b))
 
 
 def degap(seq: Column) -> Column:

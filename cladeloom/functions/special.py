@@ -117,14 +117,30 @@ def chi2_1_isf(p: float) -> float:
     return (lo + hi) / 2
 
 
+_LOG_FACT = np.zeros(2)
+MAX_TABLE = 5_000_000
+
+
+def log_factorial(k):
+    """log k! from a growing table (lgamma beyond it)."""
+    global _LOG_FACT
+    k = np.asarray(k)
+    top = int(k.max()) if k.size else 0
+    if top > MAX_TABLE:
+        return lgamma(k + 1.0)
+    if top >= len(_LOG_FACT):
+        size = min(MAX_TABLE, max(top, 2 * len(_LOG_FACT))) + 1
+        _LOG_FACT = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, size)))])
+    return _LOG_FACT[k]
+
+
 def _hyper_logpmf(a: int, b: int, c: int, d: int):
     """Support and log weights of the top-left cell with all margins fixed."""
     r1, c1, n = a + b, a + c, a + b + c + d
     lo, hi = max(0, c1 - (n - r1)), min(r1, c1)
     k = np.arange(lo, hi + 1)
-    logw = (lgamma(r1 + 1) - lgamma(k + 1) - lgamma(r1 - k + 1)
-            + lgamma(n - r1 + 1) - lgamma(c1 - k + 1) - lgamma(n - r1 - c1 + k + 1)
-            - (lgamma(n + 1) - lgamma(c1 + 1) - lgamma(n - c1 + 1)))
+    f = log_factorial
+    logw = f(r1) - f(k) - f(r1 - k) + f(n - r1) - f(c1 - k) - f(n - r1 - c1 + k) - f(n) + f(c1) + f(n - c1)
     return k, logw
 
 
@@ -162,6 +178,7 @@ def binom_two_sided(k: int, n: int, p0: float) -> float:
     if p0 in (0.0, 1.0):
         return 1.0 if k == n * p0 else 0.0
     x = np.arange(n + 1)
-    logw = lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * math.log(p0) + (n - x) * math.log1p(-p0)
+    f = log_factorial
+    logw = f(n) - f(x) - f(n - x) + x * math.log(p0) + (n - x) * math.log1p(-p0)
     w = np.exp(logw)
     return float(min(1.0, w[w <= w[k] * (1 + 1e-7)].sum()))

@@ -18,6 +18,7 @@ from cladeloom.operators.matrix import _components, _expand
 from cladeloom.operators.ordered import join_same, quantiles
 from cladeloom.operators.sequences import kmer_presence
 from cladeloom.operators import stats as sx
+from cladeloom.session import materialize
 
 TOL = 1e-9
 
@@ -47,7 +48,7 @@ def ols_by_group(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (
     names = list(xs)
 
     def fit(row):
-        n, mean, s = centred(unpack(row["g"]))
+        n, mean, s = centred(unpack(row["_gram"]))
         b, rank, inv = _solve(s[:-1, :-1], s[:-1, -1])
         dof = n - 1 - rank
         if rank < len(names) or dof <= 0 or s[-1, -1] <= 0:
@@ -73,7 +74,7 @@ def weighted_ols(df: DataFrame, y: str, xs: Sequence[str], w: str) -> DataFrame:
     names = ["(intercept)", *xs]
 
     def fit(row):
-        m = unpack(row["g"])[1:, 1:]
+        m = unpack(row["_gram"])[1:, 1:]
         b, rank, inv = _solve(m[:-1, :-1], m[:-1, -1])
         dof = row["n_rows"] - rank
         rss = max(m[-1, -1] - b @ m[:-1, -1], 0.0)
@@ -106,7 +107,7 @@ def site_scan(sites: DataFrame, traits: DataFrame, min_n: int = 1) -> DataFrame:
     by all sites of the gene and samples are combined map-side.
     """
     s = sites.join(traits, "id")
-    per_gene = gram(s.select("gene", "id", "y", "z").dropDuplicates(["gene", "id"]), F.concat(F.col("z"), F.array("y")), ["gene"]).select("gene", "g")
+    per_gene = gram(s.select("gene", "id", "y", "z").dropDuplicates(["gene", "id"]), F.concat(F.col("z"), F.array("y")), ["gene"]).select("gene", "_gram")
     sums = s.groupBy("gene", "pos", "allele").agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.concat(F.col("z"), F.array("y"))))).alias("s"))
     packed = sums.groupBy("gene", "pos").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("allele", F.col("n").alias("k"), "s"))).alias("a"),
                                              F.coalesce(F.sum(F.when(F.col("allele") != "-", F.col("n"))), F.lit(0)).alias("ng"))
@@ -114,7 +115,7 @@ def site_scan(sites: DataFrame, traits: DataFrame, min_n: int = 1) -> DataFrame:
     rows = packed.join(per_gene, "gene")
 
     def fit(row):
-        n, mean, c = centred(unpack(row["g"]))
+        n, mean, c = centred(unpack(row["_gram"]))
         alle = [a["allele"] for a in row["a"]]
         cnt = np.array([a["k"] for a in row["a"]], float)
         if row["n"] != n:
@@ -197,7 +198,7 @@ def linear_coefficients(df: DataFrame, z: Column, y: str) -> DataFrame:
     g = gram(df, F.concat(z, F.array(F.col(y).cast("double")))).drop("n")
 
     def fit(row):
-        _, mean, s = centred(unpack(row["g"]))
+        _, mean, s = centred(unpack(row["_gram"]))
         b, _, _ = _solve(s[:-1, :-1], s[:-1, -1])
         yield float(mean[-1] - b @ mean[:-1]), b.tolist()
 
@@ -216,7 +217,7 @@ def vector_f_scan(df: DataFrame, by: Sequence[str], vec: str, y: str, k: int | N
     g = gram(df, F.concat(F.col(vec), F.array(F.col(y).cast("double"))), by).drop("n")
 
     def fit(row):
-        n, _, s = centred(unpack(row["g"]))
+        n, _, s = centred(unpack(row["_gram"]))
         sxx, sxy, syy = s[:-1, :-1], s[:-1, -1], s[-1, -1]
         if n < 3 or syy <= 0:
             return
@@ -245,7 +246,7 @@ def nested_r2(df: DataFrame, by: Sequence[str], blocks: Mapping[str, Column], y:
     names, spec = list(blocks), {m: list(b) for m, b in models.items()}
 
     def fit(row):
-        n, _, s = centred(unpack(row["g"]))
+        n, _, s = centred(unpack(row["_gram"]))
         ends = np.cumsum(np.asarray(row["_sz"], int))
         idx = {b: np.arange(e - w, e) for b, e, w in zip(names, ends, np.asarray(row["_sz"], int))}
         syy = s[-1, -1]
@@ -262,11 +263,11 @@ def nested_r2(df: DataFrame, by: Sequence[str], blocks: Mapping[str, Column], y:
 def ridge_cv(df: DataFrame, by: Sequence[str], vec: str, y: str, fold: Column, lambdas: Sequence[float]) -> DataFrame:
     """Cross-validated ridge error per group and penalty; folds are differences of cross-products."""
     g = gram(df.withColumn("_f", fold.cast("int")), F.concat(F.col(vec), F.array(F.col(y).cast("double"))), [*by, "_f"])
-    packed = g.groupBy(*by).agg(F.collect_list(F.struct("_f", "n", "g")).alias("folds"))
+    packed = g.groupBy(*by).agg(F.collect_list(F.struct("_f", "n", "_gram")).alias("folds"))
     grid = [float(x) for x in lambdas]
 
     def fit(row):
-        ms = [unpack(np.asarray(f["g"])) for f in row["folds"]]
+        ms = [unpack(np.asarray(f["_gram"])) for f in row["folds"]]
         tot = sum(ms)
         if len(ms) < 2:
             return
@@ -310,7 +311,7 @@ def kmer_label_scan(seqs: DataFrame, id: str, seq: str, labels: DataFrame, label
     pr = kmer_presence(seqs.join(lab.select(id), id, "left_semi"), id, seq, k).join(lab, id)
     c = pr.groupBy("kmer").agg(F.sum("_l").alias("a"), F.count_if(F.col("_l") == 0).alias("b")).withColumn("_t", tot)
     c = c.select("kmer", "a", "b", (F.col("_t.p") - F.col("a")).alias("c"), (F.col("_t.n") - F.col("_t.p") - F.col("b")).alias("d"))
-    f = sx.fisher_exact(c, "a", "b", "c", "d")
+    f = sx.fisher_exact(materialize(c), "a", "b", "c", "d")
     return sx.p_adjust(f, "p_value").drop("n_tests", "threshold", "p_bonferroni")
 
 
@@ -334,7 +335,7 @@ def greedy_orthogonal(df: DataFrame, gene: str, vec: str, y: str, steps: int = 5
     g = gram(df, F.concat(F.col(vec), F.array(F.col(y).cast("double"))), [gene]).drop("n")
 
     def fit(row):
-        n, _, s = centred(unpack(row["g"]))
+        n, _, s = centred(unpack(row["_gram"]))
         sxx, sxy, syy = s[:-1, :-1], s[:-1, -1], s[-1, -1]
         chosen: list[int] = []
         for step in range(steps):
@@ -358,10 +359,10 @@ def greedy_orthogonal(df: DataFrame, gene: str, vec: str, y: str, steps: int = 5
 def group_holdout(df: DataFrame, group: str, vec: str, y: str) -> DataFrame:
     """Leave one group out: fit on the others, R2 / RMSE / r on the held-out group, all from cross-products."""
     g = gram(df, F.concat(F.col(vec), F.array(F.col(y).cast("double"))), [group])
-    tot = g.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("t")).scalar()
+    tot = g.agg(vector_to_array(Summarizer.sum(array_to_vector("_gram"))).alias("t")).scalar()
 
     def fit(row):
-        test, t = unpack(row["g"]), unpack(np.asarray(row["_t"]))
+        test, t = unpack(row["_gram"]), unpack(np.asarray(row["_t"]))
         n, mean, s = centred(t - test)
         b, _, _ = _solve(s[:-1, :-1], s[:-1, -1])
         icpt = mean[-1] - b @ mean[:-1]
@@ -389,7 +390,7 @@ def grid_search(df: DataFrame, vec: str, y: str, group: str, train: Column, cand
     rows by mean within-group Spearman.  One cross-product serves every parameter row.
     """
     tr = df.where(train)
-    g = gram(tr, F.concat(F.col(vec), F.array(F.col(y).cast("double")))).select("g").scalar()
+    g = gram(tr, F.concat(F.col(vec), F.array(F.col(y).cast("double")))).select("_gram").scalar()
 
     def fit(row):
         n, mean, s = centred(unpack(np.asarray(row["_g"])))

@@ -18,7 +18,7 @@ FLUSH_KEYS = 2000
 
 
 def gram(df: DataFrame, z: Column, by: Sequence[str] = ()) -> DataFrame:
-    """by..., n, g: upper triangle (row-major) of the sum of z z^T, z prefixed by a constant 1."""
+    """by..., n, _gram: upper triangle (row-major) of the sum of z z^T, z prefixed by a constant 1."""
     types = dict(df.dtypes)
     by_list = list(by)
 
@@ -30,7 +30,7 @@ def gram(df: DataFrame, z: Column, by: Sequence[str] = ()) -> DataFrame:
                 return None
             rows = [(*k, n, m[np.triu_indices(len(m))]) for k, (n, m) in acc.items()]
             acc.clear()
-            return pd.DataFrame(rows, columns=[*by_list, "n", "g"])
+            return pd.DataFrame(rows, columns=[*by_list, "n", "_gram"])
 
         for pdf in batches:
             if len(pdf) == 0:
@@ -52,11 +52,11 @@ def gram(df: DataFrame, z: Column, by: Sequence[str] = ()) -> DataFrame:
         if out is not None:
             yield out
 
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "n bigint", "g array<double>"])
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in by], "n bigint", "_gram array<double>"])
     parts = df.select(*by, z.alias("_z")).where(F.col("_z").isNotNull()).mapInPandas(fold, schema)
     return parts.groupBy(*by).agg(
         F.sum("n").alias("n"),
-        vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"),
+        vector_to_array(Summarizer.sum(array_to_vector("_gram"))).alias("_gram"),
     )
 
 

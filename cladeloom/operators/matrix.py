@@ -49,7 +49,7 @@ def _components(s: np.ndarray, n: float, k: int, scale: bool):
 def pca_fit(df: DataFrame, vec: str, k: int, by: Sequence[str] = (), scale: bool = False) -> DataFrame:
     """by..., n, comp, variance, ratio, cumulative, loading, mean, sd from one distributed cross-product."""
     def fit(row):
-        n, mean, s = centred(unpack(row["g"]))
+        n, mean, s = centred(unpack(row["_gram"]))
         if n < 2:
             return
         val, w, sd, tot = _components(s, n, k, scale)
@@ -67,10 +67,10 @@ def pca_merge_batches(df: DataFrame, vec: str, k: int, batch: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     per = gram(df, F.col(vec), [batch])
-    tot = per.agg(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+    tot = per.agg(vector_to_array(Summarizer.sum(array_to_vector("_gram"))).alias("_gram"))
 
     def fit(row):
-        n, _, s = centred(unpack(row["g"]))
+        n, _, s = centred(unpack(row["_gram"]))
         val, _, _, t = _components(s, n, k, False)
         for i, lam in enumerate(val):
             yield int(n), i + 1, float(lam), float(lam / t)
@@ -214,7 +214,7 @@ def site_pair_tables(sites: DataFrame, fn: Callable, schema: str) -> DataFrame:
         lv.select(F.col("gene").alias("gene_b"), F.col("levels").alias("lb")), "gene_b")
 
     def each(row):
-        m = unpack(row["g"])[1:, 1:]
+        m = unpack(row["_gram"])[1:, 1:]
         la = [(x["pos"], x["allele"]) for x in row["la"]]
         same = row["gene_a"] == row["gene_b"]
         lb = la if same else [(x["pos"], x["allele"]) for x in row["lb"]]
@@ -406,7 +406,7 @@ def profile_similarity(cors: DataFrame, gene: str, dim: str, r: str) -> DataFram
 def pc_vs_raw(df: DataFrame, vec: str, y: str, by: Sequence[str], k: int, min_n: int = 10) -> DataFrame:
     """Per group: correlation with y of each component and each raw dimension, from one cross-product."""
     def fn(row):
-        n, _, s = centred(unpack(row["g"]))
+        n, _, s = centred(unpack(row["_gram"]))
         if n < min_n:
             return
         sxx, sxy, syy = s[:-1, :-1], s[:-1, -1], s[-1, -1]

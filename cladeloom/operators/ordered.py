@@ -65,10 +65,11 @@ def suffix_min(df: DataFrame, value: Column, order: Sequence[str], out: str, by:
     """Smallest `value` at or after each row along (by, order)."""
     b = range_blocks(df.withColumn("_v", value), order, by)
     keys = ["_blk", *by]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    local = b.withColumn("_local", F.min("_v").over(w))
+    # running from the far end: a frame open towards the end would rescan the block for every row
+    back = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_local", F.min("_v").over(back))
     tot = b.groupBy(*keys).agg(F.min("_v").alias("_m"))
-    later = Window.partitionBy(*by).orderBy("_blk").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, F.min("_m").over(later).alias("_later"))
     return (join_same(local, off, keys).withColumn(out, F.least("_local", "_later")).drop("_blk", "_v", "_local", "_later"))
 

@@ -56,6 +56,7 @@ def chunk_pairs(
 
     Without `other` every unordered chunk pair is visited once (a chunk with itself
     has same=True).  With `other` every chunk of `points` meets every chunk of it.
+    Rows with a NULL group key belong to no group.
     """
     fields = list(dict.fromkeys([key, *cols]))
     left = pack(points, by, key, cols, chunk_rows)
@@ -64,22 +65,21 @@ def chunk_pairs(
     l = left.select(*[F.col(c).alias(f"l_{c}") for c in (*by, "_chunks", "_chunk", *fields)])
     if other is None:
         l = l.withColumn("_peer", F.explode(F.sequence("l__chunk", F.col("l__chunks") - 1)))
-        cond = F.col("_peer") == F.col("r__chunk")
-        for c in by:
-            cond = cond & F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
-        joined = l.join(r, cond)
     else:
         counts = (right.groupBy(*by) if by else right.groupBy()).agg(F.max("_chunks").alias("_peers"))
         if by:
             l = l.join(counts.select(*[F.col(c).alias(f"c_{c}") for c in by], "_peers"),
-                       [F.col(f"l_{c}").eqNullSafe(F.col(f"c_{c}")) for c in by]).drop(*[f"c_{c}" for c in by])
+                       [F.col(f"l_{c}") == F.col(f"c_{c}") for c in by]).drop(*[f"c_{c}" for c in by])
         else:
             l = l.withColumn("_peers", counts.scalar())
         l = l.withColumn("_peer", F.explode(F.sequence(F.lit(0), F.col("_peers") - 1)))
-        cond = F.col("_peer") == F.col("r__chunk")
-        for c in by:
-            cond = cond & F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}"))
-        joined = l.join(r, cond)
+    # kernels are heavy per byte: fix the task count so small shuffles are not merged into one task
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l = l.repartition(tasks, "_peer", *[f"l_{c}" for c in by])
+    cond = F.col("_peer") == F.col("r__chunk")
+    for c in by:
+        cond = cond & (F.col(f"l_{c}") == F.col(f"r_{c}"))
+    joined = l.join(r, cond)
     keep = [*[f"l_{c}" for c in by], "l__chunk", "r__chunk", *[f"l_{f}" for f in fields], *[f"r_{f}" for f in fields]]
     types = dict(points.dtypes)
     by_schema = ", ".join(f"`{c}` {types[c]}" for c in by)

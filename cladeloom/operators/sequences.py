@@ -11,9 +11,8 @@ from cladeloom.operators.ordered import quantiles, row_index
 
 def kmer_counts(df: DataFrame, id: str, seq: str, k: int, step: int = 1, canonical: bool = False) -> DataFrame:
     """(id, kmer, cnt); copies inside a sequence are combined before the shuffle."""
-    km = df.select(id, F.explode(sq.pieces(F.col(seq), k, step)).alias("kmer"))
-    if canonical:
-        km = km.withColumn("kmer", sq.canonical(F.col("kmer")))
+    arr = sq.canonical_pieces(F.col(seq), k) if canonical else sq.pieces(F.col(seq), k, step)
+    km = df.select(id, F.explode(arr).alias("kmer"))
     return km.groupBy(id, "kmer").agg(F.count("*").alias("cnt"))
 
 
@@ -27,9 +26,7 @@ def dinucleotide_freq(df: DataFrame, id: str, seq: str, only_acgt: bool = False)
 
 def kmer_presence(df: DataFrame, id: str, seq: str, k: int, canonical: bool = False) -> DataFrame:
     """Distinct (id, kmer); duplicates inside one sequence are dropped in-row."""
-    arr = sq.pieces(F.col(seq), k)
-    if canonical:
-        arr = F.transform(arr, sq.canonical)
+    arr = sq.canonical_pieces(F.col(seq), k) if canonical else sq.pieces(F.col(seq), k)
     return df.select(id, F.explode(F.array_distinct(arr)).alias("kmer")).distinct()
 
 

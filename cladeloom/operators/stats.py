@@ -105,7 +105,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
         for pdf in batches:
             out = []
             for _, row in pdf.iterrows():
-                r = _long_corr(row["g"], names)
+                r = _long_corr(row["_gram"], names)
                 for i in range(len(names)):
                     for j in range(i + 1, len(names)):
                         out.append((*[row[c] for c in by_list], names[i], names[j], row["n"], r[i, j]))
@@ -125,7 +125,7 @@ def corr_with(df: DataFrame, vec: str, y: str, by: Sequence[str] = ()) -> DataFr
         for pdf in batches:
             out = []
             for _, row in pdf.iterrows():
-                r = _long_corr(row["g"], None)[-1, :-1]
+                r = _long_corr(row["_gram"], None)[-1, :-1]
                 out += [(*[row[c] for c in by_list], i, row["n"], None if np.isnan(x) else x) for i, x in enumerate(r)]
             yield pd.DataFrame(out, columns=[*by_list, "dim", "n", "r"])
 
@@ -197,7 +197,8 @@ def kruskal(df: DataFrame, x: str, group: str, by: Sequence[str] = ()) -> DataFr
 def fisher_exact(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
     """Exact 2x2 test per row; each distinct table is solved once and joined back."""
     keys = [a, b, c, d]
-    u = df.select(*keys).distinct().withColumn("_r", fisher_p(*keys)).select(*keys, "_r.*")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    u = df.select(*keys).distinct().repartition(tasks).withColumn("_r", fisher_p(*keys)).select(*keys, "_r.*")
     return df.join(u, keys)
 
 

@@ -91,7 +91,7 @@ def edge_co_occurrence(edges: DataFrame, states: DataFrame) -> DataFrame:
     g = gram(z.select(F.concat(has, chg).alias("z")), F.col("z")).withColumn("_p", pos).drop("n")
 
     def fit(row):
-        m = unpack(row["g"])[1:, 1:]
+        m = unpack(row["_gram"])[1:, 1:]
         ps = list(row["_p"])
         k = len(ps)
         for i in range(k):

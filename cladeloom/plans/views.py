@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cladeloom.plans.registry import table
+from cladeloom.session import spread
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASES = "ACGTACGTACGTACGTACGTACGTAN"
@@ -68,7 +69,7 @@ def letters(col: str = "text") -> Column:
 
 
 def seqs(spark: SparkSession, d: str) -> DataFrame:
-    doc = table(spark, d, "documents")
+    doc = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
     # inline() keeps the letter clean-up from being re-evaluated inside every later expression
     clean = F.inline(F.array(F.struct(letters().alias("seq"), F.translate(letters(), LETTERS, BASES).alias("dna"))))
     return doc.select(F.col("doc_id").alias("id"), F.col("source").alias("gene"), "lang", clean)

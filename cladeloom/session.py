@@ -42,3 +42,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage and pins range-partition boundaries."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a table that arrives in fewer splits than there are cores.
+
+    Only for CPU-heavy work straight after a scan; an input with enough splits is
+    left where it is, so large tables are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
