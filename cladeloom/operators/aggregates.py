@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cladeloom.operators.ordered import join_same, quantiles, row_index, value_ranks
+from cladeloom.operators.ordered import halo_buckets, join_same, quantiles, row_index, running_sums, value_ranks
 from cladeloom.operators.pairs import chunk_pairs
 from cladeloom.session import materialize
 
@@ -184,14 +184,17 @@ def first_mapping_per_key(df: DataFrame, by: Sequence[str], value: Sequence[str]
 def break_runs(df: DataFrame, by: Sequence[str], order: Sequence[str], state: str, index: str | None = None, max_gap: int = 2) -> DataFrame:
     """Number runs: a new one starts at the first row, a state change, or an index gap above `max_gap`.
 
-    A group is one sequence (bounded by its length), so a window per group is enough.
+    The look-back needs one row and the run number is a running sum, so a group of any
+    size is worked on in buckets.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = F.lag(state).over(w).isNull() | ~F.lag(state).over(w).eqNullSafe(F.col(state))
+    h = halo_buckets(df, order, by, before=1)
+    w = Window.partitionBy(*by, "_bucket").orderBy("_i")
+    new = F.lag("_i").over(w).isNull() | ~F.lag(state).over(w).eqNullSafe(F.col(state))
     if index:
-        new = new | (F.col(index) - F.lag(index).over(w) > max_gap)
-    return df.withColumn("_new", new.cast("int")).withColumn(
-        "run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_new")
+        new = new | F.coalesce(F.col(index) - F.lag(index).over(w) > max_gap, F.lit(False))
+    f = h.withColumn("_new", new.cast("int")).where("_own").drop("_bucket", "_own")
+    r = running_sums(f, {"run": F.col("_new")}, ["_i"], by)
+    return r.withColumn("run", F.col("run").cast("bigint")).drop("_new", "_i")
 
 
 def run_aggregate(runs: DataFrame, by: Sequence[str], order: str, state: str) -> DataFrame:
@@ -200,16 +203,17 @@ def run_aggregate(runs: DataFrame, by: Sequence[str], order: str, state: str) ->
 
 
 def rolling_mean(df: DataFrame, by: Sequence[str], order: Sequence[str], x: str, width: int = 15) -> DataFrame:
-    """Centred rolling mean, NULL where the window is incomplete."""
+    """Centred rolling mean, NULL where the window is incomplete; large groups are cut into overlapping buckets."""
     h = width // 2
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-h, h)
-    return df.withColumn("rolling", F.when(F.count(x).over(w) == width, F.avg(x).over(w)))
+    b = halo_buckets(df, order, by, before=h, after=h)
+    w = Window.partitionBy(*by, "_bucket").orderBy("_i").rowsBetween(-h, h)
+    r = b.withColumn("rolling", F.when(F.count(x).over(w) == width, F.avg(x).over(w)))
+    return r.where("_own").drop("_bucket", "_own", "_i")
 
 
 def cumulative_offsets(df: DataFrame, gene: str, length: str) -> DataFrame:
     """Start offset and midpoint of each gene laid end to end (one row per gene)."""
     lens = df.groupBy(gene).agg(F.max(length).cast("bigint").alias("len"))
-    from cladeloom.operators.ordered import running_sums
     r = running_sums(lens, {"end": F.col("len")}, [gene])
     return r.select(gene, "len", (F.col("end") - F.col("len")).alias("offset"), (F.col("end") - F.col("len") / 2).alias("midpoint"))
 

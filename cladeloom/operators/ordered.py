@@ -80,6 +80,19 @@ def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out:
     return res.withColumn(out, F.col(out).cast("bigint"))
 
 
+def halo_buckets(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), before: int = 0, after: int = 0, size: int = 100_000) -> DataFrame:
+    """Cut each ordered group into buckets of `size` rows and lend `before` / `after` rows to the neighbours.
+
+    A frame of that reach can then run per (by, _bucket), however large the group is;
+    keep the rows with `_own` afterwards.  `_i` is the position in the group.
+    """
+    r = row_index(df, order, by, "_i")
+    at = lambda shift: F.floor((F.col("_i") - 1 + shift) / size)
+    home = at(0)
+    r = r.withColumn("_bucket", F.explode(F.array_distinct(F.array(home, at(before), at(-after)))))
+    return r.withColumn("_own", F.col("_bucket") == home)
+
+
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """One row per distinct (by, value): count `n`, cumulative `cum_n`, average `avg_rank`.
 

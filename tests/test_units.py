@@ -101,6 +101,18 @@ def test_running_sum_and_index_match_plain_order(spark):
     assert tuple(idx) == (1, 5000, 5000)
 
 
+def test_halo_buckets_keep_frames_whole(spark):
+    df = spark.range(1000).select(F.lit("hot").alias("g"), "id", (F.col("id") % 13).cast("double").alias("x"))
+    from pyspark.sql import Window
+    h = od.halo_buckets(df, ["id"], ["g"], before=3, after=3, size=50)
+    w = Window.partitionBy("g", "_bucket").orderBy("_i").rowsBetween(-3, 3)
+    got = {r.id: (r.n, r.m) for r in h.withColumn("n", F.count("x").over(w)).withColumn("m", F.sum("x").over(w)).where("_own").collect()}
+    assert len(got) == 1000
+    for i in range(1000):
+        win = [j % 13 for j in range(max(0, i - 3), min(1000, i + 4))]
+        assert got[i] == (len(win), float(sum(win)))
+
+
 def test_bh_brute_force(spark):
     rng = np.random.default_rng(3)
     p = np.round(rng.uniform(size=300) ** 2, 3)
