@@ -156,19 +156,23 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
     if a == k[-1]:
         return float("inf"), p
 
-    def mean_at(log_or):
-        v = logw + k * log_or
-        v = np.exp(v - v.max())
-        return float((k * v).sum() / v.sum())
-
+    # the mean cell is increasing in the log odds ratio: Newton steps inside a shrinking bracket
     lo, hi = -50.0, 50.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        if mean_at(mid) < a:
-            lo = mid
-        else:
-            hi = mid
-    return math.exp((lo + hi) / 2), p
+    x = math.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
+    for _ in range(200):
+        v = logw + k * x
+        v = np.exp(v - v.max())
+        s = v.sum()
+        m = float((k * v).sum() / s)
+        if abs(m - a) < 1e-11 * (1 + a):
+            break
+        lo, hi = (x, hi) if m < a else (lo, x)
+        var = float(((k - m) ** 2 * v).sum() / s)
+        nxt = x + (a - m) / var if var > 0 else lo
+        x = nxt if lo < nxt < hi else (lo + hi) / 2
+        if hi - lo < 1e-13:
+            break
+    return math.exp(x), p
 
 
 def binom_two_sided(k: int, n: int, p0: float) -> float:

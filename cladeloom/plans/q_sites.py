@@ -88,10 +88,11 @@ def _(s, d):
 
 @query("explode_sites", f"""
 with {v.SEQ}, e as (select gene, id, unnest(string_split(regexp_replace(seq, '[^{sc.AMINO_ACIDS}]', '-', 'g'), '')) as allele, unnest(range(1, length(seq) + 1)) as pos from v_seq where length(seq) > 0)
-select gene, pos, allele, count(*) as n, min(id) as first_id from e group by 1, 2, 3""")
+select gene, allele, count(*) as n, cast(sum(pos) as bigint) as pos_sum, max(pos) as last_pos, count(distinct id) as n_ids from e group by 1, 2""")
 def _(s, d):
     e = si.explode_sites(v.seqs(s, d), "id", "gene", "seq")
-    return e.groupBy("gene", F.col("pos").cast("bigint").alias("pos"), "allele").agg(v.count_as(), F.min("id").alias("first_id"))
+    per = e.groupBy("gene", "allele", "id").agg(v.count_as(), F.sum("pos").alias("s"), F.max("pos").alias("m"))
+    return per.groupBy("gene", "allele").agg(F.sum("n").alias("n"), F.sum("s").alias("pos_sum"), F.max("m").cast("bigint").alias("last_pos"), F.count("*").alias("n_ids"))
 
 
 @query("major_minor", _CNT + _FIRST + """
