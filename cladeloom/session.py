@@ -1,7 +1,9 @@
 """Session defaults and the one place that cuts lineage."""
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,7 @@ def get_spark(app: str = "cladeloom", master: str | None = None, **conf: str) ->
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +54,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per context, so that sessions started from any folder can run it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_cladeloom_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        to = os.path.join(tempfile.mkdtemp(prefix="spark-"), "cladeloom.zip")  # read by the driver's own file server
+        with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(os.path.join(root, "cladeloom")):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        path = os.path.join(folder, n)
+                        z.write(path, os.path.relpath(path, root))
+        sc.addPyFile(to)
+        sc._cladeloom_shipped = True
+    return spark
