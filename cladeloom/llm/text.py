@@ -1,11 +1,14 @@
 """Whole-text helpers for Arrow tasks: bounded slices, word spans and polynomial hashes."""
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a task works on at once (one longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -25,8 +28,12 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,3 +140,27 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     """0..counts[i]-1 for each i, one after the other."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def scan(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: str, carry: list[str] | None = None, text: str = "text") -> DataFrame:
+    """One output row per input row: `row` (a struct of the carried columns, by default all of them,
+    so that no name can clash) and the columns of `schema`.
+
+    `make` runs once per task and gives the function from a slice of texts to the new columns.
+    """
+    carry = docs.columns if carry is None else carry
+    inner = text in carry
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), *([] if inner else [F.col(f"`{text}`").alias("text")]))
+    fields = StructType([source.schema["row"], *StructType.fromDDL(schema).fields])
+    names = [f.name for f in fields]
+    types = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            row = batch.column(0)
+            texts = row.field(text) if inner else batch.column(1)
+            for part in slices([pa.RecordBatch.from_arrays([row, texts], ["row", "text"])]):
+                yield pa.RecordBatch.from_arrays([part.column(0), *(a.cast(types.field(n).type) for a, n in zip(work(part.column(1)), names[1:]))], names)
+
+    return source.mapInArrow(run, fields)
