@@ -1,13 +1,29 @@
 """One query per operator, over the whole tables and with production parameters."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, sharding
+from cladeloom.llm import decontaminate, packing, sharding, simple8b
 from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_simple8b_ids")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = simple8b.store(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+    return simple8b.read_ids(spark, path, ids=False)
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP7_SQL = rf"""
