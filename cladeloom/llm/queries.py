@@ -5,13 +5,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, packing, sharding, simple8b
+from cladeloom.llm import decontaminate, fertility, packing, sharding, simple8b
 from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+@query("op1_token_fertility")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fertility.judge(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["doc_id"])
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *fertility.MEASURES, "script", "fertile")
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _ = packing.pack(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
