@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, fertility, packing, ppm, sharding, simple8b
+from cladeloom.llm import decontaminate, fertility, packing, ppm, sharding, simple8b, toxicity
 from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
@@ -18,9 +18,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *fertility.MEASURES, "script", "fertile")
 
 
-def remainder(n: int):
+def remainder(n: int, name: str = "doc_id"):
     """crc32 of doc_id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    return F.crc32(F.col(name).cast("string").cast("binary")) % n
+
+
+def held_out(name: str, n: int, value: int):
+    return F.coalesce(remainder(n, name) == value, F.lit(False)).alias("held_out")
 
 
 @query("op2_ppm_language")
@@ -28,7 +32,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = ppm.train(docs.where(F.coalesce(remainder(3) != 1, F.lit(True))))
     out = ppm.predict(docs, model, carry=["doc_id"])
-    return out.select("row.doc_id", F.coalesce(F.crc32(F.col("row.doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return out.select("row.doc_id", held_out("row.doc_id", 3, 1), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op3_toxicity_noisy_channel")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0)
+    out = toxicity.score(docs, toxicity.train(docs, labels), carry=["doc_id"])
+    return out.select("row.doc_id", held_out("row.doc_id", 5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query("op4_best_fit_packing")
