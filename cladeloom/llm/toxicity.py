@@ -22,7 +22,6 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +42,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: again, and a blank between single letters that was meant.
 LOOK, HIDDEN, PUT_IN, TWICE, AGAIN, KEPT_BLANK = 1.0, 1.5, 0.5, 4.0, 0.3, 3.0
 EDGE = re.compile(r"^(?:[\"'`.,;:?)\]}>\-_/\\~=&#%]|([^\w\s])\1\1+)+|(?:[\"'`.,;:?!(\[{\-_/\\~=&#%*|]|([^\w\s])\2\2+)+$")
-PLAIN = re.compile(r"[^\W\d_]*")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
+WORDS = re.compile(r"[^\W_]+")
 HAS_LETTER = re.compile(r"[^\W\d_]")
 MEMORY = 400_000
 BEGINNINGS = (4, 5, 6, 7)
+#: Characters of a word by which it is known as a whole.
+WHOLE = 64
 #: Shrinkage (documents at the base rate added to each word) and least toxic documents of a word.
 SHRINK, SUPPORT = 4.0, 3
 PAIR, TRIPLE_CODES = SIZE * SIZE, SIZE ** 3
@@ -162,18 +163,19 @@ def _decode(texts: list[str], costs: np.ndarray) -> list[str]:
     return out
 
 
-def needs_decoding(core: str) -> bool:
-    return bool(core) and (PLAIN.fullmatch(core) is None and HAS_LETTER.search(core) is not None or TRIPLE.search(core) is not None)
-
-
 def core_of(word: str) -> str:
     """Lower case, without the signs around it."""
-    return EDGE.sub("", word.lower())
+    word = word.lower()
+    return word if word.isalpha() else EDGE.sub("", word)
+
+
+def needs_decoding(core: str) -> bool:
+    return TRIPLE.search(core) is not None if core.isalpha() else HAS_LETTER.search(core) is not None
 
 
-def features(word: str) -> list[int]:
-    """Hashes of a restored word and of its beginnings."""
-    return [xxhash.xxh64_intdigest(word), *(xxhash.xxh64_intdigest(word[:k], k) for k in BEGINNINGS if len(word) >= k)]
+def features(word: str) -> list[str]:
+    """A restored word (marked by its end) and its beginnings."""
+    return [word[:WHOLE] + "\n", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
 class Reader:
@@ -189,7 +191,7 @@ class Reader:
         hard = [i for i, c in enumerate(cores) if needs_decoding(c)]
         for i, x in zip(hard, decode([cores[i] for i in hard], self.costs)):
             cores[i] = x
-        return [re.findall(r"[^\W_]+", c) for c in cores]
+        return [[c] if c.isalpha() else WORDS.findall(c) for c in cores]
 
     def text_words(self, texts: pa.Array, value) -> tuple[list, np.ndarray, np.ndarray, list[tuple[int, object]]]:
         """`value` of the restored words of each distinct written word; which of these each word of the
@@ -229,11 +231,11 @@ def document_words(docs: DataFrame, costs: np.ndarray) -> DataFrame:
 
     def run(batches):
         reader = Reader(shared.value)
-        counts: dict[tuple[int, int], int] = {}
+        counts: dict[tuple[int, str], int] = {}
         for part in slices(batches):
             labels = column(part, "label").to_pylist()
             values, of, first, runs = reader.text_words(column(part, "text"), lambda words: [f for w in words if len(w) > 1 for f in features(w)])
-            extra: dict[int, set[int]] = {}
+            extra: dict[int, set[str]] = {}
             for row, v in runs:
                 extra.setdefault(row, set()).update(v)
             for row, label in enumerate(labels):
@@ -245,19 +247,19 @@ def document_words(docs: DataFrame, costs: np.ndarray) -> DataFrame:
                 counts.clear()
         yield _counts(counts)
 
-    return docs.select("text", "label").mapInArrow(run, "label int, feature long, n long")
+    return docs.select("text", "label").mapInArrow(run, "label int, feature string, n long")
 
 
-def _counts(counts: dict[tuple[int, int], int]) -> pa.RecordBatch:
-    keys = np.array([k[1] for k in counts], np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array(keys, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["label", "feature", "n"])
+def _counts(counts: dict[tuple[int, str], int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["label", "feature", "n"])
 
 
 class Scorer:
     """Evidence of a document: strongest and second strongest word, and how many words speak for label 1."""
 
-    def __init__(self, costs: np.ndarray, lexicon: dict[int, tuple[int, int]], base: float):
+    def __init__(self, costs: np.ndarray, lexicon: dict[str, tuple[int, int]], base: float):
         self.costs, self.lexicon, self.base = costs, lexicon, base
+        self.nothing = self.logit(0, 0)
 
     def logit(self, toxic: int, clean: int) -> float:
         p = (toxic + SHRINK * self.base) / (toxic + clean + SHRINK)
@@ -265,7 +267,7 @@ class Scorer:
 
     def weight(self, words: list[str], label: int | None = None) -> float:
         """The strongest feature's log odds; a labelled document's own count is left out."""
-        best = self.logit(0, 0)
+        best = self.nothing
         for w in words:
             if len(w) > 1:
                 for f in features(w):
@@ -277,7 +279,7 @@ class Scorer:
     def evidence(self, reader: Reader, texts: pa.Array, value) -> np.ndarray:
         values, of, first, runs = reader.text_words(texts, value)
         weights = np.array(values, float)[of] if len(of) else np.zeros(0)
-        out = np.tile([self.logit(0, 0), self.logit(0, 0), 0.0], (len(texts), 1))
+        out = np.tile([self.nothing, self.nothing, 0.0], (len(texts), 1))
         extra: dict[int, list[float]] = {}
         for row, v in runs:
             extra.setdefault(row, []).append(v)
@@ -318,7 +320,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     counts = document_words(sample, costs).groupBy("feature").agg(toxic.alias("toxic"), clean.alias("clean")).where(F.col("toxic") >= SUPPORT)
     counts = counts.where((F.col("toxic") + SHRINK * base) / (F.col("toxic") + F.col("clean") + SHRINK) > base)
     table = counts.toArrow()
-    lexicon = dict(zip(table["feature"].to_numpy().astype(np.int64).view(np.uint64).tolist(), zip(table["toxic"].to_pylist(), table["clean"].to_pylist())))
+    lexicon = dict(zip(table["feature"].to_pylist(), zip(table["toxic"].to_pylist(), table["clean"].to_pylist())))
     scorer = Scorer(costs, lexicon, base)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
