@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, fertility, packing, ppm, sharding, simple8b, toxicity
+from cladeloom.llm import decontaminate, fertility, packing, ppm, quality_knn, sharding, simple8b, toxicity
 from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
@@ -87,6 +87,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op8_quality_knn")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0)
+    out = quality_knn.score(docs, quality_knn.train(docs, labels), carry=["doc_id"])
+    return out.select("row.doc_id", held_out("row.doc_id", 5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op10_histogram_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(documents(spark, sf_dir), shards=8)
