@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, fertility, packing, ppm, quality_knn, sharding, simple8b, toxicity
+from cladeloom.llm import decontaminate, fertility, jaccard_join, packing, ppm, quality_knn, sharding, simple8b, suffix_dedup, toxicity
 from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
@@ -55,6 +55,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path, ids=False)
 
 
+@query("op6_jaccard_metric_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.with_components(documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_shingles", "component_id")
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP7_SQL = rf"""
@@ -95,6 +101,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held_out("row.doc_id", 5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir), carry=["doc_id"], keep_text=False)
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op10_histogram_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(documents(spark, sf_dir), shards=8)
