@@ -98,8 +98,7 @@ def write_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: in
         encode = encoder(vocabulary).encode
         for part in slices(batches):
             buf, offsets = string_buffers(column(part, "text"))
-            raw = buf.tobytes()
-            ids, at = encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])], end)
+            ids, at = encode(buf, offsets, end)
             tokens = np.diff(at)
             n = -(-tokens // window)
             row, start = rows_of(n), window * ranges(n)

@@ -140,8 +140,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = 1) -> None
         encode = encoder(vocabulary).encode
         for part in slices(batches, limit=CONTAINER_BYTES):
             buf, offsets = string_buffers(column(part, "text"))
-            raw = buf.tobytes()
-            ids, at = encode([raw[a:b] for a, b in zip(offsets[:-1], offsets[1:])], end)
+            ids, at = encode(buf, offsets, end)
             doc_ids = column(part, "doc_id")
             yield pa.RecordBatch.from_arrays([pa.array([container(doc_ids.fill_null(0).to_numpy(zero_copy_only=False), doc_ids.is_valid().to_numpy(zero_copy_only=False), np.diff(at), ids)], pa.binary())], ["payload"])
 
