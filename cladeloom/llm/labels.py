@@ -13,6 +13,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     rows = rows.withColumn("rank", F.xxhash64("doc_id"))
     counts = rows.groupBy("label").agg(F.count("*").alias("n"))
-    near = rows.join(counts, "label").where(F.col("rank") / 2.0 ** 64 + 0.5 < 2.0 * per_class / F.col("n"))
+    near = rows.join(F.broadcast(counts), "label").where(F.col("rank") / 2.0 ** 64 + 0.5 < 2.0 * per_class / F.col("n"))
     chosen = near.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("rank", "doc_id"))).where(F.col("at") <= per_class)
     return docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")  # at most 2 * per_class small rows

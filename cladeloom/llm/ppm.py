@@ -175,7 +175,7 @@ def sample(learn: DataFrame, train_docs: int) -> DataFrame:
     rows = learn.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.least(F.lit(1.0), 2.0 * train_docs / F.col("n"))
-    near = rows.join(counts, "lang").where((F.col("rank") / 2.0 ** 64 + 0.5) < share)
+    near = rows.join(F.broadcast(counts), "lang").where((F.col("rank") / 2.0 ** 64 + 0.5) < share)
     order = Window.partitionBy("lang").orderBy("rank", "text")
     return near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= train_docs).select("lang", "text")
 
