@@ -423,8 +423,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, carry: list[str] | None = None, keep_text: bool = True) -> DataFrame:
-    """row (struct of the carried columns), n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes; null unless
-    `keep_text`) of every document."""
+    """row (struct of the carried columns), n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes) and kept_text (their whole
+    characters; null unless `keep_text`) of every document."""
     gone = repeated_ranges(docs).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # at most one per 35 bytes of the text
     carry = docs.columns if carry is None else carry
 
@@ -437,7 +437,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, keep_text: b
     keyed = scan(docs.select(*dict.fromkeys([*carry, "doc_id", "text"])), digests, "digest long, text string", list(dict.fromkeys([*[c for c in carry if c != "text"], "doc_id"])))
     both = keyed.withColumn("doc_id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(int(FIRST)))).join(gone, ["doc_id", "digest"], "left").select("row", "text", "spans")
 
-    schema = StructType([both.schema["row"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields])
+    schema = StructType([both.schema["row"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").fields])
 
     def run(batches):
         for part in slices(batches):
@@ -459,9 +459,24 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, keep_text: b
                     n_spans = len(merged)
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                for c, v in zip(cols, (len(raw), len(raw) - len(rest), n_spans, hashlib.sha256(rest).hexdigest(), rest if keep_text and text is not None else None)):
+                for c, v in zip(cols, (len(raw), len(raw) - len(rest), n_spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text and text is not None else None)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([column(part, "row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))],
-                                             ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([column(part, "row"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())))],
+                                             ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return both.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with what is left of their texts, with their own columns; an n_chars column counts the new text.
+    A cut may fall inside a character; bytes that are no longer a whole character go too. A document without a byte left
+    stays with an empty text; null and empty texts stay as they are."""
+    out = remove_repeats(docs)
+    changed, rest = F.col("n_removed") > 0, F.col("kept_text")
+    columns = {c: F.col(f"row.{c}") for c in docs.columns if c not in ("text", "n_chars")}
+    columns["text"] = rest
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed, F.length(rest).cast(kind)).otherwise(F.col("row.n_chars"))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
