@@ -6,7 +6,7 @@ a byte-level one, the share of byte-fallback tokens, and the token entropy in bi
 encoded once per worker (white space ends a token in both kinds of vocabulary).
 
 Bands come from the corpus itself. Documents that pass the plain rules are grouped by language (by
-dominant script where the language is null) and by size class (entropy depends on length); exact counts
+dominant script where the language is null) and by size class (powers of two of the words; entropy depends on length); exact counts
 over fine bins give the quartiles of each measure in each group, and a document is rejected when a
 measure lies more than `fence` interquartile ranges (at least `floor` wide) outside its group's
 quartiles. Groups with fewer than `least` documents reject nothing.
@@ -199,7 +199,7 @@ def judge(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, langua
     rows = materialize(measure(source, piece_path, byte_path, pattern, list(dict.fromkeys([*carry, language]))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = (rows.withColumn("base_failed", failed).withColumn("group", F.coalesce(F.col(f"row.{language}").cast("string"), "script"))
-            .withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")))
+            .withColumn("size_class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")))
     limits = bands(rows.where(~F.col("base_failed")), least, fence)
     inside = F.lit(True)
     for m in MEASURES:

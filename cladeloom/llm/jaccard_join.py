@@ -313,9 +313,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, carry:
         members = members.select("region", "a", "n")
         links = links.unionByName(measured.where(linked).select("a", "b"))
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(measured.where(linked).select("a", "b")))
-    if distances is not None:
-        state = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")).join(distances, ["region", "a"])
-        still = state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
+    state = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    still = materialize(state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region"))
+    if not still.isEmpty():
+        state = state.withColumn("d", F.array().cast("array<double>")) if distances is None else state.join(distances, ["region", "a"])
         left = open_pairs(state.join(still, "region"), percent, partitions)
         last = compare(left, texts, partitions)
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(last.where(linked).select("a", "b")))
