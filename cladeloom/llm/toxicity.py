@@ -38,9 +38,9 @@ SYMBOL[0xC0:] = OTHER  # the first byte of a longer character; the others are le
 #: Look-alikes (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c",
         "<": "c", "{": "c", "[": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
-#: Costs in nats: a look-alike, a hidden letter, a sign or blank put in, a star put in, a letter written once more,
+#: Costs in nats: a look-alike, a hidden letter, a sign or blank put in, a look-alike or star put in, a letter written once more,
 #: once more again, and a blank between single letters that was meant.
-LOOK, HIDDEN, PUT_IN, PUT_IN_STAR, TWICE, AGAIN, KEPT_BLANK = 1.0, 1.5, 0.5, 4.0, 4.0, 0.3, 3.0
+LOOK, HIDDEN, PUT_IN, PUT_IN_LOOK, TWICE, AGAIN, KEPT_BLANK = 1.0, 1.5, 0.5, 4.0, 4.0, 0.3, 3.0
 EDGE = re.compile(r"^(?:[\"'`.,;:?)\]}>\-_/\\~=&#%]|([^\w\s])\1\1+)+|(?:[\"'`.,;:?!(\[{\-_/\\~=&#%*|]|([^\w\s])\2\2+)+$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORDS = re.compile(r"[^\W_]+")
@@ -93,7 +93,7 @@ def readings(text: str) -> list[list[tuple[int, str, float]]]:
         if c == "*":
             ways += [(k, chr(97 + k), HIDDEN + 3.2) for k in range(26)]  # any of 26
         if own in (BLANK, SIGN):
-            ways.append((-1, "", PUT_IN_STAR if c == "*" else PUT_IN))
+            ways.append((-1, "", PUT_IN_LOOK if c == "*" or c in LEET else PUT_IN))
         elif c == before:
             ways.append((-1, "", AGAIN if i > 1 and text[i - 2] == c else TWICE))
         before = c

@@ -100,7 +100,9 @@ def test_language_prediction(spark, odd, none):
 def test_channel_decoding(spark):
     costs = toxicity.character_costs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     reader = toxicity.Reader(costs)
-    assert reader.read(["idi0t", "stuuuupid", "s.c.u.m", "m o r o n", "st*pid", "plain", "tr@sh!!", "", "***", "12345"]) == [["idiot"], ["stupid"], ["scum"], ["moron"], ["stupid"], ["plain"], ["trash"], [], [], ["12345"]]
+    assert reader.read(["idi0t", "stuuuupid", "s.c.u.m", "m o r o n", "plain", "tr@sh!!", "", "***", "12345"]) == [["idiot"], ["stupid"], ["scum"], ["moron"], ["plain"], ["trash"], [], [], ["12345"]]
+    [[masked]] = reader.read(["st*pid"])
+    assert len(masked) == 6 and masked.isalpha()
 
 
 def test_decoding_equals_brute_force(spark):
