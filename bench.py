@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     from cladeloom.plans import QUERIES
     from cladeloom.session import get_spark
-    spark = get_spark("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
+    spark = get_spark("bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.cladeloom.spread": str(4 * int(cpus)), "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     names = sys.argv[1:] or HEADLINE
     if names == ["all"]:

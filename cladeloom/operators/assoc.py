@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cladeloom.functions.arith import corr, ratio
 from cladeloom.functions import special as sp, vectors as vx
 from cladeloom.operators.gram import centred, gram, unpack
 from cladeloom.operators.matrix import _components, _expand
@@ -295,11 +296,11 @@ def presence_scan(long: DataFrame, gene: str, id: str, y: DataFrame) -> DataFram
     p = long.select(gene, id).distinct().join(y, id)
     g = p.groupBy(gene).agg(F.count("*").alias("n1"), F.avg("y").alias("m1")).withColumn("_t", t)
     n, n1 = F.col("_t.n"), F.col("n1")
-    m0 = (n * F.col("_t.m") - n1 * F.col("m1")) / (n - n1)
+    m0 = ratio(n * F.col("_t.m") - n1 * F.col("m1"), n - n1)
     g = g.where(n1 < n).withColumn("effect", F.col("m1") - m0)
     ssb = n1 * (n - n1) / n * F.col("effect") * F.col("effect")
     sst = n * F.col("_t.v")
-    g = g.select(gene, "n1", (n - n1).alias("n0"), "effect", (ssb / sst).alias("r2"), (ssb / ((sst - ssb) / (n - 2))).alias("f"), (n - 2).alias("_d"))
+    g = g.select(gene, "n1", (n - n1).alias("n0"), "effect", ratio(ssb, sst).alias("r2"), ratio(ssb, ratio(sst - ssb, n - 2)).alias("f"), (n - 2).alias("_d"))
     g = g.withColumn("p_value", sx.f_p("f", F.lit(1.0), F.col("_d").cast("double"))).drop("_d")
     return sx.p_adjust(g, "p_value").drop("n_tests", "threshold", "p_bonferroni")
 
@@ -322,7 +323,7 @@ def top_correlated_features(df: DataFrame, gene: str, vec: str, y: str, order: s
     else:
         per = sx.corr_with(df, vec, y, [gene, order]).where(F.col("r").isNotNull() & (F.col("n") >= 3))
         w = F.col("n") if how == "weighted" else F.lit(1)
-        r = per.groupBy(gene, "dim").agg(F.sum("n").alias("n"), (F.sum(F.col("r") * w) / F.sum(w)).alias("r"))
+        r = per.groupBy(gene, "dim").agg(F.sum("n").alias("n"), ratio(F.sum(F.col("r") * w), F.sum(w)).alias("r"))
     from cladeloom.operators.sets import top_k_per_group
     return top_k_per_group(r.where(F.col("r").isNotNull()), [gene], [F.desc(F.round(F.abs("r"), 10)), F.col("dim")], top)
 
@@ -447,7 +448,7 @@ def positional_enrichment(df: DataFrame, gene: str, pos: str, label: str, bins:
 def score_comparison(a: DataFrame, b: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
     """Agreement of two scans: correlation of -log10 p over shared sites and hit overlap at 0.05."""
     j = a.select(*keys, F.col(p).alias("pa")).join(b.select(*keys, F.col(p).alias("pb")), list(keys)).where("pa > 0 and pb > 0")
-    return j.agg(F.count("*").alias("n"), F.corr(-F.log10("pa"), -F.log10("pb")).alias("r"), F.count_if((F.col("pa") < 0.05) & (F.col("pb") < 0.05)).alias("both"),
+    return j.agg(F.count("*").alias("n"), corr(-F.log10("pa"), -F.log10("pb")).alias("r"), F.count_if((F.col("pa") < 0.05) & (F.col("pb") < 0.05)).alias("both"),
                  F.count_if((F.col("pa") < 0.05) & (F.col("pb") >= 0.05)).alias("only_a"), F.count_if((F.col("pa") >= 0.05) & (F.col("pb") < 0.05)).alias("only_b"))
 
 

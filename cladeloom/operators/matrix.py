@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cladeloom.functions.arith import ratio
 from cladeloom.functions import vectors as vx
 from cladeloom.operators.gram import centred, gram, unpack
 from cladeloom.operators.ordered import join_same, quantiles, row_index, running_sums
@@ -142,9 +143,9 @@ def pair_quantile(points: DataFrame, by: Sequence[str], key: str, vec: str, p: f
     """Exact quantile of all within-group pair distances, without listing them.
 
     Pass 1 counts distances per bin; pass 2 returns only distances of the bins that
-    hold the two middle ranks.
+    hold the two middle ranks.  NULL and 0 when there is no pair.
     """
-    hi = 2 * points.agg(F.max(vx.l2_norm(F.col(vec)))).first()[0] + 1e-9
+    hi = 2 * (points.agg(F.max(vx.l2_norm(F.col(vec)))).first()[0] or 0.0) + 1e-9
     width = hi / bins
 
     def dist(a, b, same):
@@ -159,6 +160,8 @@ def pair_quantile(points: DataFrame, by: Sequence[str], key: str, vec: str, p: f
     h = materialize(chunk_pairs(points, by, key, [vec], count, "bin int, n bigint", vectors=[vec]).groupBy("bin").agg(F.sum("n").alias("n")))
     run = running_sums(h, {"cum": F.col("n")}, ["bin"])
     total = h.agg(F.sum("n")).first()[0]
+    if not total:
+        return points.sparkSession.range(1).select(F.lit(None).cast("double").alias("q"), F.lit(0).cast("bigint").alias("n_pairs"))
     pos = (total - 1) * p
     want = [int(np.floor(pos)), int(np.ceil(pos))]
     hit = [r for r in run.where(F.expr(" or ".join(f"(cum > {w} and cum - n <= {w})" for w in want))).collect()]
@@ -304,7 +307,7 @@ def apc_correct(couplings: DataFrame, min_sep: int = 5, top: float = 0.05) -> Da
     m = ends.groupBy("k").agg(F.avg("score").alias("_m"))
     overall = couplings.agg(F.avg("score")).scalar()
     c = (couplings.join(m.select(F.col("k").alias("i"), F.col("_m").alias("_mi")), "i").join(m.select(F.col("k").alias("j"), F.col("_m").alias("_mj")), "j"))
-    c = c.withColumn("_o", overall).withColumn("apc", F.col("score") - F.col("_mi") * F.col("_mj") / F.col("_o"))
+    c = c.withColumn("_o", overall).withColumn("apc", F.col("score") - ratio(F.col("_mi") * F.col("_mj"), F.col("_o")))
     c = c.where(F.abs(F.col("i") - F.col("j")) >= min_sep).select("i", "j", "score", "apc")
     cut = quantiles(c, "apc", {"q": 1 - top}).select("q").scalar()
     return c.withColumn("_q", cut).withColumn("is_top", F.col("apc") >= F.col("_q")).drop("_q")
@@ -359,17 +362,26 @@ def kinship_summary(blocks: DataFrame, id: str) -> DataFrame:
     return blocks.mapInPandas(run, f"`{id}` {t}, self double, total double").groupBy(id).agg(F.sum("self").alias("self_kinship"), F.sum("total").alias("row_sum"))
 
 
-def greedy_collapse(df: DataFrame, by: Sequence[str], key: str, vec: str, max_diff: int) -> DataFrame:
-    """Representatives of each group: taking keys in order, keep one and absorb all within `max_diff` differences.
+def greedy_collapse(df: DataFrame, by: Sequence[str], key: str, vec: str, max_diff: int, gap: float | None = None) -> DataFrame:
+    """Representatives of each group: taking keys in order, a point within `max_diff` differences of an earlier
+    representative belongs to the smallest such one, any other point becomes a representative.  Positions where
+    either point holds `gap` are not compared.
 
     Same result as the sequential pass: in each round a point without an undecided
-    smaller neighbour becomes a representative and absorbs its neighbours.
+    smaller neighbour becomes a representative and decides its neighbours; when all
+    representatives are known, every point takes its smallest one.
     """
+    def differ(a, b):
+        d = a[vec][:, None, :] != b[vec][None, :, :]
+        if gap is not None:
+            d &= (a[vec] != gap)[:, None, :] & (b[vec] != gap)[None, :, :]
+        return d.sum(2)
+
     t = dict(df.dtypes)[key]
     pts = materialize(df.select(*by, key, vec).groupBy(*by, vec).agg(F.min(key).alias(key), F.count("*").alias("_w")))
 
     def smaller(a, b, same):
-        near = (a[vec][:, None, :] != b[vec][None, :, :]).sum(2) <= max_diff
+        near = differ(a, b) <= max_diff
         blocked_a = (near & (b[key][None, :] < a[key][:, None])).any(1)
         ks, bl = [a[key]], [blocked_a]
         if not same:
@@ -377,22 +389,23 @@ def greedy_collapse(df: DataFrame, by: Sequence[str], key: str, vec: str, max_di
         return {key: np.concatenate(ks), "_b": np.concatenate(bl)}
 
     def absorbed(a, b, same):
-        near = (a[vec][:, None, :] != b[vec][None, :, :]).sum(2) <= max_diff
+        near = differ(a, b) <= max_diff
         first = np.where(near, b[key][None, :], np.iinfo(np.int64).max).min(1)
         hit = near.any(1)
         return {key: a[key][hit], "_rep": first[hit]}
 
-    undecided, done = pts, None
+    undecided, found = pts, None
+    nearest = lambda p, reps: chunk_pairs(p, by, key, [vec], absorbed, f"`{key}` {t}, _rep {t}", vectors=[vec], other=reps)
     while True:
         flags = chunk_pairs(undecided, by, key, [vec], smaller, f"`{key}` {t}, _b boolean", vectors=[vec]).groupBy(*by, key).agg(F.max("_b").alias("_b"))
         reps = undecided.join(flags.where(~F.col("_b")), [*by, key], "left_semi")
-        near = chunk_pairs(undecided, by, key, [vec], absorbed, f"`{key}` {t}, _rep {t}", vectors=[vec], other=reps)
-        got = materialize(undecided.join(near.groupBy(*by, key).agg(F.min("_rep").alias("representative")), [*by, key]))
-        part = got.select(*by, vec, "representative")
-        done = part if done is None else done.union(part)
-        undecided = materialize(undecided.join(got.select(*by, key), [*by, key], "left_anti"))
+        reps = materialize(reps)
+        found = reps if found is None else found.union(reps)
+        undecided = materialize(undecided.join(nearest(undecided, reps).select(*by, key).distinct(), [*by, key], "left_anti"))
         if undecided.isEmpty():
             break
+    final = nearest(pts, found).groupBy(*by, key).agg(F.min("_rep").alias("representative"))
+    done = pts.join(final, [*by, key]).select(*by, vec, "representative")
     return df.join(done, [*by, vec]).select(*by, key, "representative")
 
 
@@ -460,7 +473,7 @@ def morans_i(points: DataFrame, key: str, coord: str, x: str, max_dist: float |
     rows = chunk_pairs(p, by, key, [coord, "_z"], sums, f"`{key}` {t}, _w double, _wz double", vectors=[coord]).groupBy(*by, key).agg(F.sum("_w").alias("_w"), F.sum("_wz").alias("_wz"))
     q = materialize(join_same(p, rows, [*by, key]))
     q = q.withColumn("_rw", F.when(F.col("_w") > 0, F.col("_w")) if row_standardise else F.lit(1.0))
-    q = q.withColumn("_inv", F.coalesce(1 / F.col("_rw"), F.lit(0.0)))
+    q = q.withColumn("_inv", F.coalesce(ratio(1, F.col("_rw")), F.lit(0.0)))
 
     def second(a, b, same):
         w = w_of(a, b, same)
@@ -480,10 +493,10 @@ def morans_i(points: DataFrame, key: str, coord: str, x: str, max_dist: float |
     m = f.groupBy(*by).agg(n.alias("_n"), F.sum(row).alias("_s0"), F.sum(F.col("_z") * F.col("_wz") * F.col("_inv")).alias("_num"), z2.alias("_z2"),
                            F.sum("_s1").alias("_s1"), F.sum((row + F.col("_col")) ** 2).alias("_s2"))
     N, s0 = F.col("_n"), F.col("_s0")
-    ei = -1 / (N - 1)
-    var = (N * N * F.col("_s1") - N * F.col("_s2") + 3 * s0 * s0) / ((N * N - 1) * s0 * s0) - ei * ei
-    m = m.where((N > 2) & (s0 > 0)).select(*by, N.cast("bigint").alias("n"), (N / s0 * F.col("_num") / F.col("_z2")).alias("moran_i"), ei.alias("expected"), var.alias("variance"))
-    return m.withColumn("z", (F.col("moran_i") - F.col("expected")) / F.sqrt("variance"))
+    ei = ratio(-1, N - 1)
+    var = ratio(N * N * F.col("_s1") - N * F.col("_s2") + 3 * s0 * s0, (N * N - 1) * s0 * s0) - ei * ei
+    m = m.where((N > 2) & (s0 > 0)).select(*by, N.cast("bigint").alias("n"), ratio(N / s0 * F.col("_num"), F.col("_z2")).alias("moran_i"), ei.alias("expected"), var.alias("variance"))
+    return m.withColumn("z", ratio(F.col("moran_i") - F.col("expected"), F.sqrt("variance")))
 
 
 def correlogram(points: DataFrame, key: str, coord: str, x: str, breaks: Sequence[float], min_pairs: int = 10) -> DataFrame:
@@ -504,4 +517,4 @@ def correlogram(points: DataFrame, key: str, coord: str, x: str, breaks: Sequenc
     tot = p.agg(F.struct(F.count("*").alias("n"), F.sum(F.col("_z") * F.col("_z")).alias("z2"))).scalar()
     g = chunk_pairs(p, (), key, [coord, "_z"], kernel, "cls int, _n bigint, _s double", vectors=[coord]).groupBy("cls").agg(F.sum("_n").alias("n_pairs"), F.sum("_s").alias("_s"))
     g = g.where(F.col("n_pairs") >= min_pairs).withColumn("_t", tot)
-    return g.select("cls", "n_pairs", (F.col("_t.n") / F.col("n_pairs") * F.col("_s") / F.col("_t.z2")).alias("moran_i"))
+    return g.select("cls", "n_pairs", ratio(F.col("_t.n") / F.col("n_pairs") * F.col("_s"), F.col("_t.z2")).alias("moran_i"))

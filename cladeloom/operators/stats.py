@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeloom.functions import special as sp
+from cladeloom.functions.arith import corr, ratio
 from cladeloom.operators.gram import centred, gram, unpack
 from cladeloom.operators.ordered import join_same, quantiles, row_index, suffix_min, value_ranks, with_avg_rank
 
@@ -55,8 +56,8 @@ def _masked(fn, *cols: pd.Series) -> pd.Series:
 
 
 def _corr_columns(r: Column, n: Column) -> list[Column]:
-    t = r * F.sqrt((n - 2) / (1 - r * r))
-    z, h = F.atanh(r), 1.959963984540054 / F.sqrt(n - 3)
+    t = r * F.sqrt(ratio(n - 2, 1 - r * r))
+    z, h = F.atanh(r), ratio(1.959963984540054, F.sqrt(n - 3))
     return [t.alias("statistic"), F.when(n > 3, F.tanh(z - h)).alias("ci_lo"), F.when(n > 3, F.tanh(z + h)).alias("ci_hi")]
 
 
@@ -81,7 +82,7 @@ def corr_test(df: DataFrame, x: str, y: str, by: Sequence[str] = (), method: str
         sxx, syy = F.col("xx") - n * F.col("mx") ** 2, F.col("yy") - n * F.col("my") ** 2
         m = m.select(*by, "n", F.when((sxx > 0) & (syy > 0), (F.col("xy") - n * F.col("mx") * F.col("my")) / F.sqrt(sxx * syy)).alias("estimate"))
     else:
-        m = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("estimate"))
+        m = d.groupBy(*by).agg(F.count("*").alias("n"), corr(F.col("_x"), F.col("_y")).alias("estimate"))
         m = m.withColumn("estimate", F.when(~F.isnan("estimate"), F.col("estimate")))
     m = m.where(F.col("n") >= min_n).select(*by, "n", "estimate", *_corr_columns(F.col("estimate"), F.col("n")))
     return m.withColumn("p_value", t_p("statistic", F.col("n") - 2))
@@ -134,7 +135,7 @@ def corr_with(df: DataFrame, vec: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 
 def fisher_z(r1: Column, n1: Column, r2: Column, n2: Column) -> Column:
-    return (F.atanh(r1) - F.atanh(r2)) / F.sqrt(1 / (n1 - 3) + 1 / (n2 - 3))
+    return ratio(F.atanh(r1) - F.atanh(r2), F.sqrt(ratio(1, n1 - 3) + ratio(1, n2 - 3)))
 
 
 def welch_t(df: DataFrame, x: str, group: Column, a, b, by: Sequence[str] = ()) -> DataFrame:
@@ -144,14 +145,14 @@ def welch_t(df: DataFrame, x: str, group: Column, a, b, by: Sequence[str] = ())
     m = g.groupBy(*by).agg(*[one(lab, f).alias(f"{n}{s}") for lab, s in ((a, 1), (b, 2)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     q1, q2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     m = m.where((F.col("n1") > 1) & (F.col("n2") > 1))
-    m = m.select(*by, "n1", "n2", (F.col("m1") - F.col("m2")).alias("estimate"), ((F.col("m1") - F.col("m2")) / F.sqrt(q1 + q2)).alias("statistic"),
-                 ((q1 + q2) * (q1 + q2) / (q1 * q1 / (F.col("n1") - 1) + q2 * q2 / (F.col("n2") - 1))).alias("df"))
+    m = m.select(*by, "n1", "n2", (F.col("m1") - F.col("m2")).alias("estimate"), ratio(F.col("m1") - F.col("m2"), F.sqrt(q1 + q2)).alias("statistic"),
+                 ratio((q1 + q2) * (q1 + q2), q1 * q1 / (F.col("n1") - 1) + q2 * q2 / (F.col("n2") - 1)).alias("df"))
     return m.withColumn("p_value", t_p("statistic", "df"))
 
 
 def one_sample_t(df: DataFrame, x: str, by: Sequence[str] = (), mu: float = 0.0) -> DataFrame:
     m = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("estimate"), F.stddev_samp(x).alias("_s"))
-    m = m.where("n > 1").withColumn("statistic", (F.col("estimate") - mu) / (F.col("_s") / F.sqrt("n"))).drop("_s")
+    m = m.where("n > 1").withColumn("statistic", ratio(F.col("estimate") - mu, F.col("_s") / F.sqrt("n"))).drop("_s")
     return m.withColumn("p_value", t_p("statistic", F.col("n") - 1))
 
 
@@ -180,7 +181,7 @@ def wilcoxon(df: DataFrame, x: str, group: str, a, b, by: Sequence[str] = ()) ->
     n1, n2, t = F.col("n1"), F.col("n2"), F.col("_t")
     m = m.where((n1 > 0) & (n2 > 0)).withColumn("statistic", F.col("_r") - n1 * (n1 + 1) / 2)
     mu = n1 * n2 / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((t + 1) - F.col("_ties") / (t * (t - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((t + 1) - ratio(F.col("_ties"), t * (t - 1))))
     diff = F.col("statistic") - mu
     m = m.withColumn("z", F.when(sigma > 0, (diff - F.signum(diff) * 0.5) / sigma)).withColumn("auc", F.col("statistic") / (n1 * n2))
     return m.withColumn("p_value", norm_p("z")).select(*by, "n1", "n2", "statistic", "auc", "z", "p_value")
@@ -190,7 +191,7 @@ def kruskal(df: DataFrame, x: str, group: str, by: Sequence[str] = ()) -> DataFr
     r = rank_sums(df, x, group, by)
     m = r.groupBy(*by).agg(F.count("*").alias("k"), F.max("total").alias("n"), F.max("ties").alias("_ties"), F.sum(F.col("rank_sum") ** 2 / F.col("n")).alias("_s"))
     n = F.col("n")
-    h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("_ties") / (n.cast("double") ** 3 - n))
+    h = ratio(12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1), 1 - ratio(F.col("_ties"), n.cast("double") ** 3 - n))
     return m.withColumn("statistic", h).withColumn("p_value", chi2_p("statistic", F.col("k") - 1)).select(*by, "n", "k", "statistic", "p_value")
 
 
@@ -209,18 +210,18 @@ def chi_square(counts: DataFrame, row: str, col: str, n: str, by: Sequence[str]
     tot = counts.groupBy(*by).agg(F.sum(n).alias("n"), F.count_distinct(row).alias("_nr"), F.count_distinct(col).alias("_nc"))
     j = join_same(join_same(counts, rt, [*by, row]), ct, [*by, col])
     # sum (o-e)^2/e over all cells equals n * (sum o^2/(r c) - 1), so absent cells need no rows
-    s = j.groupBy(*by).agg(F.sum(F.col(n).cast("double") * F.col(n) / (F.col("_rt").cast("double") * F.col("_ct"))).alias("_q"))
+    s = j.groupBy(*by).agg(F.sum(ratio(F.col(n).cast("double") * F.col(n), F.col("_rt").cast("double") * F.col("_ct"))).alias("_q"))
     m = join_same(s, tot, list(by)) if by else s.withColumns({c: tot.select(c).scalar() for c in ("n", "_nr", "_nc")})
     m = m.withColumn("statistic", F.col("n") * (F.col("_q") - 1)).withColumn("df", (F.col("_nr") - 1) * (F.col("_nc") - 1))
     return m.withColumn("p_value", chi2_p("statistic", "df")).withColumn(
-        "cramers_v", F.sqrt(F.col("statistic") / (F.col("n") * (F.least("_nr", "_nc") - 1)))).select(*by, "n", "df", "statistic", "p_value", "cramers_v")
+        "cramers_v", F.sqrt(ratio(F.col("statistic"), F.col("n") * (F.least("_nr", "_nc") - 1)))).select(*by, "n", "df", "statistic", "p_value", "cramers_v")
 
 
 def chi_square_gof(counts: DataFrame, n: str, prob: Column) -> DataFrame:
     tot = counts.agg(F.sum(n)).scalar()
     d = counts.withColumn("_e", prob).withColumn("_t", tot)
     e = F.col("_e") * F.col("_t")
-    m = d.agg(F.sum((F.col(n) - e) * (F.col(n) - e) / e).alias("statistic"), (F.count("*") - 1).alias("df"), F.sum(n).alias("n"))
+    m = d.agg(F.sum(ratio((F.col(n) - e) * (F.col(n) - e), e)).alias("statistic"), (F.count("*") - 1).alias("df"), F.sum(n).alias("n"))
     return m.withColumn("p_value", chi2_p("statistic", "df"))
 
 
@@ -237,8 +238,8 @@ def anova_oneway(df: DataFrame, x: str, group: str, by: Sequence[str] = ()) -> D
     m = j.groupBy(*by).agg(F.max("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("_n") * (F.col("_m") - F.col("_gm")) ** 2).alias("ssb"),
                            F.sum(F.col("_n") * F.col("_v")).alias("ssw"))
     m = m.where((F.col("k") > 1) & (F.col("n") > F.col("k")))
-    m = m.withColumn("statistic", (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k"))))
-    return m.withColumn("r2", F.col("ssb") / (F.col("ssb") + F.col("ssw"))).withColumn("p_value", f_p("statistic", F.col("k") - 1, F.col("n") - F.col("k")))
+    m = m.withColumn("statistic", ratio(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))))
+    return m.withColumn("r2", ratio(F.col("ssb"), F.col("ssb") + F.col("ssw"))).withColumn("p_value", f_p("statistic", F.col("k") - 1, F.col("n") - F.col("k")))
 
 
 def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
@@ -277,7 +278,7 @@ def enrichment(counts: DataFrame, label: str, hits: str, background: str) -> Dat
     """Observed share among hits over the background share, per label."""
     t = counts.agg(F.struct(F.sum(hits).alias("h"), F.sum(background).alias("b"))).scalar()
     c = counts.withColumn("_t", t)
-    obs, bg = F.col(hits) / F.col("_t.h"), F.col(background) / F.col("_t.b")
+    obs, bg = ratio(F.col(hits), F.col("_t.h")), ratio(F.col(background), F.col("_t.b"))
     return c.select(label, hits, background, obs.alias("observed"), bg.alias("expected"), F.when(bg > 0, obs / bg).alias("fold"))
 
 
@@ -285,8 +286,8 @@ def log_odds(counts: DataFrame, keys: Sequence[str], a: str, b: str, cells: int,
     """log2 ratio of smoothed shares of two count columns over a grid of `cells` cells."""
     t = counts.agg(F.struct(F.sum(a).alias("a"), F.sum(b).alias("b"))).scalar()
     c = counts.withColumn("_t", t)
-    share = lambda x, tot: (F.col(x) + pseudo) / (F.col(tot) + pseudo * cells)
-    return c.select(*keys, a, b, F.log2(share(a, "_t.a") / share(b, "_t.b")).alias("log_odds"),
+    share = lambda x, tot: ratio(F.col(x) + pseudo, F.col(tot) + pseudo * cells)
+    return c.select(*keys, a, b, F.log2(ratio(share(a, "_t.a"), share(b, "_t.b"))).alias("log_odds"),
                     (F.col("_t.a") - F.col(a)).alias("rest_a"), (F.col("_t.b") - F.col(b)).alias("rest_b"))
 
 
@@ -323,7 +324,7 @@ def permutation_test(df: DataFrame, key: Sequence[str], x: str, label: Column, n
     tot = base.agg(F.struct(F.sum("_l").alias("k"), F.count("*").alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_l")).alias("t"))).scalar()
     perm = base.select(*key, "_x", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")).withColumn("_h", F.xxhash64(*key, "perm", F.lit(seed)))
     idx = row_index(perm, ["_h", *key], ["perm"], "_i").withColumn("_t", tot)
-    diff = lambda t: t / F.col("_t.k") - (F.col("_t.s") - t) / (F.col("_t.n") - F.col("_t.k"))
+    diff = lambda t: ratio(t, F.col("_t.k")) - ratio(F.col("_t.s") - t, F.col("_t.n") - F.col("_t.k"))
     sums = idx.where(F.col("_i") <= F.col("_t.k")).groupBy("perm").agg(F.sum("_x").alias("_sum"), F.first("_t").alias("_t"))
     r = sums.select("perm", diff(F.col("_sum")).alias("d"), diff(F.col("_t.t")).alias("obs"))
     return r.agg(F.max("obs").alias("observed"), F.avg("d").alias("null_mean"), F.stddev_samp("d").alias("null_sd"), F.count("*").alias("n_perm"),

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cladeloom.functions.arith import ratio, slope
 from cladeloom.operators.ordered import join_same, quantiles, running_sums, suffix_min
 from cladeloom.operators import stats as sx
 from cladeloom.session import materialize
@@ -14,13 +15,15 @@ from cladeloom.session import materialize
 def ancestor_closure(edges: DataFrame) -> DataFrame:
     """(ancestor, node, steps, length): every proper ancestor of every node.
 
-    Round k doubles the path length covered, so a tree of height h needs log2(h) rounds.
+    Round k doubles the path length covered, so a tree of height h needs log2(h) rounds. A cycle raises.
     """
+    limit, rounds = edges.count(), 0
     jump = materialize(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("steps"), "length"))
     closure = jump
     while True:
         j = jump.select(F.col("node").alias("_x"), F.col("ancestor").alias("_a"), F.col("steps").alias("_s"), F.col("length").alias("_l"))
         hop = lambda t: t.join(j, F.col("ancestor") == F.col("_x")).select(F.col("_a").alias("ancestor"), "node", (F.col("steps") + F.col("_s")).alias("steps"), (F.col("length") + F.col("_l")).alias("length"))
+        rounds = _next_round(rounds, limit)
         longer = materialize(hop(closure))
         if longer.isEmpty():
             return closure
@@ -29,6 +32,13 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
             return closure
 
 
+def _next_round(rounds: int, edges: int) -> int:
+    """Paths of 2**rounds steps exist only where there are as many edges, unless nodes are visited twice."""
+    if 2 ** rounds > 2 * max(edges, 1):
+        raise ValueError("the edge table has a cycle")
+    return rounds + 1
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     """(node, parent, length, is_tip); the root has no parent."""
     inner = edges.select(F.col("parent").alias("node")).distinct().withColumn("_i", F.lit(True))
@@ -166,6 +176,8 @@ def upward_pass(edges: DataFrame, tips: DataFrame, cols: Sequence[str], by: Sequ
     Returns (estimates, contrasts): by..., node, the weighted child values and their
     variance; and scaled contrasts at nodes with two informative children.  Nodes
     without data below drop out, nodes with one informative child pass it through.
+    A child without variance (tip on a branch of length zero) fixes its parent's value,
+    several such children give their mean; the contrast of two of them is NULL.
     """
     depth = level_depth(edges)
     pend = materialize(tips.select(*by, "node", *cols, F.lit(0.0).alias("var")).join(depth, "node"))
@@ -176,14 +188,15 @@ def upward_pass(edges: DataFrame, tips: DataFrame, cols: Sequence[str], by: Sequ
         if top is None or top == 0:
             break
         now = pend.where(F.col("depth") == top).join(up, "node").withColumn("_v", F.col("var") + F.col("length"))
-        w = 1 / F.col("_v")
+        w, sure = ratio(1, F.col("_v")), F.count_if(F.col("_v") == 0) > 0
         kid = F.struct("node", *cols, "_v")
-        g = now.groupBy(*by, F.col("parent").alias("node")).agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in cols], (1 / F.sum(w)).alias("var"),
+        g = now.groupBy(*by, F.col("parent").alias("node")).agg(*[F.when(sure, F.avg(F.when(F.col("_v") == 0, F.col(c)))).otherwise(ratio(F.sum(F.col(c) * w), F.sum(w))).alias(c) for c in cols],
+                                                                F.when(sure, 0.0).otherwise(ratio(1, F.sum(w))).alias("var"),
                                                                 F.count("*").alias("_k"), F.min(kid).alias("_a"), F.max(kid).alias("_b"))
         g = materialize(g.withColumn("depth", F.lit(top - 1)))
         two = g.where("_k = 2")
         a, b = F.col("_a"), F.col("_b")
-        cc = two.select(*by, "node", *[((a[c] - b[c]) / F.sqrt(a["_v"] + b["_v"])).alias(c) for c in cols])
+        cc = two.select(*by, "node", *[ratio(a[c] - b[c], F.sqrt(a["_v"] + b["_v"])).alias(c) for c in cols])
         con = cc if con is None else con.unionByName(cc)
         done = g.drop("_k", "_a", "_b")
         est = est.unionByName(done)
@@ -192,13 +205,15 @@ def upward_pass(edges: DataFrame, tips: DataFrame, cols: Sequence[str], by: Sequ
 
 
 def level_depth(edges: DataFrame) -> DataFrame:
-    """Depth of every node by pointer doubling without the full closure."""
+    """Depth of every node by pointer doubling without the full closure. A cycle raises."""
+    limit, rounds = edges.count(), 0
     cur = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.lit(1).alias("depth")))
     while True:
         nxt = cur.select(F.col("node").alias("at"), F.col("at").alias("_a"), F.col("depth").alias("_d"))
         j = cur.join(nxt, "at", "left")
         if j.where("_a is not null").isEmpty():
             break
+        rounds = _next_round(rounds, limit)
         cur = materialize(j.select("node", F.coalesce("_a", "at").alias("at"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
     root = cur.select(F.col("at").alias("node")).distinct().withColumn("depth", F.lit(0))
     return cur.select("node", "depth").unionByName(root)
@@ -217,7 +232,8 @@ def ancestral_trait(edges: DataFrame, tips: DataFrame, x: str, by: Sequence[str]
         p = front.select(*by, F.col("node").alias("parent"), F.col(x).alias("_p"))
         c = est.where(F.col("depth") == d).join(up, "node")
         j = join_same(c, p, [*by, "parent"])
-        mix = F.when(F.col("var") == 0, F.col(x)).otherwise((F.col(x) / F.col("var") + F.col("_p") / F.col("length")) / (1 / F.col("var") + 1 / F.col("length")))
+        mix = F.when(F.col("var") == 0, F.col(x)).when(F.col("length") == 0, F.col("_p")).otherwise(
+            ratio(ratio(F.col(x), F.col("var")) + ratio(F.col("_p"), F.col("length")), ratio(1, F.col("var")) + ratio(1, F.col("length"))))
         front = materialize(j.select(*by, "node", mix.alias(x)))
         final = final.unionByName(front)
     return final
@@ -311,7 +327,7 @@ def ancestor_trend(closure: DataFrame, values: DataFrame, x: str, n_ancestors: i
     """Slope of a value along a node and its nearest ancestors, positive towards the node."""
     up = closure.where(F.col("steps") <= n_ancestors).select("node", F.col("ancestor").alias("_a"), "steps").join(values.select(F.col("node").alias("_a"), x), "_a").select("node", "steps", x)
     own = values.select("node", F.lit(0).alias("steps"), x)
-    g = up.unionByName(own).groupBy("node").agg(F.count("*").alias("n"), (-F.regr_slope(F.col(x), F.col("steps").cast("double"))).alias("trend"))
+    g = up.unionByName(own).groupBy("node").agg(F.count("*").alias("n"), (-slope(F.col(x), F.col("steps").cast("double"))).alias("trend"))
     return g.where("n >= 2")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeloom.functions import scales as sc
-from cladeloom.operators import assoc as az, aggregates as ag, sites as si, stats as sx
+from cladeloom.operators import assoc as az, aggregates as ag, matrix as mx, sites as si, stats as sx
 from cladeloom.operators.ordered import join_same
 from cladeloom.plans import sqlstat as q, views as v
 from cladeloom.plans.q_stats import _AOV, r_
@@ -119,9 +119,10 @@ def _(s, d):
 @query("embedding_site_scan")
 def _(s, d):
     e = v.vectors(s, d).select("id", "v")
+    e = mx.pca_transform(e, "v", mx.pca_fit(e, "v", 10, scale=True), scale=True).select("id", F.col("pcs").alias("v"))
     st = v.sites(s, d).join(e, "id").join(_traits(s, d, 2).select("id", "z", F.col("y").alias("pheno")), "id")
     one = F.array(*[(F.col("allele") == a).cast("double") for a in "ANR"])
-    return r_(az.nested_r2(st, ["gene", "pos"], {"pcs": F.col("z"), "aa": one, "emb": F.slice("v", 1, 10)}, "pheno",
+    return r_(az.nested_r2(st, ["gene", "pos"], {"pcs": F.col("z"), "aa": one, "emb": F.col("v")}, "pheno",
                            {"pcs": ["pcs"], "pcs_aa": ["pcs", "aa"], "pcs_emb": ["pcs", "emb"]}))
 
 
@@ -150,11 +151,13 @@ def _(s, d):
 with {v.SEQ}, l as (select doc_id as id, quality as l from labels), s as (select id, dna, l from v_seq join l using (id)), t as (select sum(l) as p, count(*) as n from s),
 k as (select distinct id, l, unnest(list_transform(range(1, length(dna) - 4), lambda i: substr(dna, i, 6))) as kmer from s),
 c as (select kmer, sum(l)::bigint as a, count(*) - sum(l)::bigint as b from k group by 1), f as (select kmer, a, b, (p - a)::bigint as c, (n - p - b)::bigint as d from c, t),
-u as (select distinct a, b, c, d, {q.fisher_tail('a', 'b', 'c', 'd')} as p from f)
-select kmer, a, b, c, d, round(p, 6) as p_value from f join u using (a, b, c, d)""")
+u as (select distinct a, b, c, d, {q.fisher_tail('a', 'b', 'c', 'd')} as p from f), w as (select kmer, a, b, c, d, p as raw, round(p, 9) as p from f join u using (a, b, c, d)),
+g as (select p, sum(count(*)) over (order by p) as rk, sum(count(*)) over () as n from w group by 1),
+h as (select p, least(1, min(p * n / rk) over (order by p desc rows between unbounded preceding and current row)) as bh from g)
+select kmer, a, b, c, d, round(raw, 6) as p_value, round(bh, 4) as p_bh from w join h using (p)""")
 def _(s, d):
     lab = table(s, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return r_(az.kmer_label_scan(v.seqs(s, d), "id", "dna", lab, "quality", 6).drop("odds_ratio", "p_bh"))
+    return r_(az.kmer_label_scan(v.seqs(s, d), "id", "dna", lab, "quality", 6).drop("odds_ratio"), p_bh=4)
 
 
 @query("logistic_fit")

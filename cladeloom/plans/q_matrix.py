@@ -179,7 +179,18 @@ def _(s, d):
     return r_(mx.kinship_summary(mx.kinship_blocks(x, "id", "v"), "id"), row_sum=5)
 
 
-@query("greedy_collapse")
+_COLLAPSE = """
+with recursive p as (select split_part(p_name, ' ', 1) as genus, p_partkey, [floor(p_partkey / 1 % 4), floor(p_partkey / 4 % 4), floor(p_partkey / 16 % 4), floor(p_partkey / 64 % 4), floor(p_partkey / 256 % 4), p_size::double] as v from part),
+o as (select *, row_number() over (partition by genus order by p_partkey) as i from p),
+r as (select distinct genus, 0::bigint as i, []::struct(k bigint, v double[])[] as reps from p union all
+  select r.genus, o.i, case when len(list_filter(r.reps, lambda x: list_sum(list_transform(list_zip(x.v, o.v), lambda z: (z[1] <> z[2])::int)) <= 2)) = 0
+    then list_append(r.reps, {'k': o.p_partkey, 'v': o.v}) else r.reps end from r join o on o.genus = r.genus and o.i = r.i + 1),
+f as (select genus, arg_max(reps, i) as reps from r group by 1)
+select o.genus, p_partkey, list_min(list_transform(list_filter(f.reps, lambda x: list_sum(list_transform(list_zip(x.v, o.v), lambda z: (z[1] <> z[2])::int)) <= 2), lambda x: x.k)) as representative
+from o join f using (genus)"""
+
+
+@query("greedy_collapse", _COLLAPSE)
 def _(s, d):
     p = table(s, d, "part").select(F.split("p_name", " ")[0].alias("genus"), "p_partkey",
                                    F.array(*[(F.col("p_partkey") / k % 4).cast("int").cast("double") for k in (1, 4, 16, 64, 256)], F.col("p_size").cast("double")).alias("v"))

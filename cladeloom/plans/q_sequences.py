@@ -367,9 +367,9 @@ def _(s, d):
 
 
 @query("multi_hot", "select user_id, " + ", ".join(f"max((event_type = '{t}')::int) as has_{t}" for t in _TYPES)
-       + ", count(distinct event_type) as n_present from events where value > 300 group by 1")
+       + ", count(distinct event_type) as n_present from events group by 1")
 def _(s, d):
-    e = table(s, d, "events").where("value > 300").groupBy("user_id").agg(F.collect_set("event_type").alias("genes"))
+    e = table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("genes"))
     return so.multi_hot(e, "user_id", "genes", _TYPES)
 
 

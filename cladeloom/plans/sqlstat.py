@@ -49,3 +49,11 @@ def binom_tail(k: str, n: str, p: str = "0.5") -> str:
     lg = lambda x: f"lgamma(({x}) + 1.0e0)"
     lp = lambda j: f"({lg(n)} - {lg(j)} - {lg(f'({n}) - {j}')} + ({j}) * ln({p}) + (({n}) - {j}) * ln(1 - {p}))"
     return f"least(1.0e0, list_sum(list_transform(range(0, cast({n} as bigint) + 1), lambda j: case when {lp('j')} <= {lp(f'({k})')} + 1e-7 then exp({lp('j')}) else 0 end)))"
+
+
+def norm_quantile(p: str) -> str:
+    """Lower-tail normal quantile of 0 < p < 0.5: bisection on the complementary tail, by Newton steps from a rational start."""
+    start = f"(-sqrt(-2 * ln({p})) + (2.515517 + 0.802853 * sqrt(-2 * ln({p})) - 0.010328 * 2 * ln({p})) / (1 + 1.432788 * sqrt(-2 * ln({p})) - 0.189269 * 2 * ln({p}) + 0.001308 * pow(-2 * ln({p}), 1.5)))"
+    # lower tail by quadrature below x, the density as slope; list_reduce repeats the step
+    tail = _simpson("(x - 12.0e0)", "x", "exp(-{x} * {x} / 2) / sqrt(2 * pi())")
+    return f"list_reduce([{start}, 0.0e0, 0.0e0, 0.0e0], lambda x, step: x - ({tail} - {p}) / (exp(-x * x / 2) / sqrt(2 * pi())))"

@@ -19,6 +19,7 @@ def get_spark(app: str = "cladeloom", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -47,13 +48,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table that arrives in fewer splits than there are cores.
+    """Redistribute a table before CPU-heavy work over `spark.cladeloom.spread` partitions, where that is set.
 
-    Only for CPU-heavy work straight after a scan; an input with enough splits is
-    left where it is, so large tables are not shuffled.
+    For inputs with one large row group, which no scan can split; unset (as on a
+    cluster, where tables have many splits) nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.conf.get("spark.cladeloom.spread", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -27,8 +27,8 @@ def file_stem(col: Column | None = None) -> Column:
 
 
 def read_fasta(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(id, description, seq, file): records are cut at `>`, sequence lines joined, comment lines dropped."""
-    r = _text(spark, paths, ">").where(F.trim("value") != "").withColumn("file", file_stem())
+    """(id, description, seq, file): records are cut at a `>` that begins a line, sequence lines joined, comment lines dropped."""
+    r = _text(spark, paths, "\n>").select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "").withColumn("file", file_stem())
     head = F.regexp_replace(F.substring_index("value", "\n", 1), r"\s+$", "")
     body = F.regexp_replace(F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1), r"(?m)^;.*$|\s", "")
     return r.select(F.substring_index(head, " ", 1).alias("id"), head.alias("description"), body.alias("seq"), "file")
@@ -59,8 +59,9 @@ def read_features(spark: SparkSession, paths: Paths) -> DataFrame:
     return f.select("genome_id", "genome_size", "feature_no", "feature_type", "gene", (F.col("_i") + 1).alias("part_no"), n(1).alias("start"), n(2).alias("end"), "strand", "translation")
 
 
-def read_occurrences(spark: SparkSession, path: Paths, sep: str = "\t", schema: str = schemas.OCCURRENCES) -> DataFrame:
-    """Header row, no quoting, explicit types; malformed rows are dropped."""
+def read_occurrences(spark: SparkSession, path: Paths, sep: str | None = None, schema: str = schemas.OCCURRENCES) -> DataFrame:
+    """Header row, no quoting, explicit types; malformed rows are dropped.  Without `sep`, the header line tells tab from comma."""
+    sep = sep or sniff_separator(spark, path)
     return spark.read.schema(schema).option("header", True).option("sep", sep).option("quote", "").option("mode", "DROPMALFORMED").csv(path)
 
 
@@ -78,10 +79,10 @@ def union_files(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def scan_dir(spark: SparkSession, folder: str, glob: str, value: str, schema: str, key: Sequence[str]) -> DataFrame:
-    """Every matching file below a folder in long form: keys, the file's name as `layer`, and its value."""
+def scan_dir(spark: SparkSession, folder: str, glob: str, value: str, schema: str, key: Sequence[str], layer: Column | None = None) -> DataFrame:
+    """Every matching file below a folder in long form: keys, `layer` (by default the file's name), and its value."""
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(folder)
-    return df.select(*key, file_stem().alias("layer"), F.col(value).alias("value"))
+    return df.select(*key, (file_stem() if layer is None else layer).alias("layer"), F.col(value).alias("value"))
 
 
 def scan_parquet_pruned(spark: SparkSession, path: Paths, columns: Sequence[str], predicate: Column | None = None) -> DataFrame:

@@ -390,3 +390,55 @@ def test_nearest_neighbour_stat_is_small_for_a_cluster(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(p)], "id bigint, p array<double>")
     r = sr.nearest_neighbour_stat(df, "id", "p", F.col("id") < 15, 29).first()
     assert r.p_value == 1 / 30 and r.observed < r.null_mean
+
+
+# ---- degenerate groups and repaired answers --------------------------------
+
+def test_degenerate_groups_give_null(spark):
+    line = spark.createDataFrame([("line", float(i), 2.0 * i) for i in range(5)] + [("flat", 1.0, 1.0)] * 4, "g string, x double, y double")
+    for method in ("pearson", "spearman"):
+        r = {x["g"]: x for x in sx.corr_test(line, "x", "y", ["g"], method).collect()}
+        assert abs(r["line"]["estimate"]) > 0.999999
+    same = spark.createDataFrame([("a", "u", 1.0), ("a", "u", 1.0), ("a", "w", 1.0), ("a", "w", 1.0), ("b", "u", 1.0), ("b", "u", 2.0), ("b", "w", 3.0), ("b", "w", 4.5)], "g string, k string, x double")
+    f = {x["g"]: x["statistic"] for x in sx.anova_oneway(same, "x", "k", ["g"]).collect()}
+    assert f["a"] is None and f["b"] > 0
+    t = {x["g"]: x["statistic"] for x in sx.one_sample_t(same, "x", ["g"]).collect()}
+    assert t["a"] is None and t["b"] > 0
+    w = {x["g"]: x["statistic"] for x in sx.welch_t(same, "x", F.col("k"), "u", "w", ["g"]).collect()}
+    assert w["a"] is None and w["b"] < 0
+    h = {x["g"]: x["statistic"] for x in sx.kruskal(same, "x", "k", ["g"]).collect()}
+    assert h["a"] is None and h["b"] > 0
+    one = spark.createDataFrame([("r", "c1", 5), ("r", "c2", 3)], "r string, c string, n bigint")
+    assert sx.chi_square(one, "r", "c", "n").first()["cramers_v"] is None
+    assert sx.anova_oneway(same.limit(0), "x", "k", ["g"]).count() == 0
+    assert mx.apc_correct(spark.createDataFrame([(1, 2, 0.0), (2, 3, 0.0)], "i int, j int, score double"), min_sep=0, top=0.5).where("apc is null").count() == 2
+
+
+def test_zero_branches_and_cycles(spark):
+    edges = spark.createDataFrame([(0, 1, 0.0), (0, 2, 1.0), (0, 3, 0.0)], "parent bigint, child bigint, length double")
+    tips = spark.createDataFrame([(1, 3.0), (2, 9.0), (3, 5.0)], "node bigint, x double")
+    got = {r["node"]: r["x"] for r in tr.ancestral_trait(edges, tips, "x").collect()}
+    assert got[0] == 4.0 and got[1] == 3.0 and got[2] == 9.0
+    ring = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "parent bigint, child bigint, length double")
+    for f in (tr.ancestor_closure, tr.level_depth):
+        with pytest.raises(ValueError):
+            f(ring).count()
+
+
+def test_greedy_collapse_takes_the_smallest_representative(spark):
+    v = lambda t: [float(c) for c in t]
+    pts = spark.createDataFrame([("g", 1, v("0000")), ("g", 2, v("1000")), ("g", 3, v("1100")), ("g", 4, v("1111")), ("g", 5, v("1110"))], "g string, k bigint, v array<double>")
+    assert {r["k"]: r["representative"] for r in mx.greedy_collapse(pts, ["g"], "k", "v", 1).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+    gaps = spark.createDataFrame([("g", 1, v("0000")), ("g", 2, v("9910")), ("g", 3, v("1111"))], "g string, k bigint, v array<double>")
+    assert {r["k"]: r["representative"] for r in mx.greedy_collapse(gaps, ["g"], "k", "v", 1, gap=9.0).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["k"]: r["representative"] for r in mx.greedy_collapse(gaps, ["g"], "k", "v", 1).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_pair_quantile_without_pairs(spark):
+    r = mx.pair_quantile(spark.createDataFrame([("a", 1, [1.0, 2.0])], "g string, k bigint, v array<double>"), ["g"], "k", "v", 0.5).first()
+    assert r["q"] is None and r["n_pairs"] == 0
+
+
+def test_log_gamma_at_every_size():
+    x = np.array([0.5, 1, 2, 3.5, 10, 100, 1e4, 1e7, 1e12])
+    assert np.allclose(sp.lgamma(x), [math.lgamma(a) for a in x], rtol=1e-13, atol=1e-13)
