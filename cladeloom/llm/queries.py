@@ -10,6 +10,7 @@ from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
 VOCABULARY = "word_bpe_49k.json"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @query("op1_token_fertility")
@@ -55,14 +56,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path, ids=False)
 
 
-@query("op6_jaccard_metric_join")
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen)
+SELECT r.node AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.seen) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node
+"""
+
+
+@query("op6_jaccard_metric_join", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.with_components(documents(spark, sf_dir).select("doc_id", "text"), carry=["doc_id"])
     return out.select("row.doc_id", "n_shingles", "component_id")
 
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 OP7_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -101,7 +116,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", held_out("row.doc_id", 5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op9_suffix_dedup")
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS x FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM d)),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM o WHERE k > 1),
+u AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM u GROUP BY 1, 2),
+v AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (
+  SELECT v.doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS last, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS s
+  FROM v JOIN d USING (doc_id) GROUP BY v.doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(k.n, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN k.n IS NULL THEN h ELSE k.s || substr(h, (2 * k.last + 1)::BIGINT) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op9_suffix_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(documents(spark, sf_dir), carry=["doc_id"], keep_text=False)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -356,8 +356,8 @@ def _sort_fetched(batches):
             yield from _strings(rec[pick[at:stop]], begin[pick[at:stop]], buf, prefix)
 
 
-def pieces(gram: np.ndarray, size: int = 20_000):
-    """Cuts of some `size` anchors that leave the anchors of one gram together."""
+def pieces(gram: np.ndarray, size: int = 8_000):
+    """Cuts of about `size` anchors that leave the anchors of one gram together."""
     edges = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram)) if len(gram) else np.zeros(1, np.int64)
     at = 0
     while at < len(gram):

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task works on at once (one longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 #: An odd base; its powers and inverse powers modulo 2**64 turn prefix sums into substring hashes.
