@@ -22,3 +22,9 @@ def slope(y: Column, x: Column) -> Column:
     """Least-squares slope of y on x over the rows that have both; NULL without spread in x."""
     both = y.isNotNull() & x.isNotNull()
     return ratio(F.covar_pop(y, x), F.var_pop(F.when(both, x)))
+
+
+def draw(*key: Column | str, seed: int = 42) -> Column:
+    """Seeded hash number of a key, the same in any engine that has MD5: its first 13 hex digits of `key|...|seed`."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")

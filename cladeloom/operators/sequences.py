@@ -5,6 +5,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cladeloom.functions.arith import draw
 from cladeloom.functions import scales as sc, sequence as sq
 from cladeloom.operators.ordered import quantiles, row_index
 
@@ -161,8 +162,8 @@ def identity_sampled(df: DataFrame, id: str, seq: str, n_pairs: int, seed: int =
     spark = df.sparkSession
     draws = spark.range(n_pairs).select(
         F.col("id").alias("draw"),
-        (F.pmod(F.xxhash64("id", F.lit(seed)), n) + 1).alias("na"),
-        F.pmod(F.xxhash64("id", F.lit(seed + 1)), n - 1).alias("_b"))
+        (F.pmod(draw("id", seed=seed), n) + 1).alias("na"),
+        F.pmod(draw("id", seed=seed + 1), F.greatest(n - 1, F.lit(1))).alias("_b"))
     draws = draws.withColumn("nb", F.pmod(F.col("na") + F.col("_b"), n) + 1)
     a = idx.select(F.col("_no").alias("na"), F.col(seq).alias("sa"))
     b = idx.select(F.col("_no").alias("nb"), F.col(seq).alias("sb"))

@@ -5,6 +5,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cladeloom.functions.arith import draw
 from cladeloom.operators.ordered import row_index
 
 
@@ -70,7 +71,7 @@ def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k
 def sample_fraction(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
     """Seeded sample that does not depend on partitioning: keep keys whose hash falls below a cut."""
     m = 1_000_000
-    return df.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(m)) < int(fraction * m))
+    return df.where(F.pmod(draw(*key, seed=seed), F.lit(m)) < int(fraction * m))
 
 
 def sample_budget(df: DataFrame, by: Sequence[str], key: Sequence[str], total: int, seed: int = 42) -> DataFrame:
@@ -79,20 +80,20 @@ def sample_budget(df: DataFrame, by: Sequence[str], key: Sequence[str], total: i
     share = F.lit(float(total)) / sizes.agg(F.count("*")).scalar()
     m = 1_000_000
     cut = sizes.withColumn("_cut", F.least(F.lit(1.0), share / F.col("_n")) * m).drop("_n")
-    return (df.join(cut, list(by)).where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(m)) < F.col("_cut")).drop("_cut"))
+    return (df.join(cut, list(by)).where(F.pmod(draw(*key, seed=seed), F.lit(m)) < F.col("_cut")).drop("_cut"))
 
 
 def stratified_balanced_sample(df: DataFrame, positive: Column, stratum: Sequence[str], key: Sequence[str],
                                k: int, seed: int = 42) -> DataFrame:
     """All positives plus, per stratum, the k negatives that come first in hash order."""
-    tagged = df.withColumns({"_pos": positive, "_h": F.xxhash64(*key, F.lit(seed))})
+    tagged = df.withColumns({"_pos": positive, "_h": draw(*key, seed=seed)})
     neg = top_k_per_group(tagged.where(~F.col("_pos")), stratum, [F.col("_h"), *[F.col(c) for c in key]], k, "_rn").drop("_rn")
     return tagged.where("_pos").unionByName(neg).drop("_pos", "_h")
 
 
 def holdout_split(df: DataFrame, key: Sequence[str], train: float = 0.7, seed: int = 42, out: str = "is_train") -> DataFrame:
     m = 1_000_000
-    return df.withColumn(out, F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(m)) < int(train * m))
+    return df.withColumn(out, F.pmod(draw(*key, seed=seed), F.lit(m)) < int(train * m))
 
 
 def split_batches(df: DataFrame, order: Sequence[str], size: int, by: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cladeloom.functions import special as sp
-from cladeloom.functions.arith import corr, ratio
+from cladeloom.functions.arith import corr, draw, ratio
 from cladeloom.operators.gram import centred, gram, unpack
 from cladeloom.operators.ordered import join_same, quantiles, row_index, suffix_min, value_ranks, with_avg_rank
 
@@ -322,7 +322,7 @@ def permutation_test(df: DataFrame, key: Sequence[str], x: str, label: Column, n
     """
     base = df.select(*key, F.col(x).cast("double").alias("_x"), label.cast("int").alias("_l"))
     tot = base.agg(F.struct(F.sum("_l").alias("k"), F.count("*").alias("n"), F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_l")).alias("t"))).scalar()
-    perm = base.select(*key, "_x", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")).withColumn("_h", F.xxhash64(*key, "perm", F.lit(seed)))
+    perm = base.select(*key, "_x", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm")).withColumn("_h", draw(*key, "perm", seed=seed))
     idx = row_index(perm, ["_h", *key], ["perm"], "_i").withColumn("_t", tot)
     diff = lambda t: ratio(t, F.col("_t.k")) - ratio(F.col("_t.s") - t, F.col("_t.n") - F.col("_t.k"))
     sums = idx.where(F.col("_i") <= F.col("_t.k")).groupBy("perm").agg(F.sum("_x").alias("_sum"), F.first("_t").alias("_t"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeloom.operators import filters as fl, sets as st
-from cladeloom.plans import views as v
+from cladeloom.plans import sqlstat as q, views as v
 from cladeloom.plans.registry import query, table
 
 
@@ -236,19 +236,28 @@ def _(s, d):
                                                              F.col("l_linenumber"), F.col("l_suppkey")], 50)
 
 
-@query("sample_n")
+_DRAW = q.draw("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("sample_n", f"""
+with n as (select l_returnflag, count(*) as n, count(*) over () as g from lineitem group by 1)
+select l_orderkey, l_linenumber, l_partkey, l_returnflag from lineitem join n using (l_returnflag) where {_DRAW} % 1000000 < least(1.0e0, 3000.0e0 / g / n) * 1000000""")
 def _(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     return st.sample_budget(li, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey"], 3000)
 
 
-@query("sample_frac")
+@query("sample_frac", f"select l_orderkey, l_linenumber, l_partkey from lineitem where {_DRAW} % 1000000 < 100000")
 def _(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return st.sample_fraction(li, ["l_orderkey", "l_linenumber", "l_partkey"], 0.1)
 
 
-@query("stratified_balanced_sample")
+@query("stratified_balanced_sample", f"""
+with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, {_DRAW} as h from lineitem),
+r as (select *, row_number() over (partition by l_suppkey order by h, l_orderkey, l_linenumber, l_partkey) as i from l where l_quantity < 50)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, h % 1000000 < 700000 as is_train
+from (select * from l where l_quantity >= 50 union all select * exclude (i) from r where i <= 10)""")
 def _(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
     out = st.stratified_balanced_sample(li, F.col("l_quantity") >= 50, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], 10)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cladeloom.functions import names as nm, scales as sc, sequence as sq, vectors as vx
 from cladeloom.operators import sequences as so
 from cladeloom.operators.ordered import join_same
-from cladeloom.plans import views as v
+from cladeloom.plans import sqlstat as q, views as v
 from cladeloom.plans.registry import query, table
 
 # ---- names ----------------------------------------------------------------
@@ -327,10 +327,16 @@ def _(s, d):
     return p.select("a", "b", sq.mismatches(F.col("x"), F.col("y")).alias("diffs"), F.least(F.length("x"), F.length("y")).cast("bigint").alias("len"))
 
 
-@query("identity_sampled")
+@query("identity_sampled", f"""
+with {v.SEQ}, i as (select dna, row_number() over (order by id) as no from v_seq), n as (select max(no) as n from i),
+d as (select id as draw, {q.draw('id', seed=42)} % n + 1 as na, {q.draw('id', seed=43)} % (n - 1) as b from range(1000) r(id), n),
+p as (select x.dna as x, y.dna as y, least(length(x.dna), length(y.dna)) as m from d, n, i x, i y where x.no = na and y.no = (na + b) % n + 1),
+c as (select list_transform(range(1, m + 1), lambda k: case when substr(x, k, 1) = '-' or substr(y, k, 1) = '-' then null else (substr(x, k, 1) = substr(y, k, 1))::int end) as z from p),
+s as (select list_sum(z) / list_count(z) as identity from c where list_count(z) > 0)
+select round(greatest(0.5, least(0.99, quantile_cont(identity, 0.9))), 6) as threshold, count(*) as n from s""")
 def _(s, d):
     ids = so.identity_sampled(v.seqs(s, d), "id", "dna", 1000)
-    return so.identity_threshold(ids)
+    return so.identity_threshold(ids).select(v.rnd("threshold").alias("threshold"), "n")
 
 
 @query("tumbling_sequence_window", f"""

@@ -225,10 +225,14 @@ def _(s, d):
     return r_(sx.classifier_metrics(t, "s", "y"), accuracy=8, auc=8)
 
 
-@query("permutation_test")
+@query("permutation_test", f"""
+with b as (select o_orderkey, o_totalprice as x, (o_orderstatus = 'F')::int as l from orders), t as (select sum(l) as k, count(*) as n, sum(x) as s, sum(x * l) as t from b),
+p as (select perm, x, row_number() over (partition by perm order by {q.draw('o_orderkey', 'perm')}, o_orderkey) as i from b, range(1, 100) r(perm)),
+d as (select perm, sum(x) as u from p, t where i <= k group by perm), e as (select u / k - (s - u) / (n - k) as d, t / k - (s - t) / (n - k) as obs from d, t)
+select round(max(obs), 4) as observed, round(avg(d), 4) as null_mean, round(stddev_samp(d), 4) as null_sd, count(*) as n_perm, round((count(*) filter (abs(d) >= abs(obs)) + 1) / (count(*) + 1), 4) as p_value from e""")
 def _(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    return sx.permutation_test(o, ["o_orderkey"], "o_totalprice", F.col("o_orderstatus") == "F", 99)
+    return r_(sx.permutation_test(o, ["o_orderkey"], "o_totalprice", F.col("o_orderstatus") == "F", 99), 4)
 
 
 @query("delta_signal", """

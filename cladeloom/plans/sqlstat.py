@@ -57,3 +57,8 @@ def norm_quantile(p: str) -> str:
     # lower tail by quadrature below x, the density as slope; list_reduce repeats the step
     tail = _simpson("(x - 12.0e0)", "x", "exp(-{x} * {x} / 2) / sqrt(2 * pi())")
     return f"list_reduce([{start}, 0.0e0, 0.0e0, 0.0e0], lambda x, step: x - ({tail} - {p}) / (exp(-x * x / 2) / sqrt(2 * pi())))"
+
+
+def draw(*key: str, seed: int = 42) -> str:
+    """The seeded hash number of `functions.arith.draw`."""
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(key)}, {seed})), 1, 13))::bigint"
