@@ -333,16 +333,20 @@ def _sort_fetched(batches):
         for k, payload in zip(column(batch, "bucket").to_pylist(), column(batch, "payload").to_pylist()):
             held.setdefault(k, []).append(payload)
     for k in list(held):
-        recs, texts = [], []
+        recs, texts, hashes, base = [], [], [], 0
         for payload in held.pop(k):
             n = int.from_bytes(payload[:8], "little")
-            recs.append(np.frombuffer(payload, FETCHED, n, 8))
-            texts.append(payload[8 + n * FETCHED.itemsize:])
-        rec, buf = np.concatenate(recs), np.frombuffer(b"".join(texts), np.uint8)
-        end = np.cumsum(rec["size"].astype(np.int64))
-        begin = end - rec["size"]
-        prefix = prefix_hash(buf)
-        around = mix(span_hash(prefix, begin, end) + (rec["left"].astype(U64) << U64(8) | rec["size"]))
+            rec = np.frombuffer(payload, FETCHED, n, 8)
+            text = np.frombuffer(payload, np.uint8, -1, 8 + n * FETCHED.itemsize)
+            end = np.cumsum(rec["size"].astype(np.int64))
+            begin = end - rec["size"]
+            recs.append((rec, begin + base))
+            hashes.append(mix(span_hash(prefix_hash(text), begin, end) + (rec["left"].astype(U64) << U64(8) | rec["size"])))
+            texts.append(text)
+            base += len(text)
+        rec, begin = (np.concatenate(x) for x in zip(*recs))
+        around, buf = np.concatenate(hashes), np.concatenate(texts)
+        del recs, texts, hashes
         order, _ = keep_new([rec["gram"], around, rec["doc_id"], rec["digest"], rec["at"].astype(np.int64)])
         first = np.ones(len(order), bool)
         first[1:] = (rec["gram"][order][1:] != rec["gram"][order][:-1]) | (around[order][1:] != around[order][:-1])
@@ -352,8 +356,11 @@ def _sort_fetched(batches):
         several[1:] = gram[1:] == gram[:-1]
         several[:-1] |= several[1:]
         pick = pick[several]
-        for at, stop in pieces(rec["gram"][pick]):
-            yield from _strings(rec[pick[at:stop]], begin[pick[at:stop]], buf, prefix)
+        for at, stop in pieces(rec["gram"][pick]):  # prefix hashes for a piece's bytes only
+            some = rec[pick[at:stop]]
+            size = some["size"].astype(np.int64)
+            own = buf[np.repeat(begin[pick[at:stop]], size) + ranges(size)]
+            yield from _strings(some, np.cumsum(size) - size, own, prefix_hash(own))
 
 
 def pieces(gram: np.ndarray, size: int = 8_000):
