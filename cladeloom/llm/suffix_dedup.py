@@ -42,6 +42,8 @@ OTHER_VALUES = mix(BYTE_VALUES)
 PACK = 1 << 19
 FILTER_BITS = 25
 FILTER_PARTS = 32
+#: Bytes around anchors that a task gathers before it packs them.
+FETCH_BYTES = 8 << 20
 FIRST = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
@@ -242,9 +244,28 @@ FETCHED = np.dtype([("gram", "<u8"), ("doc_id", "<i8"), ("digest", "<u8"), ("at"
 
 
 def _fetch(shared, buckets: int):
-    """Bytes around the anchors that pass the filter, packed by bucket; of equal bytes in a slice only the first."""
+    """Bytes around the anchors that pass the filter, packed by bucket; of equal bytes in a task's pack only the first,
+    the others go by step 1."""
+    def flush(held):
+        rec, same, text = (np.concatenate(x) for x in zip(*held))
+        size = rec["size"].astype(np.int64)
+        begin = np.cumsum(size) - size
+        order, _ = keep_new([rec["gram"], same, rec["doc_id"], rec["digest"], rec["at"].astype(np.int64)])
+        first = np.ones(len(order), bool)
+        first[1:] = (rec["gram"][order][1:] != rec["gram"][order][:-1]) | (same[order][1:] != same[order][:-1])
+        pick = order[first]
+        bucket = ((rec["gram"][pick] >> U64(32)) % U64(buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        pick, bucket = pick[by], bucket[by]
+        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            p = pick[edges[k]:edges[k + 1]]
+            own = text[np.repeat(begin[p], size[p]) + ranges(size[p])]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(p).to_bytes(8, "little") + rec[p].tobytes() + own.tobytes()], pa.binary())], ["bucket", "payload"])
+
     def run(batches):
         mask = shared.value
+        held, total = [], 0
         for buf, offsets, prefix, doc_id, digest in _documents(batches):
             at, row, low, high, gram = anchors(buf, offsets, prefix)
             slot = ((gram & U64(0xFFFFFFFF)) >> U64(32 - FILTER_BITS)).astype(np.int64)
@@ -257,18 +278,14 @@ def _fetch(shared, buckets: int):
             rec["gram"], rec["doc_id"], rec["digest"], rec["at"] = gram, doc_id[row], digest[row], at - offsets[row]
             rec["left"], rec["size"], rec["low"], rec["high"] = at - a, b - a, at - low, at - high
             same = mix(span_hash(prefix, a, b) + (rec["left"].astype(U64) << U64(8) | rec["size"]))
-            order, _ = keep_new([gram, same, rec["doc_id"], rec["digest"], rec["at"].astype(np.int64)])
-            first = np.ones(len(order), bool)
-            first[1:] = (gram[order][1:] != gram[order][:-1]) | (same[order][1:] != same[order][:-1])
-            pick = order[first]  # others go by step 1
-            bucket = ((gram[pick] >> U64(32)) % U64(buckets)).astype(np.int64)
-            pick = pick[np.argsort(bucket, kind="stable")]
-            edges = np.searchsorted(np.sort(bucket), np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                p = pick[edges[k]:edges[k + 1]]
-                size = (b - a)[p]
-                text = buf[np.repeat(a[p], size) + ranges(size)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(p).to_bytes(8, "little") + rec[p].tobytes() + text.tobytes()], pa.binary())], ["bucket", "payload"])
+            text = buf[np.repeat(a, b - a) + ranges(b - a)]
+            held.append((rec, same, text))
+            total += len(text)
+            if total >= FETCH_BYTES:
+                yield from flush(held)
+                held, total = [], 0
+        if held:
+            yield from flush(held)
 
     return run
 
