@@ -8,11 +8,14 @@ inequalities cannot split. The join therefore has two kinds of pivots.
   to the one that is rarest in the corpus, by a table of counts of fixed size, then to the smaller hash. The window around
   the borders: a set is replicated to its first |A| - ceil(similarity |A|) + 1 shingles in this order, and any two linked sets
   then meet in some region, since a linked set can miss at most |A| - ceil(similarity |A|) of them.
-* Inside a region of more than `LEAF` texts: texts as pivots. Each round every open region takes a pivot; the
-  exact distances to it link texts or not, components are merged, and a region whose texts are all in one component is done. After
+* Inside a region of more than `LEAF` texts: texts as pivots. Each round every open region takes `PIVOTS` of them; the
+  exact distances to them link texts or not, components are merged, and a region whose texts are all in one component is done. After
   `rounds` rounds the texts of a region still open are joined pair by pair, in blocks, except the pairs of one
   component and those that the triangle inequality rules out: |d(x, p) - d(y, p)| > 1 - similarity for a pivot p.
-  Smaller regions are joined pair by pair at once. Every surviving pair is compared by its whole sets.
+  Smaller regions are joined pair by pair at once.
+* Before texts are shipped, a profile (how many shingles fall into each of `CLASSES` hash classes) gives a lower bound: two sets differ
+  in at least as many shingles as their profiles differ, and linked sets differ in at most (1 - similarity) / (1 + similarity)
+  of the sum of their sizes. Every surviving pair is compared by its whole sets.
 
 Equal sets are one class before anything is compared (128-bit digest). Postings travel as packed arrays, and
 each text that shares a region with another is shipped to the pivots that it is compared with; pivots
@@ -43,6 +46,9 @@ COUNT_PARTS = 64
 #: Texts of a region that are joined pair by pair at once; texts of a block in larger ones.
 LEAF = 8
 BLOCK = 1000
+#: Text pivots of a region in one round, and classes of a profile.
+PIVOTS = 3
+CLASSES = 128
 #: Postings that a task packs together; partners of a pivot under one key.
 PACK = 1 << 20
 PARTNERS = 500
@@ -165,7 +171,7 @@ def regions(docs: DataFrame, levels: np.ndarray, percent: int, buckets: int) ->
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest and text of one row of each class in `wanted` (column a), written once. A filter of fixed size, built where the ids are, chooses the
+    """digest, text and profile of one row of each class in `wanted` (column a), written once. A filter of fixed size, built where the ids are, chooses the
     texts that are shipped; the join that follows is exact."""
     spark = docs.sparkSession
 
@@ -196,31 +202,55 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for part in slices(batches):
             texts = column(part, "text")
-            digest = shingle_sets(*string_buffers(texts)).first
+            sets = shingle_sets(*string_buffers(texts))
+            digest = sets.first
             at = (digest >> U64(64 - FILTER_BITS)).astype(np.int64)
             hit = np.flatnonzero(mask[at >> 3] >> (7 - (at & 7)) & 1)
             fresh = [i for i in hit.tolist() if digest[i].item() not in seen and not seen.add(digest[i].item())]
             if len(seen) > 1_000_000:
                 seen.clear()
             pick = pa.array(fresh, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(digest[fresh].view(np.int64), pa.int64()), texts.take(pick)], ["a", "text"])
+            counts = np.bincount(rows_of(sets.sizes) * CLASSES + (sets.hashes % U64(CLASSES)).astype(np.int64), minlength=len(texts) * CLASSES).reshape(-1, CLASSES)
+            profile = np.minimum(counts, 255).astype(np.uint8)  # a count cut off keeps the bound
+            yield pa.RecordBatch.from_arrays([pa.array(digest[fresh].view(np.int64), pa.int64()), texts.take(pick), pa.array([profile[i].tobytes() for i in fresh], pa.binary()), pa.array(sets.sizes[fresh])],
+                                             ["a", "text", "profile", "n"])
 
-    found = docs.where("text is not null").select("text").mapInArrow(choose, "a long, text string").join(wanted.select("a"), "a", "left_semi")
+    found = docs.where("text is not null").select("text").mapInArrow(choose, "a long, text string, profile binary, n long").join(wanted.select("a"), "a", "left_semi")
     # copies from several tasks: partial aggregation keeps one of each, without a hot key
     path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    found.groupBy("a").agg(F.first("text").alias("text")).write.parquet(path)
+    found.groupBy("a").agg(F.first("text").alias("text"), F.first("profile").alias("profile"), F.first("n").alias("n")).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
-    """a, b, common and united (shingles) of every pair (a, b), from the whole texts. All partners of a meet a under
-    one key, or under several when there are more than PARTNERS."""
-    pairs = pairs.select("a", "b").distinct()
+def near_profiles(p: np.ndarray, q: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Can sets of n and m shingles with these profiles (rows) link?"""
+    apart = np.abs(p.astype(np.int16) - q.astype(np.int16)).sum(-1)
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
+def _profiles(column_: pa.Array) -> np.ndarray:
+    return string_buffers(column_)[0].reshape(-1, CLASSES)
+
+
+def compare(pairs: DataFrame, texts: DataFrame, percent: int, partitions: int) -> DataFrame:
+    """a, b, common and united (shingles) of every pair (a, b) that profiles allow to link, from the whole texts. All partners
+    of a meet a under one key, or under several when there are more than PARTNERS."""
+    side = lambda c: texts.select(F.col("a").alias(c), F.col("profile").alias(f"{c}_profile"), F.col("n").alias(f"{c}_n"))
+
+    def screen(batches):
+        for batch in batches:
+            get = lambda c: column(batch, c)
+            near = near_profiles(_profiles(get("a_profile")), _profiles(get("b_profile")), get("a_n").to_numpy(), get("b_n").to_numpy(), percent)
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep)], ["a", "b"])
+
+    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    pairs = materialize(both.mapInArrow(screen, "a long, b long"))
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("k"))
     keyed = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), "k").cast("int").alias("salt"), F.col("b").alias("x"))
     own = load.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.col("a").alias("x"))
     asked = keyed.unionByName(own)
-    rows = asked.join(texts.withColumnRenamed("a", "x"), "x").select("a", "salt", "x", (F.col("a") != F.col("x")).alias("partner"), "text")
+    rows = asked.join(texts.select(F.col("a").alias("x"), "text"), "x").select("a", "salt", "x", (F.col("a") != F.col("x")).alias("partner"), "text")
 
     def run(batches):
         pivot, mine = None, None
@@ -244,15 +274,16 @@ def compare(pairs: DataFrame, texts: DataFrame, partitions: int) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Pairs of one region, in blocks: of different components, of fitting sizes and not ruled out by a pivot.
-    members: region, a, n, label, d (array of distances to the region's pivots, null where unknown)."""
+    """Pairs of one region, in blocks: of different components, of fitting sizes and not ruled out by a pivot or by
+    profiles. members: region, a, n, label, profile, d (array of distances to the region's pivots, null where unknown)."""
     blocks = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     dealt = members.join(blocks, "region").withColumn("i", F.pmod(F.xxhash64("a"), "k").cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("region", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") < F.col("j")).alias("left"), (F.col("i") == F.col("j")).alias("same"), "a", "n", "label", "d")
+    dealt = dealt.select("region", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") < F.col("j")).alias("left"), (F.col("i") == F.col("j")).alias("same"), "a", "n", "label", "profile", "d")
 
     def run(table: pa.Table) -> pa.Table:
         a, n, label = (table.column(c).to_numpy() for c in ("a", "n", "label"))
+        profile = _profiles(table.column("profile").combine_chunks())
         d = np.array([[np.nan if v is None else v for v in x] for x in table.column("d").to_pylist()]).reshape(len(a), -1)
         left, same = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "same"))
         rows, cols = (np.flatnonzero(same), np.flatnonzero(same)) if same.all() else (np.flatnonzero(left), np.flatnonzero(~left))
@@ -265,6 +296,7 @@ def open_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
                 with np.errstate(invalid="ignore"):
                     fit &= ~(np.abs(d[cols, k] - d[r, k]) > 1 - percent / 100 + 1e-9)
             c = cols[fit]
+            c = c[near_profiles(profile[c], profile[r], n[c], n[r], percent)]
             out.append(np.stack([np.full(len(c), a[r]), a[c]], 1))
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(found.min(1)), "b": pa.array(found.max(1))}) if len(found) else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -272,7 +304,7 @@ def open_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
     return dealt.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(row, n_shingles, digest, second) of every document, and (a, label): the component of every digest that has links."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -291,35 +323,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 4, carry:
     wanted = small.select("a").unionByName(small.select(F.col("b").alias("a"))).unionByName(members.select("a")).distinct()
     texts = texts_of(docs, wanted)
     linked = F.col("common") * 100 >= percent * F.col("united")
-    done = compare(small, texts, partitions)
-    links = done.where(linked).select("a", "b")
-    labels = components(links)
+    done = compare(small, texts, percent, partitions)
+    labels = components(done.where(linked).select("a", "b"))
     distances = None
+    merge = lambda labels, new: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.where(linked).select("a", "b")))
+    with_labels = lambda members: members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     for k in range(rounds):
-        state = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        shape = state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(F.xxhash64("a", F.lit(k)), "a", "n", "label")).alias("p"))
-        still = materialize(shape.where("low <> high").select("region", F.col("p.a").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("pl")))
+        state = with_labels(members)
+        pivots = [F.min(F.struct(F.xxhash64("a", F.lit(PIVOTS * k + j)), F.lit(j).alias("j"), F.col("a").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))).alias(f"p{j}") for j in range(PIVOTS)]
+        shape = state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), *pivots)
+        still = materialize(shape.where("low <> high").select("region", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("p")))
         if still.isEmpty():
-            members = members.limit(0)
             break
-        state = state.join(still, "region")
-        members = materialize(state.select("region", "a", "n", "pivot"))
+        asked = state.join(still, "region").select("region", "a", "n", "label", F.explode("p").alias("p")).select("region", "a", "n", "label", "p.j", "p.pivot", "p.pn", "p.pl")
+        asked = materialize(asked)
         apart = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        measured = compare(state.where(apart).select(F.col("pivot").alias("a"), F.col("a").alias("b")), texts, partitions)
+        measured = compare(asked.where(apart).select(F.col("pivot").alias("a"), F.col("a").alias("b")), texts, percent, partitions)
         new = measured.select(F.col("a").alias("pivot"), F.col("b").alias("a"), (1 - F.col("common") / F.col("united")).alias("d"))
-        members = members.join(new, ["pivot", "a"], "left").select("region", "a", "n", F.array("d").alias("d"))
-        members = materialize(members if distances is None else members.join(distances.withColumnRenamed("d", "before"), ["region", "a"]).select("region", "a", "n", F.concat("before", "d").alias("d")))
-        distances = members.select("region", "a", "d")
-        members = members.select("region", "a", "n")
-        links = links.unionByName(measured.where(linked).select("a", "b"))
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(measured.where(linked).select("a", "b")))
-    state = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        known = asked.join(new, ["pivot", "a"], "left").groupBy("region", "a", "n").agg(F.array(*[F.max(F.when(F.col("j") == j, F.col("d"))) for j in range(PIVOTS)]).alias("d"))
+        if distances is not None:
+            known = known.join(distances.withColumnRenamed("d", "before"), ["region", "a"]).select("region", "a", "n", F.concat("before", "d").alias("d"))
+        known = materialize(known)
+        distances, members = known.select("region", "a", "d"), known.select("region", "a", "n")
+        labels = merge(labels, measured)
+    state = with_labels(members)
     still = materialize(state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region"))
     if not still.isEmpty():
         state = state.withColumn("d", F.array().cast("array<double>")) if distances is None else state.join(distances, ["region", "a"])
-        left = open_pairs(state.join(still, "region"), percent, partitions)
-        last = compare(left, texts, partitions)
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(last.where(linked).select("a", "b")))
+        left = state.join(still, "region").join(texts.select("a", "profile"), "a")
+        labels = merge(labels, compare(materialize(open_pairs(left, percent, partitions)), texts, percent, partitions))
     return rows, labels
 
 
