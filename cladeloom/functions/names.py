@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 # Sequencing platform patterns in priority order (matched on lower-cased text).
 TECHNOLOGY_PATTERNS = [
-    ("Illumina", r"\billumina\b|\bmiseq\b|\bnextseq\b|\bnovaseq\b"),
+    ("Illumina", r"\billumina\b|\bmiseq\b|\bnextseq\b|\bhisep\b|\bnovaseq\b"),
     ("PacBio", r"\bpacbio\b|\bpacific\s+biosciences\b|\bsequel\b|\brs ii\b"),
     ("Oxford Nanopore", r"\bnanopore\b|\boxford\s+nanopore\b|\bminion\b|\bpromethion\b"),
     ("Sanger", r"\bsanger\b|\bcapillary\b"),
