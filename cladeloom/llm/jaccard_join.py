@@ -356,12 +356,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, carry:
 
 
 def with_components(docs: DataFrame, percent: int = 75, carry: list[str] | None = None) -> DataFrame:
-    """row, n_shingles, digest and component_id (the smallest doc_id reachable by links) of every document."""
+    """row, n_shingles, digest, label (of the component; several may share a smallest doc_id) and component_id (the
+    smallest doc_id reachable by links) of every document."""
     rows, labels = near_duplicates(docs, percent, carry=carry)
     labelled = rows.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     smallest = labelled.where("n_shingles > 0").groupBy("label").agg(F.min("row.doc_id").alias("smallest"))
     out = labelled.join(smallest, "label", "left")
-    return out.select("row", "n_shingles", "digest", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("row.doc_id")).alias("component_id"))
+    return out.select("row", "n_shingles", "digest", "label", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("row.doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -370,4 +371,4 @@ def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     out = with_components(docs, percent)
     alone = out.where("n_shingles = 0").select("row.*")
     first = out.where((F.col("n_shingles") > 0) & F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-    return alone.unionByName(first.groupBy("component_id").agg(F.min_by("row", "digest").alias("row")).select("row.*"))
+    return alone.unionByName(first.groupBy("label").agg(F.min_by("row", "digest").alias("row")).select("row.*"))

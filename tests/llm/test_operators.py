@@ -210,6 +210,14 @@ def test_jaccard_join_on_odd_texts(spark, odd, plain, none):
     assert jaccard_join.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_keeps_every_component(spark):
+    """Unlinked texts without an id, or under one repeated id, all stay; of linked ones the smallest id stays."""
+    rows = [(None, cases.words(300 + i, 30)) for i in range(20)] + [(7, cases.words(340 + i, 30)) for i in range(5)]
+    linked = [(None, cases.words(360, 30)), (9, cases.words(360, 30)), (8, cases.words(360, 30)), (None, cases.words(361, 30)), (None, cases.words(361, 30))]
+    out = jaccard_join.keep_one(spark.createDataFrame(rows + linked, "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows, linked[2], linked[3]], key=str)
+
+
 def test_jaccard_join_with_crowded_regions(spark, monkeypatch):
     """Many near copies and a passage that unrelated texts share, with regions beyond LEAF and several blocks and keys."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
