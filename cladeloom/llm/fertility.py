@@ -9,7 +9,8 @@ Bands come from the corpus itself. Documents that pass the plain rules are group
 dominant script where the language is null) and by size class (powers of two of the words; entropy depends on length); exact counts
 over fine bins give the quartiles of each measure in each group, and a document is rejected when a
 measure lies more than `fence` interquartile ranges (at least `floor` wide) outside its group's
-quartiles. Groups with fewer than `least` documents reject nothing.
+quartiles. A group with fewer than `least` documents takes in its neighbouring size classes, as many as it needs; a language
+with too few documents in all takes those of its script, a script with too few those of the corpus.
 
 Defined results: null, empty and blank texts have no words and fail the plain rules; repeated rows are
 judged each; an empty table gives an empty result; other columns do not matter.
@@ -35,6 +36,8 @@ MEASURES = ["piece_chars", "byte_chars", "fallback", "entropy"]
 #: Bins per unit, in which quartiles are resolved, and the least width of an interquartile range.
 BINS = 512
 FLOOR = {"piece_chars": 0.25, "byte_chars": 0.25, "fallback": 0.01, "entropy": 0.25}
+#: Classes on each side from which the slope of entropy over length is taken.
+TREND = 2
 #: First code point of the ranges by which a text's script is told (fixed values).
 SCRIPTS = [(0x41, "Latn"), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "Armn"), (0x590, "Hebr"), (0x600, "Arab"), (0x900, "Deva"), (0x980, "Indc"), (0xE00, "Thai"),
            (0xE80, "Othr"), (0x10A0, "Geor"), (0x1100, "Hang"), (0x1200, "Othr"), (0x1E00, "Latn"), (0x1F00, "Grek"), (0x2000, "Othr"), (0x3040, "Kana"), (0x3100, "Othr"),
@@ -180,16 +183,43 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, carr
 
 
 def bands(rows: DataFrame, least: int, fence: float) -> DataFrame:
-    """low and high of each measure in each group and size class, from counts over bins."""
-    long = rows.select("group", "size_class", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * BINS).alias("bin"), F.lit(FLOOR[m]).alias("floor")) for m in MEASURES])).alias("x"))
-    counts = long.groupBy("group", "size_class", "x.measure", "x.floor", "x.bin").agg(F.count("*").alias("n"))
-    of = Window.partitionBy("group", "size_class", "measure")
-    running = counts.withColumn("below", F.sum("n").over(of.orderBy("bin"))).withColumn("total", F.sum("n").over(of))
+    """low and high of each measure for each group, script and size class of `rows`, from counts over bins of those
+    that pass the plain rules. A band takes the fewest neighbouring classes that hold `least` documents: of the group;
+    else of the script; else of the corpus (all of it if that is not enough). Entropy grows with length, so that of
+    another class is moved along the corpus' slope around the class."""
+    passing = rows.where(~F.col("base_failed"))
+    cell = ["group", "script", "size_class"]
+    scope = F.explode(F.array(*[F.struct(F.lit(k).alias("rank"), name.alias("name")) for k, name in enumerate((F.col("group"), F.col("script"), F.lit("")))])).alias("scope")
+    long = passing.select(*cell, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * BINS).alias("bin"), F.lit(FLOOR[m]).alias("floor")) for m in MEASURES])).alias("x"))
+    counts = materialize(long.groupBy(*cell, "x.measure", "x.floor", "x.bin").agg(F.count("*").alias("n")))
+    held = counts.select(scope, F.col("size_class").alias("other"), "measure", "floor", "bin", "n").groupBy("scope", "other", "measure", "floor", "bin").agg(F.sum("n").alias("n"))
+    cells = rows.select(*cell).distinct().select(*cell, scope)
+    sizes = held.where(F.col("measure") == MEASURES[0]).groupBy("scope", "other").agg(F.sum("n").alias("n"))
+    away = F.abs(F.col("other") - F.col("size_class"))
+    near = cells.select("scope", "size_class").distinct().join(sizes, "scope").groupBy("scope", "size_class", away.alias("away")).agg(F.sum("n").alias("n"))
+    near = near.withColumn("n", F.sum("n").over(Window.partitionBy("scope", "size_class").orderBy("away")))
+    reach = F.min(F.when(F.col("n") >= least, F.col("away")))
+    whole = F.when(F.col("scope.rank") == 2, F.max("away"))
+    reaches = near.groupBy("scope", "size_class").agg(F.coalesce(reach, whole).alias("reach")).where("reach is not null")
+    chosen = materialize(cells.join(reaches, ["scope", "size_class"]).groupBy(*cell).agg(F.min(F.struct("scope", "reach")).alias("of")).select(*cell, "of.scope", "of.reach"))
+    joined = chosen.select("scope", "size_class", "reach").distinct().join(held, "scope").where(away <= F.col("reach"))
+    x, y = F.log2("n_words"), F.col("entropy")
+    sums = materialize(passing.groupBy(F.col("size_class").alias("other")).agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy")))
+    total = {c: F.sum(c) for c in ("n", "x", "y", "xx", "xy")}
+    spread = total["n"] * total["xx"] - total["x"] * total["x"]
+    steep = F.when(spread > 0, (total["n"] * total["xy"] - total["x"] * total["y"]) / spread)
+    slopes = cells.select("size_class").distinct().join(sums, away <= TREND).groupBy("size_class").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(steep, F.lit(0.0)))).alias("slope"))  # twice the length: 0 to 1 bit
+    moved = F.when(F.col("measure") == "entropy", F.round(F.coalesce("slope", F.lit(0.0)) * (F.col("size_class") - F.col("other")) * BINS)).otherwise(0).cast("long")
+    joined = joined.join(slopes, "size_class", "left").withColumn("bin", F.col("bin") + moved)
+    bins = joined.groupBy("scope", "size_class", "measure", "floor", "bin").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy("scope", "size_class", "measure")
+    running = bins.withColumn("below", F.sum("n").over(of.orderBy("bin"))).withColumn("total", F.sum("n").over(of))
     quartile = lambda q: F.min(F.when(F.col("below") >= q * F.col("total"), F.col("bin"))) / BINS
-    quartiles = running.groupBy("group", "size_class", "measure", "floor", "total").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3")).where(F.col("total") >= least)
+    quartiles = running.groupBy("scope", "size_class", "measure", "floor").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     width = fence * F.greatest(F.col("q3") - F.col("q1"), "floor")
-    side = quartiles.select("group", "size_class", "measure", F.struct((F.col("q1") - width).alias("low"), (F.col("q3") + width + 1 / BINS).alias("high")).alias("band"))
-    return side.groupBy("group", "size_class").agg(*[F.first(F.when(F.col("measure") == m, F.col("band")), ignorenulls=True).alias(f"{m}_band") for m in MEASURES])
+    side = quartiles.select("scope", "size_class", "measure", F.struct((F.col("q1") - width).alias("low"), (F.col("q3") + width + 1 / BINS).alias("high")).alias("band"))
+    wide = side.groupBy("scope", "size_class").agg(*[F.first(F.when(F.col("measure") == m, F.col("band")), ignorenulls=True).alias(f"{m}_band") for m in MEASURES])
+    return chosen.join(wide, ["scope", "size_class"]).drop("scope", "reach")
 
 
 def judge(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, language: str = "lang", least: int = 30, fence: float = 2.0, carry: list[str] | None = None) -> DataFrame:
@@ -200,9 +230,9 @@ def judge(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, langua
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = (rows.withColumn("base_failed", failed).withColumn("group", F.coalesce(F.col(f"row.{language}").cast("string"), "script"))
             .withColumn("size_class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")))
-    limits = bands(rows.where(~F.col("base_failed")), least, fence)
+    limits = bands(rows, least, fence)
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_band.low"), F.col(f"{m}_band.high")), F.lit(True))
-    judged = rows.join(limits, ["group", "size_class"], "left").withColumn("fertile", inside)
+    judged = rows.join(limits, ["group", "script", "size_class"], "left").withColumn("fertile", inside)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("fertile")).drop(*[f"{m}_band" for m in MEASURES], "group", "size_class")

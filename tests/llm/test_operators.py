@@ -66,6 +66,16 @@ def test_bands_reject_a_text_unlike_its_group(spark):
     assert sum(out[i]["kept"] for i in range(60)) >= 55
 
 
+def test_small_groups_are_judged_too(spark):
+    """Junk in a rare language and in a rare size class goes, clean texts there stay."""
+    junk = lambda n: " ".join(f"☃☂{k}☁" for k in range(n))
+    rows = [(i, cases.words(100 + i, 40 + 5 * i), "xx") for i in range(60)]
+    rows += [(70, cases.words(170, 600), "xx"), (71, cases.words(171, 24), "xx"), (72, cases.words(172, 150), "yy"), (90, junk(600), "xx"), (91, junk(24), "xx"), (92, junk(150), "yy")]
+    out = {r["doc_id"]: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), *PIECE).select("row.doc_id", "base_failed", "kept").collect()}
+    assert not any(r["base_failed"] for r in out.values())
+    assert [out[i]["kept"] for i in (70, 71, 72, 90, 91, 92)] == [True] * 3 + [False] * 3
+
+
 # 2
 
 def test_language_model_is_a_distribution_and_tables_agree():
