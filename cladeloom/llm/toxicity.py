@@ -3,8 +3,9 @@
 A written word is seen as an intended word that went through a channel which may write a letter as a
 look-alike sign (leetspeak, or `*` for any letter), put signs or blanks between letters, or repeat
 letters. The readings of a word form a lattice of characters; Viterbi decoding finds the cheapest path
-under a character trigram model of the whole corpus and the channel's costs. A word of plain letters has
-one path only and is read as it stands. Runs of single letters are decoded as one string.
+under a character trigram model of the whole corpus and the channel's costs. A word of plain letters
+without a doubled one has one path only and is read as it stands. Runs of three or more single characters (letters,
+look-alikes, digits, separators) are decoded as one string; longer pieces of a word ('mo ron') are not joined.
 
 Restored words are then scored: the share of toxic documents among the labelled ones that hold the word,
 or a beginning of it, shrunk towards the base rate. A logistic model on the strongest words of a document
@@ -42,9 +43,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: once more again, and a blank between single letters that was meant.
 LOOK, HIDDEN, PUT_IN, PUT_IN_LOOK, TWICE, AGAIN, KEPT_BLANK = 1.0, 1.5, 0.5, 4.0, 4.0, 0.3, 3.0
 EDGE = re.compile(r"^(?:[\"'`.,;:?)\]}>\-_/\\~=&#%]|([^\w\s])\1\1+)+|(?:[\"'`.,;:?!(\[{\-_/\\~=&#%*|]|([^\w\s])\2\2+)+$")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 WORDS = re.compile(r"[^\W_]+")
-HAS_LETTER = re.compile(r"[^\W\d_]")
+LIKE_LETTER = re.compile("[^\\W\\d_]|[" + re.escape("".join(LEET)) + "]")
+LIKE_WORD = re.compile("[^\\W\\d_]|[" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]")
 MEMORY = 400_000
 BEGINNINGS = (4, 5, 6, 7)
 #: Characters of a word by which it is known as a whole.
@@ -170,7 +172,7 @@ def core_of(word: str) -> str:
 
 
 def needs_decoding(core: str) -> bool:
-    return TRIPLE.search(core) is not None if core.isalpha() else HAS_LETTER.search(core) is not None
+    return (DOUBLE if core.isalpha() else LIKE_LETTER).search(core) is not None
 
 
 def features(word: str) -> list[str]:
@@ -187,7 +189,7 @@ class Reader:
 
     def read(self, texts: list[str]) -> list[list[str]]:
         """Restored words of each written word or run of letters."""
-        cores = [core_of(t) for t in texts]
+        cores = [core_of(t).strip() for t in texts]
         hard = [i for i, c in enumerate(cores) if needs_decoding(c)]
         for i, x in zip(hard, decode([cores[i] for i in hard], self.costs)):
             cores[i] = x
@@ -195,7 +197,7 @@ class Reader:
 
     def text_words(self, texts: pa.Array, value) -> tuple[list, np.ndarray, np.ndarray, list[tuple[int, object]]]:
         """`value` of the restored words of each distinct written word; which of these each word of the
-        texts is; the first word of each row; and (row, value) for runs of three or more single letters."""
+        texts is; the first word of each row; and (row, value) for runs of three or more single characters."""
         buf, offsets = string_buffers(texts)
         raw = buf.tobytes()
         starts, ends, first = word_spans(buf, offsets)
@@ -211,7 +213,8 @@ class Reader:
             known.update(zip(distinct[new].tolist(), (value(words) for words in self.read(written))))
         values = [known[c] for c in distinct.tolist()]
         rows = np.searchsorted(first, np.arange(len(starts)), "right") - 1
-        single = (ends - starts == 1) & (SYMBOL[buf[starts]] < BLANK) | (ends - starts == 2) & (buf[starts] >= 0xC0) if len(starts) else np.zeros(0, bool)
+        lead = buf[starts] if len(starts) else np.zeros(0, np.uint8)
+        single = ends - starts == 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
         runs = []
         if single.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
@@ -220,9 +223,10 @@ class Reader:
                 for x, y in zip([a, *cut], [*cut, b]):
                     if y - x >= 3:
                         runs.append((int(rows[x]), raw[starts[x]:ends[y - 1]].decode("utf-8", "replace")))
-        strings = list({re.sub(r"\s+", " ", r) for _, r in runs})
+        runs = [(row, re.sub(r"\s+", " ", r)) for row, r in runs if LIKE_WORD.search(r)]
+        strings = list({r for _, r in runs})
         read = dict(zip(strings, (value(words) for words in self.read(strings))))
-        return values, of, first, [(row, read[re.sub(r"\s+", " ", r)]) for row, r in runs]
+        return values, of, first, [(row, read[r]) for row, r in runs]
 
 
 def document_words(docs: DataFrame, costs: np.ndarray) -> DataFrame:

@@ -115,6 +115,15 @@ def test_channel_decoding(spark):
     assert len(masked) == 6 and masked.isalpha()
 
 
+def test_channel_combinations(spark):
+    """Look-alikes, separators and doubled letters, alone and with blanks between them."""
+    reader = toxicity.Reader(toxicity.character_costs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    assert reader.read(["stuupid", "idiiot", "m0rroon", "2024"]) == [["stupid"], ["idiot"], ["moron"], ["2024"]] and reader.read(["@$$"]) != [[]]
+    texts = ["x1x m 0 r 0 n", "well s t u p ! d", "very i d 1 o t here", "the s . c . u . m", "nothing - 1 2 3"]
+    _, _, _, runs = reader.text_words(pa.array(texts), lambda words: words)
+    assert runs == [(0, ["moron"]), (1, ["stupid"]), (2, ["idiot"]), (3, ["scum"])]
+
+
 def test_decoding_equals_brute_force(spark):
     import itertools
     costs = toxicity.character_costs(spark.read.parquet(f"{TINY}/documents.parquet")).astype(np.float32)
