@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeloom.llm import decontaminate, fertility, jaccard_join, packing, ppm, quality_knn, sharding, simple8b, suffix_dedup, toxicity
+from cladeloom.llm import decontaminate, fertility, jaccard_join, negatives, packing, ppm, quality_knn, repair, resync, sharding, simple8b, suffix_dedup, toxicity
 from cladeloom.llm.registry import QUERIES, SQL, query  # noqa: F401
 from cladeloom.llm.text import documents, table
 
@@ -145,6 +145,99 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op11_overlap_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resync.count_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), limit=2048, carry=["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations),
+dam AS (
+  SELECT raw.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda j: ascii(substr(k, j, 1))::BIGINT)),
+                                            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS d
+  FROM raw, crc),
+r AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM dam WHERE d <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         right(rtrim(text, E' \t\n\x0B\x0C\r'), 1) AS last, left(role, 1) AS ini
+  FROM r),
+f AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN again THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY n) || ini NOT IN ('su', 'ua', 'au'), false) AS bad
+  FROM o),
+s AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id),
+step(ini, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+ins(p, q, c, a) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (1, 2, 2, 'I'), (2, 3, 2, 'I'), (3, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 3, 4, 'II')),
+e AS (
+  SELECT conv_id, n, p, q, (fault = 't')::INT AS c, 'K' AS a FROM f JOIN step USING (ini) WHERE fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, n, p, q, 2 + (fault = 't')::INT, 'R' FROM f, step WHERE step.ini <> 's' AND fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, n, p, p, 3, 'D' FROM f, (VALUES (0), (1), (2), (3)) x(p)),
+m AS (
+  SELECT conv_id, n, e.p, ins.q, min(struct_pack(c := e.c + ins.c, a := e.a || ins.a)) AS v FROM e JOIN ins ON ins.p = e.q GROUP BY ALL),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS n, q, struct_pack(c := c, a := a) AS v FROM conversations, ins WHERE p = 0
+  UNION ALL
+  SELECT dp.conv_id, m.n, m.q, min(struct_pack(c := dp.v.c + m.v.c, a := dp.v.a || m.v.a)) FROM dp JOIN m ON m.conv_id IS NOT DISTINCT FROM dp.conv_id AND m.n = dp.n + 1 AND m.p = dp.q GROUP BY dp.conv_id, m.n, m.q),
+w AS (
+  SELECT c.conv_id, min(dp.v) AS v FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+  JOIN dp ON dp.conv_id IS NOT DISTINCT FROM c.conv_id AND dp.n = coalesce(s.n, 0) AND dp.q IN (0, 3) GROUP BY c.conv_id),
+x AS (SELECT conv_id, k, substr(v.a, k::INT, 1) AS a FROM (SELECT *, unnest(range(1, length(v.a) + 1)) AS k FROM w)),
+y AS (SELECT *, count(*) FILTER (a <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS n FROM x),
+z AS (
+  SELECT y.conv_id, y.k, y.a, f.role, CASE WHEN y.a = 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY y.conv_id ORDER BY y.k) AS place,
+         bool_or(y.a = 'K' AND f.ini = 's') OVER (PARTITION BY y.conv_id) AS sys
+  FROM y LEFT JOIN f ON y.a <> 'I' AND f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.n = y.n WHERE y.a <> 'D'),
+h AS (
+  SELECT conv_id, string_agg(CASE WHEN a = 'K' THEN role WHEN (place - sys::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS lines
+  FROM z GROUP BY conv_id)
+SELECT w.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       w.v.c::BIGINT AS cost, w.v.a AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM w LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
+@query("op12_weighted_cyk_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+OP13_SQL = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM e a JOIN e c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op13_kronecker_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.participants(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 50 == 0)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository; it imports this module
