@@ -74,6 +74,17 @@ def suffix_min(df: DataFrame, value: Column, order: Sequence[str], out: str, by:
     return (join_same(local, off, keys).withColumn(out, F.least("_local", "_later")).drop("_blk", "_v", "_local", "_later"))
 
 
+def lead_value(df: DataFrame, value: str, order: Sequence[str], out: str, by: Sequence[str] = ()) -> DataFrame:
+    """`value` of the next row along (by, order), NULL at the end of a group; give a unique order."""
+    b = range_blocks(df, order, by)
+    keys = ["_blk", *by]
+    local = b.withColumn("_local", F.lead(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    # the first row of the group's next block, for the last row of each block
+    first = b.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias("_m"))
+    after = first.select(*keys, F.lead("_m").over(Window.partitionBy(*by).orderBy("_blk")).alias("_after"))
+    return join_same(local, after, keys).withColumn(out, F.coalesce("_local", "_after")).drop("_blk", "_local", "_after")
+
+
 def row_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), out: str = "row_no") -> DataFrame:
     """1-based position along (by, order) with no single-task window."""
     res = running_sums(df, {out: F.lit(1)}, order, by)

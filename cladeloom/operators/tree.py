@@ -1,13 +1,14 @@
-"""Trees as edge tables.  Ancestor pairs come from pointer doubling (log2(height) joins);
-value propagation walks levels with one small join per level."""
+"""Trees as edge tables.  Subtree sums, intervals and common ancestors come from jump pointers (`jumps.grow`);
+only `ancestor_closure` lists all ancestors."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cladeloom.functions.arith import ratio, slope
-from cladeloom.operators.ordered import join_same, quantiles, running_sums, suffix_min
+from cladeloom.functions.arith import draw, ratio, slope
+from cladeloom.operators.jumps import Tree, check_round, common_ancestors, fold_below, jump_levels, near_ancestors
+from cladeloom.operators.ordered import join_same, lead_value, quantiles, running_sums, suffix_min
 from cladeloom.operators import stats as sx
 from cladeloom.session import materialize
 
@@ -23,7 +24,8 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
     while True:
         j = jump.select(F.col("node").alias("_x"), F.col("ancestor").alias("_a"), F.col("steps").alias("_s"), F.col("length").alias("_l"))
         hop = lambda t: t.join(j, F.col("ancestor") == F.col("_x")).select(F.col("_a").alias("ancestor"), "node", (F.col("steps") + F.col("_s")).alias("steps"), (F.col("length") + F.col("_l")).alias("length"))
-        rounds = _next_round(rounds, limit)
+        check_round(rounds, limit)
+        rounds += 1
         longer = materialize(hop(closure))
         if longer.isEmpty():
             return closure
@@ -32,13 +34,6 @@ def ancestor_closure(edges: DataFrame) -> DataFrame:
             return closure
 
 
-def _next_round(rounds: int, edges: int) -> int:
-    """Paths of 2**rounds steps exist only where there are as many edges, unless nodes are visited twice."""
-    if 2 ** rounds > 2 * max(edges, 1):
-        raise ValueError("the edge table has a cycle")
-    return rounds + 1
-
-
 def nodes_of(edges: DataFrame) -> DataFrame:
     """(node, parent, length, is_tip); the root has no parent."""
     inner = edges.select(F.col("parent").alias("node")).distinct().withColumn("_i", F.lit(True))
@@ -46,25 +41,6 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return child.join(inner, "node", "full").select("node", "parent", "length", F.col("_i").isNull().alias("is_tip"))
 
 
-def tree_index(edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """Per node: depth, distance to root, height, tips below, and the depth-first interval [tin, tout]."""
-    n = nodes_of(edges)
-    up = closure.groupBy("node").agg(F.max("steps").alias("depth"), F.max("length").alias("root_dist"))
-    down = closure.join(n.select("node", "is_tip"), "node").groupBy(F.col("ancestor").alias("node")).agg(
-        F.count("*").alias("n_below"), F.count_if("is_tip").alias("_tips"), F.max("steps").alias("height"))
-    m = n.join(up, "node", "left").join(down, "node", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    m = m.select("node", "parent", "length", "is_tip", z("depth").alias("depth"), F.coalesce("root_dist", F.lit(0.0)).alias("root_dist"), z("height").alias("height"),
-                 F.when(F.col("is_tip"), 1).otherwise(z("_tips")).cast("bigint").alias("n_tips"), (z("n_below") + 1).alias("_size"))
-    # siblings in id order: each node starts after its earlier siblings' subtrees
-    sib = running_sums(m.where("parent is not null").select("node", "parent", "_size"), {"_end": F.col("_size")}, ["node"], ["parent"])
-    off = sib.select("node", (F.col("_end") - F.col("_size") + 1).alias("_off"))
-    path = closure.select(F.col("ancestor").alias("_a"), "node").join(off.withColumnRenamed("node", "_a"), "_a").groupBy("node").agg(F.sum("_off").alias("_above"))
-    r = m.join(off, "node", "left").join(path, "node", "left")
-    tin = z("_off") + z("_above")
-    return r.select("node", "parent", "length", "is_tip", "depth", "root_dist", "height", "n_tips", tin.alias("tin"), (tin + F.col("_size") - 1).alias("tout"))
-
-
 def clamp_branches(edges: DataFrame, floor: float = 1e-6) -> DataFrame:
     return edges.withColumn("length", F.greatest("length", F.lit(floor)))
 
@@ -126,22 +102,17 @@ def site_convergence(origins: DataFrame) -> DataFrame:
                                       (F.sum("n_origins") / F.count("*")).alias("origins_per_variant"), (F.sum(F.col("ratio") * F.col("n_tips")) / F.sum("n_tips")).alias("weighted_ratio"))
 
 
-def mrca(groups: DataFrame, by: Sequence[str], index: DataFrame, closure: DataFrame) -> DataFrame:
-    """MRCA of each group's nodes: the deepest ancestor of its first member that also spans the last."""
-    t = groups.join(index.select("node", "tin"), "node")
-    g = t.groupBy(*by).agg(F.min_by("node", "tin").alias("_first"), F.max("tin").alias("_last"), F.count("*").alias("n_members"))
-    anc = closure.select(F.col("node").alias("_first"), F.col("ancestor").alias("mrca"))
-    self_ = index.select(F.col("node").alias("_first"), F.col("node").alias("mrca"))
-    ix = index.select(F.col("node").alias("mrca"), F.col("depth").alias("mrca_depth"), F.col("root_dist").alias("mrca_dist"), "tout", F.col("n_tips").alias("clade_tips"))
-    c = g.join(anc.union(self_), "_first").join(ix, "mrca").where(F.col("tout") >= F.col("_last"))
-    return c.groupBy(*by, "n_members").agg(F.max_by(F.struct("mrca", "mrca_depth", "mrca_dist", "clade_tips"), "mrca_depth").alias("m")).select(*by, "n_members", "m.*")
+def mrca(groups: DataFrame, by: Sequence[str], tree: Tree) -> DataFrame:
+    """MRCA of each group's nodes with its depth, distance to the root and number of tips."""
+    ix = tree.index.select(F.col("node").alias("mrca"), F.col("depth").alias("mrca_depth"), F.col("root_dist").alias("mrca_dist"), F.col("n_tips").alias("clade_tips"))
+    return common_ancestors(groups, by, tree).join(ix, "mrca").select(*by, "n_members", "mrca", "mrca_depth", "mrca_dist", "clade_tips")
 
 
-def clade_means(closure: DataFrame, tips: DataFrame, x: str) -> DataFrame:
+def clade_means(edges: DataFrame, tips: DataFrame, x: str) -> DataFrame:
     """Mean and count of a tip value below every node (tips included as their own clade)."""
-    below = closure.select(F.col("ancestor").alias("clade"), "node").join(tips.select("node", x), "node")
-    own = tips.select(F.col("node").alias("clade"), "node", x)
-    return below.select("clade", x).unionByName(own.select("clade", x)).groupBy(F.col("clade").alias("node")).agg(F.count(x).alias("n_tips"), F.avg(x).alias("mean"))
+    own = tips.select("node", F.col(x).isNotNull().cast("long").alias("n_tips"), F.col(x).alias("_sum"))
+    f = fold_below(jump_levels(edges), own.groupBy("node").agg(F.sum("n_tips").alias("n_tips"), F.sum("_sum").alias("_sum")), ["n_tips", "_sum"])
+    return f.select("node", "n_tips", ratio(F.col("_sum"), F.col("n_tips")).alias("mean"))
 
 
 def sister_contrasts(subs: DataFrame, edges: DataFrame, means: DataFrame, effects: DataFrame) -> DataFrame:
@@ -153,11 +124,15 @@ def sister_contrasts(subs: DataFrame, edges: DataFrame, means: DataFrame, effect
     return s.select("pos", "parent", "child", "sister", "from_aa", "to_aa", (F.col("to_effect") - F.col("from_effect")).alias("effect_change"), (F.col("focal") - F.col("sister_mean")).alias("contrast"))
 
 
-def back_mutations(subs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Flag substitutions above another one at the same position: by (edge, pos) and by edge alone."""
-    below = subs.select("pos", F.col("child").alias("node")).join(closure.select("node", "ancestor"), "node")
-    hit = below.select("pos", F.col("ancestor").alias("child")).distinct().withColumn("_h", F.lit(True))
-    f = subs.join(hit, ["pos", "child"], "left").withColumn("is_above", F.coalesce("_h", F.lit(False))).drop("_h")
+def back_mutations(subs: DataFrame, tree: Tree) -> DataFrame:
+    """Flag substitutions above another one at the same position: by (edge, pos) and by edge alone.
+
+    Below an edge lies what has a number in its node's interval, and the nearest candidate is the position's next
+    substitution in depth-first order.
+    """
+    at = subs.select("pos", F.col("child").alias("node")).distinct().join(tree.index.select("node", "tin", "tout"), "node")
+    hit = lead_value(at, "tin", ["tin"], "_next", ["pos"]).where(F.col("_next") <= F.col("tout")).select("pos", F.col("node").alias("child"), F.lit(True).alias("_h"))
+    f = join_same(subs, hit, ["pos", "child"], "left").withColumn("is_above", F.coalesce("_h", F.lit(False))).drop("_h")
     edge = f.where("is_above").select("child").distinct().withColumn("_e", F.lit(True))
     return f.join(edge, "child", "left").withColumn("edge_is_above", F.coalesce("_e", F.lit(False))).drop("_e")
 
@@ -205,16 +180,8 @@ def upward_pass(edges: DataFrame, tips: DataFrame, cols: Sequence[str], by: Sequ
 
 
 def level_depth(edges: DataFrame) -> DataFrame:
-    """Depth of every node by pointer doubling without the full closure. A cycle raises."""
-    limit, rounds = edges.count(), 0
-    cur = materialize(edges.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.lit(1).alias("depth")))
-    while True:
-        nxt = cur.select(F.col("node").alias("at"), F.col("at").alias("_a"), F.col("depth").alias("_d"))
-        j = cur.join(nxt, "at", "left")
-        if j.where("_a is not null").isEmpty():
-            break
-        rounds = _next_round(rounds, limit)
-        cur = materialize(j.select("node", F.coalesce("_a", "at").alias("at"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
+    """Depth of every node. A cycle raises."""
+    cur = jump_levels(edges)[-1].select("node", "at", F.col("steps").cast("int").alias("depth"))
     root = cur.select(F.col("at").alias("node")).distinct().withColumn("depth", F.lit(0))
     return cur.select("node", "depth").unionByName(root)
 
@@ -267,35 +234,47 @@ def contrast_scan(edges: DataFrame, tip_scores: DataFrame, min_tips: int = 20) -
     return st.join(r, "pos", "left")
 
 
-def trait_clades(index: DataFrame, closure: DataFrame, tips: DataFrame, passes: str, min_tips: int = 3) -> DataFrame:
-    """Maximal internal clades all of whose tips pass."""
-    b = closure.join(tips.select("node", F.col(passes).cast("int").alias("_ok")), "node").groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_tips"), F.min("_ok").alias("_all"))
-    q = b.where((F.col("n_tips") >= min_tips) & (F.col("_all") == 1)).select("node", "n_tips")
-    under = closure.join(q.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").select("node").distinct()
-    return q.join(under, "node", "left_anti")
+def trait_clades(tree: Tree, tips: DataFrame, passes: str, min_tips: int = 3) -> DataFrame:
+    """Maximal internal clades all of whose tips with a value pass."""
+    is_ = lambda test, out: F.count_if(test).alias(out)
+    own = tips.groupBy("node").agg(F.count("*").alias("n_tips"), is_(F.col(passes), "_yes"), is_(~F.col(passes), "_no"))
+    f = fold_below(tree.levels, own, ["n_tips", "_yes", "_no"])
+    q = f.where((F.col("n_tips") >= min_tips) & (F.col("_no") == 0) & (F.col("_yes") > 0)).join(tree.index.where(~F.col("is_tip")).select("node", "parent"), "node")
+    # where a node further up qualifies, so does the parent, whose tips lie between
+    return q.join(q.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", "n_tips")
 
 
-def select_holdout_clades(index: DataFrame, closure: DataFrame, target: float = 0.15, lo: int = 10, hi: int = 30, seed: int = 42) -> DataFrame:
+def select_holdout_clades(tree: Tree, target: float = 0.15, lo: int = 10, hi: int = 30, seed: int = 42) -> DataFrame:
     """Hash-shuffled greedy choice of non-overlapping clades of lo..hi tips until the target share of tips.
 
-    Two clades overlap only when one holds the other, so each round accepts every
-    candidate that comes first among its undecided relatives.
+    Two clades overlap only when one holds the other, so each round accepts every candidate that comes first among its
+    undecided relatives.  Nodes with the same tips (chains without branches) are one candidate, the first of them; the
+    others then nest with growing tip counts, so a candidate has at most hi - lo relatives above it.
     """
-    n = index.where("is_tip").count()
-    cand = materialize(index.where(F.col("n_tips").between(lo, hi) & ~F.col("is_tip")).select("node", "n_tips", F.xxhash64("node", F.lit(seed)).alias("ord")))
-    rel = closure.join(cand.select(F.col("node").alias("ancestor")), "ancestor", "left_semi").join(cand.select("node"), "node", "left_semi").select(F.col("ancestor").alias("a"), F.col("node").alias("b"))
+    tips = tree.index.where("is_tip").select("node", "tin")
+    n = tips.count()
+    first_tip = suffix_min(tree.index, F.when(F.col("is_tip"), F.col("tin")), ["tin"], "first_tip")
+    inner = materialize(first_tip.where(F.col("n_tips").between(lo, hi) & ~F.col("is_tip")).select("node", "parent", "n_tips", "first_tip", draw("node", seed=seed).alias("ord")))
+    clade = ["n_tips", "first_tip"]
+    cand = materialize(inner.groupBy(*clade).agg(F.min(F.struct("ord", "node")).alias("_m")).select(*clade, "_m.ord", "_m.node"))
+    of = inner.select(F.col("node").alias("_member"), *clade).join(cand, clade).select("_member", F.col("node").alias("_clade"))
+    up = inner.select(F.col("node").alias("_member"), F.col("parent").alias("_p")).join(of, "_member").select(F.col("_p").alias("_member"), F.col("_clade").alias("child"))
+    links = up.join(of, "_member").select(F.col("_clade").alias("parent"), "child", F.lit(1.0).alias("length")).where("parent <> child").distinct()
+    rel = ancestor_closure(materialize(links)).select(F.col("ancestor").alias("a"), F.col("node").alias("b"))
     rel = materialize(rel.union(rel.select("b", "a")))
+    cand = cand.select("node", "n_tips", "ord")
     undecided, chosen = cand, None
     while not undecided.isEmpty():
         u = undecided.select(F.col("node").alias("b"), F.col("ord").alias("_ob"))
-        blocked = rel.join(undecided.select(F.col("node").alias("a"), F.col("ord").alias("_oa")), "a").join(u, "b").where("_ob < _oa").select(F.col("a").alias("node")).distinct()
+        first = F.struct("_ob", "b") < F.struct("_oa", "a")
+        blocked = rel.join(undecided.select(F.col("node").alias("a"), F.col("ord").alias("_oa")), "a").join(u, "b").where(first).select(F.col("a").alias("node")).distinct()
         take = materialize(undecided.join(blocked, "node", "left_anti"))
         chosen = take if chosen is None else chosen.union(take)
         gone = rel.join(take.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).union(take.select("node")).distinct()
         undecided = materialize(undecided.join(gone, "node", "left_anti"))
     if chosen is None:
-        return cand
-    r = running_sums(chosen, {"cum_tips": F.col("n_tips")}, ["ord"])
+        return cand.select("node", "n_tips", F.col("n_tips").alias("cum_tips"))
+    r = running_sums(chosen, {"cum_tips": F.col("n_tips")}, ["ord", "node"])
     return r.where(F.col("cum_tips") - F.col("n_tips") < int(n * target)).select("node", "n_tips", "cum_tips")
 
 
@@ -317,32 +296,32 @@ def transition_matrix(counts: DataFrame, cls: str, frm: str, to: str) -> DataFra
                                            F.concat_ws("-", frm, to).isin(sc.CONSERVATIVE_PAIRS).alias("is_conservative"))
 
 
-def downstream_mean(closure: DataFrame, values: DataFrame, x: str, max_steps: int = 3) -> DataFrame:
+def downstream_mean(edges: DataFrame, values: DataFrame, x: str, max_steps: int = 3) -> DataFrame:
     """Mean value of the descendants at most `max_steps` below each node."""
-    return (closure.where(F.col("steps") <= max_steps).join(values.select("node", x), "node").groupBy(F.col("ancestor").alias("node"))
+    return (near_ancestors(edges, max_steps).join(values.select("node", x), "node").groupBy(F.col("ancestor").alias("node"))
             .agg(F.count("*").alias("n"), F.avg(x).alias("mean_below")))
 
 
-def ancestor_trend(closure: DataFrame, values: DataFrame, x: str, n_ancestors: int = 5) -> DataFrame:
+def ancestor_trend(edges: DataFrame, values: DataFrame, x: str, n_ancestors: int = 5) -> DataFrame:
     """Slope of a value along a node and its nearest ancestors, positive towards the node."""
-    up = closure.where(F.col("steps") <= n_ancestors).select("node", F.col("ancestor").alias("_a"), "steps").join(values.select(F.col("node").alias("_a"), x), "_a").select("node", "steps", x)
+    up = near_ancestors(edges, n_ancestors).select("node", F.col("ancestor").alias("_a"), "steps").join(values.select(F.col("node").alias("_a"), x), "_a").select("node", "steps", x)
     own = values.select("node", F.lit(0).alias("steps"), x)
     g = up.unionByName(own).groupBy("node").agg(F.count("*").alias("n"), (-slope(F.col(x), F.col("steps").cast("double"))).alias("trend"))
     return g.where("n >= 2")
 
 
-def patristic_distance(pairs: DataFrame, a: str, b: str, index: DataFrame, closure: DataFrame) -> DataFrame:
+def patristic_distance(pairs: DataFrame, a: str, b: str, tree: Tree) -> DataFrame:
     """Path length between the two nodes of each given pair: d_a + d_b - 2 d_mrca."""
-    anc = closure.select("node", "ancestor").union(index.select("node", F.col("node").alias("ancestor")))
-    j = pairs.select(a, b).distinct().join(anc.select(F.col("node").alias(a), "ancestor"), a).join(anc.select(F.col("node").alias(b), "ancestor"), [b, "ancestor"])
-    m = j.join(index.select(F.col("node").alias("ancestor"), "root_dist"), "ancestor").groupBy(a, b).agg(F.max("root_dist").alias("_m"))
-    d = lambda k, o: index.select(F.col("node").alias(k), F.col("root_dist").alias(o))
-    return m.join(d(a, "_da"), a).join(d(b, "_db"), b).select(a, b, (F.col("_da") + F.col("_db") - 2 * F.col("_m")).alias("distance"))
+    p = pairs.select(a, b).distinct()
+    members = p.select(a, b, F.explode(F.array(a, b)).alias("node"))
+    m = common_ancestors(members, [a, b], tree)
+    d = lambda k, o: tree.index.select(F.col("node").alias(k), F.col("root_dist").alias(o))
+    return m.join(d(a, "_da"), a).join(d(b, "_db"), b).join(d("mrca", "_m"), "mrca").select(a, b, (F.col("_da") + F.col("_db") - 2 * F.col("_m")).alias("distance"))
 
 
-def monophyly(groups: DataFrame, label: str, index: DataFrame, closure: DataFrame) -> DataFrame:
+def monophyly(groups: DataFrame, label: str, tree: Tree) -> DataFrame:
     """Whether the tips of each label are exactly one clade."""
-    m = mrca(groups, [label], index, closure)
+    m = mrca(groups, [label], tree)
     return m.select(label, F.col("n_members"), "mrca", "clade_tips", (F.col("n_members") == F.col("clade_tips")).alias("is_monophyletic"))
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeloom.operators import assoc as az, matrix as mx, stats as sx, tree as tr
+from cladeloom.operators import assoc as az, jumps, matrix as mx, stats as sx, tree as tr
 from cladeloom.plans import sqlstat as q, views as v
 from cladeloom.plans.q_matrix import _LOC, _MOR, _loc
 from cladeloom.plans.q_stats import r_
@@ -29,25 +29,19 @@ def tips(s, d):
     return t.join(table(s, d, "customer").select((F.col("c_custkey") + 1).alias("node"), F.col("c_acctbal").alias("x")), "node")
 
 
-def _clo(s, d):
-    return tr.ancestor_closure(v.edges(s, d))
-
-
-def _ix(s, d):
-    e = v.edges(s, d)
-    c = tr.ancestor_closure(e)
-    return e, c, tr.tree_index(e, c)
+def _tree(s, d):
+    return jumps.grow(v.edges(s, d))
 
 
 @query("ancestor_descendant_join", f"with {_T} select ancestor, node, steps::int as steps, round(length, 6) as length from v_clo")
 def _(s, d):
-    return r_(_clo(s, d))
+    return r_(tr.ancestor_closure(v.edges(s, d)))
 
 
 @query("tree_index", f"""
 with {_IX} select node, is_tip::int as is_tip, depth::int as depth, round(root_dist, 6) as root_dist, n_tips::bigint as n_tips, tin::bigint as tin, (tin + sz - 1)::bigint as tout from v_ix""")
 def _(s, d):
-    _, _, ix = _ix(s, d)
+    ix = _tree(s, d).index
     return r_(ix.select("node", F.col("is_tip").cast("int").alias("is_tip"), "depth", "root_dist", "n_tips", F.col("tin").cast("bigint").alias("tin"), F.col("tout").cast("bigint").alias("tout")))
 
 
@@ -114,14 +108,12 @@ def _groups(s, d):
 @query("mrca_depth", f"""
 with {_IX}, {_MRCA} select grp, n as n_members, mrca, depth::int as mrca_depth, round(root_dist, 6) as mrca_dist, n_tips::bigint as clade_tips from m join v_ix on node = mrca""")
 def _(s, d):
-    _, c, ix = _ix(s, d)
-    return r_(tr.mrca(_groups(s, d), ["grp"], ix, c))
+    return r_(tr.mrca(_groups(s, d), ["grp"], _tree(s, d)))
 
 
 @query("monophyly_check", f"with {_IX}, {_MRCA} select grp, n as n_members, mrca, n_tips::bigint as clade_tips, (n = n_tips)::int as is_monophyletic from m join v_ix on node = mrca")
 def _(s, d):
-    _, c, ix = _ix(s, d)
-    return tr.monophyly(_groups(s, d), "grp", ix, c).withColumn("is_monophyletic", F.col("is_monophyletic").cast("int"))
+    return tr.monophyly(_groups(s, d), "grp", _tree(s, d)).withColumn("is_monophyletic", F.col("is_monophyletic").cast("int"))
 
 
 _CM = "cm as (select node, count(*) as n_tips, avg(x) as mean from (select ancestor as node, x from v_anc join v_tip using (node) union all select node, x from v_tip) group by 1)"
@@ -131,7 +123,7 @@ _CM = "cm as (select node, count(*) as n_tips, avg(x) as mean from (select ances
 with {_T}, {_CM} select c.node, c.n_tips, round(c.mean + 1e-7, 5) as mean, (c.mean > p.mean)::int as above_parent from cm c left join v_edges on child = c.node left join cm p on p.node = parent""")
 def _(s, d):
     e = v.edges(s, d)
-    m = tr.clade_means(tr.ancestor_closure(e), tips(s, d), "x")
+    m = tr.clade_means(e, tips(s, d), "x")
     par = e.select(F.col("child").alias("node"), "parent").join(m.select(F.col("node").alias("parent"), F.col("mean").alias("pm")), "parent")
     return r_(m.join(par, "node", "left").select("node", "n_tips", (F.col("mean") + 1e-7).alias("mean"), (F.col("mean") > F.col("pm")).cast("int").alias("above_parent")), 5)
 
@@ -149,7 +141,7 @@ with {_T}, {_CM}, {_SUB}, {_EFF} select s.pos, s.parent, s.child, o.child as sis
 from sub s join v_edges o on o.parent = s.parent and o.child <> s.child join cm a on a.node = s.child join cm b on b.node = o.child join eff f on f.pos = s.pos and f.aa = from_aa join eff t on t.pos = s.pos and t.aa = to_aa""")
 def _(s, d):
     e = v.edges(s, d)
-    m = tr.clade_means(tr.ancestor_closure(e), tips(s, d), "x")
+    m = tr.clade_means(e, tips(s, d), "x")
     return r_(tr.sister_contrasts(subs(s, d), e, m, _effects(s, d)).withColumn("contrast", F.col("contrast") + 1e-7), contrast=5)
 
 
@@ -157,7 +149,7 @@ def _(s, d):
 with {_T}, {_SUB}, h as (select distinct b.pos, a.ancestor as child from sub b join v_anc a on a.node = b.child), f as (select s.pos, s.parent, s.child, (h.child is not null) as x from sub s left join h on h.pos = s.pos and h.child = s.child)
 select pos, parent, child, x::int as is_above, (bool_or(x) over (partition by child))::int as edge_is_above from f""")
 def _(s, d):
-    b = tr.back_mutations(subs(s, d), _clo(s, d))
+    b = tr.back_mutations(subs(s, d), _tree(s, d))
     return b.select("pos", "parent", "child", F.col("is_above").cast("int").alias("is_above"), F.col("edge_is_above").cast("int").alias("edge_is_above"))
 
 
@@ -185,14 +177,20 @@ def _(s, d):
 with {_T}, b as (select ancestor as node, count(*) as n_tips, min((x > 0)::int) as ok from v_anc join v_tip using (node) group by 1), k as (select node, n_tips from b where ok = 1 and n_tips >= 3)
 select node, n_tips from k where not exists (select 1 from v_anc a join k o on o.node = a.ancestor where a.node = k.node)""")
 def _(s, d):
-    _, c, ix = _ix(s, d)
-    return tr.trait_clades(ix, c, tips(s, d).withColumn("ok", F.col("x") > 0), "ok", 3)
-
-
-@query("select_holdout_clades")
+    return tr.trait_clades(_tree(s, d), tips(s, d).withColumn("ok", F.col("x") > 0), "ok", 3)
+
+
+# the greedy choice in hash order, one candidate a step
+@query("select_holdout_clades", f"""
+with recursive {_IX}, cand as (select node, n_tips, tin, tin + sz - 1 as tout, row_number() over (order by ('0x' || substr(md5(node || '|42'), 1, 13))::bigint, node) as k from v_ix where not is_tip and n_tips between 10 and 30),
+g as (select 0::bigint as k, []::bigint[] as starts, []::bigint[] as ends
+  union all select c.k, case when hit then starts else list_append(starts, c.tin::bigint) end, case when hit then ends else list_append(ends, c.tout::bigint) end
+  from (select g.starts, g.ends, c.*, len(list_filter(list_zip(g.starts, g.ends), lambda z: z[1] <= c.tout and c.tin <= z[2])) > 0 as hit from g join cand c on c.k = g.k + 1) c),
+last as (select starts, ends from g order by k desc limit 1),
+ch as (select c.* from cand c join (select unnest(starts) as tin, unnest(ends) as tout from last) u using (tin, tout)), cu as (select node, n_tips, sum(n_tips) over (order by k) as cum from ch)
+select node, n_tips::bigint as n_tips, cum::bigint as cum_tips from cu where cum - n_tips < (select floor(count(*) * 0.15) from v_node where is_tip)""")
 def _(s, d):
-    _, c, ix = _ix(s, d)
-    return tr.select_holdout_clades(ix, c)
+    return tr.select_holdout_clades(_tree(s, d))
 
 
 @query("sister_tip_pairs", f"""
@@ -221,7 +219,7 @@ def _(s, d):
     e = v.edges(s, d)
     val = table(s, d, "customer").select((F.col("c_custkey") + 1).alias("node"), F.col("c_acctbal").alias("x"))
     l = tr.trait_shifts(e, val, "x")
-    b = tr.downstream_mean(tr.ancestor_closure(e), val, "x", 3).select(F.col("node").alias("child"), "mean_below")
+    b = tr.downstream_mean(e, val, "x", 3).select(F.col("node").alias("child"), "mean_below")
     j = l.join(val.withColumnRenamed("node", "child"), "child").join(b, "child", "left")
     return r_(j.groupBy("direction").agg(v.count_as(), F.avg("change").alias("mean_change"), F.count("mean_below").alias("n_with_descendants"), F.avg(F.col("mean_below") - F.col("x")).alias("mean_after")), 5)
 
@@ -231,7 +229,7 @@ with {_T}, val as (select c_custkey + 1 as node, c_acctbal as x from customer),
 select node, count(*) as n, round(-regr_slope(x, steps), 5) + 0.0 as trend from p group by 1 having count(*) >= 2""")
 def _(s, d):
     val = table(s, d, "customer").select((F.col("c_custkey") + 1).alias("node"), F.col("c_acctbal").alias("x"))
-    return r_(tr.ancestor_trend(_clo(s, d), val, "x"), 5)
+    return r_(tr.ancestor_trend(v.edges(s, d), val, "x"), 5)
 
 
 @query("patristic_distance", f"""
@@ -239,10 +237,9 @@ with {_IX}, u as (select node, ancestor from v_anc union select node, node from
 m as (select a, b, max(i.root_dist) as m from p join u x on x.node = a join u y on y.node = b and y.ancestor = x.ancestor join v_ix i on i.node = x.ancestor group by 1, 2)
 select a, b, round(x.root_dist + y.root_dist - 2 * m, 6) as distance from m join v_ix x on x.node = a join v_ix y on y.node = b""")
 def _(s, d):
-    _, c, ix = _ix(s, d)
     t = tips(s, d).select("node")
     p = t.select(F.col("node").alias("a"), (F.col("node") + 1).alias("b")).join(t.select(F.col("node").alias("b")), "b", "left_semi")
-    return r_(tr.patristic_distance(p, "a", "b", ix, c))
+    return r_(tr.patristic_distance(p, "a", "b", _tree(s, d)))
 
 
 @query("residual_autocorrelation", f"with {_LOC.replace('c_acctbal * 0.01e0 + c_custkey % 13 as x from customer', 'x - regr_slope(x, t) over () * t - regr_intercept(x, t) over () as x from (select *, (c_mktsegment = ' + chr(39) + 'BUILDING' + chr(39) + ')::int::double as x, c_acctbal as t from customer)')}"
@@ -287,8 +284,8 @@ select count(*) as n_edges, round(avg(length), 6) as mean_length, round(median(l
   count(*) filter (length < 0.2) as n_near_zero, count(*) filter (length > q) as n_long, round(min(root_dist) filter (is_tip), 6) as min_root_to_tip, round(max(root_dist) filter (is_tip), 6) as max_root_to_tip,
   0::bigint as n_polytomies from v_edges join v_ix on node = child, q""")
 def _(s, d):
-    e, _, ix = _ix(s, d)
-    return r_(tr.branch_diagnostics(e, ix, 0.2))
+    t = _tree(s, d)
+    return r_(tr.branch_diagnostics(t.edges, t.index, 0.2))
 
 
 @query("clamp_branches", f"with {v.EDGES} select child, round(greatest(length, 1.0), 6) as length from v_edges")

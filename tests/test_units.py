@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeloom.functions import names as nm, scales as sc, sequence as sq, special as sp
-from cladeloom.operators import aggregates as ag, assoc as az, filters as fl, joins as jn, matrix as mx, ordered as od, pairs as pr, sequences as so, sets as st, sites as si, stats as sx, structure as sr, tree as tr
+from cladeloom.operators import aggregates as ag, assoc as az, filters as fl, joins as jn, jumps, matrix as mx, ordered as od, pairs as pr, sequences as so, sets as st, sites as si, stats as sx, structure as sr, tree as tr
 
 
 def one(spark, col):
@@ -244,7 +244,7 @@ def test_uneven_tree_closure(spark):
             want.add((a, k, s))
             a, s = par.get(a), s + 1
     assert {(r.ancestor, r.node, r.steps) for r in c.collect()} == want
-    ix = {r.node: r for r in tr.tree_index(edges, c).collect()}
+    ix = {r.node: r for r in jumps.grow(edges).index.collect()}
     for a, k, _ in want:
         assert ix[a].tin < ix[k].tin and ix[k].tout <= ix[a].tout
     assert sorted(r.tin for r in ix.values()) == list(range(8))
@@ -338,8 +338,7 @@ def test_permutation_is_reproducible_and_calibrated(spark):
 def test_holdout_clades_do_not_overlap(spark):
     rng = np.random.default_rng(11)
     edges = spark.createDataFrame(_tree(511, rng), "parent bigint, child bigint, length double")
-    c = tr.ancestor_closure(edges)
-    h = [r.node for r in tr.select_holdout_clades(tr.tree_index(edges, c), c, 0.2, 3, 10).collect()]
+    h = [r.node for r in tr.select_holdout_clades(jumps.grow(edges), 0.2, 3, 10).collect()]
     anc = lambda k: {k >> j for j in range(1, 12)}
     assert h and not any(a in anc(b) for a in h for b in h)
 
@@ -442,3 +441,71 @@ def test_pair_quantile_without_pairs(spark):
 def test_log_gamma_at_every_size():
     x = np.array([0.5, 1, 2, 3.5, 10, 100, 1e4, 1e7, 1e12])
     assert np.allclose(sp.lgamma(x), [math.lgamma(a) for a in x], rtol=1e-13, atol=1e-13)
+
+
+def test_ladder_and_forest_by_jump_pointers(spark):
+    rng = np.random.default_rng(21)
+    n = 2000
+    names = rng.permutation(10 * n)[:n + 40]
+    parent = {int(names[i]): int(names[i - 1]) for i in range(1, n)}  # a ladder
+    parent |= {int(names[n + j]): int(names[rng.integers(0, n)]) for j in range(30)}  # with side branches
+    parent |= {int(names[n + j]): int(names[n + 30]) for j in range(31, 40)}  # and a second tree, a star
+    edges = spark.createDataFrame([(p, c, 0.5) for c, p in parent.items()], "parent bigint, child bigint, length double")
+    t = jumps.grow(edges)
+    ix = {r.node: r for r in t.index.collect()}
+
+    def path(k):
+        out = [k]
+        while out[-1] in parent:
+            out.append(parent[out[-1]])
+        return out
+
+    inner = set(parent.values())
+    below, tips, height = defaultdict(int), defaultdict(int), defaultdict(int)
+    for k in ix:
+        for s, a in enumerate(path(k)):
+            below[a] += 1
+            tips[a] += k not in inner
+            height[a] = max(height[a], s)
+    assert len(ix) == n + 40 and sorted(r.tin for r in ix.values()) == list(range(n + 40))
+    for k, r in ix.items():
+        assert (r.depth, r.height, r.n_tips, r.tout - r.tin + 1, r.root_dist) == (len(path(k)) - 1, height[k], tips[k], below[k], 0.5 * (len(path(k)) - 1))
+        if k in parent:
+            assert ix[parent[k]].tin < r.tin and r.tout <= ix[parent[k]].tout
+    rows = [(g, int(names[i])) for g in range(40) for i in rng.integers(0, n + 30, size=1 + g % 4)] + [(99, int(names[0])), (99, int(names[n + 35]))]
+    got = {r.g: (r.mrca, r.n_members) for r in tr.mrca(spark.createDataFrame(rows, "g int, node bigint"), ["g"], t).collect()}
+    for g in range(40):
+        members = [k for h, k in rows if h == g]
+        common = set.intersection(*[set(path(k)) for k in members])
+        assert got[g] == (max(common, key=lambda a: len(path(a))), len(members))
+    assert 99 not in got  # nothing in common
+    value = {k: float(rng.normal()) for k in ix if k not in inner}
+    means = {r.node: (r.n_tips, r.mean) for r in tr.clade_means(edges, spark.createDataFrame(list(value.items()), "node bigint, x double"), "x").collect()}
+    sums = defaultdict(float)
+    for k, x in value.items():
+        for a in path(k):
+            sums[a] += x
+    assert all(means[k][0] == tips[k] and abs(means[k][1] - sums[k] / tips[k]) < 1e-9 for k in ix)
+    sub = [(p, c) for p in (1, 2) for c in map(int, rng.choice(list(parent), 60, replace=False))] + [(1, next(iter(parent)))] * 2
+    flags = {(r.pos, r.child): (r.is_above, r.edge_is_above) for r in tr.back_mutations(spark.createDataFrame(sub, "pos int, child bigint"), t).collect()}
+    above = {(p, c): any(q == p and e != c and c in path(e) for q, e in sub) for p, c in sub}
+    assert flags == {(p, c): (above[p, c], any(f for (_, e), f in above.items() if e == c)) for p, c in sub}
+
+
+def test_holdout_clades_follow_the_order(spark):
+    rng = np.random.default_rng(31)
+    parent = {k: int(rng.integers(max(1, k - 12), k)) for k in range(2, 260)}  # with chains of one child
+    edges = spark.createDataFrame([(p, c, 1.0) for c, p in parent.items()], "parent bigint, child bigint, length double")
+    t = jumps.grow(edges)
+    ix = {r.node: r for r in t.index.collect()}
+    lo, hi, target = 3, 12, 0.4
+    from cladeloom.functions.arith import draw
+    order = {r.node: r.o for r in t.index.select("node", draw("node").alias("o")).collect()}
+    chosen, cum, want = [], 0, []
+    for k in sorted((k for k, r in ix.items() if not r.is_tip and lo <= r.n_tips <= hi), key=lambda k: (order[k], k)):
+        if not any(ix[k].tin <= ix[c].tout and ix[c].tin <= ix[k].tout for c in chosen):
+            chosen.append(k)
+            if cum < int(target * sum(r.is_tip for r in ix.values())):
+                cum += ix[k].n_tips
+                want.append((k, ix[k].n_tips, cum))
+    assert [tuple(r) for r in tr.select_holdout_clades(t, target, lo, hi).orderBy("cum_tips").collect()] == want
