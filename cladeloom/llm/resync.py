@@ -66,7 +66,7 @@ class JsonVocabulary:
                         and all(_local_splitter(s) for s in _steps(spec["pre_tokenizer"], "pretokenizers")))
 
     def sizes(self, texts: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def window(self, text: str, begin: int, end: int) -> Window:
         e = self.tokenizer.encode(text[begin:end], add_special_tokens=False)
