@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeloom.llm.text import SPACE, U64, prefix_hash, ranges, rows_of, scan, shingle_hash, span_hash, string_buffers, word_spans
+from cladeloom.llm.text import SPACE, U64, ranges, rows_of, scan, shingle_hash, string_buffers, word_hash, word_spans
 from cladeloom.session import materialize
 
 REPEAT_WORDS = 8
@@ -157,7 +157,7 @@ def measure(docs: DataFrame, piece_path: str, byte_path: str, pattern: str, carr
             buf, offsets = string_buffers(texts)
             raw = buf.tobytes()
             starts, ends, first = word_spans(buf, offsets)
-            codes = span_hash(prefix_hash(buf), starts, ends)
+            codes = word_hash(buf, starts, ends)
             n_words = np.diff(first)
             chars = sums(((buf & 0xC0) != 0x80) & ~SPACE[buf], offsets)
             distinct, at, of = np.unique(codes, return_index=True, return_inverse=True)

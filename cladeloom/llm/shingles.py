@@ -5,7 +5,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from cladeloom.llm.text import LOWER_VALUES, U64, mix, powers, prefix_hash, ranges, rows_of, shingle_hash, span_hash, word_spans
+from cladeloom.llm.text import LOWER_VALUES, U64, mix, powers, ranges, rows_of, shingle_hash, word_hash, word_spans
 
 
 @dataclass
@@ -34,7 +34,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = 5, seed: int
     """Words are maximal runs without ASCII white space, A-Z lowered; a row with fewer than `width` words, but
     not none, has its whole sequence as the one shingle."""
     starts, ends, first = word_spans(buf, offsets)
-    codes = span_hash(prefix_hash(buf, LOWER_VALUES), starts, ends)
+    codes = word_hash(buf, starts, ends, LOWER_VALUES)
     words = np.diff(first)
     n = np.where(words >= width, words - width + 1, np.minimum(words, 1))
     row = rows_of(n)

@@ -1,6 +1,7 @@
 """Whole-text helpers for Arrow tasks: bounded slices, word spans and polynomial hashes."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: One pseudo-random 64-bit value for each byte value.
 BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Words of this many bytes or more are known by a BLAKE2 digest.
+LONG_BYTES = 64
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 LOWER_VALUES = BYTE_VALUES[_LOWER]
@@ -70,6 +73,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+def word_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """Position-free hash of each word that may stand for the word. Modulo 2**64 some long spans are equal whatever the
+    base (a Thue-Morse word of 1,024 letters and its complement), so long words take a BLAKE2 digest."""
+    codes = span_hash(prefix_hash(buf, values), start, end)
+    for i in np.flatnonzero(end - start >= LONG_BYTES).tolist():
+        word = buf[start[i]:end[i]].tobytes()
+        codes[i] = int.from_bytes(hashlib.blake2b(word.lower() if values is LOWER_VALUES else word, digest_size=8).digest(), "little")
+    return codes
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1) of a string or binary column; a null has no bytes."""
     if column.null_count:

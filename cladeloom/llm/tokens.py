@@ -13,7 +13,7 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
-from cladeloom.llm.text import BYTE_VALUES, LOWER_VALUES, U64, prefix_hash, ranges, span_hash, word_spans
+from cladeloom.llm.text import LOWER_VALUES, U64, ranges, word_hash, word_spans
 
 MEMORY_PARTS = 1_000_000
 #: Words end at these bytes; any other white space stays within a "word" and is left to the tokenizer.
@@ -124,10 +124,10 @@ def cut(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     second = ranges(count) == 1
     begin = np.where(second, core[word], starts[word])
     stop = np.where(second | ~two[word], ends[word], core[word])
-    keys = span_hash(prefix_hash(buf, LOWER_VALUES), begin, stop) + (stop - begin).astype(U64) * U64(0x9E3779B97F4A7C15)
+    keys = word_hash(buf, begin, stop, LOWER_VALUES) + (stop - begin).astype(U64) * U64(0x9E3779B97F4A7C15)
     if special.any():  # case matters in special tokens
         of = special[word]
-        keys[of] = span_hash(prefix_hash(buf, BYTE_VALUES), begin[of], stop[of]) * U64(0xD6E8FEB86659FD93) + U64(1)
+        keys[of] = word_hash(buf, begin[of], stop[of]) * U64(0xD6E8FEB86659FD93) + U64(1)
     return begin, stop, count, keys
 
 

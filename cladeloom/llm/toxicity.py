@@ -18,6 +18,7 @@ columns do not matter.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.labels import labelled_sample
-from cladeloom.llm.text import column, prefix_hash, scan, slices, span_hash, string_buffers, word_spans
+from cladeloom.llm.text import column, scan, slices, string_buffers, word_hash, word_spans
 
 #: Symbols of the character model: 26 letters, other letters, blank, digit, other sign.
 OTHER, BLANK, DIGIT, SIGN, SIZE = 26, 27, 28, 29, 30
@@ -47,7 +48,10 @@ DOUBLE = re.compile(r"([^\W\d_])\1")
 WORDS = re.compile(r"[^\W_]+")
 LIKE_LETTER = re.compile("[^\\W\\d_]|[" + re.escape("".join(LEET)) + "]")
 LIKE_WORD = re.compile("[^\\W\\d_]|[" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]")
+RUN = re.compile(r"(.)\1*", re.DOTALL)
 MEMORY = 400_000
+#: Readings of a word of letters that are priced one by one.
+MAX_READINGS = 64
 BEGINNINGS = (4, 5, 6, 7)
 #: Characters of a word by which it is known as a whole.
 WHOLE = 64
@@ -165,6 +169,37 @@ def _decode(texts: list[str], costs: np.ndarray) -> list[str]:
     return out
 
 
+def plain_readings(word: str) -> list[tuple[float, str]] | None:
+    """(cost of the letters left out, reading) of a word of letters: of each run of one letter any number may be left
+    out, those far from its beginning first, so the lattice's best reading is among these. None if there are too many."""
+    runs = [(m.group(), m.end() - m.start()) for m in RUN.finditer(word)]
+    if math.prod(n for _, n in runs) > MAX_READINGS:
+        return None
+    out = [(0.0, "")]
+    for run, n in runs:
+        # leaving out k of the n - 1 further letters: all but the second cost AGAIN, the second TWICE
+        ways = [(k * AGAIN if k < n - 1 else (n - 2) * AGAIN + TWICE, run[:n - k]) for k in range(n)] if n > 1 else [(0.0, run)]
+        out = [(c + w, x + y) for c, x in out for w, y in ways]
+    return out
+
+
+def decode_plain(words: list[str], costs: list[float]) -> list[str | None]:
+    """The cheapest reading of words of letters, each reading priced as a whole; None where `decode` has to do it."""
+    out: list[str | None] = []
+    for word in words:
+        ways, best = plain_readings(word), None
+        for cost, text in ways or ():
+            codes = [int(x) for x in symbols(text)]
+            a = b = BLANK
+            for c in (*codes, BLANK):
+                cost += costs[a * PAIR + b * SIZE + c]
+                a, b = b, c
+            if best is None or cost < best[0]:
+                best = cost, text
+        out.append(best and best[1])
+    return out
+
+
 def core_of(word: str) -> str:
     """Lower case, without the signs around it."""
     word = word.lower()
@@ -185,14 +220,23 @@ class Reader:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
+        self.flat: list[float] = costs.astype(np.float64).ravel().tolist()
         self.known: dict[int, object] = {}
+        self.restored: dict[str, str] = {}
 
     def read(self, texts: list[str]) -> list[list[str]]:
         """Restored words of each written word or run of letters."""
         cores = [core_of(t).strip() for t in texts]
         hard = [i for i, c in enumerate(cores) if needs_decoding(c)]
-        for i, x in zip(hard, decode([cores[i] for i in hard], self.costs)):
-            cores[i] = x
+        if len(self.restored) > MEMORY:
+            self.restored.clear()
+        new = list({cores[i] for i in hard}.difference(self.restored))
+        letters = [c for c in new if c.isalpha()]
+        self.restored.update((c, x) for c, x in zip(letters, decode_plain(letters, self.flat)) if x is not None)
+        new = [c for c in new if c not in self.restored]
+        self.restored.update(zip(new, decode(new, self.costs)))
+        for i in hard:
+            cores[i] = self.restored[cores[i]]
         return [[c] if c.isalpha() else WORDS.findall(c) for c in cores]
 
     def text_words(self, texts: pa.Array, value) -> tuple[list, np.ndarray, np.ndarray, list[tuple[int, object]]]:
@@ -201,7 +245,7 @@ class Reader:
         buf, offsets = string_buffers(texts)
         raw = buf.tobytes()
         starts, ends, first = word_spans(buf, offsets)
-        codes = span_hash(prefix_hash(buf), starts, ends)
+        codes = word_hash(buf, starts, ends)
         distinct, at, of = np.unique(codes, return_index=True, return_inverse=True)
         known = self.known
         new = [i for i, c in enumerate(distinct.tolist()) if c not in known]
@@ -210,7 +254,9 @@ class Reader:
             new = list(range(len(distinct)))
         if new:
             written = [raw[starts[at[i]]:ends[at[i]]].decode("utf-8", "replace") for i in new]
-            known.update(zip(distinct[new].tolist(), (value(words) for words in self.read(written))))
+            # a word of letters also counts as it is written, so that a wrong restoration hides nothing
+            cores = [core_of(w).strip() for w in written]
+            known.update(zip(distinct[new].tolist(), (value([*words, c] if c.isalpha() and c not in words else words) for words, c in zip(self.read(written), cores))))
         values = [known[c] for c in distinct.tolist()]
         rows = np.searchsorted(first, np.arange(len(starts)), "right") - 1
         lead = buf[starts] if len(starts) else np.zeros(0, np.uint8)
@@ -264,6 +310,13 @@ class Scorer:
     def __init__(self, costs: np.ndarray, lexicon: dict[str, tuple[int, int]], base: float):
         self.costs, self.lexicon, self.base = costs, lexicon, base
         self.nothing = self.logit(0, 0)
+        self.kept: Reader | None = None
+
+    def reader(self) -> Reader:
+        """The worker's reader, kept between tasks."""
+        if self.kept is None:
+            self.kept = Reader(self.costs)
+        return self.kept
 
     def logit(self, toxic: int, clean: int) -> float:
         p = (toxic + SHRINK * self.base) / (toxic + clean + SHRINK)
@@ -351,7 +404,7 @@ def score(docs: DataFrame, model: tuple[Scorer, np.ndarray] | None, carry: list[
         if shared.value is None:
             return lambda texts: [pa.array(np.zeros(len(texts)))]
         scorer, b = shared.value
-        reader = Reader(scorer.costs)
+        reader = scorer.reader()
 
         def work(texts: pa.Array) -> list[pa.Array]:
             z = scorer.evidence(reader, texts, scorer.weight) @ b[:-1] + b[-1]

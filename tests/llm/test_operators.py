@@ -124,6 +124,26 @@ def test_channel_combinations(spark):
     assert runs == [(0, ["moron"]), (1, ["stupid"]), (2, ["idiot"]), (3, ["scum"])]
 
 
+def test_plain_words_are_read_as_by_the_lattice(spark):
+    import random
+    costs = toxicity.character_costs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rng = random.Random(1)
+    words = ["letter", "good", "worthless", "stuuupid", "aaaaab", "bookkeeper", "élle", "éé", "llama", "ſſa"]
+    words += ["".join(rng.choice("aabeelost") for _ in range(rng.randint(2, 12))) for _ in range(400)]
+    words = [w for w in words if toxicity.plain_readings(w) is not None]
+    assert toxicity.decode_plain(words, costs.ravel().tolist()) == toxicity.decode(words, costs)
+    assert toxicity.plain_readings("aabb" * 9) is None
+    seen = []
+    toxicity.Reader(costs).text_words(pa.array(["worthless word"]), lambda ws: seen.append(ws))
+    assert any("worthless" in ws for ws in seen)
+
+
+def test_held_out_toxic_documents_are_found(spark):
+    got = QUERIES["op3_toxicity_noisy_channel"](spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    toxic, clean = ([r["predicted"] for r in got if r["toxic"] == k] for k in (1, 0))
+    assert len(toxic) >= 4 and sum(toxic) >= 0.6 * len(toxic) and sum(clean) <= 0.05 * len(clean)
+
+
 def test_decoding_equals_brute_force(spark):
     import itertools
     costs = toxicity.character_costs(spark.read.parquet(f"{TINY}/documents.parquet")).astype(np.float32)
@@ -156,6 +176,20 @@ def test_toxicity_learns_restores_and_scores(spark, odd, none):
     assert toxicity.drop_toxic(odd, labels(spark, [(None, None, None), (1, None, 1), (2, 0, None)])).columns == odd.columns
 
 
+def test_long_words_with_equal_polynomial_hashes(spark):
+    """A Thue-Morse word of 1,024 letters and its complement are equal modulo 2**64 whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate({97: "b", 98: "a"})
+    docs = spark.createDataFrame([(1, f"{a} x y z"), (2, f"{b} x y z"), (3, f"{a} c d e f g h i {b} c d e f g h i")], "doc_id long, text string")
+    assert [r["n_repeat_words"] for r in sorted(fertility.measure(docs, *PIECE).collect(), key=lambda r: r["row"]["doc_id"])] == [0, 0, 0]
+    want = {r["doc_id"]: cases.crc([*Tokenizer.from_file(VOC).encode(r["text"], add_special_tokens=False).ids, 1]) for r in docs.collect()}
+    path = simple8b.store(docs, VOC)
+    assert {r["doc_id"]: r["ids_crc32"] for r in simple8b.read_ids(spark, path, ids=False).collect()} == want
+    placed, _ = packing.pack(docs, VOC)
+    assert {r["doc_id"]: r["ids_crc32"] for r in placed.where("length = doc_tokens").collect()} == want
+    assert {r["component_id"] for r in jaccard_join.with_components(docs).collect()} == {1, 2, 3}
+
+
 # 4
 
 @pytest.mark.parametrize("seed", range(6))
