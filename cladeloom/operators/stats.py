@@ -242,6 +242,69 @@ def anova_oneway(df: DataFrame, x: str, group: str, by: Sequence[str] = ()) -> D
     return m.withColumn("r2", ratio(F.col("ssb"), F.col("ssb") + F.col("ssw"))).withColumn("p_value", f_p("statistic", F.col("k") - 1, F.col("n") - F.col("k")))
 
 
+def _sweep(m: np.ndarray, k: int) -> None:
+    """Sweeps column k of a cross-product matrix in place: the last diagonal entry becomes the residual sum of squares."""
+    row = m[k] / m[k, k]
+    m -= np.outer(m[:, k], row)
+    m[k] = row
+
+
+def _fit_blocks(m: np.ndarray, blocks: Sequence[range]) -> list[tuple[float, int]]:
+    """(sum of squares explained, degrees of freedom) of each block of columns after those before it."""
+    m, out, scale = m.copy(), [], np.diag(m).copy()
+    for block in blocks:
+        before, df = m[-1, -1], 0
+        for k in block:
+            if m[k, k] > 1e-9 * scale[k]:  # a column that earlier ones give adds nothing
+                _sweep(m, k)
+                df += 1
+        out.append((max(0.0, float(before - m[-1, -1])), df))
+    return out
+
+
+TERMS = "term string, df bigint, ss double, ss_partial double"
+
+
+def anova_twoway(df: DataFrame, x: str, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Two-way analysis of variance with interaction for unbalanced cells: by..., term, df, ss, ss_partial, ms, statistic, p_value, p_partial.
+
+    `ss` is sequential (a, then b, then a:b), `ss_partial` that of a factor after the other one.  Data is read once, into
+    counts, means and variances of the cells; a group's cells (as many as its level pairs) become one cross-product of
+    indicator columns that is swept in both orders.  Empty cells and columns that others give cost degrees of freedom;
+    a term without any, or a group without residual ones, has NULL statistics.  Rows with a null in x, a or b are left out.
+    """
+    ok = df.where(F.col(x).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = ok.groupBy(*by, a, b).agg(F.count(x).alias("_n"), F.avg(F.col(x).cast("double")).alias("_m"), F.var_pop(F.col(x).cast("double")).alias("_v"))
+    keys = list(by) or ["_all"]
+    cells = cells if by else cells.withColumn("_all", F.lit(0))
+    types = dict(cells.dtypes)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean = pdf["_n"].to_numpy(float), pdf["_m"].to_numpy(float)
+        mean = mean - (n @ mean) / n.sum()
+        ia, ib = (pd.factorize(pdf[c], sort=True)[0] for c in (a, b))
+        na, nb = ia.max() + 1, ib.max() + 1
+        z = np.column_stack([np.ones(len(n)), np.eye(na)[ia], np.eye(nb)[ib], mean])
+        m = (z.T * n) @ z
+        first, second = range(1, 1 + na), range(1 + na, 1 + na + nb)
+        _, (ssa, dfa), (ssb, dfb) = _fit_blocks(m, [range(1), first, second])
+        _, _, (part, _) = _fit_blocks(m, [range(1), second, first])
+        between, within = float(n @ mean ** 2), float(n @ pdf["_v"].to_numpy(float))
+        inter = max(0.0, between - ssa - ssb)
+        dfi = len(n) - 1 - dfa - dfb
+        rows = [(a, dfa, ssa, part), (b, dfb, ssb, ssb), (f"{a}:{b}", dfi, inter if dfi else 0.0, inter if dfi else 0.0), ("residuals", int(n.sum()) - len(n), within, within)]
+        return pd.DataFrame([(*pdf[keys].iloc[0], *r) for r in rows], columns=[*keys, "term", "df", "ss", "ss_partial"])
+
+    out = cells.groupBy(*keys).applyInPandas(fit, ", ".join([*[f"`{k}` {types[k]}" for k in keys], TERMS]))
+    res = out.where("term = 'residuals'").select(*keys, F.col("df").alias("_d"), F.col("ss").alias("_s"))
+    j = join_same(out, res, keys).withColumn("ms", ratio(F.col("ss"), F.col("df")))
+    error = ratio(F.col("_s"), F.col("_d"))
+    f = lambda ss: F.when(F.col("term") != "residuals", ratio(ratio(F.col(ss), F.col("df")), error))
+    j = j.withColumn("statistic", f("ss")).withColumn("_fp", f("ss_partial"))
+    p = lambda c: F.when(F.col(c).isNotNull(), f_p(c, "df", "_d"))
+    return j.select(*by, "term", "df", "ss", "ss_partial", "ms", "statistic", p("statistic").alias("p_value"), p("_fp").alias("p_partial"))
+
+
 def p_adjust(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg and Bonferroni values plus the alpha / n threshold.
 

@@ -197,14 +197,19 @@ def _(s, d):
     return r_(az.top_correlated_features(v.vectors(s, d), "gene", "v", "y", None, 3).select("gene", "dim", "n", "r", "rank_no"))
 
 
-@query("greedy_orthogonal_select", f"""
+@query("greedy_orthogonal_select")
+def _(s, d):
+    return r_(az.greedy_orthogonal(v.vectors(s, d), "gene", "v", "y"))
+
+
+@query("greedy_orthogonal_two_steps", f"""
 with {v.VEC}, u as (select gene, id, y, unnest(v) as x, unnest(range(0, 64)) as dim from v_vec),
 c1 as (select gene, dim, corr(x, y) as r from u group by 1, 2), s1 as (select gene, arg_max(dim, abs(r)) as d1, arg_max(r, abs(r)) as r1 from c1 group by 1),
 p as (select u.gene, u.id, u.y, u.x from u join s1 on u.gene = s1.gene and u.dim = s1.d1), b as (select gene, regr_slope(y, x) as b, regr_intercept(y, x) as a from p group by 1),
-e as (select p.gene, p.id, y - a - b * x as y from p join b using (gene)), c2 as (select u.gene, u.dim, corr(u.x, e.y) as r from u join e on u.id = e.id join s1 on s1.gene = u.gene and u.dim <> s1.d1 group by 1, 2)
-select gene, cast(1 as int) as step, cast(d1 as int) as dim, round(r1, 6) as r from s1 union all select gene, 2, cast(arg_max(dim, abs(r)) as int), round(arg_max(r, abs(r)), 6) from c2 group by 1""")
+e as (select p.gene, p.id, y - a - b * x as y from p join b using (gene)), c2 as (select u.gene, u.dim, corr(u.x, e.y) as r from u join e on u.id = e.id join s1 on s1.gene = u.gene and u.dim <> s1.d1 group by 1, 2), nn as (select gene, count(*) as n from v_vec group by 1)
+select gene, cast(1 as int) as step, cast(d1 as int) as dim, n, round(r1, 6) as r from s1 join nn using (gene) union all select gene, 2, cast(arg_max(dim, abs(r)) as int), any_value(n), round(arg_max(r, abs(r)), 6) from c2 join nn using (gene) group by 1""")
 def _(s, d):
-    return r_(az.greedy_orthogonal(v.vectors(s, d), "gene", "v", "y", 2).drop("n"))
+    return r_(az.greedy_orthogonal(v.vectors(s, d), "gene", "v", "y", 2))
 
 
 @query("grid_search")
@@ -214,7 +219,12 @@ def _(s, d):
     return r_(az.grid_search(v.vectors(s, d), "v", "y", "gene", F.pmod(F.xxhash64("id"), F.lit(10)) < 7, None, grid), 5)
 
 
-@query("group_holdout_cv", f"""
+@query("group_holdout_cv")
+def _(s, d):
+    return r_(az.group_holdout(v.vectors(s, d), "gene", "v", "y"))
+
+
+@query("group_holdout_one_dimension", f"""
 with {v.VEC}, g as (select distinct gene as h from v_vec), m as (select h, count(*) as n, regr_slope(y, v[2]) as b, regr_intercept(y, v[2]) as a from v_vec, g where gene <> h group by 1)
 select h as gene, any_value(n) as n_train, count(*) as n_test, round(sqrt(avg(power(y - a - b * v[2], 2))), 6) as rmse, round(corr(a + b * v[2], y), 6) as r,
   round(1 - sum(power(y - a - b * v[2], 2)) / (var_pop(y) * count(*)), 6) + 0.0 as r2 from v_vec join m on gene = h group by 1""")

@@ -158,6 +158,24 @@ def _(s, d):
     return r_(sx.anova_oneway(table(s, d, "lineitem"), "l_quantity", "l_returnflag", ["l_suppkey"]), ssb=4, ssw=3, r2=8)
 
 
+# two levels in the second factor: its effect beyond the first is one regression of what the first leaves
+@query("anova_twoway", f"""
+with t as (select l_linenumber as g, l_returnflag as a, (l_linestatus = 'F')::int::double as b, l_quantity::double as x from lineitem),
+m as (select *, avg(x) over (partition by g) as gx, avg(x) over (partition by g, a) as ax, avg(b) over (partition by g, a) as ab, avg(b) over (partition by g) as gb, avg(x) over (partition by g, b) as bx, avg(x) over (partition by g, a, b) as cx from t),
+s as (select g, count(*) as n, count(distinct a) as na, count(distinct b) as nb, count(distinct (a, b)) as nc, sum((ax - gx) * (ax - gx)) as ssa, sum((bx - gx) * (bx - gx)) as only_b,
+  sum((b - ab) * (x - ax)) as sxy, sum((b - ab) * (b - ab)) as sbb, sum((cx - gx) * (cx - gx)) as cells, sum((x - cx) * (x - cx)) as ssw from m group by 1),
+u as (select *, case when sbb > 1e-9 then sxy * sxy / sbb else 0 end as ssb, case when sbb > 1e-9 then 1 else 0 end as dfb from s),
+w as (select *, nc - na - dfb as dfi, n - nc as dfr from u),
+r as (select g, 'l_returnflag' as term, na - 1 as df, ssa as ss, ssa + ssb - only_b as part, dfr, ssw from w union all select g, 'l_linestatus', dfb, ssb, ssb, dfr, ssw from w
+  union all select g, 'l_returnflag:l_linestatus', dfi, case when dfi > 0 then cells - ssa - ssb else 0 end, case when dfi > 0 then cells - ssa - ssb else 0 end, dfr, ssw from w
+  union all select g, 'residuals', dfr, ssw, ssw, null, null from w),
+f as (select *, case when df > 0 then ss / df / (ssw / dfr) end as f, case when df > 0 then part / df / (ssw / dfr) end as fp from r)
+select g as l_linenumber, term, df::bigint as df, round(ss, 2) + 0.0 as ss, round(part, 2) + 0.0 as ss_partial, case when df > 0 then round(ss / df, 3) + 0.0 end as ms, round(f, 5) + 0.0 as statistic,
+  round(case when f is not null then {q.f_tail('f', 'df', 'dfr')} end, 5) as p_value, round(case when fp is not null then {q.f_tail('fp', 'df', 'dfr')} end, 5) as p_partial from f""")
+def _(s, d):
+    return r_(sx.anova_twoway(table(s, d, "lineitem"), "l_quantity", "l_returnflag", "l_linestatus", ["l_linenumber"]), 5, ss=2, ss_partial=2, ms=3)
+
+
 @query("cramers_v", f"""
 with {v.SITES}, p as (select x.gene, x.pos as pos_a, y.pos as pos_b, x.allele as a, y.allele as b, count(*)::double as o from v_sites x join v_sites y on x.id = y.id and x.gene = y.gene and x.pos < y.pos
   where x.allele <> '-' and y.allele <> '-' group by all),

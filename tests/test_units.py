@@ -509,3 +509,62 @@ def test_holdout_clades_follow_the_order(spark):
                 cum += ix[k].n_tips
                 want.append((k, ix[k].n_tips, cum))
     assert [tuple(r) for r in tr.select_holdout_clades(t, target, lo, hi).orderBy("cum_tips").collect()] == want
+
+
+def test_anova_twoway_of_unbalanced_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in ("full", "gaps", "nested", "one"):
+        for i in range(90):
+            a, b = (rng.integers(0, 3), rng.integers(0, 4)) if g != "nested" else (lambda k: (k // 2, k))(rng.integers(0, 6))
+            if (g == "gaps" and (a, b) in ((0, 1), (2, 3))) or (g == "one" and (a or i > 3)):
+                continue
+            rows.append((g, f"a{a}", f"b{b}", float(a * 2 - b + a * b * 0.5 + rng.normal()), 1))
+    rows += [("full", None, "b1", 3.0, 1), ("full", "a1", "b1", None, 1)]
+    df = spark.createDataFrame(rows, "g string, a string, b string, x double, term int")
+    got = {(r.g, r.term): r for r in sx.anova_twoway(df, "x", "a", "b", ["g"]).collect()}
+    for g in ("full", "gaps", "nested", "one"):
+        part = [r for r in rows if r[0] == g and None not in r]
+        y = np.array([r[3] for r in part])
+        one_hot = lambda vals: np.array([[v == u for u in sorted(set(vals))] for v in vals], float)
+        za, zb, zc = one_hot([r[1] for r in part]), one_hot([r[2] for r in part]), one_hot([r[1:3] for r in part])
+        ones = np.ones((len(y), 1))
+
+        def fit(*blocks):
+            z = np.hstack([ones, *blocks])
+            return float(((y - z @ np.linalg.lstsq(z, y, rcond=None)[0]) ** 2).sum()), np.linalg.matrix_rank(z)
+
+        r0, ra, rb, rab, rc = fit(), fit(za), fit(zb), fit(za, zb), fit(zc)
+        want = {"a": (r0[0] - ra[0], rb[0] - rab[0], ra[1] - 1), "b": (ra[0] - rab[0], ra[0] - rab[0], rab[1] - ra[1]), "a:b": (rab[0] - rc[0],) * 2 + (rc[1] - rab[1],), "residuals": (rc[0], rc[0], len(y) - rc[1])}
+        for term, (ss, partial, dof) in want.items():
+            r = got[g, term]
+            assert r.df == dof and abs(r.ss - ss) < 1e-7 and abs(r.ss_partial - partial) < 1e-7, (g, term)
+            if term != "residuals" and dof and want["residuals"][2]:
+                f = ss / dof / (rc[0] / want["residuals"][2])
+                assert abs(r.statistic - f) < 1e-6 * max(1, f) and 0 <= r.p_value <= 1
+            else:
+                assert r.statistic is None
+    assert {r.term for r in sx.anova_twoway(df.drop("g"), "x", "a", "b").collect()} == {"a", "b", "a:b", "residuals"}
+
+
+def test_greedy_and_holdout_on_all_dimensions(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(120, 8))
+    y = x @ rng.normal(size=8) + rng.normal(size=120)
+    g = np.arange(120) % 3
+    df = spark.createDataFrame([(int(k), [float(a) for a in r], float(b)) for k, r, b in zip(g, x, y)], "gene int, v array<double>, y double")
+    steps = {(r.gene, r.step): r for r in az.greedy_orthogonal(df, "gene", "v", "y").collect()}
+    held = {r.gene: r for r in az.group_holdout(df, "gene", "v", "y").collect()}
+    for k in range(3):
+        xk, yk, chosen = x[g == k], y[g == k], []
+        for step in range(1, 6):
+            z = np.column_stack([np.ones(40), xk[:, chosen]])
+            e = yk - z @ np.linalg.lstsq(z, yk, rcond=None)[0]
+            r = [0 if j in chosen else np.corrcoef(xk[:, j], e)[0, 1] for j in range(8)]
+            j = int(np.argmax(np.abs(r)))
+            assert (steps[k, step].dim, steps[k, step].n) == (j, 40) and abs(steps[k, step].r - r[j]) < 1e-9
+            chosen.append(j)
+        z = np.column_stack([np.ones(80), x[g != k]])
+        b = np.linalg.lstsq(z, y[g != k], rcond=None)[0]
+        e = yk - np.column_stack([np.ones(40), xk]) @ b
+        assert abs(held[k].rmse - math.sqrt((e ** 2).mean())) < 1e-9 and abs(held[k].r2 - (1 - (e ** 2).sum() / ((yk - yk.mean()) ** 2).sum())) < 1e-9
