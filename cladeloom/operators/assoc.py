@@ -465,3 +465,57 @@ def metrics_by_file(df: DataFrame, file: str, pattern: str, fields: Sequence[str
     b = sx.corr_test(df, pred, y, [file], "spearman").select(file, F.col("estimate").alias("spearman"))
     c = df.groupBy(file).agg(F.sqrt(F.avg((F.col(pred) - F.col(y)) ** 2)).alias("rmse"))
     return a.join(b, file).join(c, file).select(*[t.alias(k) for k, t in tags.items()], "n", "pearson", "spearman", "rmse")
+
+
+def grid_search_genes(df: DataFrame, taxon: str, gene: str, vec: str, y: str, group: str, train: Column, grid: DataFrame) -> DataFrame:
+    """For each parameter row (param, n_genes, n_dims, min_abs_r): training features nested in genes, a linear fit, and the
+    mean within-group Spearman correlation of held-out taxa with its t-test; `is_best` marks the largest mean.
+
+    `df` holds one row per taxon and gene (several are averaged).  Genes are taken by their best dimension's |r| with y
+    over the training rows (at least `min_abs_r`), then the best dimensions inside each; ties by gene and dimension.  The
+    data is read three times whatever the grid: for the correlations, for one cross-product of the at most
+    max(n_genes) x max(n_dims) features any parameter row can choose, and for the predictions.  A taxon without a gene
+    has the gene's training means.  Parameter rows without features have NULL measures.
+    """
+    wide_genes, wide_dims = grid.agg(F.max("n_genes"), F.max("n_dims")).first()
+    r = sx.corr_with(df.where(train & F.col(y).isNotNull()), vec, y, [gene]).where(F.col("r").isNotNull())
+    from cladeloom.operators.sets import top_k_per_group
+    order = F.desc(F.round(F.abs("r"), 10))
+    dims = top_k_per_group(r.select(gene, "dim", "r"), [gene], [order, F.col("dim")], wide_dims, "dim_rank")
+    genes = dims.where("dim_rank = 1").select(gene, "r").orderBy(order, gene).limit(wide_genes)
+    genes = top_k_per_group(genes.withColumn("_one", F.lit(1)), ["_one"], [order, F.col(gene)], wide_genes, "gene_rank").select(gene, "gene_rank", F.abs("r").alias("best"))
+    chosen = dims.join(genes, gene).select(gene, "dim", "dim_rank", "gene_rank", "best")
+    features = materialize(chosen.groupBy().agg(F.array_sort(F.collect_list(F.struct("gene_rank", "dim_rank", "best", F.col(gene).alias("gene"), "dim"))).alias("f")))
+    k = features.select(F.size("f")).first()[0]
+    f = features.select("f").scalar()
+    if not k:
+        none = {"n_features": "int", "train_r2": "double", "n_groups": "bigint", "mean_rho": "double", "statistic": "double", "p_value": "double", "is_best": "boolean"}
+        return grid.select("param", "n_genes", "n_dims", "min_abs_r", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    own = df.where(F.col(y).isNotNull()).withColumn("_f", f).withColumn("_train", train)
+    at = F.filter(F.transform("_f", lambda x, i: F.struct(i.alias("i"), x["gene"].alias("g"), x["dim"].alias("d"))), lambda x: x["g"] == F.col(gene))
+    cells = own.select(taxon, group, "_train", F.col(y).alias("_y"), F.explode(F.transform(at, lambda x: F.struct(x["i"].alias("i"), F.get(F.col(vec), x["d"]).alias("v")))).alias("_c"))
+    per = cells.groupBy(taxon, group, "_train", "_c.i").agg(F.avg("_c.v").alias("v"), F.avg("_y").alias("_y"))
+    mean = per.where("_train").groupBy("i").agg(F.avg("v").alias("v")).agg(F.map_from_entries(F.collect_list(F.struct("i", "v")))).scalar()
+    wide = per.groupBy(taxon, group, "_train").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("_v"), F.avg("_y").alias("_y")).withColumn("_m", mean)
+    wide = materialize(wide.select(group, "_train", "_y", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("_v", i), F.try_element_at("_m", i), F.lit(0.0))).alias("_x")))
+    g = gram(wide.where("_train"), F.concat("_x", F.array("_y"))).select("_gram").scalar()
+
+    def fit(row):
+        _, mean, s = centred(unpack(np.asarray(row["_g"])))
+        use = [i for i, x in enumerate(row["_f"]) if x["gene_rank"] <= row["n_genes"] and x["dim_rank"] <= row["n_dims"] and x["best"] >= row["min_abs_r"]]
+        b = np.zeros(k)
+        if not use:
+            return
+        b[use], _, _ = _solve(s[np.ix_(use, use)], s[use, -1])
+        yield len(use), float(b @ s[:-1, -1] / s[-1, -1]) if s[-1, -1] > 0 else None, float(mean[-1] - b @ mean[:-1]), b.tolist()
+
+    keys = ["param", "n_genes", "n_dims", "min_abs_r"]
+    models = materialize(_expand(grid.withColumn("_g", g).withColumn("_f", f), keys, "n_features int, train_r2 double, intercept double, beta array<double>", fit))
+    packed = models.agg(F.collect_list(F.struct("param", "intercept", "beta"))).scalar()
+    test = wide.where(~F.col("_train")).withColumn("_m", packed).select(group, "_y", "_x", F.explode("_m").alias("m"))
+    pred = test.select(group, "_y", F.col("m.param").alias("param"), (F.col("m.intercept") + vx.dot(F.col("_x"), F.col("m.beta"))).alias("pred"))
+    rho = sx.corr_test(pred, "pred", "_y", ["param", group], "spearman", 3).where("estimate is not null")
+    t = sx.one_sample_t(rho, "estimate", ["param"]).select("param", F.col("n").alias("n_groups"), F.col("estimate").alias("mean_rho"), "statistic", "p_value")
+    top = t.agg(F.max_by("param", F.struct(F.round("mean_rho", 10), -F.col("param")))).scalar()
+    out = grid.select(*keys).join(models.select("param", "n_features", "train_r2"), "param", "left").join(t, "param", "left")
+    return out.withColumn("is_best", F.col("param") == top)

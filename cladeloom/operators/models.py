@@ -1,27 +1,37 @@
 """Model fits that use Spark ML."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cladeloom.functions.arith import ratio
 from cladeloom.operators.stats import classifier_metrics
+from cladeloom.session import materialize
+
+#: Rows whose outer products are formed at a time.
+ROWS_AT_ONCE = 512
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def logistic_fit(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Binomial fit: coefficients, McFadden-style 1 - deviance / null deviance, and AUC in one row."""
     d = df.select(array_to_vector(F.col(vec)).alias("features"), F.col(label).cast("double").alias("label"))
     m = LogisticRegression(maxIter=100, tol=1e-9).fit(d)
-    p = m.transform(d).select("label", vector_to_array("probability")[1].alias("p"))
-    ll = F.sum(F.col("label") * F.log("p") + (1 - F.col("label")) * F.log1p(-F.col("p")))
+    p = m.transform(d).select("label", vector_to_array("probability")[1].alias("p"), vector_to_array("rawPrediction")[1].alias("z"))
+    # from the margin, so that a probability that rounds to 0 or 1 costs nothing or its margin
+    ll = F.sum(F.col("label") * F.col("z") - F.greatest("z", F.lit(0.0)) - F.log1p(F.exp(-F.abs("z"))))
     rate = F.avg("label")
-    null = F.count("*") * (rate * F.log(rate) + (1 - rate) * F.log1p(-rate))
-    fit = p.agg(ll.alias("log_lik"), (1 - ll / null).alias("pseudo_r2"))
+    null = F.when((rate > 0) & (rate < 1), F.count("*") * (rate * F.log(rate) + (1 - rate) * F.log1p(-rate)))
+    fit = p.agg(ll.alias("log_lik"), (1 - ratio(ll, null)).alias("pseudo_r2"))
     auc = classifier_metrics(p, "p", "label").select("n", "auc", "accuracy")
     coef = F.array(*[F.lit(float(x)) for x in m.coefficients])
     out = auc.withColumns({"log_lik": fit.select("log_lik").scalar(), "pseudo_r2": fit.select("pseudo_r2").scalar(), "intercept": F.lit(float(m.intercept))})
@@ -53,3 +63,114 @@ def cv_models_table(df: DataFrame, vec: str, y: str, fold: Column, folds: int) -
         cv = CrossValidator(estimator=est, estimatorParamMaps=[{}], evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds, foldCol="fold", parallelism=4).fit(d)
         rows.append((name, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])))
     return df.sparkSession.createDataFrame(rows, "model string, r2 double, sd_r2 double")
+
+
+def uniform_draws(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) for every 64-bit key and replicate."""
+    with np.errstate(over="ignore"):
+        x = key.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))[None, :]
+        for m in (_M1, _M2):
+            x = (x ^ (x >> np.uint64(30))) * m
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
+
+
+def holdout_masks(key: np.ndarray, label: np.ndarray, share: np.ndarray, rest: np.ndarray, test: float, replicates: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(training, held out) of every row and replicate: a positive is held out with probability `test` and trains otherwise;
+    a negative trains with probability `share` (its stratum's) and, if it does not, is held out with probability `rest`."""
+    u = uniform_draws(key, replicates, seed)
+    w = uniform_draws(key, replicates, seed + 1)
+    yes = label[:, None] == 1
+    train = np.where(yes, u >= test, u < share[:, None])
+    return train, ~train & (yes | (w < rest[:, None]))
+
+
+def repeated_holdouts(df: DataFrame, key: str, vec: str, label: str, stratum: str, replicates: int = 1000, test: float = 0.3, seed: int = 42, steps: int = 12) -> DataFrame:
+    """Logistic fits on repeated balanced subsets: replicate, n_train, n_test, pseudo_r2, auc, accuracy, acc_positive.
+
+    In every replicate about `test` of the positives are held out; the negatives that train are as many per stratum as give
+    the training positives' number in all (all, where a stratum has fewer), and about as many of the other negatives as
+    positives are held out.  Membership is a hash of key and replicate, so it costs no shuffle and sizes hold on average.
+    All replicates are fitted together: a Newton step is one scan, in which a batch's outer products times the replicates'
+    weights give every replicate's Hessian, and one small row per replicate and task is shuffled.  Only coefficients
+    (replicates x features) pass through the driver.  Rows with a null key, vector or label are left out.
+    """
+    ok = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull() & F.col(label).isNotNull())
+    x = ok.select(F.xxhash64(key).alias("_key"), F.transform(vec, lambda v: v.cast("double")).alias("_x"), F.col(label).cast("int").alias("_y"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_s"))
+    sizes = x.groupBy("_s").agg(F.count_if(F.col("_y") == 1).alias("yes"), F.count_if(F.col("_y") == 0).alias("no"))
+    yes, no, strata = sizes.agg(F.sum("yes"), F.sum("no"), F.count_if(F.col("no") > 0)).first()
+    if not yes or not no:
+        return df.sparkSession.createDataFrame([], HOLDOUT)
+    each = (1 - test) * yes / strata
+    share = F.least(F.lit(1.0), ratio(F.lit(each), F.col("no")))
+    left = sizes.agg(F.sum(F.col("no") * (1 - share))).first()[0]
+    rest = min(1.0, test * yes / left) if left else 0.0
+    rows = materialize(x.join(sizes.select("_s", F.coalesce(share, F.lit(0.0)).alias("_share")), "_s").drop("_s"))
+    width = rows.select(F.max(F.size("_x"))).first()[0] + 1
+    spark, beta = df.sparkSession, np.zeros((replicates, width))
+    upper = np.triu_indices(width)
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for pdf in parts:
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                p = pdf.iloc[at:at + ROWS_AT_ONCE]
+                z = np.vstack(p["_x"].to_numpy())
+                y = p["_y"].to_numpy(float)
+                train, held = holdout_masks(p["_key"].to_numpy(), y, p["_share"].to_numpy(float), np.full(len(p), rest), test, replicates, seed)
+                yield np.hstack([np.ones((len(z), 1)), z]), y, train, held
+
+    def sums(shared) -> Callable:
+        def run(parts):
+            total = np.zeros((replicates, 3 + width + len(upper[0])))
+            for z, y, train, _ in batches(parts):
+                eta = z @ shared.value.T
+                mu = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+                loss = y[:, None] * eta - np.maximum(eta, 0) - np.log1p(np.exp(-np.abs(eta)))
+                outer = (z[:, :, None] * z[:, None, :])[:, upper[0], upper[1]]
+                total[:, 0] += train.sum(0)
+                total[:, 1] += (train * y[:, None]).sum(0)
+                total[:, 2] += np.where(train, loss, 0).sum(0)
+                total[:, 3:3 + width] += (train * (y[:, None] - mu)).T @ z
+                total[:, 3 + width:] += (train * mu * (1 - mu)).T @ outer
+            yield pd.DataFrame({"replicate": np.arange(replicates), "t": list(total)})
+        return run
+
+    def scan(b: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(b)
+        parts = rows.mapInPandas(sums(shared), "replicate int, t array<double>").groupBy("replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("t"))).alias("t"))
+        out = np.array([r["t"] for r in sorted(parts.collect(), key=lambda r: r["replicate"])])
+        shared.unpersist()
+        return out
+
+    for _ in range(steps):
+        t = scan(beta)
+        h = np.zeros((replicates, width, width))
+        h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = t[:, 3 + width:]
+        ridge = 1e-9 * (1 + np.trace(h, axis1=1, axis2=2))[:, None, None] * np.eye(width)
+        move = np.linalg.solve(h + ridge, t[:, 3:3 + width, None])[:, :, 0]
+        beta = beta + move * np.minimum(1, 10 / (1e-300 + np.abs(move).max(1)))[:, None]
+        if np.abs(move).max() < 1e-9:
+            break
+    t = scan(beta)
+    shared = spark.sparkContext.broadcast(beta)
+
+    def held_out(parts):
+        for z, y, _, held in batches(parts):
+            row, rep = np.nonzero(held)
+            p = 1 / (1 + np.exp(-np.clip((z @ shared.value.T)[row, rep], -500, 500)))
+            yield pd.DataFrame({"replicate": rep, "p": p, "y": y[row].astype(int)})
+
+    scored = rows.mapInPandas(held_out, "replicate int, p double, y int")
+    m = classifier_metrics(scored, "p", "y", by=["replicate"])
+    rate = np.clip(t[:, 1] / np.maximum(t[:, 0], 1), 1e-300, 1)
+    null = t[:, 1] * np.log(rate) + (t[:, 0] - t[:, 1]) * np.log1p(-np.minimum(rate, 1 - 1e-16))
+    fits = spark.createDataFrame([(i, int(r[0]), float(1 - r[2] / n) if n < 0 else None) for i, (r, n) in enumerate(zip(t, null))], "replicate int, n_train bigint, pseudo_r2 double")
+    return fits.join(m, "replicate").select("replicate", "n_train", F.col("n").alias("n_test"), "pseudo_r2", "auc", "accuracy", ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("acc_positive"))
+
+
+HOLDOUT = "replicate int, n_train bigint, n_test bigint, pseudo_r2 double, auc double, accuracy double, acc_positive double"
+
+
+def holdout_summary(replicates: DataFrame) -> DataFrame:
+    """One row: replicates, and mean and standard deviation of their measures."""
+    cols = ("pseudo_r2", "auc", "accuracy", "acc_positive")
+    return replicates.agg(F.count("*").alias("replicates"), *[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_samp))])

@@ -168,6 +168,26 @@ def _(s, d):
     return r_(logistic_fit(x, "v", "quality"), 4)
 
 
+@query("logistic_holdouts")
+def _(s, d):
+    """1,000 balanced holdouts of the quality label, negatives balanced over sources."""
+    from cladeloom.operators.models import holdout_summary, repeated_holdouts
+    x = table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select(
+        "doc_id", "quality", "source", F.array((F.col("n_chars") / 1000).cast("double"), F.length(F.regexp_replace("text", "[^ ]", "")) / F.col("n_chars")).alias("v"))
+    return r_(holdout_summary(repeated_holdouts(x.where("quality is not null and n_chars > 0"), "doc_id", "v", "quality", "source")), 4)
+
+
+@query("grid_search_genes")
+def _(s, d):
+    """Genes are labels, taxa residues of the vector's id, clades residues of the taxon; the grid holds 4 x 4 x 5 rows."""
+    e = v.vectors(s, d).withColumn("taxon", F.col("id") % 100).withColumn("clade", F.col("taxon") % 10)
+    e = e.drop("y").join(e.groupBy("taxon").agg(F.avg("y").alias("y")), "taxon")
+    a = lambda c, xs: F.explode(F.array(*[F.lit(x) for x in xs])).alias(c)
+    grid = s.range(1).select(a("n_genes", (3, 6, 8, 10))).select("n_genes", a("n_dims", (1, 2, 3, 5))).select("n_genes", "n_dims", a("min_abs_r", (0.0, 0.1, 0.12, 0.15, 0.2)))
+    grid = grid.withColumn("param", (F.col("n_genes") * 10000 + F.col("n_dims") * 1000 + F.round(F.col("min_abs_r") * 100)).cast("int"))
+    return r_(az.grid_search_genes(e, "taxon", "gene", "v", "y", "clade", F.col("clade") < 7, grid), 5)
+
+
 @query("lasso_ridge")
 def _(s, d):
     from cladeloom.operators.models import elastic_net_cv

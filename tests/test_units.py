@@ -568,3 +568,86 @@ def test_greedy_and_holdout_on_all_dimensions(spark):
         b = np.linalg.lstsq(z, y[g != k], rcond=None)[0]
         e = yk - np.column_stack([np.ones(40), xk]) @ b
         assert abs(held[k].rmse - math.sqrt((e ** 2).mean())) < 1e-9 and abs(held[k].r2 - (1 - (e ** 2).sum() / ((yk - yk.mean()) ** 2).sum())) < 1e-9
+
+
+def test_repeated_holdouts_equal_single_fits(spark):
+    from cladeloom.operators import models as md
+    rng = np.random.default_rng(17)
+    n, reps = 400, 6
+    x = rng.normal(size=(n, 2))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x[:, 0] - 1)))).astype(int)
+    s = rng.integers(0, 3, n)
+    rows = [(i, [float(a) for a in r], int(l), f"s{k}") for i, (r, l, k) in enumerate(zip(x, y, s))]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>, y int, s string").repartition(3)
+    got = {r.replicate: r for r in md.repeated_holdouts(df.union(spark.createDataFrame([(None, [0.0, 0.0], 1, "s0"), (9999, None, 1, "s0"), (9998, [1.0, 1.0], None, "s1")], df.schema)), "id", "v", "y", "s", reps).collect()}
+    key = np.array([r.h for r in spark.range(n).select("id", F.xxhash64("id").alias("h")).orderBy("id").collect()])
+    share = np.array([min(1.0, 0.7 * y.sum() / 3 / ((s == k) & (y == 0)).sum()) for k in range(3)])[s]
+    rest = 0.3 * y.sum() / ((1 - share) * (y == 0)).sum()
+    train, held = md.holdout_masks(key, y, share, np.full(n, rest), 0.3, reps)
+    assert not (train & held).any() and not np.array_equal(train[:, 0], train[:, 1])
+    z = np.column_stack([np.ones(n), x])
+    for k in range(reps):
+        t, b = train[:, k], np.zeros(3)
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-z[t] @ b))
+            b += np.linalg.solve((z[t].T * (p * (1 - p))) @ z[t], z[t].T @ (y[t] - p))
+        p = 1 / (1 + np.exp(-z @ b))
+        rate = y[t].mean()
+        r2 = 1 - np.log(np.where(y[t] == 1, p[t], 1 - p[t])).sum() / (t.sum() * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate)))
+        h = held[:, k]
+        a, c = p[h & (y == 1)], p[h & (y == 0)]
+        auc = ((a[:, None] > c).sum() + 0.5 * (a[:, None] == c).sum()) / (len(a) * len(c))
+        r = got[k]
+        assert (r.n_train, r.n_test) == (t.sum(), h.sum()) and abs(r.pseudo_r2 - r2) < 1e-6 and abs(r.auc - auc) < 1e-9 and abs(r.acc_positive - (a >= 0.5).mean()) < 1e-9
+        assert abs(h[y == 1].sum() - 0.3 * y.sum()) < 25 and abs(t[y == 0].sum() - t[y == 1].sum()) < 50
+    one = md.holdout_summary(md.repeated_holdouts(df, "id", "v", "y", "s", 3)).first()
+    assert one.replicates == 3 and 0.4 < one.mean_auc < 1
+    assert md.repeated_holdouts(df.where("y = 1"), "id", "v", "y", "s", 3).count() == 0
+
+
+def test_logistic_fit_of_separated_classes(spark):
+    from cladeloom.operators import models as md
+    df = spark.createDataFrame([([float(i)], int(i >= 10)) for i in range(20)], "v array<double>, y int")
+    r = md.logistic_fit(df, "v", "y").first()
+    assert r.auc == 1.0 and not math.isnan(r.log_lik) and r.log_lik <= 0 and r.pseudo_r2 > 0.9
+
+
+def test_grid_search_over_genes(spark):
+    rng = np.random.default_rng(19)
+    rows, ys = [], {}
+    for t in range(60):
+        ys[t] = float(rng.normal())
+        for g in range(5):
+            if (t, g) in ((3, 1), (50, 2)):
+                continue
+            v = rng.normal(size=4)
+            v[g % 4] += ys[t] * (5 - g) * 0.3
+            rows += [(t, f"g{g}", [float(a) for a in v], ys[t], t % 6)] * (2 if t == 5 else 1)
+    df = spark.createDataFrame(rows, "taxon bigint, gene string, v array<double>, y double, clade bigint")
+    grid = [(1, 2, 1, 0.0), (2, 3, 2, 0.0), (3, 5, 3, 0.3), (4, 2, 2, 0.99)]
+    got = {r.param: r for r in az.grid_search_genes(df, "taxon", "gene", "v", "y", "clade", F.col("clade") < 3, spark.createDataFrame(grid, "param int, n_genes int, n_dims int, min_abs_r double")).collect()}
+    r = {}
+    for g in range(5):
+        part = [x for x in rows if x[1] == f"g{g}" and x[4] < 3]
+        for j in range(4):
+            r[g, j] = abs(np.corrcoef([x[2][j] for x in part], [x[3] for x in part])[0, 1])
+    genes = sorted(range(5), key=lambda g: -max(r[g, j] for j in range(4)))
+    value = {(x[0], int(x[1][1]), j): x[2][j] for x in rows for j in range(4)}
+    fit_on, other = [t for t in range(60) if t % 6 < 3], [t for t in range(60) if t % 6 >= 3]
+    rank = lambda a: np.argsort(np.argsort(a))
+    best = {}
+    for param, ng, nd, cut in grid:
+        use = [(g, j) for g in genes[:ng] if max(r[g, k] for k in range(4)) >= cut for j in sorted(range(4), key=lambda j: -r[g, j])[:nd]]
+        if not use:
+            assert got[param].n_features is None and got[param].mean_rho is None
+            continue
+        mean = {f: np.mean([value[(t, *f)] for t in fit_on if (t, *f) in value]) for f in use}
+        row = lambda t: [1.0, *(value.get((t, *f), mean[f]) for f in use)]
+        z = np.array([row(t) for t in fit_on])
+        b = np.linalg.lstsq(z, np.array([ys[t] for t in fit_on]), rcond=None)[0]
+        rho = [np.corrcoef(rank([np.array(row(t)) @ b for t in other if t % 6 == c]), rank([ys[t] for t in other if t % 6 == c]))[0, 1] for c in (3, 4, 5)]
+        best[param] = np.mean(rho)
+        x = got[param]
+        assert x.n_features == len(use) and x.n_groups == 3 and abs(x.mean_rho - np.mean(rho)) < 1e-9
+        assert abs(x.statistic - np.mean(rho) / (np.std(rho, ddof=1) / math.sqrt(3))) < 1e-6
+    assert [p for p, x in got.items() if x.is_best] == [max(best, key=best.get)]
