@@ -48,8 +48,9 @@ DOUBLE = re.compile(r"([^\W\d_])\1")
 WORDS = re.compile(r"[^\W_]+")
 LIKE_LETTER = re.compile("[^\\W\\d_]|[" + re.escape("".join(LEET)) + "]")
 LIKE_WORD = re.compile("[^\\W\\d_]|[" + re.escape("".join(c for c in LEET if not c.isdigit())) + "]")
+LETTER = {chr(97 + i): i for i in range(26)}
 RUN = re.compile(r"(.)\1*", re.DOTALL)
-MEMORY = 400_000
+MEMORY, MEMORY_RESTORED = 700_000, 300_000
 #: Readings of a word of letters that are priced one by one.
 MAX_READINGS = 64
 BEGINNINGS = (4, 5, 6, 7)
@@ -172,6 +173,9 @@ def _decode(texts: list[str], costs: np.ndarray) -> list[str]:
 def plain_readings(word: str) -> list[tuple[float, str]] | None:
     """(cost of the letters left out, reading) of a word of letters: of each run of one letter any number may be left
     out, those far from its beginning first, so the lattice's best reading is among these. None if there are too many."""
+    twice = [m.end() for m in DOUBLE.finditer(word)]
+    if len(twice) == 1 and word[twice[0]:twice[0] + 1] != word[twice[0] - 1]:  # one letter, twice: nearly all words
+        return [(0.0, word), (TWICE, word[:twice[0] - 1] + word[twice[0]:])]
     runs = [(m.group(), m.end() - m.start()) for m in RUN.finditer(word)]
     if math.prod(n for _, n in runs) > MAX_READINGS:
         return None
@@ -189,11 +193,12 @@ def decode_plain(words: list[str], costs: list[float]) -> list[str | None]:
     for word in words:
         ways, best = plain_readings(word), None
         for cost, text in ways or ():
-            codes = [int(x) for x in symbols(text)]
-            a = b = BLANK
-            for c in (*codes, BLANK):
-                cost += costs[a * PAIR + b * SIZE + c]
-                a, b = b, c
+            pair = BLANK * SIZE + BLANK
+            for letter in text:
+                code = pair * SIZE + LETTER.get(letter, OTHER)
+                cost += costs[code]
+                pair = code % PAIR
+            cost += costs[pair * SIZE + BLANK]
             if best is None or cost < best[0]:
                 best = cost, text
         out.append(best and best[1])
@@ -226,18 +231,22 @@ class Reader:
 
     def read(self, texts: list[str]) -> list[list[str]]:
         """Restored words of each written word or run of letters."""
-        cores = [core_of(t).strip() for t in texts]
+        return self.restore([core_of(t).strip() for t in texts])
+
+    def restore(self, cores: list[str]) -> list[list[str]]:
+        """Restored words of each core."""
         hard = [i for i, c in enumerate(cores) if needs_decoding(c)]
-        if len(self.restored) > MEMORY:
+        if len(self.restored) > MEMORY_RESTORED:
             self.restored.clear()
         new = list({cores[i] for i in hard}.difference(self.restored))
         letters = [c for c in new if c.isalpha()]
         self.restored.update((c, x) for c, x in zip(letters, decode_plain(letters, self.flat)) if x is not None)
         new = [c for c in new if c not in self.restored]
         self.restored.update(zip(new, decode(new, self.costs)))
+        read = list(cores)
         for i in hard:
-            cores[i] = self.restored[cores[i]]
-        return [[c] if c.isalpha() else WORDS.findall(c) for c in cores]
+            read[i] = self.restored[cores[i]]
+        return [[c] if c.isalpha() else WORDS.findall(c) for c in read]
 
     def text_words(self, texts: pa.Array, value) -> tuple[list, np.ndarray, np.ndarray, list[tuple[int, object]]]:
         """`value` of the restored words of each distinct written word; which of these each word of the
@@ -256,7 +265,7 @@ class Reader:
             written = [raw[starts[at[i]]:ends[at[i]]].decode("utf-8", "replace") for i in new]
             # a word of letters also counts as it is written, so that a wrong restoration hides nothing
             cores = [core_of(w).strip() for w in written]
-            known.update(zip(distinct[new].tolist(), (value([*words, c] if c.isalpha() and c not in words else words) for words, c in zip(self.read(written), cores))))
+            known.update(zip(distinct[new].tolist(), (value([*words, c] if c.isalpha() and c not in words else words) for words, c in zip(self.restore(cores), cores))))
         values = [known[c] for c in distinct.tolist()]
         rows = np.searchsorted(first, np.arange(len(starts)), "right") - 1
         lead = buf[starts] if len(starts) else np.zeros(0, np.uint8)
@@ -324,13 +333,12 @@ class Scorer:
 
     def weight(self, words: list[str], label: int | None = None) -> float:
         """The strongest feature's log odds; a labelled document's own count is left out."""
-        best = self.nothing
+        best, find = self.nothing, self.lexicon.get
         for w in words:
             if len(w) > 1:
                 for f in features(w):
-                    if f in self.lexicon:
-                        t, c = self.lexicon[f]
-                        best = max(best, self.logit(t - (label == 1), c - (label == 0)))
+                    if n := find(f):
+                        best = max(best, self.logit(n[0] - (label == 1), n[1] - (label == 0)))
         return best
 
     def evidence(self, reader: Reader, texts: pa.Array, value) -> np.ndarray:
