@@ -290,6 +290,72 @@ def ridge_cv(df: DataFrame, by: Sequence[str], vec: str, y: str, fold: Column, l
     return _expand(packed, by, "n bigint, lambda double, cve double, cve_ratio double", fit)
 
 
+def ridge_compare(df: DataFrame, by: Sequence[str], covariates: str, vec: str, y: str, fold: Column, lambdas: Sequence[float], penalise_covariates: bool = True) -> DataFrame:
+    """Cross-validated ridge error with covariates alone (reduced) and with covariates and embeddings (full), per group.
+
+    Columns are scaled within each training fold; each model takes its own best penalty (ties: the smaller).  Everything
+    comes from one cross-product per group and fold: training sums are differences, errors quadratic forms.  Gives n,
+    lambda and error of both models, their difference and ratio, and r2 of the full fit to all rows.  Groups with fewer
+    than two folds drop out; without error in the reduced model the ratio is NULL.
+    """
+    z = F.concat(F.col(covariates), F.col(vec), F.array(F.col(y).cast("double")))
+    g = gram(df.select(*by, fold.cast("int").alias("_f"), z.alias("_z"), F.size(covariates).alias("_k")), F.col("_z"), [*by, "_k", "_f"])
+    packed = g.groupBy(*by, "_k").agg(F.collect_list(F.struct("_f", "_gram")).alias("folds"))
+    grid = sorted(float(x) for x in lambdas)
+
+    def solve(m: np.ndarray, use: np.ndarray, free: np.ndarray, lam: float) -> np.ndarray:
+        """Coefficients for (1, z..., y) of the residual y - prediction."""
+        n, mean, s = centred(m)
+        sd = np.sqrt(np.diag(s) / n)
+        on = use[sd[use] > TOL * (1 + np.abs(mean[use]))]
+        c = np.zeros(len(m))
+        c[-1] = 1
+        if len(on):
+            a = s[np.ix_(on, on)] / np.outer(sd[on], sd[on]) / n
+            b = np.linalg.lstsq(a + lam * np.diag(~np.isin(on, free)).astype(float), s[on, -1] / sd[on] / n, rcond=None)[0] / sd[on]
+            c[1 + on] = -b
+        c[0] = -(mean[-1] + c[1:-1] @ mean[:-1])
+        return c
+
+    def fit(row):
+        ms = [unpack(np.asarray(f["_gram"])) for f in sorted(row["folds"], key=lambda f: f["_f"])]
+        if len(ms) < 2:
+            return
+        tot, k = sum(ms), row["_k"]
+        p = len(tot) - 2
+        free = np.zeros(0, int) if penalise_covariates else np.arange(k)
+        best = []
+        for use in (np.arange(k), np.arange(p)):
+            errors = [(sum(float(c @ test @ c) for test in ms for c in [solve(tot - test, use, free, lam)]) / tot[0, 0], lam) for lam in grid]
+            best.append(min(errors))
+        (low, lam_low), (full, lam_full) = best
+        c = solve(tot, np.arange(p), free, lam_full)
+        _, _, s = centred(tot)
+        b = -c[1:-1]
+        den = (b @ s[:-1, :-1] @ b) * s[-1, -1]
+        yield int(tot[0, 0]), lam_low, low, lam_full, full, low - full, (full / low if low > 0 else None), (float((b @ s[:-1, -1]) ** 2 / den) if den > 0 else None)
+
+    schema = "n bigint, lambda_reduced double, cve_reduced double, lambda_full double, cve_full double, cve_diff double, cve_ratio double, r2 double"
+    return _expand(packed, [*by, "_k"], schema, fit).drop("_k")
+
+
+def structural_run_scan(embeds: DataFrame, structure: DataFrame, traits: DataFrame, gene: str, pos: str, taxon: str, vec: str, state: str, y: str, residual: str, min_n: int = 100, max_gap: int = 1, k: int | None = None) -> DataFrame:
+    """F test of a trait on a taxon's mean embedding over each structural run, raw and residualised.
+
+    A run is a stretch of positions of one state (`structure`: gene, pos, state); taxa average their embeddings over its
+    positions before anything is fitted, so the fits see one row per taxon and run.  With `k` the test is on the run's first
+    k components.  Runs with fewer than `min_n` taxa drop out.
+    """
+    from cladeloom.operators.aggregates import break_runs
+    runs = break_runs(structure.select(gene, pos, state), [gene], [pos], state, pos, max_gap)
+    spans = runs.groupBy(gene, "run").agg(F.first(state).alias(state), F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"), F.count("*").alias("n_pos"))
+    at = embeds.select(gene, pos, taxon, vec).join(runs.select(gene, pos, "run"), [gene, pos])
+    mean = at.groupBy(gene, "run", taxon).agg(vector_to_array(Summarizer.mean(array_to_vector(vec))).alias("_v"))
+    x = materialize(mean.join(traits.select(taxon, F.col(y).alias("_y"), F.col(residual).alias("_r")), taxon))
+    kinds = [vector_f_scan(x.where(F.col(c).isNotNull()), [gene, "run"], "_v", c, k).where(F.col("n") >= min_n).withColumn("kind", F.lit(name)) for c, name in (("_y", "raw"), ("_r", "residualised"))]
+    return kinds[0].unionByName(kinds[1]).join(spans, [gene, "run"])
+
+
 def presence_scan(long: DataFrame, gene: str, id: str, y: DataFrame) -> DataFrame:
     """y on a 0/1 gene presence per gene (invariant genes skipped) with BH; absences come from totals."""
     t = y.agg(F.struct(F.count("*").alias("n"), F.sum("y").alias("s"), F.var_pop("y").alias("v"), F.avg("y").alias("m"))).scalar()

@@ -132,6 +132,42 @@ def _(s, d):
     return r_(az.ridge_cv(x, ["gene"], "v", "y", F.pmod(F.xxhash64("id"), F.lit(5)), [0.001, 0.01, 0.1, 1.0]))
 
 
+def _runs(s, d, dims):
+    """Positions of ten vectors' length in two genes, one state for every three positions."""
+    x = v.vectors(s, d).select((F.col("id") % 50).alias("taxon"), F.floor(F.col("id") / 50).alias("pos"), (F.col("gene") % 2).alias("gene"), "v")
+    t = s.range(50).select(F.col("id").alias("taxon"), (F.col("id") * 37 % 101 / 10).alias("y"), F.array((F.col("id") % 11).cast("double")).alias("z"))
+    t = az.residualize(t, F.col("z"), "y")
+    st = x.select("gene", "pos").distinct().withColumn("state", F.get(F.array(*[F.lit(c) for c in "HEC"]), (F.floor(F.col("pos") / 3) % 3).cast("int")))
+    if dims == 1:
+        x = x.withColumn("v", F.slice("v", 1, 1))
+    return az.structural_run_scan(x, st, t, "gene", "pos", "taxon", "v", "state", "y", "residual", 10, k=dims if dims > 1 else None)
+
+
+@query("structural_run_scan")
+def _(s, d):
+    return r_(_runs(s, d, 5))
+
+
+@query("structural_run_scan_single", f"""
+with {v.VEC}, x as (select id % 50 as taxon, id // 50 as pos, gene % 2 as gene, v[1] as v from v_vec), st as (select distinct gene, pos, substr('HEC', ((pos // 3) % 3 + 1)::int, 1) as state from x),
+b as (select *, case when state = lag(state) over w and pos - lag(pos) over w <= 1 then 0 else 1 end as fresh from st window w as (partition by gene order by pos)),
+r as (select *, sum(fresh) over (partition by gene order by pos) as run from b), sp as (select gene, run, any_value(state) as state, min(pos) as first_pos, max(pos) as last_pos, count(*) as n_pos from r group by 1, 2),
+t as (select i as taxon, i * 37 % 101 / 10 as y, (i % 11)::double as z from range(50) u(i)), k as (select regr_slope(y, z) as b, regr_intercept(y, z) as a from t),
+m as (select gene, run, taxon, avg(v) as v from x join r using (gene, pos) group by all), j as (select m.*, y, y - a - b * z as e from m join t using (taxon), k),
+c as (select gene, run, 'raw' as kind, count(*) as n, corr(v, y) as r from j group by 1, 2 union all select gene, run, 'residualised', count(*), corr(v, e) from j group by 1, 2)
+select gene, run::bigint as run, kind, n, 1 as rank, round(r * r, 8) as r2, round(r * r / ((1 - r * r) / (n - 2)), 5) as f, round({q.f_tail('r * r / ((1 - r * r) / (n - 2))', '1', 'n - 2')}, 6) as p_value, state, first_pos, last_pos, n_pos
+from c join sp using (gene, run) where n >= 10""")
+def _(s, d):
+    return r_(_runs(s, d, 1), r2=8, f=5)
+
+
+@query("ridge_reduced_full")
+def _(s, d):
+    from cladeloom.functions.arith import draw
+    x = v.vectors(s, d).withColumn("pc", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")))
+    return r_(az.ridge_compare(x, ["gene"], "pc", "v", "y", draw("id") % 5, [0.001, 0.01, 0.1, 1.0]))
+
+
 @query("presence_scan", f"""
 with y as (select c_custkey as id, c_acctbal as y from customer), p as (select distinct l_linenumber * 100 + l_suppkey % 50 as gene, o_custkey as id from lineitem join orders on o_orderkey = l_orderkey),
 t as (select count(*) as n, avg(y) as m, var_pop(y) as vp from y), g as (select gene, count(*) as n1, avg(y) as m1 from p join y using (id) group by 1),

@@ -651,3 +651,52 @@ def test_grid_search_over_genes(spark):
         assert x.n_features == len(use) and x.n_groups == 3 and abs(x.mean_rho - np.mean(rho)) < 1e-9
         assert abs(x.statistic - np.mean(rho) / (np.std(rho, ddof=1) / math.sqrt(3))) < 1e-6
     assert [p for p, x in got.items() if x.is_best] == [max(best, key=best.get)]
+
+
+def test_ridge_reduced_against_full(spark):
+    rng = np.random.default_rng(23)
+    n = 150
+    c, x = rng.normal(size=(n, 2)) * [1, 40], np.hstack([rng.normal(size=(n, 4)), np.ones((n, 1))])
+    y = c[:, 0] + 0.01 * c[:, 1] + x[:, 0] + rng.normal(size=n)
+    fold = rng.integers(0, 4, n)
+    df = spark.createDataFrame([("g", [float(a) for a in p], [float(a) for a in r], float(t), int(k)) for p, r, t, k in zip(c, x, y, fold)] + [("one", [1.0, 2.0], [0.0] * 5, 1.0, 0)], "g string, pc array<double>, v array<double>, y double, k int")
+    grid = [0.001, 0.05, 0.5]
+
+    def plain(z, keep):
+        def fit(zt, yt, lam):
+            mu, sd = zt.mean(0), zt.std(0)
+            on = sd > 1e-9
+            zs = (zt[:, on] - mu[on]) / sd[on]
+            pen = lam * len(zt) * np.diag([0.0 if j < keep else 1.0 for j in np.flatnonzero(on)])
+            b = np.linalg.solve(zs.T @ zs + pen, zs.T @ (yt - yt.mean()))
+            return lambda q: yt.mean() + ((q[:, on] - mu[on]) / sd[on]) @ b
+        best = min((sum(((y[fold == k] - fit(z[fold != k], y[fold != k], lam)(z[fold == k])) ** 2).sum() for k in range(4)) / n, lam) for lam in grid)
+        return best, np.corrcoef(y, fit(z, y, best[1])(z))[0, 1] ** 2
+
+    for penalised in (True, False):
+        got = az.ridge_compare(df, ["g"], "pc", "v", "y", F.col("k"), grid, penalised).collect()
+        assert len(got) == 1
+        keep = 0 if penalised else 2
+        (low, lam_low), _ = plain(c, keep)
+        (full, lam_full), r2 = plain(np.hstack([c, x]), keep)
+        r = got[0]
+        assert (r.n, r.lambda_reduced, r.lambda_full) == (n, lam_low, lam_full) and max(abs(r.cve_reduced - low), abs(r.cve_full - full), abs(r.r2 - r2), abs(r.cve_ratio - full / low)) < 1e-9
+
+
+def test_structural_runs(spark):
+    rng = np.random.default_rng(29)
+    states = "HHHEEHHHHCC"
+    x = {(t, p): rng.normal(size=3) for t in range(30) for p in range(11) if (t + p) % 7}
+    y = {t: float(rng.normal()) for t in range(30)}
+    emb = spark.createDataFrame([("g", p, t, [float(a) for a in v]) for (t, p), v in x.items()], "gene string, pos int, taxon int, v array<double>")
+    st = spark.createDataFrame([("g", p, s) for p, s in enumerate(states)], "gene string, pos int, state string")
+    tr_ = spark.createDataFrame([(t, a, a - 1 if t % 5 else None) for t, a in y.items()], "taxon int, y double, e double")
+    got = {(r.first_pos, r.kind): r for r in az.structural_run_scan(emb, st, tr_, "gene", "pos", "taxon", "v", "state", "y", "e", 10).collect()}
+    for first, last in ((0, 2), (3, 4), (5, 8), (9, 10)):
+        for kind, taxa in (("raw", list(y)), ("residualised", [t for t in y if t % 5])):
+            m = {t: np.mean([x[t, p] for p in range(first, last + 1) if (t, p) in x], axis=0) for t in taxa if any((t, p) in x for p in range(first, last + 1))}
+            z, w = np.array([[1, *v] for v in m.values()]), np.array([y[t] for t in m])
+            e = w - z @ np.linalg.lstsq(z, w, rcond=None)[0]
+            r = got[first, kind]
+            assert (r.state, r.last_pos, r.n_pos, r.n) == (states[first], last, last - first + 1, len(m)) and abs(r.r2 - (1 - (e ** 2).sum() / ((w - w.mean()) ** 2).sum())) < 1e-9
+    assert len(got) == 8
