@@ -35,13 +35,13 @@ def norm_p(z: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def binom_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
-    return pd.Series([sp.binom_two_sided(int(a), int(b), float(c)) for a, b, c in zip(k, n, p)])
+    return pd.Series(sp.binom_tests(k, n, p))
 
 
 @F.pandas_udf(T.StructType([T.StructField("odds_ratio", T.DoubleType()), T.StructField("p_value", T.DoubleType())]))
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-    rows = [sp.fisher_exact(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)]
-    return pd.DataFrame(rows, columns=["odds_ratio", "p_value"])
+    ratio_, p = sp.fisher_tables(a, b, c, d)
+    return pd.DataFrame({"odds_ratio": ratio_, "p_value": p})
 
 
 def _masked(fn, *cols: pd.Series) -> pd.Series:

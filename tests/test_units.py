@@ -700,3 +700,27 @@ def test_structural_runs(spark):
             r = got[first, kind]
             assert (r.state, r.last_pos, r.n_pos, r.n) == (states[first], last, last - first + 1, len(m)) and abs(r.r2 - (1 - (e ** 2).sum() / ((w - w.mean()) ** 2).sum())) < 1e-9
     assert len(got) == 8
+
+
+def test_exact_tests_against_enumeration():
+    rng = np.random.default_rng(37)
+    tables = np.vstack([rng.integers(0, hi, (60, 4)) for hi in (3, 9, 60)])
+    odds, p = sp.fisher_tables(*tables.T)
+    for (a, b, c, d), o, q in zip(tables.tolist(), odds, p):
+        r1, c1, n = a + b, a + c, a + b + c + d
+        k = range(max(0, c1 - (n - r1)), min(r1, c1) + 1)
+        w = np.array([math.comb(r1, i) * math.comb(n - r1, c1 - i) for i in k], dtype=float)
+        seen = w[a - k[0]]
+        assert abs(q - w[w <= seen * (1 + 1e-7)].sum() / w.sum()) < 1e-9
+        if k[0] < a < k[-1]:
+            v = w * np.array([float(o) ** (i - a) for i in k])
+            assert abs((v * np.array(k)).sum() / v.sum() - a) < 1e-6
+        else:
+            assert np.isnan(o) if len(k) == 1 else o == (0.0 if a == k[0] else np.inf)
+    for n, p0 in ((1, 0.5), (12, 0.3), (60, 0.85)):
+        w = np.array([math.comb(n, i) * p0 ** i * (1 - p0) ** (n - i) for i in range(n + 1)])
+        assert np.allclose(sp.binom_tests(np.arange(n + 1), n, p0), [w[w <= x * (1 + 1e-7)].sum() for x in w], atol=1e-12)
+    big = 10 ** 9
+    odds, p = sp.fisher_tables([big, big // 2], [big + 50_000, big], [big, big], [big, big])
+    assert abs(p[0] - math.erfc(math.log(1 + 5e-5) / math.sqrt(4 / big) / math.sqrt(2))) < 1e-3 and p[1] == 0 and abs(odds[1] - 0.5) < 1e-6
+    assert abs(sp.binom_two_sided(big // 2 + 15_000, big, 0.5) - math.erfc(30_000 / math.sqrt(big) / math.sqrt(2))) < 1e-3
