@@ -160,12 +160,35 @@ def _(s, d):
     return tr.confidence_filter(subs(s, d), v.state_probs(s, d), 0.4).select("pos", "parent", "child", "from_aa", "to_aa")
 
 
-@query("ancestral_trait")
+# estimates from tips to root, one depth a step; tips above the current depth wait
+_UP = """dn as (select node, floor(log2(node))::bigint as depth from v_node),
+up as ({base}
+  union all select {by} cur - 1, case when depth = cur then u.node // 2 else u.node end, case when depth = cur then depth - 1 else depth end, {vals},
+    case when any_value(depth) = any_value(cur) then 1 / sum(1 / (var + e.length)) else 0 end, count(*), {con}
+  from up u join v_edges e on e.child = u.node where cur > 0 group by all)"""
+
+
+@query("ancestral_trait", f"""
+with recursive {_T}, {_UP.format(base="select (select max(depth) from dn) as cur, t.node, depth, x, 0.0e0 as var, 1::bigint as k, 0.0e0 as c from v_tip t join dn using (node)", by="",
+                                vals="sum(x * case when depth = cur then 1 / (var + e.length) else 1 end) / sum(case when depth = cur then 1 / (var + e.length) else 1 end)", con="0.0e0")},
+est as (select node, any_value(x) as x, any_value(var) as var from up group by 1),
+down as (select node, x from est where node = 1 union all
+  select est.node, case when est.var = 0 then est.x else (est.x / est.var + d.x / length) / (1 / est.var + 1 / length) end from down d join v_edges on parent = d.node join est on est.node = child)
+select node, round(x, 6) + 0.0 as x from down""")
 def _(s, d):
     return r_(tr.ancestral_trait(v.edges(s, d), tips(s, d), "x"))
 
 
-@query("independent_contrasts")
+@query("independent_contrasts", f"""
+with recursive {_T}, {v.STATES}, {_EFF}, ts as (select s.pos, s.node, s.aa, effect as score, x as trait from v_states s join v_tip using (node) join eff using (pos, aa) where s.aa <> '-'),
+st as (select pos, count(*) as n_tips, count(distinct aa) as n_residues, case when count(*) < 20 then 'insufficient_tips' when count(distinct aa) < 2 then 'monomorphic'
+  when var_samp(score) < 1e-10 or var_samp(trait) < 1e-10 then 'no_variance' else 'success' end as status from ts group by 1),
+{_UP.format(base="select pos, (select max(depth) from dn) as cur, t.node, depth, score, trait, 0.0e0 as var, 1::bigint as k, 0.0e0 as cs, 0.0e0 as ct from ts t join dn using (node) join st using (pos) where status = 'success'", by="pos,",
+            vals=", ".join(f"sum({c} * case when depth = cur then 1 / (var + e.length) else 1 end) / sum(case when depth = cur then 1 / (var + e.length) else 1 end)" for c in ("score", "trait")),
+            con=", ".join(f"(arg_min({c}, u.node) - arg_max({c}, u.node)) / sqrt(sum(var + e.length))" for c in ("score", "trait")))},
+con as (select pos, node, any_value(cs) as cs, any_value(ct) as ct from up where k = 2 group by 1, 2),
+c as (select pos, count(*) as n, corr(cs, ct) as r from con group by 1), t as (select *, r * sqrt((n - 2) / (1 - r * r)) as t from c)
+select pos, n_tips, n_residues, status, n as n_contrasts, round(r, 6) + 0.0 as r, round({q.t_tail('t', 'n - 2')}, 6) as p_value from st left join t using (pos)""")
 def _(s, d):
     e = v.edges(s, d)
     st = v.states(s, d).where("aa <> '-'").join(tips(s, d).withColumnRenamed("x", "trait"), "node")
