@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cladeloom.functions import scales as sc
+from cladeloom.functions.arith import draw
 from cladeloom.operators.ordered import join_same, quantiles, row_index, running_sums
 
 KEY = ["gene", "pos"]
@@ -169,7 +170,7 @@ def impute(long: DataFrame, column: Sequence[str], value: str, how: str = "media
     pool = row_index(obs.select(*column, value, *key), [*key], column, "_i").select(*column, "_i", F.col(value).alias("_fill"))
     n = pool.groupBy(*column).agg(F.max("_i").alias("_n"))
     want = join_same(long, n, column, "left")
-    pick = F.when(F.col(value).isNull(), F.pmod(F.xxhash64(*key, F.lit(seed)), F.col("_n")) + 1)
+    pick = F.when(F.col(value).isNull(), draw(*key, seed=seed) % F.col("_n") + 1)
     return join_same(want.withColumn("_i", pick), pool, [*column, "_i"], "left").withColumn(
         value, F.coalesce(F.col(value), F.col("_fill"))).drop("_i", "_n", "_fill")
 

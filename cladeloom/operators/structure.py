@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cladeloom.functions import sequence as sq
+from cladeloom.functions.arith import draw
 from cladeloom.operators import stats as sx
 from cladeloom.operators.joins import _exact, nearest_neighbour, radius_count
 from cladeloom.operators.ordered import join_same, quantile_column, quantiles, row_index
@@ -73,7 +74,7 @@ def nearest_neighbour_stat(points: DataFrame, id: str, vec: str, hit: Column, n_
     """Mean nearest-neighbour distance among hits against equally large hash-drawn sets."""
     base = points.select(id, vec, hit.alias("_h"))
     k = base.where("_h").agg(F.count("*")).scalar()
-    sets = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("_o", F.xxhash64(id, "perm", F.lit(seed)))
+    sets = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("_o", draw(id, "perm", seed=seed))
     drawn = row_index(sets.select(id, vec, "perm", "_o"), ["_o", id], ["perm"], "_i").withColumn("_k", k).where(F.col("_i") <= F.col("_k")).select("perm", id, vec)
     alls = drawn.unionByName(base.where("_h").select(F.lit(0).alias("perm"), id, vec))
     m = nearest_in_set(alls, ["perm"], id, vec).groupBy("perm").agg(F.avg("distance").alias("m"))

@@ -81,6 +81,32 @@ def _(s, d):
     return r_(r.select("gene", "pos", F.explode("effects").alias("e")).select("gene", "pos", "e.*"))
 
 
+# one covariate: the common slope comes from the deviations within alleles
+_EFF1 = _SCAN + """,
+m as (select gene, pos, allele, count(*) as m, avg(y) as my, avg(z) as mz from d group by 1, 2, 3), l as (select gene, pos, max(allele) as last from m group by 1, 2),
+e as (select m.gene, m.pos, m.allele as residue, m.m as cnt, (m.my - r.my) - wyz / wzz * (m.mz - r.mz) as effect, sqrt(rss_full / (n - 1 - k) * (1.0e0 / m.m + 1.0e0 / r.m + (m.mz - r.mz) * (m.mz - r.mz) / wzz)) as se, n - 1 - k as dof
+  from m join l using (gene, pos) join m r on r.gene = m.gene and r.pos = m.pos and r.allele = l.last and m.allele <> l.last join f on f.gene = m.gene and f.pos = m.pos join ws on ws.gene = m.gene and ws.pos = m.pos)"""
+
+
+@query("residue_effects_one_covariate", _EFF1 + f" select gene, pos, residue, round(effect, 4) + 0.0 as effect, round(se, 4) as se, round(effect / se, 5) + 0.0 as t, round({q.t_tail('effect / se', 'dof')}, 6) as p from e")
+def _(s, d):
+    r = az.site_scan(_complete(s, d), _traits(s, d))
+    return r_(r.select("gene", "pos", F.explode("effects").alias("e")).select("gene", "pos", "e.*"), effect=4, se=4, t=5)
+
+
+@query("hit_direction_one_covariate", _EFF1 + f""", hit as (select *, {q.t_tail('effect / se', 'dof')} as p from e), way as (select gene, pos, count(*) filter (p < 0.5 and effect > 0) as h, count(*) filter (p < 0.5 and effect < 0) as c from hit group by 1, 2)
+select gene, pos, residue, cnt as count, round(effect, 4) + 0.0 as effect, round(p, 6) as p, case when h > 0 and c > 0 then 'mixed' when h > 0 then 'hot' when c > 0 then 'cold' else 'none' end as direction from hit join way using (gene, pos)""")
+def _(s, d):
+    return r_(az.hit_direction(az.site_scan(_complete(s, d), _traits(s, d)), 0.5).drop("p_aa_with_pcs"), effect=4)
+
+
+@query("covariate_sweep_one_covariate", _SCAN + f""", p as (select 0 as n_pcs, {q.f_tail('((syy - rss_aa) / (k - 1)) / (rss_aa / (n - k))', 'k - 1', 'n - k')} as p from f
+  union all select 1, {q.f_tail('((rss_z - rss_full) / (k - 1)) / (rss_full / (n - k - 1))', 'k - 1', 'n - k - 1')} from f), ps as (select *, count(*) over (partition by n_pcs) as n_sites from p)
+select n_pcs, n_sites, count(*) filter (p < 0.5) as n_nominal, count(*) filter (p < 0.5 / n_sites) as n_bonferroni, round(median(-log10(p)), 4) as median_log10p from ps group by 1, 2""")
+def _(s, d):
+    return r_(az.sweep_summary(az.covariate_sweep(_complete(s, d), _traits(s, d), [0, 1]), 0.5), 4)
+
+
 @query("residue_counts_of_scan", _FULL + " select gene, pos, allele as residue, count(*) as n from d group by 1, 2, 3")
 def _(s, d):
     r = az.site_scan(_complete(s, d), _traits(s, d))

@@ -139,7 +139,9 @@ def _(s, d):
     return r.select("l_orderkey", "l_linenumber", "l_partkey", v.rnd("x").alias("x"))
 
 
-@query("impute_random")
+@query("impute_random", _IMP + """, pool as (select l_suppkey, x as fill, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as i, count(*) over (partition by l_suppkey) as n from t where x is not null),
+k as (select *, ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, 42)), 1, 13))::bigint as h from t), c as (select distinct l_suppkey, n from pool)
+select k.* exclude (h, x), coalesce(x, fill) as x from k left join c using (l_suppkey) left join pool on x is null and pool.l_suppkey = k.l_suppkey and pool.i = h % c.n + 1""")
 def _(s, d):
     return si.impute(_holes(s, d), ["l_suppkey"], "x", "random", key=["l_orderkey", "l_linenumber", "l_partkey"])
 
