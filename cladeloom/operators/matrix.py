@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cladeloom.functions.arith import ratio
+from cladeloom.functions.arith import draw, ratio
 from cladeloom.functions import vectors as vx
 from cladeloom.operators.gram import centred, gram, unpack
 from cladeloom.operators.ordered import join_same, quantiles, row_index, running_sums
@@ -362,26 +362,57 @@ def kinship_summary(blocks: DataFrame, id: str) -> DataFrame:
     return blocks.mapInPandas(run, f"`{id}` {t}, self double, total double").groupBy(id).agg(F.sum("self").alias("self_kinship"), F.sum("total").alias("row_sum"))
 
 
-def greedy_collapse(df: DataFrame, by: Sequence[str], key: str, vec: str, max_diff: int, gap: float | None = None) -> DataFrame:
+def position_differences(a: np.ndarray, b: np.ndarray, gap: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Differing and compared positions of all pairs of two blocks of vectors, by one product per value."""
+    ok_a, ok_b = (np.ones(x.shape) if gap is None else (x != gap).astype(float) for x in (a, b))
+    compared = ok_a @ ok_b.T
+    same = sum(((a == x) * ok_a) @ ((b == x) * ok_b).T for x in np.intersect1d(a, b) if gap is None or x != gap)
+    return np.rint(compared - same), np.rint(compared)
+
+
+def raw_distance_quantile(df: DataFrame, key: str, vec: str, p: float, gap: float | None = None, sample: int = 2000, seed: int = 42) -> DataFrame:
+    """(q, n): exact quantile of the differing share of compared positions over all pairs of `sample` points taken in MD5
+    order (all, if fewer); pairs without a common position are left out.  A pair kernel returns counts per
+    (differing, compared), so no list of distances is formed."""
+    some = materialize(df.select(key, vec).orderBy(draw(key, seed=seed), key).limit(sample))
+
+    def count(a, b, same):
+        diff, compared = position_differences(a[vec], b[vec], gap)
+        on = np.triu_indices(len(diff), 1) if same else np.indices(diff.shape).reshape(2, -1)
+        pairs = np.column_stack([diff[tuple(on)], compared[tuple(on)]])
+        kinds, n = np.unique(pairs[pairs[:, 1] > 0], axis=0, return_counts=True)
+        return {"d": kinds[:, 0].astype(int), "c": kinds[:, 1].astype(int), "n": n}
+
+    counts = chunk_pairs(some, [], key, [vec], count, "d int, c int, n bigint", vectors=[vec]).groupBy("d", "c").agg(F.sum("n").alias("_n"))
+    return quantiles(counts.select((F.col("d") / F.col("c")).alias("x"), "_n"), "x", {"q": p}, weight=F.col("_n"))
+
+
+def collapse_by_distance(df: DataFrame, by: Sequence[str], key: str, vec: str, p: float = 0.001, gap: float | None = None, sample: int = 2000) -> DataFrame:
+    """Representatives as in `greedy_collapse`, where close means a raw distance of at most the `p` quantile of all
+    distances (of a sample over all groups)."""
+    cut = raw_distance_quantile(df, key, vec, p, gap, sample).first()
+    return greedy_collapse(df, by, key, vec, None, gap, cut["q"] if cut and cut["q"] is not None else 0.0)
+
+
+def greedy_collapse(df: DataFrame, by: Sequence[str], key: str, vec: str, max_diff: int | None, gap: float | None = None, max_share: float | None = None) -> DataFrame:
     """Representatives of each group: taking keys in order, a point within `max_diff` differences of an earlier
     representative belongs to the smallest such one, any other point becomes a representative.  Positions where
-    either point holds `gap` are not compared.
+    either point holds `gap` are not compared.  With `max_share` the cut is on differences per compared position, and
+    points without a common position are apart.
 
     Same result as the sequential pass: in each round a point without an undecided
     smaller neighbour becomes a representative and decides its neighbours; when all
     representatives are known, every point takes its smallest one.
     """
-    def differ(a, b):
-        d = a[vec][:, None, :] != b[vec][None, :, :]
-        if gap is not None:
-            d &= (a[vec] != gap)[:, None, :] & (b[vec] != gap)[None, :, :]
-        return d.sum(2)
+    def close(a, b):
+        diff, compared = position_differences(a[vec], b[vec], gap)
+        return diff <= max_diff if max_share is None else (compared > 0) & (diff <= max_share * compared + 1e-12)
 
     t = dict(df.dtypes)[key]
     pts = materialize(df.select(*by, key, vec).groupBy(*by, vec).agg(F.min(key).alias(key), F.count("*").alias("_w")))
 
     def smaller(a, b, same):
-        near = differ(a, b) <= max_diff
+        near = close(a, b)
         blocked_a = (near & (b[key][None, :] < a[key][:, None])).any(1)
         ks, bl = [a[key]], [blocked_a]
         if not same:
@@ -389,7 +420,7 @@ def greedy_collapse(df: DataFrame, by: Sequence[str], key: str, vec: str, max_di
         return {key: np.concatenate(ks), "_b": np.concatenate(bl)}
 
     def absorbed(a, b, same):
-        near = differ(a, b) <= max_diff
+        near = close(a, b)
         first = np.where(near, b[key][None, :], np.iinfo(np.int64).max).min(1)
         hit = near.any(1)
         return {key: a[key][hit], "_rep": first[hit]}

@@ -122,13 +122,13 @@ def with_avg_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str =
     return join_same(df, ranks, [*by, value])
 
 
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact linear-interpolation quantiles (type 7), one column per name, plus `n`.
+def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (type 7), one column per name, plus `n`; `weight` says how often a row counts.
 
     Works on distinct values with cumulative counts, so neither a histogram of a
     large group nor the group itself has to fit one task.
     """
-    ranks = value_ranks(df, value, by)
+    ranks = value_ranks(df, value, by, weight)
     totals = ranks.groupBy(*by).agg(F.sum("n").alias("_total")) if by else ranks.agg(F.sum("n").alias("_total"))
     if by:
         r = join_same(ranks, totals, list(by))

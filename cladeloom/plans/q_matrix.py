@@ -197,6 +197,22 @@ def _(s, d):
     return mx.greedy_collapse(p, ["genus"], "p_partkey", "v", 2)
 
 
+_GAPPED = _COLLAPSE.split("o as (select")[0].replace("with recursive p as", "with recursive p0 as").rstrip().rstrip(",") + """,
+p as (select genus, p_partkey, list_transform(v, lambda x: case when x = 3 then -1 else x end) as v from p0),
+s as (select p_partkey as k, v from p order by ('0x' || substr(md5(concat_ws('|', p_partkey, 42)), 1, 13))::bigint, p_partkey limit 2000),
+dd as (select list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] <> -1 and z[2] <> -1)::int)) as c, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] <> z[2] and z[1] <> -1 and z[2] <> -1)::int)) as d from s a join s b on a.k < b.k),
+q as (select quantile_cont(d / c, 0.01) as q from dd where c > 0),
+"""
+_NEAR = "list_sum(list_transform(list_zip(x.v, o.v), lambda z: (z[1] <> z[2] and z[1] <> -1 and z[2] <> -1)::int)) <= o.qv * list_sum(list_transform(list_zip(x.v, o.v), lambda z: (z[1] <> -1 and z[2] <> -1)::int)) + 1e-12 and list_sum(list_transform(list_zip(x.v, o.v), lambda z: (z[1] <> -1 and z[2] <> -1)::int)) > 0"
+
+
+@query("collapse_by_distance", _GAPPED + "o as (select (select q from q) as qv," + _COLLAPSE.split("o as (select")[1].replace("list_sum(list_transform(list_zip(x.v, o.v), lambda z: (z[1] <> z[2])::int)) <= 2", _NEAR))
+def _(s, d):
+    v_ = F.array(*[(F.col("p_partkey") / k % 4).cast("int").cast("double") for k in (1, 4, 16, 64, 256)], F.col("p_size").cast("double"))
+    p = table(s, d, "part").select(F.split("p_name", " ")[0].alias("genus"), "p_partkey", F.transform(v_, lambda x: F.when(x == 3, -1.0).otherwise(x)).alias("v"))
+    return mx.collapse_by_distance(p, ["genus"], "p_partkey", "v", 0.01, gap=-1.0)
+
+
 @query("similarity_of_profiles", f"""
 with {v.VEC}, u as (select gene, y, unnest(v) as x, unnest(range(0, 64)) as dim from v_vec), c as (select gene, dim, corr(x, y) as r from u group by 1, 2)
 select a.gene as a, b.gene as b, round(corr(a.r, b.r), 6) + 0.0 as r from c a join c b on a.dim = b.dim and a.gene < b.gene group by 1, 2""")

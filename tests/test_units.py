@@ -724,3 +724,30 @@ def test_exact_tests_against_enumeration():
     odds, p = sp.fisher_tables([big, big // 2], [big + 50_000, big], [big, big], [big, big])
     assert abs(p[0] - math.erfc(math.log(1 + 5e-5) / math.sqrt(4 / big) / math.sqrt(2))) < 1e-3 and p[1] == 0 and abs(odds[1] - 0.5) < 1e-6
     assert abs(sp.binom_two_sided(big // 2 + 15_000, big, 0.5) - math.erfc(30_000 / math.sqrt(big) / math.sqrt(2))) < 1e-3
+
+
+def test_collapse_by_distance_equals_sequential(spark):
+    rng = np.random.default_rng(41)
+    v = rng.integers(0, 4, size=(70, 12)).astype(float)
+    v[30:60] = v[:30]
+    v[30:60, 0] = 0
+    v[rng.random(v.shape) < 0.15] = -1
+    v[69] = -1
+    df = spark.createDataFrame([(f"g{i % 2}", i, [float(a) for a in r]) for i, r in enumerate(v)], "g string, id bigint, v array<double>")
+
+    def distance(i, j):
+        ok = (v[i] != -1) & (v[j] != -1)
+        return (v[i] != v[j])[ok].mean() if ok.any() else None
+
+    all_ = [x for i in range(70) for j in range(i) if (x := distance(i, j)) is not None]
+    got = mx.raw_distance_quantile(df, "id", "v", 0.02, -1.0).first()
+    assert got.n == len(all_) and abs(got.q - np.quantile(all_, 0.02)) < 1e-12
+    reps, want = {}, {}
+    for i in range(70):
+        mine = [r for r in reps if r % 2 == i % 2 and (x := distance(i, r)) is not None and x <= got.q + 1e-12]
+        if not mine:
+            reps[i] = True
+            want[i] = i
+        else:
+            want[i] = min(mine)
+    assert {r.id: r.representative for r in mx.collapse_by_distance(df, ["g"], "id", "v", 0.02, -1.0).collect()} == want
