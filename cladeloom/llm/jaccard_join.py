@@ -1,23 +1,28 @@
 """Exact join of near-duplicate texts in the Jaccard metric space of their word shingles.
 
-d(A, B) = 1 - |A n B| / |A u B| is a metric on sets; texts link when d <= 1 - `similarity`. Almost all texts
+d(A, B) = 1 - |A n B| / |A u B| is a metric on sets; texts link when d <= r = 1 - `similarity`. Almost all texts
 are at distance 1 from each other, so texts alone, as pivots, would leave one region that triangle
-inequalities cannot split. The join therefore has two kinds of pivots.
+inequalities cannot split. The join therefore screens the texts first and has two kinds of pivots.
 
+* Screen: a set that links to another one shares at least ceil(similarity |A|) of its shingles with it. Of one in
+  `SAMPLED[1]` / `SAMPLED[0]` shingles it is counted, by hash, whether a second text has them; a set with more shingles without
+  a second text than links allow has none and goes no further. Sets that stay are counted again, with all their shingles, exactly.
 * First level: single shingles. A set's nearest such pivots are its own shingles (distance 1 - 1/|A|); ties go
-  to the one that is rarest in the corpus, by a table of counts of fixed size, then to the smaller hash. The window around
+  to the one that the fewest sets have, then to the smaller hash. The window around
   the borders: a set is replicated to its first |A| - ceil(similarity |A|) + 1 shingles in this order, and any two linked sets
-  then meet in some region, since a linked set can miss at most |A| - ceil(similarity |A|) of them.
-* Inside a region of more than `LEAF` texts: texts as pivots. Each round every open region takes `PIVOTS` of them; the
-  exact distances to them link texts or not, components are merged, and a region whose texts are all in one component is done. After
-  `rounds` rounds the texts of a region still open are joined pair by pair, in blocks, except the pairs of one
-  component and those that the triangle inequality rules out: |d(x, p) - d(y, p)| > 1 - similarity for a pivot p.
-  Smaller regions are joined pair by pair at once.
-* Before texts are shipped, a profile (how many shingles fall into each of `CLASSES` hash classes) gives a lower bound: two sets differ
+  then meet in some region, since a linked set can miss at most |A| - ceil(similarity |A|) of them. In the first region where two sets
+  meet, their places in the order bound what they can have in common; sets and pairs beyond that bound leave the region.
+* Regions of more than `LEAF` texts (of equal regions one): texts as pivots, the most central first. Every round takes `PIVOTS` of a
+  region, measures the exact distances of its texts to them, links what is near, merges components and closes regions that are one
+  component. The others are cut into the Voronoi cells of their pivots: x lies in the cell of its nearest pivot p and, as a border text, in
+  that of each pivot q with d(x, q) - d(x, p) <= 2 r; cells are regions of the next round. A region that the windows do not
+  split (replicas beyond `SPLIT`) stays whole. After `rounds` rounds the texts of a region are joined pair by pair, in
+  blocks, except the pairs of one component and those with |d(x, p) - d(y, p)| > r for a pivot p.
+* Before texts are shipped for a pair, a profile (how many shingles fall into each of `CLASSES` hash classes) gives a lower bound: two sets differ
   in at least as many shingles as their profiles differ, and linked sets differ in at most (1 - similarity) / (1 + similarity)
   of the sum of their sizes. Every surviving pair is compared by its whole sets.
 
-Equal sets are one class before anything is compared (128-bit digest). Postings travel as packed arrays, and
+Equal sets are one class (128-bit digest) with a number of its own before anything is compared. Shingles travel as packed arrays, and
 each text that shares a region with another is shipped to the pivots that it is compared with; pivots
 with many partners are split over several keys.
 
@@ -36,153 +41,267 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.components import components
-from cladeloom.llm.shingles import shingle_sets, sort_rows
-from cladeloom.llm.text import U64, column, mix, ranges, rows_of, scan, slices, string_buffers
+from cladeloom.llm.shingles import shingle_sets
+from cladeloom.llm.text import U64, column, ranges, rows_of, scan, slices, string_buffers
 from cladeloom.session import materialize, shared_dir
 
-#: Bits of the table of counts, and the number of parts in which it is summed.
-COUNT_BITS = 22
-COUNT_PARTS = 64
+#: Bytes of text whose shingles are counted in one bucket, and the least number of buckets.
+BUCKET_BYTES = 1 << 26
+LEAST_BUCKETS = 64
+#: The screen counts shingles whose hash modulo SAMPLED[0] is below SAMPLED[1].
+SAMPLED = (8, 3)
 #: Texts of a region that are joined pair by pair at once; texts of a block in larger ones.
 LEAF = 8
 BLOCK = 1000
-#: Text pivots of a region in one round, and classes of a profile.
+#: Text pivots of a region in one round, replicas per text up to which a region is split, and classes of a profile.
 PIVOTS = 3
+SPLIT = 1.5
 CLASSES = 128
-#: Postings that a task packs together; partners of a pivot under one key.
+#: Shingles that a task packs together; partners of a pivot under one key.
 PACK = 1 << 20
 PARTNERS = 500
-#: Bits of the filter by which texts are chosen for comparison (some others may pass).
-FILTER_BITS = 25
+#: Bits for each wanted set, and most bits (a power of two), of the filter by which texts are chosen (some others may pass).
+FILTER_RATIO = 16
+FILTER_MOST = 28
 
 
-def _count(batches):
-    """Packed counts of shingles by part of the table, from a task's texts."""
-    counts = np.zeros(1 << COUNT_BITS, np.int32)
-    for part in slices(batches):
-        sets = shingle_sets(*string_buffers(column(part, "text")))
-        counts += np.bincount((sets.hashes >> U64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.int32)
-    size = len(counts) // COUNT_PARTS
-    for k in range(COUNT_PARTS):
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(counts[k * size:(k + 1) * size].tobytes(), 1)], pa.binary())], ["part", "counts"])
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), LEAST_BUCKETS, -(-size // BUCKET_BYTES))
 
 
-def _levels(batches):
-    """Sums the packed counts of each part; gives their logarithms."""
-    total: dict[int, np.ndarray] = {}
+def _rows(names, *columns):
+    return pa.RecordBatch.from_arrays(list(columns), names)
+
+
+def _by_key(batches, name: str):
+    """(key, columns of its rows) for the runs of equal keys in sorted batches."""
+    key, held = None, []
     for batch in batches:
-        for k, packed in zip(column(batch, "part").to_pylist(), column(batch, "counts").to_pylist()):
-            add = np.frombuffer(zlib.decompress(packed), np.int32).astype(np.int64)
-            total[k] = total[k] + add if k in total else add
-    for k, n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ceil(2 * np.log2(n + 1)).astype(np.uint8).tobytes()], pa.binary())], ["part", "levels"])
+        keys = column(batch, name).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+        for a, b in zip(edges, [*edges[1:], len(keys)]):
+            if held and keys[a] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)
 
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """How common shingles are, by the top bits of their hash; the table has a fixed size."""
-    rows = docs.select("text").mapInArrow(_count, "part int, counts binary").repartition(COUNT_PARTS, "part").mapInArrow(_levels, "part int, levels binary").collect()
-    parts = {r["part"]: r["levels"] for r in rows}
-    size = (1 << COUNT_BITS) // COUNT_PARTS
-    return np.concatenate([np.frombuffer(parts[k], np.uint8) if k in parts else np.zeros(size, np.uint8) for k in range(COUNT_PARTS)])
+def _deal(df: DataFrame, parts: int, key: str) -> DataFrame:
+    return df.repartition(parts, key).sortWithinPartitions(key)
 
 
-def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-percent * n // 100) + 1
+def _chunk_id(first: np.ndarray) -> int:
+    """Number of a chunk of classes, from their digests in order."""
+    return int(np.sum(first * (np.arange(len(first)).astype(U64) * U64(2) + U64(0x9E3779B97F4A7C15)), dtype=U64).view(np.int64))
 
 
-def window_postings(sets, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every region that a row is replicated to."""
-    h = sets.hashes
-    order = (levels[(h >> U64(64 - COUNT_BITS)).astype(np.int64)].astype(U64) << U64(57)) | (h & U64((1 << 57) - 1))  # a level is below 128
-    sort_rows(order, sets.edges)
-    n = np.where(sets.sizes > 0, prefix_size(sets.sizes, percent), 0)
-    row = rows_of(n)
-    return row, order[sets.edges[:-1][row] + ranges(n)]
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that a set of n has in common with every linked one, at least."""
+    return -(-percent * n // 100)
 
 
-def regions(docs: DataFrame, levels: np.ndarray, percent: int, buckets: int) -> DataFrame:
-    """kind 0: (a, b) pairs of classes to compare; kind 1: (region, a, n) members of regions of more than LEAF classes."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def likely(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """digest and second of every set that may have links: its counted shingles that no second text has are not too many."""
 
     def emit(batches):
         held, size = [], 0
         for part in slices(batches):
             sets = shingle_sets(*string_buffers(column(part, "text")))
-            row, key = window_postings(sets, shared.value, percent)
-            held.append((mix(key), sets.first[row], sets.sizes[row].astype(np.uint32)))
-            size += len(key)
+            some = sets.hashes % U64(SAMPLED[0]) < U64(SAMPLED[1])
+            held.append((sets.first, sets.second, sets.sizes, np.bincount(rows_of(sets.sizes)[some], minlength=len(sets.first)), sets.hashes[some]))
+            size += int(some.sum())
             if size >= PACK:
-                yield from pack(held, buckets)
+                yield from pack(held)
                 held, size = [], 0
-        yield from pack(held, buckets)
-
-    def pack(held, buckets):
-        if not held:
+        if held:
+            yield from pack(held)
+
+    def pack(held):
+        first, second, n, m, h = (np.concatenate(x) for x in zip(*held))
+        _, keep = np.unique(np.stack([first, second], 1), axis=0, return_index=True)  # copies count once in a chunk
+        fresh = np.zeros(len(first), bool)
+        fresh[keep] = True
+        fresh &= n > 0
+        h = h[np.repeat(fresh, m)]
+        first, second, n, m = first[fresh], second[fresh], n[fresh], m[fresh]
+        if not len(first):
             return
-        key, a, n = (np.concatenate(x) for x in zip(*held))
-        bucket = (key >> U64(32)) % U64(buckets)
-        order = np.lexsort((a, key, bucket))
-        key, a, n, bucket = key[order], a[order], n[order], bucket[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])  # copies meet here once
-        key, a, n, bucket = key[new], a[new], n[new], bucket[new]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1).astype(U64))
-        for k in np.flatnonzero(np.diff(edges)):
+        chunk, row = _chunk_id(first), rows_of(m)
+        bucket = ((h >> U64(40)) % U64(buckets)).astype(np.int64)
+        order = np.lexsort((row, bucket))
+        h, row = h[order], row[order]
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        names = ["bucket", "chunk", "heads", "counts", "high", "low"]
+        home = chunk % buckets
+        for k in np.flatnonzero((np.diff(edges) > 0) | (np.arange(buckets) == home)).tolist():
+            s = slice(edges[k], edges[k + 1])
+            heads = zlib.compress(first.tobytes() + second.tobytes() + n.astype(np.int64).tobytes(), 1) if k == home else None
+            counts = zlib.compress(np.bincount(row[s], minlength=len(first)).astype(np.uint32).tobytes(), 1)
+            yield _rows(names, pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()), pa.array([counts], pa.binary()),
+                        pa.array([(h[s] >> U64(32)).astype(np.uint8).tobytes()], pa.binary()), pa.array([h[s].astype(np.uint32).tobytes()], pa.binary()))
+
+    def count(batches):
+        names = ["chunk", "heads", "alone"]
+        for _, rows in _by_key(batches, "bucket"):
+            parts = [np.frombuffer(b, np.uint8).astype(U64) << U64(32) | np.frombuffer(a, np.uint32).astype(U64) for a, b in zip(rows["low"].to_pylist(), rows["high"].to_pylist())]
+            h = np.concatenate(parts)
+            order = np.argsort(h)
+            h = h[order]
+            new = np.concatenate([[True], h[1:] != h[:-1], [True]])[:len(h) + 1]
+            alone = np.empty(len(h), bool)
+            alone[order] = new[:-1] & new[1:]
+            at = 0
+            for i, (chunk, heads, counts) in enumerate(zip(rows["chunk"].to_pylist(), rows["heads"].to_pylist(), rows["counts"].to_pylist())):
+                m = np.frombuffer(zlib.decompress(counts), np.uint32)
+                lone = np.bincount(rows_of(m)[alone[at:at + len(parts[i])]], minlength=len(m)).astype(np.uint32)
+                at += len(parts[i])
+                yield _rows(names, pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()), pa.array([zlib.compress(lone.tobytes(), 1)], pa.binary()))
+
+    def judge(batches):
+        for _, rows in _by_key(batches, "chunk"):
+            heads = next(x for x in rows["heads"].to_pylist() if x is not None)
+            data = np.frombuffer(zlib.decompress(heads), np.int64).reshape(3, -1)
+            lone = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in rows["alone"].to_pylist())
+            keep = lone <= data[2] - _need(data[2], percent)
+            yield _rows(["digest", "second"], pa.array(data[0][keep]), pa.array(data[1][keep]))
+
+    packed = docs.where("text is not null").select("text").mapInArrow(emit, "bucket int, chunk long, heads binary, counts binary, high binary, low binary")
+    counted = _deal(packed, buckets, "bucket").mapInArrow(count, "chunk long, heads binary, alone binary")
+    return materialize(_deal(counted, buckets, "chunk").mapInArrow(judge, "digest long, second long").distinct())
+
+
+def regions(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """kind 0: (a, b) pairs of classes to compare; kind 1: (region, a, n, c) members of regions of more than LEAF classes, c their
+    centrality (how common their shingles are)."""
+
+    def emit(batches):
+        held, size = [], 0
+        for part in slices(batches):
+            sets = shingle_sets(*string_buffers(column(part, "text")))
+            held.append((column(part, "a").to_numpy(), sets.sizes, sets.hashes))
+            size += len(sets.hashes)
+            if size >= PACK:
+                yield from pack(held)
+                held, size = [], 0
+        if held:
+            yield from pack(held)
+
+    def pack(held):
+        a, n, h = (np.concatenate(x) for x in zip(*held))
+        chunk, row = _chunk_id(a.view(U64)), rows_of(n).astype(np.uint32)
+        bucket = ((h >> U64(40)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        h, row = h[order], row[order]
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        home = chunk % buckets
+        for k in np.flatnonzero((np.diff(edges) > 0) | (np.arange(buckets) == home)).tolist():
             s = slice(edges[k], edges[k + 1])
-            payload = key[s].tobytes() + a[s].tobytes() + n[s].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([payload], pa.binary())], ["bucket", "payload"])
+            heads = a.tobytes() + n.astype(np.int64).tobytes() if k == home else None
+            yield _rows(["bucket", "chunk", "heads", "hashes", "row"], pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()),
+                        pa.array([h[s].tobytes()], pa.binary()), pa.array([row[s].tobytes()], pa.binary()))
+
+    def count(batches):
+        for _, rows in _by_key(batches, "bucket"):
+            parts = [np.frombuffer(x, U64) for x in rows["hashes"].to_pylist()]
+            _, back, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            times = times[back].astype(np.uint32)
+            at = 0
+            for part, chunk, heads, row in zip(parts, rows["chunk"].to_pylist(), rows["heads"].to_pylist(), rows["row"].to_pylist()):
+                n = times[at:at + len(part)]
+                at += len(part)
+                more = n > 1
+                yield _rows(["chunk", "heads", "hashes", "row", "times"], pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()),
+                            pa.array([part[more].tobytes()], pa.binary()), pa.array([np.frombuffer(row, np.uint32)[more].tobytes()], pa.binary()), pa.array([n[more].tobytes()], pa.binary()))
+
+    def place(batches):
+        for _, rows in _by_key(batches, "chunk"):
+            join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
+            a, n = np.frombuffer(next(x for x in rows["heads"].to_pylist() if x is not None), np.int64).reshape(2, -1)
+            h, row, times = join("hashes", U64), join("row", np.uint32).astype(np.int64), join("times", np.uint32)
+            order = np.lexsort((h, times, row))
+            h, row, times = h[order], row[order], times[order]
+            shared = np.bincount(row, minlength=len(a))
+            central = (100 * np.bincount(row, times, len(a)) / np.maximum(n, 1)).astype(np.int64)
+            pos = ranges(shared) + np.repeat(n - shared, shared)  # those that no other set has come first
+            keep = pos <= (n - _need(n, percent))[row]
+            h, row, pos = h[keep], row[keep], pos[keep]
+            bucket = ((h >> U64(40)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            h, row, pos = h[order], row[order], pos[order]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                s = slice(edges[k], edges[k + 1])
+                data = np.stack([h[s].view(np.int64), a[row[s]], n[row[s]], pos[s], central[row[s]]])
+                yield _rows(["bucket", "postings"], pa.array([k], pa.int32()), pa.array([data.tobytes()], pa.binary()))
+
+    NAMES = ["kind", "region", "a", "b", "n", "c"]
 
     def meet(batches):
-        held: list[bytes] = []
-        for batch in batches:  # a partition may hold several buckets; a region lies in one of them
-            held += column(batch, "payload").to_pylist()
-        parts = [(np.frombuffer(p, U64, len(p) // 20), np.frombuffer(p, U64, len(p) // 20, len(p) // 20 * 8), np.frombuffer(p, np.uint32, len(p) // 20, len(p) // 20 * 16)) for p in held]
-        if not parts:
-            return
-        key, a, n = (np.concatenate(x) for x in zip(*parts))
-        del held, parts
-        order = np.lexsort((a, key))
-        key, a, n = key[order], a[order], n[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1])
-        key, a, n = key[new], a[new], n[new]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
-        size = np.diff(edges)
-        pairs = []
-        for g in range(2, LEAF + 1):
-            first = edges[:-1][size == g]
-            for i in range(g):
-                for j in range(i + 1, g):
-                    pairs.append(np.stack([first + i, first + j], 1))
-        if pairs:
-            pair = np.concatenate(pairs)
-            low, high = np.minimum(n[pair[:, 0]], n[pair[:, 1]]).astype(np.int64), np.maximum(n[pair[:, 0]], n[pair[:, 1]]).astype(np.int64)
-            pair = pair[100 * low >= percent * high]
-            found = np.unique(np.stack([a[pair[:, 0]], a[pair[:, 1]]], 1), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int8)), pa.nulls(len(found), pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(len(found), pa.int64())], NAMES)
-        of = np.flatnonzero(np.repeat(size, size) > LEAF)
-        for at in range(0, len(of), 100_000):
-            x = of[at:at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int8)), pa.array(key[x].view(np.int64)), pa.array(a[x].view(np.int64)), pa.nulls(len(x), pa.int64()), pa.array(n[x].astype(np.int64))], NAMES)
-
-    NAMES = ["kind", "region", "a", "b", "n"]
-    packed = docs.select("text").mapInArrow(emit, "bucket int, payload binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(meet, "kind byte, region long, a long, b long, n long")
-
-
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """digest, text and profile of one row of each class in `wanted` (column a), written once. A filter of fixed size, built where the ids are, chooses the
-    texts that are shipped; the join that follows is exact."""
+        for _, rows in _by_key(batches, "bucket"):
+            key, a, n, pos, c = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in rows["postings"].to_pylist()], 1)
+            order = np.lexsort((a, key))
+            key, a, n, pos, c = (x[order] for x in (key, a, n, pos, c))
+            edges = _edges(key)
+            # a partner of at least the region's least size, and at least percent of n, must leave enough in common
+            least = np.repeat(np.minimum.reduceat(n, edges[:-1]), np.diff(edges))
+            keep = (100 + percent) * (n - pos) >= percent * (n + np.maximum(least, _need(n, percent)))
+            key, a, n, pos, c = (x[keep] for x in (key, a, n, pos, c))
+            if not len(key):
+                continue
+            edges = _edges(key)
+            size = np.diff(edges)
+            pairs = [np.zeros((0, 2), np.int64)]
+            for g in range(2, LEAF + 1):
+                at = edges[:-1][size == g]
+                pairs += [np.stack([at + i, at + j], 1) for i in range(g) for j in range(i + 1, g)]
+            x, y = np.concatenate(pairs).T
+            common = np.minimum(n[x] - pos[x], n[y] - pos[y])
+            fit = ((100 + percent) * common >= percent * (n[x] + n[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            found = np.unique(np.stack([a[x[fit]], a[y[fit]]], 1), axis=0)
+            none = pa.nulls(len(found), pa.int64())
+            yield _rows(NAMES, pa.array(np.zeros(len(found), np.int8)), none, pa.array(found[:, 0]), pa.array(found[:, 1]), none, none)
+            of = np.flatnonzero(np.repeat(size, size) > LEAF)
+            for at in range(0, len(of), 100_000):
+                x = of[at:at + 100_000]
+                yield _rows(NAMES, pa.array(np.ones(len(x), np.int8)), pa.array(key[x]), pa.array(a[x]), pa.nulls(len(x), pa.int64()), pa.array(n[x]), pa.array(c[x]))
+
+    packed = classes.select("a", "text").mapInArrow(emit, "bucket int, chunk long, heads binary, hashes binary, row binary")
+    counted = _deal(packed, buckets, "bucket").mapInArrow(count, "chunk long, heads binary, hashes binary, row binary, times binary")
+    placed = _deal(counted, buckets, "chunk").mapInArrow(place, "bucket int, postings binary")
+    return materialize(_deal(placed, buckets, "bucket").mapInArrow(meet, "kind byte, region long, a long, b long, n long, c long"))
+
+
+def _edges(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+
+
+def unequal_regions(members: DataFrame) -> DataFrame:
+    """Of regions with the same members, one."""
+    total = lambda seed: F.sum(F.xxhash64("a", F.lit(seed)).cast("decimal(20,0)"))
+    sign = members.groupBy("region").agg(total(1).alias("s"), total(2).alias("t"), F.count("*").alias("k"))
+    return members.join(sign.groupBy("s", "t", "k").agg(F.min("region").alias("region")).select("region"), "region", "left_semi")
+
+
+def classes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """a (a number of its own), digest, second, n, profile and text of each wanted set (digest, second), written once. A filter, built where
+    the digests are, chooses the texts that are shipped; the join that follows is exact."""
     spark = docs.sparkSession
+    filter_bits = min(max(int(np.ceil(np.log2(FILTER_RATIO * wanted.count() + 1))), 12), FILTER_MOST)
+    parts = LEAST_BUCKETS
 
     def bits(batches):
-        mask = np.zeros(1 << FILTER_BITS, bool)
+        mask = np.zeros(1 << filter_bits, bool)
         for batch in batches:
-            mask[(column(batch, "a").to_numpy().view(U64) >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
-        for k in range(COUNT_PARTS):
-            some = mask[k * len(mask) // COUNT_PARTS:(k + 1) * len(mask) // COUNT_PARTS]
+            mask[(column(batch, "digest").to_numpy().view(U64) >> U64(64 - filter_bits)).astype(np.int64)] = True
+        for k in range(parts):
+            some = mask[k * len(mask) // parts:(k + 1) * len(mask) // parts]
             if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(some).tobytes(), 1)], pa.binary())], ["part", "bits"])
+                yield _rows(["part", "bits"], pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(some).tobytes(), 1)], pa.binary()))
 
     def union(batches):
         total: dict[int, np.ndarray] = {}
@@ -191,34 +310,35 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 add = np.frombuffer(zlib.decompress(packed), np.uint8)
                 total[k] = total[k] | add if k in total else add
         for k, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["part", "bits"])
+            yield _rows(["part", "bits"], pa.array([k], pa.int32()), pa.array([m.tobytes()], pa.binary()))
 
-    parts = {r["part"]: r["bits"] for r in wanted.select("a").mapInArrow(bits, "part int, bits binary").repartition(COUNT_PARTS, "part").mapInArrow(union, "part int, bits binary").collect()}
-    empty = bytes((1 << FILTER_BITS) // COUNT_PARTS // 8)
-    shared = spark.sparkContext.broadcast(np.frombuffer(b"".join(parts.get(k, empty) for k in range(COUNT_PARTS)), np.uint8))
+    found = {r["part"]: r["bits"] for r in wanted.select("digest").mapInArrow(bits, "part int, bits binary").repartition(parts, "part").mapInArrow(union, "part int, bits binary").collect()}
+    empty = bytes((1 << filter_bits) // parts // 8)
+    shared = spark.sparkContext.broadcast(np.frombuffer(b"".join(found.get(k, empty) for k in range(parts)), np.uint8))
 
     def choose(batches):
         mask = shared.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for part in slices(batches):
             texts = column(part, "text")
             sets = shingle_sets(*string_buffers(texts))
-            digest = sets.first
-            at = (digest >> U64(64 - FILTER_BITS)).astype(np.int64)
-            hit = np.flatnonzero(mask[at >> 3] >> (7 - (at & 7)) & 1)
-            fresh = [i for i in hit.tolist() if digest[i].item() not in seen and not seen.add(digest[i].item())]
+            at = (sets.first >> U64(64 - filter_bits)).astype(np.int64)
+            hit = np.flatnonzero((mask[at >> 3] >> (7 - (at & 7)) & 1) * (sets.sizes > 0))
+            name = lambda i: (sets.first[i].item(), sets.second[i].item())  # noqa: B023, E731
+            fresh = [i for i in hit.tolist() if name(i) not in seen and not seen.add(name(i))]
             if len(seen) > 1_000_000:
                 seen.clear()
-            pick = pa.array(fresh, pa.int64())
             counts = np.bincount(rows_of(sets.sizes) * CLASSES + (sets.hashes % U64(CLASSES)).astype(np.int64), minlength=len(texts) * CLASSES).reshape(-1, CLASSES)
             profile = np.minimum(counts, 255).astype(np.uint8)  # a count cut off keeps the bound
-            yield pa.RecordBatch.from_arrays([pa.array(digest[fresh].view(np.int64), pa.int64()), texts.take(pick), pa.array([profile[i].tobytes() for i in fresh], pa.binary()), pa.array(sets.sizes[fresh])],
-                                             ["a", "text", "profile", "n"])
+            yield _rows(["digest", "second", "n", "profile", "text"], pa.array(sets.first[fresh].view(np.int64)), pa.array(sets.second[fresh].view(np.int64)), pa.array(sets.sizes[fresh]),
+                        pa.array([profile[i].tobytes() for i in fresh], pa.binary()), texts.take(pa.array(fresh, pa.int64())))
 
-    found = docs.where("text is not null").select("text").mapInArrow(choose, "a long, text string, profile binary, n long").join(wanted.select("a"), "a", "left_semi")
+    key = ["digest", "second"]
+    rows = docs.where("text is not null").select("text").mapInArrow(choose, "digest long, second long, n long, profile binary, text string").join(wanted, key, "left_semi")
     # copies from several tasks: partial aggregation keeps one of each, without a hot key
     path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    found.groupBy("a").agg(F.first("text").alias("text"), F.first("profile").alias("profile"), F.first("n").alias("n")).write.parquet(path)
+    one = rows.groupBy(*key).agg(F.first("n").alias("n"), F.first("profile").alias("profile"), F.first("text").alias("text"))
+    one.select(F.monotonically_increasing_id().alias("a"), "*").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -232,8 +352,8 @@ def _profiles(column_: pa.Array) -> np.ndarray:
     return string_buffers(column_)[0].reshape(-1, CLASSES)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """a, b, common and united (shingles) of every pair (a, b) that profiles allow to link, from the whole texts. All partners
+def compare(pairs: DataFrame, texts: DataFrame, percent: int, partitions: int, screened: bool = True) -> DataFrame:
+    """a, b, common and united (shingles) of every pair (a, b), if `screened` that profiles allow to link, from the whole texts. All partners
     of a meet a under one key, or under several when there are more than PARTNERS."""
     side = lambda c: texts.select(F.col("a").alias(c), F.col("profile").alias(f"{c}_profile"), F.col("n").alias(f"{c}_n"))
 
@@ -244,8 +364,10 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int, partitions: int) -
             keep = pa.array(near)
             yield pa.RecordBatch.from_arrays([get("a").filter(keep), get("b").filter(keep)], ["a", "b"])
 
-    both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
-    pairs = materialize(both.mapInArrow(screen, "a long, b long"))
+    pairs = pairs.select("a", "b").distinct()
+    if screened:
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(screen, "a long, b long")
+    pairs = materialize(pairs)
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("k"))
     keyed = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), "k").cast("int").alias("salt"), F.col("b").alias("x"))
     own = load.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.col("a").alias("x"))
@@ -304,8 +426,9 @@ def open_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
     return dealt.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(row, n_shingles, digest, second) of every document, and (a, label): the component of every digest that has links."""
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row, n_shingles, digest, second) of every document, and (node, second, label, label_second): the component, named by
+    one of its sets, of every set that has links."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -317,49 +440,61 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, carry:
         return work
 
     rows = scan(docs, make, "n_shingles long, digest long, second long", carry)
-    found = materialize(regions(docs, frequency_levels(docs), percent, max(partitions, COUNT_PARTS)))
-    small = found.where("kind = 0").select("a", "b")
-    members = found.where("kind = 1").select("region", "a", "n")
-    wanted = small.select("a").unionByName(small.select(F.col("b").alias("a"))).unionByName(members.select("a")).distinct()
-    texts = texts_of(docs, wanted)
+    buckets = bucket_count(docs)
+    classes = classes_of(docs, likely(docs, percent, buckets))
+    found = regions(classes, percent, buckets)
     linked = F.col("common") * 100 >= percent * F.col("united")
-    done = compare(small, texts, percent, partitions)
-    labels = components(done.where(linked).select("a", "b"))
-    distances = None
+    labels = components(compare(found.where("kind = 0"), classes, percent, partitions).where(linked).select("a", "b"))
     merge = lambda labels, new: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.where(linked).select("a", "b")))
-    with_labels = lambda members: members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    members = materialize(unequal_regions(found.where("kind = 1").select("region", "a", "n", "c")).withColumn("d", F.array().cast("array<double>")).withColumn("used", F.lit(False)))
+
+    def still_open(members, labels):
+        state = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+        mixed = state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
+        return materialize(state.join(mixed, "region", "left_semi"))
+
+    state = still_open(members, labels)
     for k in range(rounds):
-        state = with_labels(members)
-        pivots = [F.min(F.struct(F.xxhash64("a", F.lit(PIVOTS * k + j)), F.lit(j).alias("j"), F.col("a").alias("pivot"), F.col("n").alias("pn"), F.col("label").alias("pl"))).alias(f"p{j}") for j in range(PIVOTS)]
-        shape = state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high"), *pivots)
-        still = materialize(shape.where("low <> high").select("region", F.array(*[f"p{j}" for j in range(PIVOTS)]).alias("p")))
-        if still.isEmpty():
+        if state.isEmpty():
             break
-        asked = state.join(still, "region").select("region", "a", "n", "label", F.explode("p").alias("p")).select("region", "a", "n", "label", "p.j", "p.pivot", "p.pn", "p.pl")
-        asked = materialize(asked)
-        apart = (F.col("label") != F.col("pl")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-        measured = compare(asked.where(apart).select(F.col("pivot").alias("a"), F.col("a").alias("b")), texts, percent, partitions)
-        new = measured.select(F.col("a").alias("pivot"), F.col("b").alias("a"), (1 - F.col("common") / F.col("united")).alias("d"))
-        known = asked.join(new, ["pivot", "a"], "left").groupBy("region", "a", "n").agg(F.array(*[F.max(F.when(F.col("j") == j, F.col("d"))) for j in range(PIVOTS)]).alias("d"))
-        if distances is not None:
-            known = known.join(distances.withColumnRenamed("d", "before"), ["region", "a"]).select("region", "a", "n", F.concat("before", "d").alias("d"))
-        known = materialize(known)
-        distances, members = known.select("region", "a", "d"), known.select("region", "a", "n")
+        state, measured = voronoi_round(state, classes, percent, partitions, k)
         labels = merge(labels, measured)
-    state = with_labels(members)
-    still = materialize(state.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region"))
-    if not still.isEmpty():
-        state = state.withColumn("d", F.array().cast("array<double>")) if distances is None else state.join(distances, ["region", "a"])
-        left = state.join(still, "region").join(texts.select("a", "profile"), "a")
-        labels = merge(labels, compare(materialize(open_pairs(left, percent, partitions)), texts, percent, partitions))
-    return rows, labels
+        state = still_open(state.drop("label"), labels)
+    if not state.isEmpty():
+        left = state.join(classes.select("a", "profile"), "a")
+        labels = merge(labels, compare(materialize(open_pairs(left, percent, partitions)), classes, percent, partitions))
+    name = lambda a, first, second: classes.select(F.col("a").alias(a), F.col("digest").alias(first), F.col("second").alias(second))
+    named = labels.withColumnRenamed("label", "root").join(name("node", "digest", "second"), "node").join(name("root", "label", "label_second"), "root")
+    return rows, named.select(F.col("digest").alias("node"), "second", "label", "label_second")
+
+
+def voronoi_round(state: DataFrame, classes: DataFrame, percent: int, partitions: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Members of the regions of the next round, and the distances measured. state: region, a, n, c, d, used (was a pivot), label."""
+    fresh = lambda j: F.struct(~F.col("used"), F.col("c") if j == 0 else F.xxhash64("a", F.lit(PIVOTS * k + j)), "a")
+    pivots = state.groupBy("region").agg(F.array_distinct(F.array(*[F.max(fresh(j))["a"] for j in range(PIVOTS)])).alias("p"))
+    asked = materialize(state.join(pivots, "region"))
+    pairs = asked.select("a", F.explode("p").alias("pivot")).where("a <> pivot")
+    measured = compare(pairs.select(F.col("pivot").alias("a"), F.col("a").alias("b")), classes, percent, partitions, screened=False)
+    far = measured.select(F.col("a").alias("pivot"), F.col("b").alias("a"), (1 - F.col("common") / F.col("united")).alias("to"))
+    each = asked.select("region", "a", "n", "c", "d", "used", F.size("p").alias("pivots"), F.posexplode("p").alias("j", "pivot")).join(far, ["pivot", "a"], "left")
+    each = each.withColumn("to", F.coalesce("to", F.lit(0.0)))  # the pivot itself
+    near = each.groupBy("region", "a").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.first("d").alias("d"), F.max(F.col("used") | (F.col("a") == F.col("pivot"))).alias("used"),
+                                           F.sort_array(F.collect_list(F.struct("j", "to", "pivot"))).alias("to"))  # PIVOTS entries at most
+    near = near.withColumn("d", F.concat("d", F.col("to.to"))).withColumn("least", F.array_min("to.to"))
+    near = materialize(near.withColumn("cells", F.filter("to", lambda t: t["to"] - F.col("least") <= 2 * (1 - percent / 100) + 1e-9)))
+    split = near.groupBy("region").agg((F.sum(F.size("cells")) <= SPLIT * F.count("*")).alias("split"))
+    parted = near.join(split, "region")
+    cells = parted.withColumn("cell", F.explode(F.when(F.col("split"), F.col("cells.pivot")).otherwise(F.array(F.lit(None).cast("long")))))
+    out = cells.select(F.when(F.col("split"), F.xxhash64("region", "cell")).otherwise(F.col("region")).alias("region"), "a", "n", "c", "d", "used")
+    return materialize(out), measured
 
 
 def with_components(docs: DataFrame, percent: int = 75, carry: list[str] | None = None) -> DataFrame:
     """row, n_shingles, digest, label (of the component; several may share a smallest doc_id) and component_id (the
     smallest doc_id reachable by links) of every document."""
     rows, labels = near_duplicates(docs, percent, carry=carry)
-    labelled = rows.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    known = labels.select(F.col("node").alias("digest"), "second", F.struct(F.col("label").alias("digest"), F.col("label_second").alias("second")).alias("label"))
+    labelled = rows.join(known, ["digest", "second"], "left").withColumn("label", F.coalesce("label", F.struct("digest", "second")))
     smallest = labelled.where("n_shingles > 0").groupBy("label").agg(F.min("row.doc_id").alias("smallest"))
     out = labelled.join(smallest, "label", "left")
     return out.select("row", "n_shingles", "digest", "label", F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("row.doc_id")).alias("component_id"))
