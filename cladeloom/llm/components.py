@@ -1,12 +1,21 @@
 """Connected components of a link table by alternating star contractions."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeloom.session import materialize
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files that no table refers to any more. It acts when the driver collects garbage, which
+    an idle driver would not do while many rounds leave their files behind."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label (the smallest node reachable) for every node of `links` (a, b). Each round hangs the
     larger neighbours of a node on its smallest one, then the smaller ones; minima are pre-aggregated before
@@ -26,5 +35,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        release(links.sparkSession)
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots.select("node", F.col("node").alias("label"))).distinct()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeloom.llm.components import components
+from cladeloom.llm.components import components, release
 from cladeloom.llm.shingles import shingle_sets
 from cladeloom.llm.text import U64, column, ranges, rows_of, scan, slices, string_buffers
 from cladeloom.session import materialize, shared_dir
@@ -352,7 +352,7 @@ def _profiles(column_: pa.Array) -> np.ndarray:
     return string_buffers(column_)[0].reshape(-1, CLASSES)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, percent: int, partitions: int, screened: bool = True) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, percent: int, screened: bool = True) -> DataFrame:
     """a, b, common and united (shingles) of every pair (a, b), if `screened` that profiles allow to link, from the whole texts. All partners
     of a meet a under one key, or under several when there are more than PARTNERS."""
     side = lambda c: texts.select(F.col("a").alias(c), F.col("profile").alias(f"{c}_profile"), F.col("n").alias(f"{c}_n"))
@@ -391,11 +391,11 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int, partitions: int, s
                     out.append((keys[i], xs[i], common, len(mine) + len(own) - common))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], ["a", "b", "common", "united"])
 
-    dealt = rows.repartition(partitions, "a", "salt").sortWithinPartitions("a", "salt", "partner")
+    dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
     return materialize(dealt.mapInArrow(run, "a long, b long, common long, united long"))
 
 
-def open_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
+def open_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of one region, in blocks: of different components, of fitting sizes and not ruled out by a pivot or by
     profiles. members: region, a, n, label, profile, d (array of distances to the region's pivots, null where unknown)."""
     blocks = members.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
@@ -426,11 +426,10 @@ def open_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
     return dealt.groupBy("region", "low", "high").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 2, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(row, n_shingles, digest, second) of every document, and (node, second, label, label_second): the component, named by
     one of its sets, of every set that has links."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def make():
         def work(texts):
@@ -442,9 +441,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3, carry:
     rows = scan(docs, make, "n_shingles long, digest long, second long", carry)
     buckets = bucket_count(docs)
     classes = classes_of(docs, likely(docs, percent, buckets))
+    release(spark)
     found = regions(classes, percent, buckets)
+    release(spark)
     linked = F.col("common") * 100 >= percent * F.col("united")
-    labels = components(compare(found.where("kind = 0"), classes, percent, partitions).where(linked).select("a", "b"))
+    labels = components(compare(found.where("kind = 0"), classes, percent).where(linked).select("a", "b"))
     merge = lambda labels, new: components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new.where(linked).select("a", "b")))
     members = materialize(unequal_regions(found.where("kind = 1").select("region", "a", "n", "c")).withColumn("d", F.array().cast("array<double>")).withColumn("used", F.lit(False)))
 
@@ -457,24 +458,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, rounds: int = 3, carry:
     for k in range(rounds):
         if state.isEmpty():
             break
-        state, measured = voronoi_round(state, classes, percent, partitions, k)
+        state, measured = voronoi_round(state, classes, percent, k)
         labels = merge(labels, measured)
         state = still_open(state.drop("label"), labels)
+        release(spark)
     if not state.isEmpty():
         left = state.join(classes.select("a", "profile"), "a")
-        labels = merge(labels, compare(materialize(open_pairs(left, percent, partitions)), classes, percent, partitions))
+        labels = merge(labels, compare(materialize(open_pairs(left, percent)), classes, percent))
     name = lambda a, first, second: classes.select(F.col("a").alias(a), F.col("digest").alias(first), F.col("second").alias(second))
     named = labels.withColumnRenamed("label", "root").join(name("node", "digest", "second"), "node").join(name("root", "label", "label_second"), "root")
     return rows, named.select(F.col("digest").alias("node"), "second", "label", "label_second")
 
 
-def voronoi_round(state: DataFrame, classes: DataFrame, percent: int, partitions: int, k: int) -> tuple[DataFrame, DataFrame]:
+def voronoi_round(state: DataFrame, classes: DataFrame, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
     """Members of the regions of the next round, and the distances measured. state: region, a, n, c, d, used (was a pivot), label."""
     fresh = lambda j: F.struct(~F.col("used"), F.col("c") if j == 0 else F.xxhash64("a", F.lit(PIVOTS * k + j)), "a")
     pivots = state.groupBy("region").agg(F.array_distinct(F.array(*[F.max(fresh(j))["a"] for j in range(PIVOTS)])).alias("p"))
     asked = materialize(state.join(pivots, "region"))
     pairs = asked.select("a", F.explode("p").alias("pivot")).where("a <> pivot")
-    measured = compare(pairs.select(F.col("pivot").alias("a"), F.col("a").alias("b")), classes, percent, partitions, screened=False)
+    measured = compare(pairs.select(F.col("pivot").alias("a"), F.col("a").alias("b")), classes, percent, screened=False)
     far = measured.select(F.col("a").alias("pivot"), F.col("b").alias("a"), (1 - F.col("common") / F.col("united")).alias("to"))
     each = asked.select("region", "a", "n", "c", "d", "used", F.size("p").alias("pivots"), F.posexplode("p").alias("j", "pivot")).join(far, ["pivot", "a"], "left")
     each = each.withColumn("to", F.coalesce("to", F.lit(0.0)))  # the pivot itself
