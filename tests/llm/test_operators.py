@@ -295,6 +295,32 @@ def test_jaccard_join_with_crowded_regions(spark, monkeypatch):
         assert {i: min(g) for g in groups.values() for i in g} == {i: c for i, (_, c) in want.items()}, rounds
 
 
+def test_jaccard_join_by_voronoi_cells(spark, monkeypatch):
+    """Crowded regions are always cut into the cells of their pivots, also where windows overlap much; several clusters share one region."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 100)
+    monkeypatch.setattr(jaccard_join, "LEAF", 2)
+    import random
+    rng = random.Random(11)
+    passage, docs = cases.words(70, 45), []
+    for i in range(48):
+        w = cases.words(71 + i % 4, 15).split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"y{rng.randrange(5)}"
+        docs.append((i, f"{passage} {' '.join(w)}"))
+    rounds, cut = [], jaccard_join.voronoi_round
+
+    def watched(state, *rest):
+        out = cut(state, *rest)
+        regions = lambda df: {r["region"] for r in df.select("region").distinct().collect()}
+        rounds.append(bool(regions(out[0]) - regions(state)))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "voronoi_round", watched)
+    got = {r["row"]["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.with_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == cases.jaccard_components(docs)
+    assert any(rounds)
+
+
 def test_components_of_a_long_chain(spark):
     from cladeloom.llm.components import components
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5000, 5000)], "a long, b long")
