@@ -9,10 +9,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cladeloom.functions import vectors as vx
 from cladeloom.functions.arith import ratio
 from cladeloom.operators.stats import classifier_metrics
 from cladeloom.session import materialize
@@ -136,7 +136,7 @@ def repeated_holdouts(df: DataFrame, key: str, vec: str, label: str, stratum: st
 
     def scan(b: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(b)
-        parts = rows.mapInPandas(sums(shared), "replicate int, t array<double>").groupBy("replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("t"))).alias("t"))
+        parts = rows.mapInPandas(sums(shared), "replicate int, t array<double>").groupBy("replicate").agg(vx.sum_vector(F.col("t")).alias("t"))
         out = np.array([r["t"] for r in sorted(parts.collect(), key=lambda r: r["replicate"])])
         shared.unpersist()
         return out

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladeloom.functions import names as nm, scales as sc, sequence as sq, special as sp
+from cladeloom.functions import names as nm, scales as sc, sequence as sq, special as sp, vectors as vx
+from cladeloom.operators import gram as gr
 from cladeloom.operators import aggregates as ag, assoc as az, filters as fl, joins as jn, jumps, matrix as mx, ordered as od, pairs as pr, sequences as so, sets as st, sites as si, stats as sx, structure as sr, tree as tr
 
 
@@ -751,3 +752,30 @@ def test_collapse_by_distance_equals_sequential(spark):
         else:
             want[i] = min(mine)
     assert {r.id: r.representative for r in mx.collapse_by_distance(df, ["g"], "id", "v", 0.02, -1.0).collect()} == want
+
+
+def test_vector_sums_of_counts_are_whole(spark):
+    rows = spark.range(0, 60_000, 1, 32).select((F.col("id") % 97).alias("g"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 13 - 5).cast("double")).alias("v"))
+    want = defaultdict(lambda: [0, 0])
+    count = defaultdict(int)
+    for i in range(60_000):
+        count[i % 97] += 1
+        want[i % 97][0] += i % 7
+        want[i % 97][1] += i % 13 - 5
+    assert {r.g: r.s for r in rows.groupBy("g").agg(vx.sum_vector(F.col("v")).alias("s")).collect()} == dict(want)
+    parts = {r.g: gr.unpack(r["_gram"]) for r in gr.gram(rows, F.col("v"), ["g"]).collect()}
+    assert all(m[0, 0] == count[g] and m[0, 1:].tolist() == want[g] for g, m in parts.items())
+
+
+def test_vector_sum_keeps_nan_and_infinity(spark):
+    df = spark.createDataFrame([([1.0, float("inf"), float("nan")],), ([-2.5, 1.0, 1.0],)], "v array<double>")
+    s = df.agg(vx.sum_vector(F.col("v")).alias("s")).first().s
+    assert s[0] == -1.5 and s[1] == float("inf") and math.isnan(s[2])
+
+
+def test_site_scan_over_many_partitions(spark):
+    n = 6_007
+    ids = spark.range(0, n, 1, 32)
+    sites = ids.select(F.lit("g").alias("gene"), F.lit(1).alias("pos"), "id", F.when(F.col("id") % 3 == 0, "A").otherwise("R").alias("allele"))
+    traits = ids.select("id", (F.col("id") * 37 % 101).cast("double").alias("y"), F.array((F.col("id") % 11).cast("double")).alias("z"))
+    assert az.site_scan(sites, traits).first().n == n
