@@ -172,7 +172,9 @@ def _(s, d):
     e = table(s, d, "embeddings")
     x = [F.round(F.col("embedding")[i].cast("double") * 50, 3) for i in range(3)]
     res = F.when(F.col("vec_id") % 10 < 8, "ALA").otherwise("HOH")
-    l = F.format_string("ATOM  %5d  CA  %3s %1d%4d    %8.3f%8.3f%8.3f", "vec_id", res, "label", "vec_id", *x)
+    # serial and residue number have 5 and 4 places
+    at = [rd.to_hybrid36(F.col("vec_id"), w) for w in (5, 4)]
+    l = F.format_string("ATOM  %s  CA  %3s %1d%s    %8.3f%8.3f%8.3f", at[0], res, "label", at[1], *x)
     e.select(l.alias("value")).write.text(out)
     a = rd.read_atoms(s, out).where("is_ca")
     return a.select("chain", "resno", (v.rnd("x", 3) + 0.0).alias("x"), (v.rnd("z", 3) + 0.0).alias("z"))

@@ -146,11 +146,26 @@ def read_gff3(spark: SparkSession, paths: Paths) -> DataFrame:
                     F.regexp_extract(F.col("p")[8], r"(?:^|;)ID=([^;]*)", 1).alias("feature_id"), F.regexp_extract(F.col("p")[8], r"(?:^|;)Parent=([^;]*)", 1).alias("parent"))
 
 
+def hybrid36(s: Column, width: int) -> Column:
+    """Number in a field of fixed width: decimal, then base 36 from A000 on in capitals, then from a000 on in small letters."""
+    n, at = F.conv(F.upper(s), 36, 10).cast("bigint"), 36 ** (width - 1)
+    return F.when(s.rlike("^[A-Z]"), n - 10 * at + 10 ** width).when(s.rlike("^[a-z]"), n + 16 * at + 10 ** width).otherwise(s.try_cast("bigint"))
+
+
+def to_hybrid36(n: Column, width: int) -> Column:
+    """The text of a number from 0 on as `hybrid36` reads it; numbers beyond the last raise."""
+    at, most = 36 ** (width - 1), 10 ** width
+    code = lambda shift: F.conv((n - most + shift).cast("string"), 10, 36)
+    return (F.when(n < most, F.lpad(n.cast("string"), width, " ")).when(n < most + 26 * at, code(10 * at)).when(n < most + 52 * at, F.lower(code(-16 * at)))
+            .otherwise(F.raise_error(F.concat(n.cast("string"), F.lit(f" does not fit {width} places")))))
+
+
 def read_atoms(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Fixed-width atom lines; water is dropped, `is_ligand` marks hetero atoms, `is_ca` the alpha carbons."""
+    """Fixed-width atom lines; water is dropped, `is_ligand` marks hetero atoms, `is_ca` the alpha carbons.  Residue
+    numbers from 10,000 on are in hybrid-36, the usual form of large structures."""
     f = lambda a, n: F.trim(F.substring("value", a, n))
     l = _text(spark, paths).where(F.col("value").startswith("ATOM") | F.col("value").startswith("HETATM"))
-    d = l.select(f(22, 1).alias("chain"), f(23, 4).cast("int").alias("resno"), f(18, 3).alias("resid"), f(13, 4).alias("atom"), *[f(31 + 8 * i, 8).cast("double").alias(c) for i, c in enumerate("xyz")],
+    d = l.select(f(22, 1).alias("chain"), hybrid36(f(23, 4), 4).cast("int").alias("resno"), f(18, 3).alias("resid"), f(13, 4).alias("atom"), *[f(31 + 8 * i, 8).cast("double").alias(c) for i, c in enumerate("xyz")],
                  F.col("value").startswith("HETATM").alias("is_ligand"))
     return d.where(F.col("resid") != "HOH").withColumn("is_ca", ~F.col("is_ligand") & (F.col("atom") == "CA"))
 
