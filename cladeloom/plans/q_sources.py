@@ -287,6 +287,7 @@ def _(s, d):
 def _(s, d):
     out = scratch(s)
     st = oc.file_stream(s, d, "events.parquet", _EV)
-    p = st.select("ts", F.col("user_id").alias("species"), (F.col("value") % 360 - 180).alias("lon"), ((F.col("value") * 7) % 180 - 90).alias("lat"))
+    # rounded first: values 360 apart are one place, but differ in their last bits
+    p = st.select("ts", F.col("user_id").alias("species"), (v.rnd(F.col("value") % 360 - 180) + 0.0).alias("lon"), (v.rnd((F.col("value") * 7) % 180 - 90) + 0.0).alias("lat"))
     oc.run_available(oc.dedupe(p, ["species", "lat", "lon"], "ts", "365 days").select("species", "lat", "lon"), out + "/t", out + "/c")
     return r_(s.read.parquet(out + "/t"))

@@ -3,6 +3,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -779,3 +780,34 @@ def test_site_scan_over_many_partitions(spark):
     sites = ids.select(F.lit("g").alias("gene"), F.lit(1).alias("pos"), "id", F.when(F.col("id") % 3 == 0, "A").otherwise("R").alias("allele"))
     traits = ids.select("id", (F.col("id") * 37 % 101).cast("double").alias("y"), F.array((F.col("id") % 11).cast("double")).alias("z"))
     assert az.site_scan(sites, traits).first().n == n
+
+
+def test_hybrid36_numbers(spark):
+    from cladeloom.sources import readers as rd
+    n = [0, 7, 9_999, 10_000, 10_035, 10_036, 1_223_055, 1_223_056, 2_436_111]
+    df = spark.createDataFrame([(i,) for i in n], "n bigint").withColumn("t", rd.to_hybrid36(F.col("n"), 4))
+    got = df.select("n", "t", rd.hybrid36(F.trim("t"), 4).alias("b")).collect()
+    assert all(len(r.t) == 4 and r.b == r.n for r in got)
+    assert [r.t for r in got] == ["   0", "   7", "9999", "A000", "A00Z", "A010", "ZZZZ", "a000", "zzzz"]
+
+
+def _rows(df, cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_read_atoms_with_wide_numbers(spark, tmp_path):
+    from cladeloom.plans import QUERIES
+    ids = [3, 9_999, 10_000, 123_456, 1_500_000]
+    spark.createDataFrame([(i, [0.5, 0.25, -0.125], i % 10) for i in ids], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = _rows(QUERIES["read_atoms"](spark, str(tmp_path)), ["resno", "chain", "x", "z"])
+    assert got == [(i, str(i % 10), 25.0, -6.25) for i in ids if i % 10 < 8]
+
+
+def test_stream_dedupe_joins_values_360_apart(spark, tmp_path):
+    from datetime import datetime
+    from cladeloom.plans import QUERIES
+    values = [x / 100 for x in range(0, 20_000, 37)]
+    rows = [(i, datetime(2024, 1, 1), 5, "x", float(x), "") for i, x in enumerate([*values, *[x + 360 for x in values]])]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
+    got = _rows(QUERIES["stream_dedupe"](spark, str(tmp_path)), ["species", "lat", "lon"])
+    assert len(got) == len(set(got)) == len(values)
