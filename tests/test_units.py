@@ -811,3 +811,17 @@ def test_stream_dedupe_joins_values_360_apart(spark, tmp_path):
     pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).to_parquet(f"{tmp_path}/events.parquet", coerce_timestamps="us")
     got = _rows(QUERIES["stream_dedupe"](spark, str(tmp_path)), ["species", "lat", "lon"])
     assert len(got) == len(set(got)) == len(values)
+
+
+def test_collapse_with_copies_of_gaps_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mx, "BLOCK_ROWS", 5)
+    rng = np.random.default_rng(7)
+    v = rng.integers(0, 3, size=(40, 6)).astype(float)
+    v[10] = v[20] = v[30] = -1
+    df = spark.createDataFrame([("g" if i else None, i, [float(a) for a in r]) for i, r in enumerate(v)], "g string, id bigint, v array<double>")
+    reps, want = [], {}
+    for i in range(1, 40):
+        near = [r for r in reps if ((v[i] != -1) & (v[r] != -1)).any() and (v[i] != v[r]).mean() <= 0.4 + 1e-12]
+        want[i] = min(near) if near else i
+        reps += [] if near else [i]
+    assert {r.id: r.representative for r in mx.greedy_collapse(df, ["g"], "id", "v", None, -1.0, 0.4).collect()} == want
