@@ -825,3 +825,28 @@ def test_collapse_with_copies_of_gaps_and_many_blocks(spark, monkeypatch):
         want[i] = min(near) if near else i
         reps += [] if near else [i]
     assert {r.id: r.representative for r in mx.greedy_collapse(df, ["g"], "id", "v", None, -1.0, 0.4).collect()} == want
+
+
+def test_autocorrelation_of_points_at_one_place(spark):
+    rng = np.random.default_rng(11)
+    p = rng.integers(0, 4, size=(60, 2)).astype(float)
+    x = rng.normal(size=60)
+    df = spark.createDataFrame([(i, [float(c) for c in p[i]], float(x[i])) for i in range(60)], "id bigint, p array<double>, x double")
+    d, z = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)), x - x.mean()
+    off = ~np.eye(60, dtype=bool)
+    for cut in (None, 2.0):
+        w = np.where(off, 1 / (d + 0.001), 0) if cut is None else ((d > 0) & (d <= cut)).astype(float)
+        w = w / w.sum(1, keepdims=True)
+        s0, s1, s2 = w.sum(), ((w + w.T) ** 2).sum() / 2, ((w.sum(1) + w.sum(0)) ** 2).sum()
+        got = mx.morans_i(df, "id", "p", "x", cut).first()
+        assert got.n == 60 and abs(got.moran_i - 60 / s0 * (z @ w @ z) / (z @ z)) < 1e-9
+        assert abs(got.variance - ((3600 * s1 - 60 * s2 + 3 * s0 ** 2) / (3599 * s0 ** 2) - 1 / 59 ** 2)) < 1e-9
+    for r in mx.correlogram(df, "id", "p", "x", [-1, 0, 1, 2, 5], min_pairs=1).collect():
+        on = np.triu((d > [-1, 0, 1, 2][r.cls]) & (d <= [0, 1, 2, 5][r.cls]), 1)
+        assert r.n_pairs == on.sum() and abs(r.moran_i - 60 / on.sum() * (np.outer(z, z)[on]).sum() / (z @ z)) < 1e-9
+
+
+def test_chunks_are_not_sent_through_the_driver(spark):
+    df = spark.range(40).select("id", F.array(F.col("id").cast("double")).alias("p"))
+    plan = pr.chunk_pairs(df, (), "id", ["p"], lambda a, b, same: {"n": [1]}, "n bigint", vectors=["p"])._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
