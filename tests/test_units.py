@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cladeloom.functions.arith import draw
 from cladeloom.functions import names as nm, scales as sc, sequence as sq, special as sp, vectors as vx
 from cladeloom.operators import gram as gr
 from cladeloom.operators import aggregates as ag, assoc as az, filters as fl, joins as jn, jumps, matrix as mx, ordered as od, pairs as pr, sequences as so, sets as st, sites as si, stats as sx, structure as sr, tree as tr
@@ -850,3 +851,22 @@ def test_chunks_are_not_sent_through_the_driver(spark):
     df = spark.range(40).select("id", F.array(F.col("id").cast("double")).alias("p"))
     plan = pr.chunk_pairs(df, (), "id", ["p"], lambda a, b, same: {"n": [1]}, "n bigint", vectors=["p"])._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_permutation_ranks_only_the_last_bin(spark, monkeypatch):
+    ranked = []
+    plain = sx.row_index
+    monkeypatch.setattr(sx, "row_index", lambda df, *a, **k: (ranked.append(df.count()), plain(df, *a, **k))[1])
+    n, b = 3000, 9
+    x = [float(i * 37 % 101) for i in range(n)]
+    df = spark.createDataFrame([(i, x[i], i % 3 == 0) for i in range(n)], "id bigint, x double, l boolean")
+    got = sx.permutation_test(df, ["id"], "x", F.col("l"), b).first()
+    order = {j: [] for j in range(1, b + 1)}
+    for r in df.select("id", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("perm")).withColumn("h", draw("id", "perm")).collect():
+        order[r.perm].append((r.h, r.id))
+    gap = lambda ids: sum(x[i] for i in ids) / 1000 - (sum(x) - sum(x[i] for i in ids)) / 2000
+    d = [gap([i for _, i in sorted(o)[:1000]]) for o in order.values()]
+    obs = gap(range(0, n, 3))
+    assert abs(got.observed - obs) < 1e-9 and abs(got.null_mean - np.mean(d)) < 1e-9 and abs(got.null_sd - np.std(d, ddof=1)) < 1e-9
+    assert got.n_perm == b and got.p_value == (sum(abs(v) >= abs(obs) for v in d) + 1) / (b + 1)
+    assert sum(ranked) < n * b / 50
