@@ -870,3 +870,28 @@ def test_permutation_ranks_only_the_last_bin(spark, monkeypatch):
     assert abs(got.observed - obs) < 1e-9 and abs(got.null_mean - np.mean(d)) < 1e-9 and abs(got.null_sd - np.std(d, ddof=1)) < 1e-9
     assert got.n_perm == b and got.p_value == (sum(abs(v) >= abs(obs) for v in d) + 1) / (b + 1)
     assert sum(ranked) < n * b / 50
+
+
+def test_chunk_meets_itself_in_one_order(spark):
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(300, 3))
+    base = spark.createDataFrame([(i, [float(c) for c in r], float(i % 2)) for i, r in enumerate(p)], "id bigint, p array<double>, y double")
+
+    def mix(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1.0, random_state=np.random.default_rng())
+
+    df = base.coalesce(1).mapInPandas(mix, base.schema)  # rows come in another order each time they are read
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    off = d + np.diag(np.full(300, np.inf))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        near = {r.id: r.distance for r in sr.nearest_in_set(df, [], "id", "p").collect()}
+        pairs = sorted((r.a, r.b) for r in mx.close_contrasting_pairs(df, [], "id", "p", "y", 0.5, 0.5).collect())
+        kin = {r.id: (r.self_kinship, r.row_sum) for r in mx.kinship_summary(mx.kinship_blocks(df.select("id", "p"), "id", "p"), "id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert all(abs(near[i] - off[i].min()) < 1e-12 for i in range(300))
+    assert pairs == sorted((i, j) for i in range(300) for j in range(i + 1, 300) if d[i, j] <= 0.5 and (i - j) % 2)
+    c = p - p.mean(0)
+    assert all(abs(kin[i][0] - c[i] @ c[i] / 3) < 1e-9 and abs(kin[i][1]) < 1e-9 for i in range(300))
