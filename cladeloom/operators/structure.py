@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cladeloom.functions import sequence as sq
 from cladeloom.functions.arith import draw
 from cladeloom.operators import stats as sx
-from cladeloom.operators.joins import _exact, nearest_neighbour, radius_count
+from cladeloom.operators.joins import nearest_neighbour, radius_count
 from cladeloom.operators.ordered import join_same, quantile_column, quantiles, row_index
-from cladeloom.operators.pairs import chunk_pairs
+from cladeloom.operators.pairs import chunk_pairs, distances
 
 
 def chain_summary(atoms: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def residue_features(residues: DataFrame, ligands: DataFrame, z_cut: float) -> D
 def other_group_distance(points: DataFrame, id: str, group: str, vec: str) -> DataFrame:
     """Distance from each point to the nearest point of any other group, reduced in-task."""
     def kernel(a, b, same):
-        d = _exact(a[vec], b[vec])
+        d = distances(a[vec], b[vec])
         d[a[group][:, None] == b[group][None, :]] = np.inf
         ids, m = [a[id]], [d.min(1)]
         if not same:
@@ -57,7 +57,7 @@ def other_group_distance(points: DataFrame, id: str, group: str, vec: str) -> Da
 def nearest_in_set(points: DataFrame, by: Sequence[str], id: str, vec: str) -> DataFrame:
     """Distance of each point to its nearest other member of the same group."""
     def kernel(a, b, same):
-        d = _exact(a[vec], b[vec])
+        d = distances(a[vec], b[vec])
         if same:
             np.fill_diagonal(d, np.inf)
         ids, m = [a[id]], [d.min(1)]

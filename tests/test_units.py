@@ -895,3 +895,25 @@ def test_chunk_meets_itself_in_one_order(spark):
     assert pairs == sorted((i, j) for i in range(300) for j in range(i + 1, 300) if d[i, j] <= 0.5 and (i - j) % 2)
     c = p - p.mean(0)
     assert all(abs(kin[i][0] - c[i] @ c[i] / 3) < 1e-9 and abs(kin[i][1]) < 1e-9 for i in range(300))
+
+
+def test_batches_and_distances_are_bounded(spark, monkeypatch):
+    wide = spark.range(0, 40, 1, 1).select("id", F.array_repeat(F.lit(1.5), 1 << 20).alias("v"))
+
+    def rows(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    assert max(r.n for r in wide.mapInPandas(rows, "n int").collect()) <= 10
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(70, 64)), rng.normal(size=(50, 64))
+    monkeypatch.setattr(pr, "STRIP", 64 * 50 * 3)
+    assert (pr.distances(a, b) == np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))).all() and pr.distances(a, b[:0]).shape == (70, 0)
+
+
+def test_kinship_totals_equal_the_blocks(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(rng.integers(0, 4, size=(1100, 5)))], "id bigint, v array<double>")
+    a = {r.id: (r.self_kinship, r.row_sum) for r in mx.kinship_summary(mx.kinship_blocks(df, "id", "v"), "id").collect()}
+    b = {r.id: (r.self_kinship, r.row_sum) for r in mx.kinship_totals(df, "id", "v").collect()}
+    assert len(b) == 1100 and all(abs(a[i][j] - b[i][j]) < 1e-9 for i in a for j in (0, 1))
