@@ -917,3 +917,18 @@ def test_kinship_totals_equal_the_blocks(spark):
     a = {r.id: (r.self_kinship, r.row_sum) for r in mx.kinship_summary(mx.kinship_blocks(df, "id", "v"), "id").collect()}
     b = {r.id: (r.self_kinship, r.row_sum) for r in mx.kinship_totals(df, "id", "v").collect()}
     assert len(b) == 1100 and all(abs(a[i][j] - b[i][j]) < 1e-9 for i in a for j in (0, 1))
+
+
+def test_theta_counts_on_roundings_and_without_chunk_pairs(spark, monkeypatch):
+    monkeypatch.setattr(jn, "chunk_pairs", None)  # quadratic in the rows of a gene
+    rng = np.random.default_rng(8)
+    gap = 0.3
+    v = [0.1, 0.4, 0.7, 1.0, -0.2, 0.0, -0.3, 0.30000000000000004, 1e-17, -1e-17, 1e16, 1e16 + 2] + [round(float(x), 1) for x in rng.normal(size=150)]
+    rows = [("g" if i % 3 else "h", i, f"s{i % 4}" if i % 7 else None, x if i % 11 else None) for i, x in enumerate(v)] + [(None, 999, "s1", 0.0)]
+    got = {r.id: (r.n_above, r.n_below) for r in jn.theta_pair_counts(spark.createDataFrame(rows, "g string, id bigint, s string, y double"), "g", "id", "s", "y", gap).collect()}
+    pair = lambda a, b: a[0] == b[0] and None not in (a[2], b[2], a[3], b[3]) and a[2] != b[2]
+    want = {a[1]: (sum(pair(a, b) and b[3] - a[3] >= gap for b in rows), sum(pair(a, b) and a[3] - b[3] >= gap for b in rows)) for a in rows if a[0]}
+    assert got == want
+    x = np.array([0.0, 1e-17, -0.3, 5.0, -1e16])
+    e = jn.least_beyond(x, gap)
+    assert (e - x >= gap).all() and (np.nextafter(e, -np.inf) - x < gap).all()
