@@ -932,3 +932,41 @@ def test_theta_counts_on_roundings_and_without_chunk_pairs(spark, monkeypatch):
     x = np.array([0.0, 1e-17, -0.3, 5.0, -1e16])
     e = jn.least_beyond(x, gap)
     assert (e - x >= gap).all() and (np.nextafter(e, -np.inf) - x < gap).all()
+
+
+def test_distinct_kmers_of_any_text(spark):
+    from collections import Counter
+    from cladeloom.functions import kmers as km
+    rc = lambda p: p[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+    for text in ("", "ACG", "ACGTNACGTTACGACGT", "acgTTxé日ACGTé日A", "".join(chr(33 + i % 90) for i in range(200))):
+        for k, step, canonical in ((4, 1, False), (4, 1, True), (3, 3, False), (2, 3, False), (12, 1, True)):
+            c = Counter(text[i:i + k] for i in range(0, len(text) - k + 1, step))
+            if canonical:
+                c = Counter(min(text[i:i + k], rc(text[i:i + k])) for i in range(len(text) - k + 1))
+            names, n = km.distinct_kmers(text, k, step, canonical)
+            assert list(zip(names.to_pylist(), n)) == sorted(c.items())
+    df = spark.createDataFrame([(1, "ACGTACG"), (2, "ACGT"), (2, "ACG"), (3, None), (4, "A"), (None, "CCCC")], "id bigint, s string")
+    for part, ids in ((df, (1, 2, None)), (df.where("id is null or id <> 2"), (1, None))):
+        got = {(r.id, r.kmer): r.cnt for r in so.kmer_counts(part, "id", "s", 3).collect()}
+        want = Counter((r.id, r.s[i:i + 3]) for r in part.collect() for i in range(len(r.s or "") - 2))
+        assert got == want
+        s = {r.id: (r.total, r.n_distinct, r.top_count, r.first_kmer) for r in so.kmer_summary(part, "id", "s", 3).collect()}
+        assert s == {i: (sum(n for (j, _), n in want.items() if j == i), sum(j == i for j, _ in want), max(n for (j, _), n in want.items() if j == i), min(x for j, x in want if j == i)) for i in ids}
+        assert so.kmer_presence(part, "id", "s", 3).count() == len(want)
+
+
+def test_kmers_stems_and_segments_stay_in_the_row(spark):
+    df = spark.createDataFrame([(1, "ACGTACGTTTGGCA" * 3, "<>>..<<.>>>..<<" * 2 + ".>..<<<>>..<")], "id bigint, s string, b string")
+    for q in (so.kmer_counts(df, "id", "s", 4), so.kmer_presence(df, "id", "s", 4), so.kmer_summary(df, "id", "s", 12, True), so.stem_regions(df, "id", "s", "b")):
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan and "Generate" not in plan
+    plan = so.hydropathy_segments(df, "id", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
+
+
+def test_rounding_of_halves_as_the_sql(spark):
+    import duckdb
+    from cladeloom.plans import views
+    x = [n / m for m in (64000, 12800, 320, 4096 * 5) for n in range(1, 400)] + [-0.0158984375, 1.0000005, 2.5, 1e300, None, 0.0]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(views.rnd("x", 8).alias("x")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 8)", [v]).fetchone()[0] for v in x]
