@@ -970,3 +970,39 @@ def test_rounding_of_halves_as_the_sql(spark):
     x = [n / m for m in (64000, 12800, 320, 4096 * 5) for n in range(1, 400)] + [-0.0158984375, 1.0000005, 2.5, 1e300, None, 0.0]
     got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(views.rnd("x", 8).alias("x")).collect()]
     assert got == [duckdb.execute("select round(?::double, 8)", [v]).fetchone()[0] for v in x]
+
+
+def test_site_pairs_are_not_dealt_by_gene(spark):
+    rows = [(i, g, p, "ARN-"[(i * (p + 1) + (g == "h")) % 4]) for i in range(40) for g in "gh" for p in range(3) if (i + p) % 5] + [(None, "g", 0, "A")] * 3
+    df = spark.createDataFrame(rows, "id bigint, gene string, pos int, allele string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = mx.residue_covariance(df, {"A": 1, "R": 2, "N": 3}, 1)
+        plan = r._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin [gene#" not in plan
+    at = defaultdict(dict)
+    for i, g, p, a in rows:
+        if i is not None and a != "-":
+            at[g, p][i] = "ARN".index(a) + 1
+    got = {(x.gene_a, x.pos_a, x.gene_b, x.pos_b): (x.n, x.cov) for x in r.collect()}
+    keys = sorted(at)
+    assert sorted(got) == sorted((*k, *l) for k in keys for l in keys if k < l)
+    for (ga, pa_, gb, pb), (n, cov) in got.items():
+        both = sorted(at[ga, pa_].keys() & at[gb, pb].keys())
+        assert n == len(both) and abs(cov - np.cov([at[ga, pa_][i] for i in both], [at[gb, pb][i] for i in both])[0, 1]) < 1e-9
+
+
+def test_ols_by_group_sums_without_python(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 40, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(rng.normal(size=(400, 3)))] + [(99, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "g int, y double, a double, b double")
+    r = az.ols_by_group(df, "y", ["a", "b"], ["g"])
+    assert r._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1  # the fits
+    got = {(x.g, x.term): x.estimate for x in r.collect()}
+    assert len(got) == 120
+    for g in range(40):
+        m = np.array([(1.0, a, b, y) for k, y, a, b in rows if k == g])
+        w = np.linalg.lstsq(m[:, :3], m[:, 3], rcond=None)[0]
+        assert all(abs(got[g, t] - v) < 1e-9 for t, v in zip(("(intercept)", "a", "b"), w))
