@@ -51,7 +51,7 @@ def jump_levels(edges: DataFrame) -> tuple[DataFrame, ...]:
     while levels[-1].where(F.col("steps") == 2 ** (len(levels) - 1)).limit(1).count():
         check_round(len(levels), limit)
         ahead = levels[-1].select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("length").alias("_length"))
-        j = levels[-1].join(ahead, "at", "left")
+        j = levels[-1].hint("shuffle_merge").join(ahead, "at", "left")  # never through the driver
         levels.append(materialize(j.select("node", F.coalesce("_at", "at").alias("at"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
                                            F.when(F.col("_at").isNull(), F.col("length")).otherwise(F.col("length") + F.col("_length")).alias("length"))))
     return tuple(levels)

@@ -1006,3 +1006,29 @@ def test_ols_by_group_sums_without_python(spark):
         m = np.array([(1.0, a, b, y) for k, y, a, b in rows if k == g])
         w = np.linalg.lstsq(m[:, :3], m[:, 3], rcond=None)[0]
         assert all(abs(got[g, t] - v) < 1e-9 for t, v in zip(("(intercept)", "a", "b"), w))
+
+
+def test_tree_levels_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans = []
+    keep = tr.materialize
+
+    def spy(df):  # the plan as it ran: joins of small tables become broadcasts only then
+        out = keep(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(tr, "materialize", spy)
+    monkeypatch.setattr(jumps, "materialize", spy)
+    edges = spark.createDataFrame([(k // 2, k, 0.1 + k / 10) for k in range(2, 32)], "parent bigint, child bigint, length double")
+    tips = spark.createDataFrame([(k, float(k % 5)) for k in range(16, 32)], "node bigint, x double")
+    got = {r.node: r.x for r in tr.ancestral_trait(edges, tips, "x").collect()}
+    assert len(got) == 31 and len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)
+    up = {}
+    for k in range(31, 0, -1):
+        kids = [(up[c][0], up[c][1] + 0.1 + c / 10) for c in (2 * k, 2 * k + 1) if c in up]
+        up[k] = (float(k % 5), 0.0) if not kids else (sum(x / v for x, v in kids) / sum(1 / v for _, v in kids), 1 / sum(1 / v for _, v in kids))
+    want = {1: up[1][0]}
+    for k in range(2, 32):
+        x, v, b = *up[k], 0.1 + k / 10
+        want[k] = x if v == 0 else (x / v + want[k // 2] / b) / (1 / v + 1 / b)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
