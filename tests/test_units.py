@@ -1032,3 +1032,17 @@ def test_tree_levels_do_not_pass_through_the_driver(spark, monkeypatch):
         x, v, b = *up[k], 0.1 + k / 10
         want[k] = x if v == 0 else (x / v + want[k // 2] / b) / (1 / v + 1 / b)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_first_interval_meets_each_pair_of_ends_once(spark, monkeypatch):
+    met = []
+    plain = jn.point_in_interval
+    monkeypatch.setattr(jn, "point_in_interval", lambda p, pos, iv, *a: (met.append(iv.count()), plain(p, pos, iv, *a))[1])
+    iv = [(i, i % 5 * 10, i % 5 * 10 + 25, f"n{i}") for i in range(200, 0, -1)]
+    df = spark.createDataFrame(iv, "k int, lo int, hi int, name string")
+    pts = spark.createDataFrame([(p,) for p in [*range(0, 80, 3), None]], "pos int")
+    got = {r.pos: (r.k, r.lo, r.name) for r in jn.first_interval(pts, "pos", df, "lo", "hi", "k", ["k", "lo", "name"], 16).collect()}
+    assert met == [5]
+    for p in got:
+        hit = min(((k, lo, n) for k, lo, hi, n in iv if p is not None and lo <= p <= hi), default=(None, None, None))
+        assert got[p] == hit
