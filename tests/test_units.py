@@ -78,6 +78,17 @@ def test_tails_closed_forms():
     assert abs(p - 0.4857142857) < 1e-9 and abs(o - 6.408309) < 1e-4
 
 
+def test_tails_of_small_statistics_with_many_degrees_of_freedom():
+    """At these sizes the two laws lie within 1e-11 of the normal one, which needs no difference of numbers near 1."""
+    for f in (8.6e-10, 5e-10, 4.9e-6):
+        for n in (899_998.0, 5_399_998.0):
+            want = math.erfc(math.sqrt(f / 2))
+            assert abs(float(sp.f_sf(f, 1.0, n)) - want) < 1e-9
+            assert abs(float(sp.t_sf2(math.sqrt(f), n)) - want) < 1e-9
+    # a closed form: with two degrees above, (1 + 2 f / d) ** (-d / 2)
+    assert abs(float(sp.f_sf(1.5, 2.0, 5_399_998.0)) - math.exp(-2_699_999.0 * math.log1p(3 / 5_399_998.0))) < 1e-12
+
+
 def test_quantiles_with_one_group_holding_most_rows(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=3000)
