@@ -136,7 +136,9 @@ def repeat_hits(lines: DataFrame, value: str = "value") -> DataFrame:
 def read_clusters(spark: SparkSession, paths: Paths) -> DataFrame:
     """(cluster, seq_id): each `>Cluster` block is one record, so no running header is needed."""
     r = _text(spark, paths, ">Cluster ").where(F.trim("value") != "")
-    return r.select(F.regexp_extract("value", r"^(\d+)", 1).cast("bigint").alias("cluster"), F.explode(F.regexp_extract_all("value", F.lit(r">(.+?)\.\.\."), F.lit(1))).alias("seq_id"))
+    # the number is read before the members become rows, or every member would carry its block and search it again
+    r = r.select(F.regexp_extract("value", r"^(\d+)", 1).cast("bigint").alias("cluster"), F.regexp_extract_all("value", F.lit(r">(.+?)\.\.\."), F.lit(1)).alias("_ids"))
+    return r.select("cluster", F.explode("_ids").alias("seq_id"))
 
 
 def read_gff3(spark: SparkSession, paths: Paths) -> DataFrame:

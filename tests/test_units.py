@@ -1057,3 +1057,12 @@ def test_first_interval_meets_each_pair_of_ends_once(spark, monkeypatch):
     for p in got:
         hit = min(((k, lo, n) for k, lo, hi, n in iv if p is not None and lo <= p <= hi), default=(None, None, None))
         assert got[p] == hit
+
+
+def test_members_of_a_cluster_do_not_carry_its_block(spark, tmp_path):
+    from cladeloom.sources import readers as rd
+    (tmp_path / "c.clstr").write_text(">Cluster 0\n0\t9aa, >a_1... *\n1\t9aa, >b... at 99%\n>Cluster 12\n0\t9aa, >c... *\n>Cluster 13\n")
+    df = rd.read_clusters(spark, str(tmp_path / "c.clstr"))
+    assert sorted(map(tuple, df.collect())) == [(0, "a_1"), (0, "b"), (12, "c")]
+    above = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "regexp_extract" not in above
