@@ -1066,3 +1066,19 @@ def test_members_of_a_cluster_do_not_carry_its_block(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(0, "a_1"), (0, "b"), (12, "c")]
     above = df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "regexp_extract" not in above
+
+
+def test_neighbours_are_counted_by_boxes(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(0, 4, (900, 3)), np.round(rng.normal(0, 4, (1100, 3)), 1)
+    b[:300], a[:200], a[-1], b[-1] = b[0], np.round(a[:200], 1), np.nan, np.inf
+    grid = np.stack(np.meshgrid(*[np.arange(11.0)] * 3), -1).reshape(-1, 3)  # many distances equal to the radius
+    for x, y, radius in ((a, b, 5.0), (b, a, 0.5), (grid, grid, 5.0), (grid, grid, math.sqrt(3)), (a, b[:0], 5.0)):
+        with np.errstate(invalid="ignore"):
+            d = pr.distances(x, y)
+        assert (pr.near_counts(x, y, radius, 16) == ((d > 0) & (d <= radius)).sum(1)).all()
+    # most points of two cells are not compared one by one: the widths of all difference arrays add up to far less than the pairs
+    compared, take = [], np.count_nonzero
+    monkeypatch.setattr(pr.np, "count_nonzero", lambda hit, axis=None: compared.append(hit.size) or take(hit, axis=axis))
+    pr.near_counts(rng.uniform(0, 5, (4000, 3)), rng.uniform(0, 5, (4000, 3)) + [5, 0, 0], 5.0, 16)
+    assert 0 < sum(compared) < 4000 * 4000 / 2
