@@ -1082,3 +1082,16 @@ def test_neighbours_are_counted_by_boxes(monkeypatch):
     monkeypatch.setattr(pr.np, "count_nonzero", lambda hit, axis=None: compared.append(hit.size) or take(hit, axis=axis))
     pr.near_counts(rng.uniform(0, 5, (4000, 3)), rng.uniform(0, 5, (4000, 3)) + [5, 0, 0], 5.0, 16)
     assert 0 < sum(compared) < 4000 * 4000 / 2
+
+
+def test_metrics_by_file_reckons_its_tasks_by_rows(spark, monkeypatch):
+    from cladeloom import session as ses
+    key = "spark.sql.shuffle.partitions"
+    before, seen = spark.conf.get(key), []
+    monkeypatch.setattr(ses, "ROWS_PER_TASK", 10)
+    ranks = az.sx.corr_test
+    monkeypatch.setattr(az.sx, "corr_test", lambda *a, **k: seen.append((str(a[-1]), spark.conf.get(key))) or ranks(*a, **k))
+    df = spark.range(200).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), F.col("id").cast("double").alias("a"), (F.col("id") * 2).cast("double").alias("b"))
+    got = az.metrics_by_file(df, "file", "f([0-9])", ["n_file"], "a", "b").collect()
+    assert sorted((r.n_file, r.n, round(r.spearman, 9)) for r in got) == [("0", 100, 1.0), ("1", 100, 1.0)]
+    assert dict(seen)["spearman"] == str(max(20, int(before))) and spark.conf.get(key) == before
