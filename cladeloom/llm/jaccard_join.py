@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from cladeloom.llm.components import components, release
 from cladeloom.llm.shingles import shingle_sets
-from cladeloom.llm.text import U64, column, ranges, rows_of, scan, slices, string_buffers
+from cladeloom.llm.text import U64, column, ranges, rows_of, scan, slices, string_buffers, tidy
 from cladeloom.session import materialize, shared_dir
 
 #: Bytes of text whose shingles are counted in one bucket, and the least number of buckets.
@@ -107,6 +107,7 @@ def _need(n: np.ndarray, percent: int) -> np.ndarray:
 def likely(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
     """digest and second of every set that may have links: its counted shingles that no second text has are not too many."""
 
+    @tidy
     def emit(batches):
         held, size = [], 0
         for part in slices(batches):
@@ -144,6 +145,7 @@ def likely(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
             yield _rows(names, pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()), pa.array([counts], pa.binary()),
                         pa.array([(h[s] >> U64(32)).astype(np.uint8).tobytes()], pa.binary()), pa.array([h[s].astype(np.uint32).tobytes()], pa.binary()))
 
+    @tidy
     def count(batches):
         names = ["chunk", "heads", "alone"]
         for _, rows in _by_key(batches, "bucket"):
@@ -161,6 +163,7 @@ def likely(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
                 at += len(parts[i])
                 yield _rows(names, pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()), pa.array([zlib.compress(lone.tobytes(), 1)], pa.binary()))
 
+    @tidy
     def judge(batches):
         for _, rows in _by_key(batches, "chunk"):
             heads = next(x for x in rows["heads"].to_pylist() if x is not None)
@@ -178,6 +181,7 @@ def regions(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
     """kind 0: (a, b) pairs of classes to compare; kind 1: (region, a, n, c) members of regions of more than LEAF classes, c their
     centrality (how common their shingles are)."""
 
+    @tidy
     def emit(batches):
         held, size = [], 0
         for part in slices(batches):
@@ -204,6 +208,7 @@ def regions(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
             yield _rows(["bucket", "chunk", "heads", "hashes", "row"], pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()),
                         pa.array([h[s].tobytes()], pa.binary()), pa.array([row[s].tobytes()], pa.binary()))
 
+    @tidy
     def count(batches):
         for _, rows in _by_key(batches, "bucket"):
             parts = [np.frombuffer(x, U64) for x in rows["hashes"].to_pylist()]
@@ -217,6 +222,7 @@ def regions(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield _rows(["chunk", "heads", "hashes", "row", "times"], pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()),
                             pa.array([part[more].tobytes()], pa.binary()), pa.array([np.frombuffer(row, np.uint32)[more].tobytes()], pa.binary()), pa.array([n[more].tobytes()], pa.binary()))
 
+    @tidy
     def place(batches):
         for _, rows in _by_key(batches, "chunk"):
             join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in rows[name].to_pylist()])
@@ -240,6 +246,7 @@ def regions(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
 
     NAMES = ["kind", "region", "a", "b", "n", "c"]
 
+    @tidy
     def meet(batches):
         for _, rows in _by_key(batches, "bucket"):
             key, a, n, pos, c = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in rows["postings"].to_pylist()], 1)
@@ -294,6 +301,7 @@ def classes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     filter_bits = min(max(int(np.ceil(np.log2(FILTER_RATIO * wanted.count() + 1))), 12), FILTER_MOST)
     parts = LEAST_BUCKETS
 
+    @tidy
     def bits(batches):
         mask = np.zeros(1 << filter_bits, bool)
         for batch in batches:
@@ -303,6 +311,7 @@ def classes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if some.any():
                 yield _rows(["part", "bits"], pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(some).tobytes(), 1)], pa.binary()))
 
+    @tidy
     def union(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -316,6 +325,7 @@ def classes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     empty = bytes((1 << filter_bits) // parts // 8)
     shared = spark.sparkContext.broadcast(np.frombuffer(b"".join(found.get(k, empty) for k in range(parts)), np.uint8))
 
+    @tidy
     def choose(batches):
         mask = shared.value
         seen: set[tuple[int, int]] = set()
@@ -357,6 +367,7 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int, screened: bool = T
     of a meet a under one key, or under several when there are more than PARTNERS."""
     side = lambda c: texts.select(F.col("a").alias(c), F.col("profile").alias(f"{c}_profile"), F.col("n").alias(f"{c}_n"))
 
+    @tidy
     def screen(batches):
         for batch in batches:
             get = lambda c: column(batch, c)
@@ -374,6 +385,7 @@ def compare(pairs: DataFrame, texts: DataFrame, percent: int, screened: bool = T
     asked = keyed.unionByName(own)
     rows = asked.join(texts.select(F.col("a").alias("x"), "text"), "x").select("a", "salt", "x", (F.col("a") != F.col("x")).alias("partner"), "text")
 
+    @tidy
     def run(batches):
         pivot, mine = None, None
         for part in slices(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeloom.llm.text import column, ranges, rows_of, slices, string_buffers
+from cladeloom.llm.text import column, ranges, rows_of, slices, string_buffers, tidy
 from cladeloom.llm.tokens import encoder
 from cladeloom.session import shared_dir
 
@@ -94,6 +94,7 @@ def write_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: in
     written once into the shared folder."""
     spark = docs.sparkSession
 
+    @tidy
     def run(batches):
         encode = encoder(vocabulary).encode
         for part in slices(batches):

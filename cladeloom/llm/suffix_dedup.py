@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cladeloom.llm.text import BYTE_VALUES, U64, column, mix, powers, prefix_hash, ranges, rows_of, scan, slices, span_hash, string_buffers
+from cladeloom.llm.text import BYTE_VALUES, U64, column, mix, powers, prefix_hash, ranges, rows_of, scan, slices, span_hash, string_buffers, tidy
 from cladeloom.session import materialize
 
 LENGTH = 100
@@ -44,6 +44,9 @@ FILTER_BITS = 25
 FILTER_PARTS = 32
 #: Bytes around anchors that a task gathers before it packs them.
 FETCH_BYTES = 8 << 20
+#: Bytes of text whose anchors are found at once (some 20 arrays of 8 bytes for each), and anchors whose strings are sorted at once.
+ANCHOR_BYTES = 1 << 18
+SORT_ANCHORS = 2_000
 FIRST = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
@@ -104,7 +107,7 @@ def _ranges(doc_id, digest, start, end) -> pa.RecordBatch:
 
 def _documents(batches):
     """Slices of the input: buffers, prefix hashes, doc_ids and digests."""
-    for part in slices(batches):
+    for part in slices(batches, limit=ANCHOR_BYTES):
         buf, offsets = string_buffers(column(part, "text"))
         prefix = prefix_hash(buf)
         yield buf, offsets, prefix, column(part, "doc_id").fill_null(FIRST).to_numpy(zero_copy_only=False), text_digest(buf, offsets, prefix)
@@ -120,26 +123,27 @@ def _send_anchors(buckets: int):
         rec = np.concatenate([h[2] for h in held])
         rec["doc"] += np.repeat(base[:-1], [len(h[2]) for h in held]).astype(np.uint32)
         bucket = np.concatenate([h[3] for h in held])
+        held.clear()
         d = rec["doc"]
         order, new = keep_new([bucket, rec["gram"], rec["around"], rec["more"], docs[d], digests[d], rec["at"].astype(np.int64)])
-        rec, bucket = rec[order][new], bucket[order][new]  # equal rows are one document
+        rec, bucket = rec[order[new]], bucket[order[new]]  # equal rows are one document
+        del order, new, d
         gone = np.zeros(len(rec), bool)
         gone[1:] = (bucket[1:] == bucket[:-1]) & (rec["gram"][1:] == rec["gram"][:-1]) & (rec["around"][1:] == rec["around"][:-1]) & (rec["more"][1:] == rec["more"][:-1])
-        yield -1, removed(docs, digests, rec[gone])
+        yield packed(-1, removed(docs, digests, rec[gone]))
         rec, bucket = rec[~gone], bucket[~gone]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             some = rec[edges[k]:edges[k + 1]].copy()
             used, some["doc"] = np.unique(some["doc"], return_inverse=True)
-            yield k, len(used).to_bytes(8, "little") + docs[used].tobytes() + digests[used].tobytes() + some.tobytes()
+            yield packed(k, len(used).to_bytes(8, "little") + docs[used].tobytes() + digests[used].tobytes() + some.tobytes())
 
+    def packed(bucket, payload):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["bucket", "payload"])
+
+    @tidy
     def run(batches):
         held, size = [], 0
-
-        def out():
-            rows = list(flush(held))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["bucket", "payload"])
-
         for buf, offsets, prefix, doc_id, digest in _documents(batches):
             at, row, low, high, gram = anchors(buf, offsets, prefix)
             if not len(at):
@@ -155,10 +159,10 @@ def _send_anchors(buckets: int):
             held.append((doc_id, digest, rec, ((gram >> U64(32)) % U64(buckets)).astype(np.int32)))
             size += len(at)
             if size >= PACK:
-                yield out()
-                held, size = [], 0
+                yield from flush(held)
+                size = 0
         if held:
-            yield out()
+            yield from flush(held)
 
     return run
 
@@ -168,6 +172,7 @@ def removed(docs: np.ndarray, digests: np.ndarray, rec: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in (docs[d], digests[d], at - rec["low"], at - rec["high"] + LENGTH))
 
 
+@tidy
 def _meet_anchors(batches):
     """Ranges of anchors with earlier equal surroundings (kind 0), and the grams that have several surroundings (kind 1)."""
     names = ["kind", "doc_id", "digest", "start", "end"]
@@ -217,6 +222,7 @@ def _meet_anchors(batches):
 
 def fetch_filter(several: DataFrame) -> np.ndarray:
     """Bits (packed) of all grams that have several surroundings."""
+    @tidy
     def bits(batches):
         mask = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
@@ -248,6 +254,7 @@ def _fetch(shared, buckets: int):
     the others go by step 1."""
     def flush(held):
         rec, same, text = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         size = rec["size"].astype(np.int64)
         begin = np.cumsum(size) - size
         order, _ = keep_new([rec["gram"], same, rec["doc_id"], rec["digest"], rec["at"].astype(np.int64)])
@@ -263,6 +270,7 @@ def _fetch(shared, buckets: int):
             own = text[np.repeat(begin[p], size[p]) + ranges(size[p])]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(p).to_bytes(8, "little") + rec[p].tobytes() + own.tobytes()], pa.binary())], ["bucket", "payload"])
 
+    @tidy
     def run(batches):
         mask = shared.value
         held, total = [], 0
@@ -283,7 +291,7 @@ def _fetch(shared, buckets: int):
             total += len(text)
             if total >= FETCH_BYTES:
                 yield from flush(held)
-                held, total = [], 0
+                total = 0
         if held:
             yield from flush(held)
 
@@ -344,6 +352,7 @@ def sort_suffixes(buf: np.ndarray, prefix: np.ndarray, starts: np.ndarray, edges
     return order
 
 
+@tidy
 def _sort_fetched(batches):
     held: dict[int, list[bytes]] = {}
     for batch in batches:
@@ -380,7 +389,7 @@ def _sort_fetched(batches):
             yield from _strings(some, np.cumsum(size) - size, own, prefix_hash(own))
 
 
-def pieces(gram: np.ndarray, size: int = 8_000):
+def pieces(gram: np.ndarray, size: int = SORT_ANCHORS):
     """Cuts of about `size` anchors that leave the anchors of one gram together."""
     edges = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram)) if len(gram) else np.zeros(1, np.int64)
     at = 0
@@ -463,6 +472,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, keep_text: b
 
     schema = StructType([both.schema["row"], *StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string").fields])
 
+    @tidy
     def run(batches):
         for part in slices(batches):
             texts, spans = column(part, "text"), column(part, "spans")

@@ -1,6 +1,8 @@
 """Whole-text helpers for Arrow tasks: bounded slices, word spans and polynomial hashes."""
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -108,6 +110,26 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             at = end
 
 
+def release() -> None:
+    """Give memory that is free back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The same task, which leaves no free memory with its Python worker: workers wait for later tasks, and beside them
+    others of the same executor work."""
+    @functools.wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return inner
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -168,6 +190,7 @@ def scan(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list[pa.Array]
     names = [f.name for f in fields]
     types = to_arrow_schema(fields)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:

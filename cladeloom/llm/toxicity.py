@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeloom.llm.labels import labelled_sample
-from cladeloom.llm.text import column, scan, slices, string_buffers, word_hash, word_spans
+from cladeloom.llm.text import column, scan, slices, string_buffers, tidy, word_hash, word_spans
 
 #: Symbols of the character model: 26 letters, other letters, blank, digit, other sign.
 OTHER, BLANK, DIGIT, SIGN, SIZE = 26, 27, 28, 29, 30
@@ -66,6 +66,7 @@ def symbols(text: str) -> np.ndarray:
     return SYMBOL[raw[(raw & 0xC0) != 0x80]].astype(np.int64)
 
 
+@tidy
 def count_characters(batches: Iterable[pa.RecordBatch]):
     total = np.zeros(TRIPLE_CODES, np.int64)
     for part in slices(batches):
@@ -288,6 +289,7 @@ def document_words(docs: DataFrame, costs: np.ndarray) -> DataFrame:
     """label, feature and n: how many sampled documents of the label hold the feature."""
     shared = docs.sparkSession.sparkContext.broadcast(costs)
 
+    @tidy
     def run(batches):
         reader = Reader(shared.value)
         counts: dict[tuple[int, str], int] = {}
@@ -389,6 +391,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     scorer = Scorer(costs, lexicon, base)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
+    @tidy
     def evidence(batches):
         scorer = shared.value
         reader = Reader(scorer.costs)

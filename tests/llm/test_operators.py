@@ -1,5 +1,6 @@
 """Every operator against a plain version or its laws, on odd rows and on the given tables."""
 import collections
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -395,6 +396,20 @@ def test_suffix_dedup_shared_passages(spark):
     assert {r["row"]["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == {i: (g, s, cases.sha(k)) for i, (k, _, g, s) in want.items()}
 
 
+def test_suffix_anchors_take_bounded_memory():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 4000).astype(np.uint8).tobytes().decode() for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    suffix_dedup.powers(suffix_dedup.LENGTH)  # the table of powers stays
+    tracemalloc.start()
+    try:
+        largest = max(out.nbytes for out in suffix_dedup._send_anchors(8)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert largest < 2e6 and peak < 50e6, (largest, peak)
+
+
 def test_suffix_sort_orders_suffixes():
     rng = np.random.default_rng(8)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
