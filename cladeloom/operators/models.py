@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cladeloom.functions import vectors as vx
 from cladeloom.functions.arith import ratio
@@ -19,6 +19,9 @@ from cladeloom.session import materialize
 
 #: Rows whose outer products are formed at a time.
 ROWS_AT_ONCE = 512
+#: Rows whose held-out scores are packed together (fewer than 65,536, so that counts fit), and scores of a replicate that one range has.
+ROWS_PACKED = 4_096
+SCORES_AT_ONCE = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -74,14 +77,34 @@ def uniform_draws(key: np.ndarray, replicates: int, seed: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
 
 
+def training_mask(key: np.ndarray, label: np.ndarray, share: np.ndarray, test: float, replicates: int, seed: int = 42) -> np.ndarray:
+    """The first of `holdout_masks`."""
+    u, yes = uniform_draws(key, replicates, seed), label == 1
+    return (u < np.where(yes, test, share)[:, None]) ^ yes[:, None]
+
+
 def holdout_masks(key: np.ndarray, label: np.ndarray, share: np.ndarray, rest: np.ndarray, test: float, replicates: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """(training, held out) of every row and replicate: a positive is held out with probability `test` and trains otherwise;
     a negative trains with probability `share` (its stratum's) and, if it does not, is held out with probability `rest`."""
-    u = uniform_draws(key, replicates, seed)
+    train = training_mask(key, label, share, test, replicates, seed)
     w = uniform_draws(key, replicates, seed + 1)
-    yes = label[:, None] == 1
-    train = np.where(yes, u >= test, u < share[:, None])
-    return train, ~train & (yes | (w < rest[:, None]))
+    return train, ~train & ((label == 1)[:, None] | (w < rest[:, None]))
+
+
+def count_scores(p: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each score once, in order, with its numbers of positives and negatives."""
+    order = np.argsort(p, kind="stable")
+    p = p[order]
+    first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    return p[first], np.add.reduceat(yes[order].astype(np.int64), first), np.add.reduceat(no[order].astype(np.int64), first)
+
+
+def pack_scores(p: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return p.tobytes(), yes.astype(np.uint16).tobytes(), no.astype(np.uint16).tobytes()
+
+
+def unpack_scores(p: bytes, yes: bytes, no: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(p), np.frombuffer(yes, np.uint16), np.frombuffer(no, np.uint16)
 
 
 def repeated_holdouts(df: DataFrame, key: str, vec: str, label: str, stratum: str, replicates: int = 1000, test: float = 0.3, seed: int = 42, steps: int = 12) -> DataFrame:
@@ -91,8 +114,11 @@ def repeated_holdouts(df: DataFrame, key: str, vec: str, label: str, stratum: st
     the training positives' number in all (all, where a stratum has fewer), and about as many of the other negatives as
     positives are held out.  Membership is a hash of key and replicate, so it costs no shuffle and sizes hold on average.
     All replicates are fitted together: a Newton step is one scan, in which a batch's outer products times the replicates'
-    weights give every replicate's Hessian, and one small row per replicate and task is shuffled.  Only coefficients
-    (replicates x features) pass through the driver.  Rows with a null key, vector or label are left out.
+    weights give every replicate's Hessian, and one small row per replicate and task is shuffled.  They start from one fit to
+    all rows, each with the weight of its chance to train, from which few steps are left.  Only coefficients
+    (replicates x features) pass through the driver.  Held-out scores are sorted and packed per replicate and range of
+    scores where they are formed, so that a row of the shuffle holds many.  Rows with a null key, vector or label are left out,
+    and so are replicates that hold out no row of one of the labels.
     """
     ok = df.where(F.col(key).isNotNull() & F.col(vec).isNotNull() & F.col(label).isNotNull())
     x = ok.select(F.xxhash64(key).alias("_key"), F.transform(vec, lambda v: v.cast("double")).alias("_x"), F.col(label).cast("int").alias("_y"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_s"))
@@ -109,62 +135,112 @@ def repeated_holdouts(df: DataFrame, key: str, vec: str, label: str, stratum: st
     spark, beta = df.sparkSession, np.zeros((replicates, width))
     upper = np.triu_indices(width)
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for pdf in parts:
             for at in range(0, len(pdf), ROWS_AT_ONCE):
                 p = pdf.iloc[at:at + ROWS_AT_ONCE]
                 z = np.vstack(p["_x"].to_numpy())
-                y = p["_y"].to_numpy(float)
-                train, held = holdout_masks(p["_key"].to_numpy(), y, p["_share"].to_numpy(float), np.full(len(p), rest), test, replicates, seed)
-                yield np.hstack([np.ones((len(z), 1)), z]), y, train, held
+                yield np.hstack([np.ones((len(z), 1)), z]), p["_y"].to_numpy(), p["_key"].to_numpy(), p["_share"].to_numpy(float)
 
-    def sums(shared) -> Callable:
+    def sums(shared, chances: bool, likelihood: bool) -> Callable:
+        """Sums of a Newton step for every column of coefficients: over the replicates' training rows, or over all rows by their
+        chances to train; the likelihood only where it is asked for."""
         def run(parts):
-            total = np.zeros((replicates, 3 + width + len(upper[0])))
-            for z, y, train, _ in batches(parts):
-                eta = z @ shared.value.T
+            b = shared.value
+            total = np.zeros((len(b), 3 + width + len(upper[0])))
+            for z, y, key_, share_ in blocks(parts):
+                train = np.where(y == 1, 1 - test, share_)[:, None] if chances else training_mask(key_, y, share_, test, replicates, seed)
+                y = y.astype(float)
+                eta = z @ b.T
                 mu = 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
-                loss = y[:, None] * eta - np.maximum(eta, 0) - np.log1p(np.exp(-np.abs(eta)))
                 outer = (z[:, :, None] * z[:, None, :])[:, upper[0], upper[1]]
-                total[:, 0] += train.sum(0)
-                total[:, 1] += (train * y[:, None]).sum(0)
-                total[:, 2] += np.where(train, loss, 0).sum(0)
+                if likelihood:
+                    loss = y[:, None] * eta - np.maximum(eta, 0) - np.log1p(np.exp(-np.abs(eta)))
+                    total[:, 0] += train.sum(0)
+                    total[:, 1] += (train * y[:, None]).sum(0)
+                    total[:, 2] += np.where(train, loss, 0).sum(0)
                 total[:, 3:3 + width] += (train * (y[:, None] - mu)).T @ z
-                total[:, 3 + width:] += (train * mu * (1 - mu)).T @ outer
-            yield pd.DataFrame({"replicate": np.arange(replicates), "t": list(total)})
+                total[:, 3 + width:] += (train * (mu * (1 - mu))).T @ outer
+            yield pd.DataFrame({"replicate": np.arange(len(b)), "t": list(total)})
         return run
 
-    def scan(b: np.ndarray) -> np.ndarray:
+    def scan(b: np.ndarray, chances: bool = False, likelihood: bool = False) -> np.ndarray:
         shared = spark.sparkContext.broadcast(b)
-        parts = rows.mapInPandas(sums(shared), "replicate int, t array<double>").groupBy("replicate").agg(vx.sum_vector(F.col("t")).alias("t"))
+        parts = rows.mapInPandas(sums(shared, chances, likelihood), "replicate int, t array<double>").groupBy("replicate").agg(vx.sum_vector(F.col("t")).alias("t"))
         out = np.array([r["t"] for r in sorted(parts.collect(), key=lambda r: r["replicate"])])
         shared.unpersist()
         return out
 
-    for _ in range(steps):
-        t = scan(beta)
-        h = np.zeros((replicates, width, width))
-        h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = t[:, 3 + width:]
-        ridge = 1e-9 * (1 + np.trace(h, axis1=1, axis2=2))[:, None, None] * np.eye(width)
-        move = np.linalg.solve(h + ridge, t[:, 3:3 + width, None])[:, :, 0]
-        beta = beta + move * np.minimum(1, 10 / (1e-300 + np.abs(move).max(1)))[:, None]
-        if np.abs(move).max() < 1e-9:
-            break
-    t = scan(beta)
+    def newton(b: np.ndarray, chances: bool) -> np.ndarray:
+        for _ in range(steps):
+            t = scan(b, chances)
+            h = np.zeros((len(b), width, width))
+            h[:, upper[0], upper[1]] = h[:, upper[1], upper[0]] = t[:, 3 + width:]
+            ridge = 1e-9 * (1 + np.trace(h, axis1=1, axis2=2))[:, None, None] * np.eye(width)
+            move = np.linalg.solve(h + ridge, t[:, 3:3 + width, None])[:, :, 0]
+            b = b + move * np.minimum(1, 10 / (1e-300 + np.abs(move).max(1)))[:, None]
+            if np.abs(move).max() < 1e-9:
+                break
+        return b
+
+    common = newton(np.zeros((1, width)), True)
+    beta = newton(np.repeat(common, replicates, 0), False)
+    t = scan(beta, likelihood=True)
     shared = spark.sparkContext.broadcast(beta)
+    # quantiles of the common scores: any cuts give the same measures, these give ranges of like size
+    score = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    ranges = 1 + int(2 * test * yes) // SCORES_AT_ONCE
+    terms = sum((F.col("_x")[j] * float(c) for j, c in enumerate(common[0, 1:])), F.lit(float(common[0, 0])))
+    cuts = score(np.array(rows.select(terms.alias("z")).approxQuantile("z", [k / ranges for k in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else np.zeros(0)
 
     def held_out(parts):
-        for z, y, _, held in batches(parts):
-            row, rep = np.nonzero(held)
-            p = 1 / (1 + np.exp(-np.clip((z @ shared.value.T)[row, rep], -500, 500)))
-            yield pd.DataFrame({"replicate": rep, "p": p, "y": y[row].astype(int)})
-
-    scored = rows.mapInPandas(held_out, "replicate int, p double, y int")
-    m = classifier_metrics(scored, "p", "y", by=["replicate"])
+        kept, n = [], 0
+
+        def packed():
+            z, y, key_, share_ = (np.concatenate(c) for c in zip(*kept))
+            kept.clear()
+            p, held = np.empty((len(z), replicates), order="F"), np.empty((len(z), replicates), bool, order="F")
+            for at in range(0, len(z), ROWS_AT_ONCE):
+                s = slice(at, at + ROWS_AT_ONCE)
+                p[s] = score(z[s] @ shared.value.T)
+                held[s] = holdout_masks(key_[s], y[s], share_[s], np.full(len(z[s]), rest), test, replicates, seed)[1]
+            out = []
+            for r in range(replicates):
+                mine = np.flatnonzero(held[:, r])
+                order = mine[np.argsort(p[mine, r])]
+                values, label = p[order, r], y[order]
+                edges = np.concatenate([[0], np.searchsorted(values, cuts), [len(values)]])
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    s = slice(edges[k], edges[k + 1])
+                    out.append((r, k, *pack_scores(*count_scores(values[s], label[s] == 1, label[s] == 0))))
+            return pd.DataFrame(out, columns=["replicate", "range", "p", "yes", "no"])
+
+        for block in blocks(parts):
+            kept.append(block)
+            n += len(block[1])
+            if n >= ROWS_PACKED:
+                yield packed()
+                n = 0
+        if kept:
+            yield packed()
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, pos, neg = count_scores(*(np.concatenate(c) for c in zip(*(unpack_scores(*row) for row in zip(pdf["p"], pdf["yes"], pdf["no"])))))
+        below = np.cumsum(neg) - neg
+        high = p >= 0.5
+        return pd.DataFrame({"replicate": pdf["replicate"].iloc[:1], "range": pdf["range"].iloc[:1], "yes": int(pos.sum()), "no": int(neg.sum()),
+                             "tp": int(pos[high].sum()), "tn": int(neg[~high].sum()), "twice": float((pos * (2 * below + neg)).sum())})
+
+    scored = rows.mapInPandas(held_out, "replicate int, range int, p binary, yes binary, no binary")
+    counts = scored.groupBy("replicate", "range").applyInPandas(meet, "replicate int, range int, yes long, no long, tp long, tn long, twice double")
+    before = F.coalesce(F.sum("no").over(Window.partitionBy("replicate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m = counts.withColumn("twice", F.col("twice") + 2.0 * F.col("yes") * before).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("yes", "no", "tp", "tn", "twice")])
+    n = F.col("yes") + F.col("no")
+    m = m.where("yes > 0 and no > 0").select("replicate", n.alias("n"), ratio(F.col("twice") / 2, F.col("yes").cast("double") * F.col("no")).alias("auc"), ((F.col("tp") + F.col("tn")) / n).alias("accuracy"), ratio(F.col("tp"), F.col("yes")).alias("acc_positive"))
     rate = np.clip(t[:, 1] / np.maximum(t[:, 0], 1), 1e-300, 1)
     null = t[:, 1] * np.log(rate) + (t[:, 0] - t[:, 1]) * np.log1p(-np.minimum(rate, 1 - 1e-16))
     fits = spark.createDataFrame([(i, int(r[0]), float(1 - r[2] / n) if n < 0 else None) for i, (r, n) in enumerate(zip(t, null))], "replicate int, n_train bigint, pseudo_r2 double")
-    return fits.join(m, "replicate").select("replicate", "n_train", F.col("n").alias("n_test"), "pseudo_r2", "auc", "accuracy", ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("acc_positive"))
+    return fits.join(m, "replicate").select("replicate", "n_train", F.col("n").alias("n_test"), "pseudo_r2", "auc", "accuracy", "acc_positive")
 
 
 HOLDOUT = "replicate int, n_train bigint, n_test bigint, pseudo_r2 double, auc double, accuracy double, acc_positive double"

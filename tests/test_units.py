@@ -619,6 +619,40 @@ def test_repeated_holdouts_equal_single_fits(spark):
     assert md.repeated_holdouts(df.where("y = 1"), "id", "v", "y", "s", 3).count() == 0
 
 
+def test_repeated_holdouts_by_ranges_with_few_scans(spark, monkeypatch):
+    """Tied scores in many packs and ranges; nearly all steps are those of the common fit."""
+    from cladeloom.operators import models as md
+    rng = np.random.default_rng(23)
+    n, reps = 3000, 5
+    x = rng.integers(-3, 4, (n, 2)).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i, r.tolist(), int(l), "s") for i, (r, l) in enumerate(zip(x, y))], "id bigint, v array<double>, y int, s string").repartition(3)
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    monkeypatch.setattr(md, "SCORES_AT_ONCE", 200)
+    monkeypatch.setattr(md, "ROWS_PACKED", 300)
+    got = {r.replicate: r for r in md.repeated_holdouts(df, "id", "v", "y", "s", reps).collect()}
+    assert sum(len(b) == reps for b in sent) <= 6
+    beta = sent[-1]
+    key = np.array([r.h for r in spark.range(n).select("id", F.xxhash64("id").alias("h")).orderBy("id").collect()])
+    share = min(1.0, 0.7 * y.sum() / (y == 0).sum())
+    rest = min(1.0, 0.3 * y.sum() / ((1 - share) * (y == 0).sum()))
+    _, held = md.holdout_masks(key, y, np.full(n, share), np.full(n, rest), 0.3, reps)
+    for k in range(reps):
+        p = 1 / (1 + np.exp(-(beta[k, 0] + x @ beta[k, 1:])))
+        a, c = p[held[:, k] & (y == 1)], p[held[:, k] & (y == 0)]
+        auc = ((a[:, None] - c > 1e-12).sum() + 0.5 * (abs(a[:, None] - c) <= 1e-12).sum()) / (len(a) * len(c))
+        assert got[k].n_test == held[:, k].sum() and abs(got[k].auc - auc) < 1e-3 and abs(got[k].acc_positive - (a >= 0.5).mean()) < 1e-9
+        assert abs(got[k].accuracy - ((a >= 0.5).sum() + (c < 0.5).sum()) / held[:, k].sum()) < 1e-9
+
+
+def test_repeated_holdouts_without_a_held_out_label(spark):
+    """Negatives that all train leave no replicate, as none has an AUC."""
+    from cladeloom.operators import models as md
+    df = spark.createDataFrame([(i, [float(i * 37 % 101)], int(i % 10 > 0), "s") for i in range(300)], "id bigint, v array<double>, y int, s string")
+    assert md.repeated_holdouts(df, "id", "v", "y", "s", 4).count() == 0
+
+
 def test_logistic_fit_of_separated_classes(spark):
     from cladeloom.operators import models as md
     df = spark.createDataFrame([([float(i)], int(i >= 10)) for i in range(20)], "v array<double>, y int")
