@@ -8,9 +8,10 @@ anchors' grams are equal need comparing, and there is one anchor for some 35 str
 1. Each anchor sends the hash of its gram and of its surroundings (all bytes of the strings that may have this anchor,
    96 bits) to the gram's bucket. Where the surroundings of several anchors are equal, all but the first lose all their strings.
 2. Where one gram has several surroundings, the bytes of the first of each are fetched, and all their strings become
-   suffixes that are sorted by merging: two suffixes are compared by binary search for their common extension
-   on prefix polynomial hashes, and by the byte after it. Neighbours in the order with a common extension of LENGTH bytes are
-   the same string, which their bytes then confirm; all but the first go.
+   suffixes that are dealt by offset and hash of their LENGTH bytes, so that only those that can be equal meet, and sorted by
+   merging: two suffixes are compared by binary search for their common extension on prefix polynomial hashes, and by the
+   byte after it. Neighbours in the order with a common extension of LENGTH bytes are the same string, which their bytes
+   then confirm; all but the first go.
 3. The removed ranges meet their documents once.
 
 Copies are reduced in each task before anything is sent, so a string that a third of all documents hold arrives
@@ -44,9 +45,10 @@ FILTER_BITS = 25
 FILTER_PARTS = 32
 #: Bytes around anchors that a task gathers before it packs them.
 FETCH_BYTES = 8 << 20
-#: Bytes of text whose anchors are found at once (some 20 arrays of 8 bytes for each), and anchors whose strings are sorted at once.
+#: Bytes of text whose anchors are found at once (some 20 arrays of 8 bytes for each), and anchors and strings that are sorted at once.
 ANCHOR_BYTES = 1 << 18
 SORT_ANCHORS = 2_000
+SORT_STRINGS = 1 << 18
 FIRST = np.iinfo(np.int64).min  # stands for a null doc_id
 
 
@@ -301,6 +303,8 @@ def _fetch(shared, buckets: int):
 def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Length, up to `limit`, of the common beginning of the suffixes at a and b, by binary search on hashes."""
     low, high = np.zeros(len(a), np.int64), np.full(len(a), limit)
+    on = np.flatnonzero(np.maximum(a, b) + limit < len(prefix))  # most are equal as a whole
+    low[on[span_hash(prefix, a[on], a[on] + limit) == span_hash(prefix, b[on], b[on] + limit)]] = limit
     while True:
         on = np.flatnonzero(low < high)
         if not len(on):
@@ -313,10 +317,21 @@ def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: in
 
 def sort_suffixes(buf: np.ndarray, prefix: np.ndarray, starts: np.ndarray, edges: np.ndarray, limit: int) -> np.ndarray:
     """Stable order of the suffixes within each group (members edges[g] to edges[g + 1]) by their first `limit`
-    bytes: bottom-up mergesort of all groups together; each suffix finds its rank in the neighbouring run."""
+    bytes: bottom-up mergesort of all groups together; each suffix finds its rank in the neighbouring run. Groups of equal
+    suffixes are in order as they come."""
     order = np.arange(len(starts))
     size = np.diff(edges)
     group = rows_of(size)
+    pair = np.flatnonzero(group[1:] == group[:-1])
+    differ = common_extension(prefix, starts[pair], starts[pair + 1], limit) < limit
+    size = np.where(np.bincount(group[pair], differ, minlength=len(size)) > 0, size, 0)
+    mixed = size[group] > 0
+    if not mixed.any():
+        return order
+    if not mixed.all():
+        at = np.flatnonzero(mixed)
+        order[at] = at[sort_suffixes(buf, prefix, starts[at], np.concatenate([[0], np.cumsum(size[size > 0])]), limit)]
+        return order
     place, total = ranges(size), size[group]
 
     def less(x, y, or_equal):
@@ -399,18 +414,27 @@ def pieces(gram: np.ndarray, size: int = SORT_ANCHORS):
         at = stop
 
 
-def _strings(rec: np.ndarray, begin: np.ndarray, buf: np.ndarray, prefix: np.ndarray):
-    """Ranges of the strings of these anchors (sorted by gram) that an earlier one has."""
-    # strings in document order, so that the stable sort puts the first one first
-    rec, begin = (x[np.lexsort((rec["at"], rec["digest"], rec["doc_id"], rec["gram"]))] for x in (rec, begin))
-    n = rec["low"].astype(np.int64) - rec["high"] + 1
-    of = rows_of(n)
-    back = rec["low"][of].astype(np.int64) - ranges(n)  # bytes before the anchor
-    start = begin[of] + rec["left"][of] - back
-    order = np.lexsort((of, back, rec["gram"][of]))
-    of, back, start = of[order], back[order], start[order]
+def offsets_at_once(low: np.ndarray, high: np.ndarray, limit: int = SORT_STRINGS):
+    """Least and largest offset of strings that are compared at once: about `limit` strings, or those of one offset."""
+    ends = np.zeros(SPAN + 2, np.int64)
+    np.add.at(ends, high, 1)
+    np.add.at(ends, low + 1, -1)
+    at, total = 0, 0
+    for offset, n in enumerate(np.cumsum(ends)[:-1].tolist()):
+        if total and total + n > limit:
+            yield at, offset - 1
+            at, total = offset, 0
+        total += n
+    yield at, SPAN
+
+
+def _later_copies(gram: np.ndarray, of: np.ndarray, back: np.ndarray, start: np.ndarray, buf: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and offset of the strings that an earlier anchor of the same gram has at the same offset."""
+    of_string = span_hash(prefix, start, start + LENGTH)
+    order = np.lexsort((of, of_string, back, gram[of]))
+    of, back, start, of_string = of[order], back[order], start[order], of_string[order]
     new = np.ones(len(of), bool)
-    new[1:] = (rec["gram"][of][1:] != rec["gram"][of][:-1]) | (back[1:] != back[:-1])
+    new[1:] = (gram[of][1:] != gram[of][:-1]) | (back[1:] != back[:-1]) | (of_string[1:] != of_string[:-1])
     edges = np.append(np.flatnonzero(new), len(of))
     alone = np.repeat(np.diff(edges), np.diff(edges)) == 1
     of, back, start = of[~alone], back[~alone], start[~alone]
@@ -428,11 +452,28 @@ def _strings(rec: np.ndarray, begin: np.ndarray, buf: np.ndarray, prefix: np.nda
         if not np.array_equal(buf[a[s, None] + step], buf[b[s, None] + step]):
             raise ArithmeticError("two strings share their hash; change the base of the polynomial")
     gone = sorted_[pair + 1]
-    r = rec[of[gone]]
-    first = r["at"].astype(np.int64) - back[gone]
+    return of[gone], back[gone]
+
+
+def _strings(rec: np.ndarray, begin: np.ndarray, buf: np.ndarray, prefix: np.ndarray):
+    """Ranges of the strings of these anchors (sorted by gram) that an earlier one has."""
+    # strings in document order, so that the stable sort puts the first one first
+    rec, begin = (x[np.lexsort((rec["at"], rec["digest"], rec["doc_id"], rec["gram"]))] for x in (rec, begin))
+    low, high = rec["low"].astype(np.int64), rec["high"].astype(np.int64)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for near, far in offsets_at_once(low, high):
+        some = np.flatnonzero((high <= far) & (low >= near))
+        top = np.minimum(low[some], far)
+        n = top - np.maximum(high[some], near) + 1
+        of = some[rows_of(n)]
+        back = np.repeat(top, n) - ranges(n)  # bytes before the anchor
+        found.append(_later_copies(rec["gram"], of, back, begin[of] + rec["left"][of] - back, buf, prefix))
+    of, back = (np.concatenate(x) for x in zip(*found))
+    r = rec[of]
+    first = r["at"].astype(np.int64) - back
     # neighbouring strings of one anchor become one range
-    order = np.lexsort((first, of[gone]))
-    r, first, whose = r[order], first[order], of[gone][order]
+    order = np.lexsort((first, of))
+    r, first, whose = r[order], first[order], of[order]
     new = np.ones(len(first), bool)
     new[1:] = (whose[1:] != whose[:-1]) | (first[1:] != first[:-1] + 1)
     last = np.append(np.flatnonzero(new)[1:], len(first)) - 1

@@ -410,6 +410,32 @@ def test_suffix_anchors_take_bounded_memory():
     assert largest < 2e6 and peak < 50e6, (largest, peak)
 
 
+def test_suffixes_of_a_common_gram_are_sorted_only_where_two_are_equal(monkeypatch):
+    """A phrase in many documents, with other text around it in all but two."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 68, dtype=np.uint8) for _ in range(400)]
+    phrase = rng.integers(97, 123, suffix_dedup.GRAM, dtype=np.uint8)
+    texts[300][:40] = texts[10][:40]
+    buf = np.concatenate([np.concatenate([t, phrase, t[::-1]]) for t in texts])
+    buf[300 * 168 + 100:300 * 168 + 140] = buf[10 * 168 + 100:10 * 168 + 140]
+    buf[300 * 168 + 40:300 * 168 + 68] = buf[10 * 168 + 40:10 * 168 + 68]
+    rec = np.zeros(400, suffix_dedup.FETCHED)
+    rec["gram"], rec["doc_id"], rec["at"], rec["left"], rec["size"], rec["low"] = 5, np.arange(400), 68, 68, 168, 68
+    sorted_, plain = [], suffix_dedup.sort_suffixes
+    monkeypatch.setattr(suffix_dedup, "sort_suffixes", lambda buf, prefix, starts, *a: (sorted_.append(len(starts)), plain(buf, prefix, starts, *a))[1])
+    seen = {}
+    for i in range(400):
+        for back in range(69):
+            seen.setdefault((back, buf[i * 168 + 68 - back:i * 168 + 168 - back].tobytes()), []).append(i)
+    want = {(i, 68 - back) for (back, _), who in seen.items() for i in who[1:]}
+    for batch in suffix_dedup._strings(rec, np.arange(400) * 168, buf, suffix_dedup.prefix_hash(buf)):
+        got = {(d, x) for d, s, e in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "end"))) for x in range(s, e - suffix_dedup.LENGTH + 1)}
+    assert want and got == want and sum(sorted_) == 2 * len(want)
+    low, high = rec["low"].astype(int), rec["high"].astype(int)
+    cuts = list(suffix_dedup.offsets_at_once(low, high, 2_000))
+    assert cuts[0][0] == 0 and cuts[-1][1] == 68 and all(b + 1 == c for (_, b), (c, _) in zip(cuts, cuts[1:])) and all(400 * (b - a + 1) <= 2_000 for a, b in cuts)
+
+
 def test_suffix_sort_orders_suffixes():
     rng = np.random.default_rng(8)
     buf = rng.integers(97, 99, 4000).astype(np.uint8)
