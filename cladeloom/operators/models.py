@@ -26,10 +26,15 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def logistic_fit(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Binomial fit: coefficients, McFadden-style 1 - deviance / null deviance, and AUC in one row."""
-    d = df.select(array_to_vector(F.col(vec)).alias("features"), F.col(label).cast("double").alias("label"))
+    """Binomial fit: coefficients, McFadden-style 1 - deviance / null deviance, and AUC in one row.
+
+    The rows are formed once, as numbers, and scored once: each of the fit's passes, and of those over its scores, would
+    else read the whole input anew.
+    """
+    rows = materialize(df.select(F.col(vec).alias("_v"), F.col(label).cast("double").alias("label")))
+    d = rows.select(array_to_vector("_v").alias("features"), "label")
     m = LogisticRegression(maxIter=100, tol=1e-9).fit(d)
-    p = m.transform(d).select("label", vector_to_array("probability")[1].alias("p"), vector_to_array("rawPrediction")[1].alias("z"))
+    p = materialize(m.transform(d).select("label", vector_to_array("probability")[1].alias("p"), vector_to_array("rawPrediction")[1].alias("z")))
     # from the margin, so that a probability that rounds to 0 or 1 costs nothing or its margin
     ll = F.sum(F.col("label") * F.col("z") - F.greatest("z", F.lit(0.0)) - F.log1p(F.exp(-F.abs("z"))))
     rate = F.avg("label")

@@ -1137,3 +1137,17 @@ def test_back_mutations_compute_the_substitutions_once(spark):
     b = tr.back_mutations(subs, t)
     assert "Range (" not in b._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.child, r.is_above, r.edge_is_above) for r in b.collect()) == [(2, True, True), (3, False, False)]
+
+
+def test_logistic_fit_forms_its_rows_once(spark):
+    from cladeloom.operators import models as md
+    formed = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def label(i):
+        formed.add(1)
+        return int(i * 7 % 10 > 3)
+
+    df = spark.range(200).select(F.array((F.col("id") % 13).cast("double"), (F.col("id") % 5).cast("double")).alias("v"), label("id").alias("y"))
+    r = md.logistic_fit(df, "v", "y").first()
+    assert r.n == 200 and formed.value <= 400, formed.value
