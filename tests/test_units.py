@@ -1139,6 +1139,23 @@ def test_back_mutations_compute_the_substitutions_once(spark):
     assert sorted((r.child, r.is_above, r.edge_is_above) for r in b.collect()) == [(2, True, True), (3, False, False)]
 
 
+def test_sweep_forms_its_sums_once(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    sites = spark.createDataFrame([("g", p, i, "AC-"[int(rng.integers(3))]) for p in (1, 2) for i in range(60)], "gene string, pos int, id bigint, allele string")
+    traits = spark.createDataFrame([(i, float(rng.normal()), [float(v) for v in rng.normal(size=3)]) for i in range(60)], "id bigint, y double, z array<double>")
+    calls, plain = [], az.gram
+    monkeypatch.setattr(az, "gram", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    got = az.covariate_sweep(sites, traits, [0, 2, 3]).collect()
+    assert len(calls) == 1 and len(got) == 6
+    for k in (0, 2, 3):
+        z = F.slice("z", 1, k) if k else F.array().cast("array<double>")
+        want = {r.pos: r for r in az.site_scan(sites, traits.select("id", "y", z.alias("z"))).collect()}
+        for r in [r for r in got if r.n_pcs == k]:
+            for c in ("r2_aa", "r2_pcs", "r2_full", "p_aa_only", "p_aa_with_pcs"):
+                assert r[c] == want[r.pos][c] or abs(r[c] - want[r.pos][c]) < 1e-9
+            assert [e.residue for e in r.effects] == [e.residue for e in want[r.pos].effects] and r.residue_counts == want[r.pos].residue_counts
+
+
 def test_logistic_fit_forms_its_rows_once(spark):
     from cladeloom.operators import models as md
     formed = spark.sparkContext.accumulator(0)
