@@ -1139,6 +1139,60 @@ def test_back_mutations_compute_the_substitutions_once(spark):
     assert sorted((r.child, r.is_above, r.edge_is_above) for r in b.collect()) == [(2, True, True), (3, False, False)]
 
 
+def test_box_sums_are_those_of_all_pairs(monkeypatch):
+    from cladeloom.operators import fields as fd
+    rng = np.random.default_rng(5)
+    plane, lines = rng.uniform(0, 100, (3000, 2)), np.column_stack([rng.uniform(0, 100, 3000), rng.integers(0, 9, 3000) * 4.0])
+    wide = rng.normal(size=(3000, 2)) * np.exp(2 * rng.normal(size=(3000, 1)))
+    plain = fd._inverse
+    for p in (plane, lines, wide):
+        q = np.column_stack([rng.integers(1, 4, 3000), rng.normal(size=3000)]).astype(float)
+        want, scale = plain(p, p, 0.001, q, q[:, :1], True), plain(p, p, 0.001, abs(q), q[:, :1], True)
+        tree = fd.Boxes(p, 64)
+        assert (abs(fd.inverse_sums(tree, tree, 0.001, q, q[:, :1]) - want) / scale).max() < 1e-12
+        a, b = fd.Boxes(p[:1200], 64), fd.Boxes(p[1200:], 64)
+        both = fd.inverse_sums(a, a, 0.001, q[:1200], q[:1200, :1]) + fd.inverse_sums(a, b, 0.001, q[1200:], q[1200:, :1])
+        assert (abs(both - want[:1200]) / scale[:1200]).max() < 1e-12
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+        near = (d > 0) & (d <= 20)
+        tree, a, b = fd.Boxes(p, 32), fd.Boxes(p[:1200], 32), fd.Boxes(p[1200:], 32)
+        assert np.allclose(fd.within_sums(tree, tree, 20.0, q, q)[0], near @ q, rtol=0, atol=1e-9)
+        one, other = fd.within_sums(a, b, 20.0, q[:1200], q[1200:])
+        assert np.allclose(one, near[:1200, 1200:] @ q[1200:], rtol=0, atol=1e-9) and np.allclose(other, near[1200:, :1200] @ q[:1200], rtol=0, atol=1e-9)
+        edges = np.array([0, 20.0, 40, 45, 120])
+        c, z = q.T
+        n, zz = fd.class_sums(a, b, edges, c[:1200], z[:1200], c[1200:], z[1200:])
+        for i in range(4):
+            on = (d[:1200, 1200:] > edges[i]) & (d[:1200, 1200:] <= edges[i + 1])
+            assert n[i] == c[:1200] @ on @ c[1200:] and abs(zz[i] - z[:1200] @ on @ z[1200:]) < 1e-7
+    met, p = [], np.column_stack([rng.uniform(0, 100, 20000), rng.integers(0, 9, 20000) * 4.0])
+    monkeypatch.setattr(fd, "_inverse", lambda x, y, *a: (met.append(len(x) * len(y)), plain(x, y, *a))[1])
+    tree = fd.Boxes(p, 128)
+    fd.inverse_sums(tree, tree, 0.001, np.ones((20000, 1)), np.ones((20000, 1)))
+    assert sum(met) < 0.6 * 20000 ** 2, sum(met)
+
+
+def test_autocorrelation_over_chunks_of_places(spark, monkeypatch):
+    """Keys that come twice, groups, and chunks of few places."""
+    monkeypatch.setattr(mx, "PLACES", (50, 50))
+    rng = np.random.default_rng(12)
+    p, x = rng.uniform(0, 30, size=(300, 2)), rng.normal(size=300)
+    df = spark.createDataFrame([(i % 7, "a" if i < 200 else "b", [float(c) for c in p[i]], float(x[i])) for i in range(300)], "id bigint, g string, p array<double>, x double")
+    for cut in (None, 8.0):
+        got = {r.g: r for r in mx.morans_i(df, "id", "p", "x", cut, by=["g"]).collect()}
+        for g, s in (("a", slice(0, 200)), ("b", slice(200, 300))):
+            d, z, n = np.sqrt(((p[s, None] - p[None, s]) ** 2).sum(2)), x[s] - x[s].mean(), len(x[s])
+            w = np.where(np.eye(n) == 1, 0, 1 / (d + 0.001)) if cut is None else ((d > 0) & (d <= cut)).astype(float)
+            w = w / w.sum(1, keepdims=True)
+            s1, s2 = ((w + w.T) ** 2).sum() / 2, ((w.sum(1) + w.sum(0)) ** 2).sum()
+            assert got[g].n == n and abs(got[g].moran_i - (z @ w @ z) / (z @ z)) < 1e-11
+            assert abs(got[g].variance - ((n * n * s1 - n * s2 + 3 * n * n) / ((n * n - 1) * n * n) - 1 / (n - 1) ** 2)) < 1e-11
+    d, z = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)), x - x.mean()
+    for r in mx.correlogram(df, "id", "p", "x", [0, 5, 10, 60], min_pairs=1).collect():
+        on = np.triu((d > [0, 5, 10][r.cls]) & (d <= [5, 10, 60][r.cls]), 1)
+        assert r.n_pairs == on.sum() and abs(r.moran_i - 300 / on.sum() * (np.outer(z, z)[on]).sum() / (z @ z)) < 1e-11
+
+
 def test_sweep_forms_its_sums_once(spark, monkeypatch):
     rng = np.random.default_rng(15)
     sites = spark.createDataFrame([("g", p, i, "AC-"[int(rng.integers(3))]) for p in (1, 2) for i in range(60)], "gene string, pos int, id bigint, allele string")
