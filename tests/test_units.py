@@ -1193,6 +1193,22 @@ def test_autocorrelation_over_chunks_of_places(spark, monkeypatch):
         assert r.n_pairs == on.sum() and abs(r.moran_i - 300 / on.sum() * (np.outer(z, z)[on]).sum() / (z @ z)) < 1e-11
 
 
+def test_variance_of_values_dealt_at_random(spark):
+    """Moran's I of skewed residuals: the variance takes their kurtosis, as in siteAutocorrelation.r."""
+    rng = np.random.default_rng(14)
+    p, x = rng.uniform(0, 30, size=(40, 2)), np.exp(2 * rng.normal(size=40))
+    df = spark.createDataFrame([(i, [float(c) for c in p[i]], float(x[i])) for i in range(40)], "id bigint, p array<double>, x double")
+    w = 1 / (np.sqrt(((p[:, None] - p[None]) ** 2).sum(2)) + 0.001)
+    np.fill_diagonal(w, 0)
+    w = w / w.sum(1, keepdims=True)
+    n, z, s0, s1, s2 = 40, x - x.mean(), w.sum(), ((w + w.T) ** 2).sum() / 2, ((w.sum(1) + w.sum(0)) ** 2).sum()
+    k = (z ** 4).mean() / (z ** 2).mean() ** 2
+    var = (n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0 ** 2) - k * (n * (n - 1) * s1 - 2 * n * s2 + 6 * s0 ** 2)) / ((n - 1) * (n - 2) * (n - 3) * s0 ** 2) - 1 / (n - 1) ** 2
+    r = mx.morans_i(df, "id", "p", "x", randomised=True).first()
+    assert abs(r.variance - var) < 1e-12 and abs(r.z - (r.moran_i + 1 / 39) / var ** 0.5) < 1e-9
+    assert abs(r.p_value - math.erfc(abs(r.z) / 2 ** 0.5)) < 1e-9 and abs(mx.morans_i(df, "id", "p", "x").first().variance - var) > 1e-6
+
+
 def test_sweep_forms_its_sums_once(spark, monkeypatch):
     rng = np.random.default_rng(15)
     sites = spark.createDataFrame([("g", p, i, "AC-"[int(rng.integers(3))]) for p in (1, 2) for i in range(60)], "gene string, pos int, id bigint, allele string")
