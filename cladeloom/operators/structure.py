@@ -12,6 +12,7 @@ from cladeloom.operators import stats as sx
 from cladeloom.operators.joins import nearest_neighbour, radius_count
 from cladeloom.operators.ordered import join_same, quantile_column, quantiles, row_index
 from cladeloom.operators.pairs import chunk_pairs, distances
+from cladeloom.session import materialize
 
 
 def chain_summary(atoms: DataFrame) -> DataFrame:
@@ -70,12 +71,24 @@ def nearest_in_set(points: DataFrame, by: Sequence[str], id: str, vec: str) -> D
     return r.where(F.col("distance") < float("inf"))
 
 
-def nearest_neighbour_stat(points: DataFrame, id: str, vec: str, hit: Column, n_perm: int = 99, seed: int = 42) -> DataFrame:
-    """Mean nearest-neighbour distance among hits against equally large hash-drawn sets."""
+def nearest_neighbour_stat(points: DataFrame, id: str, vec: str, hit: Column, n_perm: int = 999, seed: int = 42) -> DataFrame:
+    """Mean nearest-neighbour distance among hits against equally large hash-drawn sets.
+
+    A set takes the points that come first in hash order.  They are counted per bin of the hash; only those of the bin that holds a
+    set's last point, one in 256, are ranked.
+    """
     base = points.select(id, vec, hit.alias("_h"))
     k = base.where("_h").agg(F.count("*")).scalar()
-    sets = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("_o", draw(id, "perm", seed=seed))
-    drawn = row_index(sets.select(id, vec, "perm", "_o"), ["_o", id], ["perm"], "_i").withColumn("_k", k).where(F.col("_i") <= F.col("_k")).select("perm", id, vec)
+    # hashing is heavy per row: fix the task count so small tables are not one task
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = base.repartition(tasks, id).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("_o", draw(id, "perm", seed=seed))
+    sets = sets.withColumn("_b", F.shiftright("_o", 44))  # of 52 bits
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("perm").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sets.groupBy("perm", "_b").agg(F.count("*").alias("_n")).withColumn("_m", before).withColumn("_k", k)
+    cut = materialize(cut.where((F.col("_m") < F.col("_k")) & (F.col("_k") <= F.col("_m") + F.col("_n"))).select("perm", F.col("_b").alias("_last"), "_m", "_k"))
+    sets = sets.join(F.broadcast(cut), "perm")
+    last = row_index(sets.where(F.col("_b") == F.col("_last")).select(id, vec, "perm", "_o", "_m", "_k"), ["_o", id], ["perm"], "_i").where(F.col("_m") + F.col("_i") <= F.col("_k"))
+    drawn = sets.where(F.col("_b") < F.col("_last")).select("perm", id, vec).unionByName(last.select("perm", id, vec))
     alls = drawn.unionByName(base.where("_h").select(F.lit(0).alias("perm"), id, vec))
     m = nearest_in_set(alls, ["perm"], id, vec).groupBy("perm").agg(F.avg("distance").alias("m"))
     obs = m.where("perm = 0").select("m").scalar()

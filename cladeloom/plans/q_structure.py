@@ -89,12 +89,12 @@ def _(s, d):
 
 
 @query("nearest_neighbour_stat", f"""
-with {_XYZ}, k as (select count(*) as k from xyz where gene = 4), o as (select j as perm, id, p, row_number() over (partition by j order by ('0x' || substr(md5(concat_ws('|', id, j, 42)), 1, 13))::bigint, id) as i from xyz, (select unnest(range(1, 100)) as j)),
+with {_XYZ}, k as (select count(*) as k from xyz where gene = 4), o as (select j as perm, id, p, row_number() over (partition by j order by ('0x' || substr(md5(concat_ws('|', id, j, 42)), 1, 13))::bigint, id) as i from xyz, (select unnest(range(1, 1000)) as j)),
 d as (select perm, id, p from o, k where i <= k union all select 0, id, p from xyz where gene = 4), n as (select a.perm, a.id, min(list_distance(a.p, b.p)) as m from d a join d b on a.perm = b.perm and a.id <> b.id group by 1, 2),
 m as (select perm, avg(m) as m from n group by 1), w as (select m as obs from m where perm = 0)
 select round(max(obs), 6) as observed, round(avg(m), 6) as null_mean, count(*) as n_perm, round((count(*) filter (m <= obs + 1e-12) + 1) / (count(*) + 1), 6) as p_value from m, w where perm > 0""")
 def _(s, d):
-    return r_(sr.nearest_neighbour_stat(xyz(s, d), "id", "p", F.col("gene") == 4, 99))
+    return r_(sr.nearest_neighbour_stat(xyz(s, d), "id", "p", F.col("gene") == 4, 999))
 
 
 @query("nearest_in_set", f"with {_XYZ} select a.gene, a.id, round(min(list_distance(a.p, b.p)), 6) as distance from xyz a join xyz b on a.gene = b.gene and a.id <> b.id group by 1, 2")

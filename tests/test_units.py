@@ -1238,3 +1238,16 @@ def test_logistic_fit_forms_its_rows_once(spark):
     df = spark.range(200).select(F.array((F.col("id") % 13).cast("double"), (F.col("id") % 5).cast("double")).alias("v"), label("id").alias("y"))
     r = md.logistic_fit(df, "v", "y").first()
     assert r.n == 200 and formed.value <= 400, formed.value
+
+
+def test_nearest_neighbour_stat_draws_999_sets(spark):
+    rng = np.random.default_rng(17)
+    p = rng.uniform(0, 9, size=(30, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in p[i]]) for i in range(30)], "id bigint, p array<double>")
+    r = sr.nearest_neighbour_stat(df, "id", "p", F.col("id") < 8).first()
+    import hashlib
+    nearest = lambda s: np.mean([min(np.sqrt(((p[a] - p[b]) ** 2).sum()) for b in s if b != a) for a in s])
+    sets = [sorted(range(30), key=lambda i: (int(hashlib.md5(f"{i}|{j}|42".encode()).hexdigest()[:13], 16), i))[:8] for j in range(1, 1000)]
+    null, seen = [nearest(s) for s in sets], nearest(range(8))
+    assert r.n_perm == 999 and abs(r.observed - seen) < 1e-9 and abs(r.null_mean - np.mean(null)) < 1e-9
+    assert abs(r.p_value - (sum(m <= seen + 1e-12 for m in null) + 1) / 1000) < 2e-3
